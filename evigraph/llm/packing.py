@@ -44,7 +44,7 @@ END_ID = 0
 #: Borders between small and large lengths that are tried, as parts of the capacity.
 SHARES = (8, 4, 3, 2)
 #: Words whose ids a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 
 
 class WordEncoder:
@@ -83,23 +83,20 @@ class WordEncoder:
         for (w, _), e in zip(known, encoded, strict=True):
             self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(self._FIRST + (t or "")).replace("\n", " \n " + self._FIRST).split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.ids}
-        if new:
-            self._learn(new)
-            if any(w not in self.ids for words in split for w in words):  # the memo was emptied meanwhile
-                self._learn({w for words in split for w in words})
-        ids = self.ids
-        for t, words in zip(texts, split, strict=True):
-            if not t:
-                yield b""
-                continue
-            try:
-                yield b"".join([ids[w] for w in words])
-            except TypeError:  # a word that depends on its surroundings
-                yield self._whole(t)
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        if not text:
+            return b""
+        words = (self._FIRST + text).replace("\n", " \n " + self._FIRST).split(" ")
+        try:
+            return b"".join(map(self.ids.__getitem__, words))
+        except KeyError:
+            self._learn({w for w in words if w not in self.ids})
+        except TypeError:  # a word that depends on its surroundings
+            return self._whole(text)
+        if any(self.ids.get(w) is None for w in words):  # as above, or the memo was emptied meanwhile
+            return self._whole(text)
+        return b"".join(map(self.ids.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -131,7 +128,7 @@ def token_pieces(
         known = encoder(vocabulary)
         for batch in batches:
             out = []
-            for k, ids in zip(batch[key], known.encode(list(batch[text])), strict=True):
+            for k, ids in zip(batch[key], map(known.encode, batch[text]), strict=True):
                 ids += end
                 for i, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + n)]

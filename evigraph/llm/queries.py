@@ -7,13 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import packing, token_counts
+from evigraph.llm import language_id, packing, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _part(n: int):
+    """crc32 of the key's text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(_part(4) != 2))
+    told = language_id.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", (_part(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from labelled documents outside the held-out fifth."""
+    labels = _table(spark, sf_dir, "labels").where(_part(5) != 0).select("doc_id", "toxic")
+    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (_part(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.over_budget(token_counts.prefix_token_counts(docs, keep_table=False), 2048)
