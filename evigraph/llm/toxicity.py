@@ -9,7 +9,7 @@ Training reads a bounded sample of labelled rows (``train_rows``, chosen by a ha
 quarter of it at most from the label 1); scoring covers every whole text: since the softmax is linear, a word adds a
 fixed amount to the text's logit, which workers keep per word.
 
-Rows: null, empty and wordless texts score the trained bias; rows without a label are not learned from;
+Rows: null, empty and wordless texts score the bias alone; rows without a label are not learned from;
 null labels and labels other than 0 and 1 are left out; without both labels in the sample the score is
 the smoothed rate of label 1 (0.5 with no label at all); repeated rows are scored each; extra columns
 pass through, and one that bears a result's name is replaced.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 ORDERS = (3, 4, 5)
+#: Zero words that each average takes in, so that a few words do not decide a short text by chance.
+PAD = 16
 #: Words whose amounts a worker keeps; beyond it the memo starts anew.
 MEMO_WORDS = 1_000_000
 
@@ -120,13 +122,13 @@ class Model:
             for i, tokens in enumerate(split, a):
                 got = [self.known[t] for t in tokens]
                 n = sum([x[1] for x in got])
-                out[i] = sum([x[0] for x in got]) / n + bias if n else bias
+                out[i] = sum([x[0] for x in got]) / (n + PAD) + bias
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
 def train(
     texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 16, dims: int = 4,
-    rounds: int = 40, rate: float = 0.3, floor: float = 0.05, decay: float = 0.0, seed: int = 7,
+    rounds: int = 70, rate: float = 0.5, floor: float = 0.05, decay: float = 0.02, seed: int = 7,
 ) -> Model:
     """Fit table and softmax jointly (Adam over all rows)."""
     rng = np.random.default_rng(seed)
@@ -146,7 +148,7 @@ def train(
     word = np.concatenate([b[0] for b in bags])
     text_start = np.concatenate([[0], np.cumsum([len(b[0]) for b in bags])])
     owner = np.repeat(np.arange(len(bags)), np.diff(text_start))
-    weight = np.concatenate([b[1] / max(1, b[1].sum()) for b in bags]).astype(np.float32)
+    weight = np.concatenate([b[1] / (PAD + b[1].sum()) for b in bags]).astype(np.float32)
     back = np.argsort(word, kind="stable")
     word_start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(ids)))])
     features, feature_start = subwords(list(ids), buckets)
