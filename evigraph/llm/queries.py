@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import language_id, lattice, ngram_join, packing, token_counts, toxicity
+from evigraph.llm import language_id, lattice, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,56 @@ def _part(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+#: Target weights of the mixture: domains, languages within each, sources alike.
+MIX_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1, "*/en": 5, "*/de": 2, "*/fr": 2, "*/es": 1}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 4, 17
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The domain of a source: its number modulo 4."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)")
+    return docs.withColumn("domain", F.concat(F.lit("d"), F.pmod(F.coalesce(number, F.lit(0)), F.lit(4)).cast("string")))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = mixing.counted(docs, ["doc_id", "domain", "lang", "source"])
+    mixed = mixing.mix(docs, ["domain", "lang", "source"], MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return mixed.select("doc_id", "epoch", "domain", "lang", "source", "n_tokens", "taken_tokens")
+
+
+_OP1_LEVEL = """
+{me}_r AS (SELECT *, lim / w AS r FROM {me}_n),
+{me}_c AS (SELECT *, coalesce(sum(lim) OVER (PARTITION BY {part} ORDER BY r, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
+  sum(w) OVER (PARTITION BY {part} ORDER BY r, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {me}_r),
+{me}_l AS (SELECT *, CASE WHEN ((b - c) / ws) * w <= lim THEN (b - c) / ws END AS l FROM {me}_c),
+{me} AS (SELECT *, least(lim, coalesce(max(l) OVER (PARTITION BY {part}) * w, lim)) AS give FROM {me}_l)"""
+
+OP1_SQL = (
+    f"""WITH docs AS (SELECT doc_id, text, lang, source,
+  'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 4) AS domain,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS t FROM documents),
+leaf AS (SELECT domain, coalesce(lang, '') AS la, coalesce(source, '') AS so, sum(t)::DOUBLE AS total, sum(t)::DOUBLE * {MIX_EPOCHS} AS lim FROM docs WHERE t > 0 GROUP BY ALL),
+a_n AS (SELECT domain, sum(lim) AS lim, CASE domain WHEN 'd0' THEN 4.0::DOUBLE WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS w,
+  (SELECT floor(sum(total) * {MIX_SHARE}::DOUBLE) FROM leaf) AS b FROM leaf GROUP BY domain),"""
+    + _OP1_LEVEL.format(me="a", part="1", name="domain")
+    + """,
+b_n AS (SELECT leaf.domain, la, sum(leaf.lim) AS lim, CASE la WHEN 'en' THEN 5.0::DOUBLE WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w, any_value(a.give) AS b
+  FROM leaf JOIN a ON a.domain = leaf.domain GROUP BY leaf.domain, la),"""
+    + _OP1_LEVEL.format(me="b", part="domain", name="la")
+    + """,
+c_n AS (SELECT leaf.domain, leaf.la, so, leaf.lim, 1.0::DOUBLE AS w, b.give AS b, total FROM leaf JOIN b ON b.domain = leaf.domain AND b.la = leaf.la),"""
+    + _OP1_LEVEL.format(me="c", part="domain, la", name="so")
+    + f""",
+plan AS (SELECT domain, la, so, floor(give + 1e-6)::BIGINT AS take, total::BIGINT AS total, (floor(give + 1e-6)::BIGINT // total::BIGINT) AS whole FROM c),
+o AS (SELECT docs.*, whole, take - whole * plan.total AS rest, md5('{MIX_SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM docs JOIN plan ON plan.domain = docs.domain AND plan.la = coalesce(lang, '') AND plan.so = coalesce(source, '') WHERE t > 0 AND take > 0),
+s AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY domain, lang, source ORDER BY h, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o)
+SELECT doc_id, unnest(range(0, whole))::INTEGER AS epoch, domain, lang, source, t::BIGINT AS n_tokens, t::BIGINT AS taken_tokens FROM o
+UNION ALL SELECT doc_id, whole::INTEGER, domain, lang, source, t::BIGINT, least(t, rest - ahead)::BIGINT FROM s WHERE ahead < rest"""
+)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(_part(4) != 2))
@@ -38,6 +88,26 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_part(5) == 0).alias("held_out"), "score", "predicted")
 
 
+URL_RULES = {
+    "org/": "allow",
+    "example.org/es/": "block",
+    "example.org/en/1": "block",
+    "com/fr/": "allow",
+    "com/de/": "block",
+}
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees learn from the URLs that a rule labels and judge those that no rule fits."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    url = F.col("url")
+    rule = url_filter.rule_for(url_filter.host_of(url), url_filter.path_of(url), URL_RULES)
+    verdict_of = F.create_map(*[F.lit(x) for kv in URL_RULES.items() for x in kv])
+    model = url_filter.fit(pages.select("url", verdict_of[rule].alias("verdict")))
+    judged = url_filter.judge(pages, URL_RULES, model)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.col("block_score"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.over_budget(token_counts.prefix_token_counts(docs, keep_table=False), 2048)
@@ -63,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL}
