@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import language_id, lattice, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from evigraph.llm import language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,50 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def with_path(docs: DataFrame) -> DataFrame:
+    """Documents have no paths: they are laid out as source/lang/thousand/id.txt, every fortieth as the
+    LICENSE file of its folder or, every eightieth, of the folder above."""
+    number = F.coalesce(F.col("doc_id"), F.lit(0))
+    top = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
+    folder = F.concat_ws("/", top, F.floor(number / 1000).cast("string"))
+    name = F.when(number % 80 == 0, F.concat_ws("/", top, F.lit("LICENSE"))).when(number % 40 == 0, F.concat_ws("/", folder, F.lit("LICENSE")))
+    return docs.withColumn("path", F.coalesce(name, F.concat(folder, F.lit("/"), number.cast("string"), F.lit(".txt"))))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return licenses.scan(with_path(docs).select("doc_id", "text", "path"))
+
+
+_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+_TERMS = "regexp_extract_all(lower({}), '" + licenses.WORD + "')"
+OP9_SQL = f"""WITH docs AS (SELECT doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') AS top, coalesce(doc_id, 0) AS num FROM documents),
+files AS (SELECT doc_id, text, CASE WHEN num % 80 = 0 THEN top ELSE top || '/' || (num // 1000) END AS folder,
+  CASE WHEN num % 40 = 0 THEN 'LICENSE' ELSE num || '.txt' END AS name FROM docs),
+templates(name, notice) AS (VALUES {_NOTICES}),
+tw AS (SELECT name, word, count(*) AS tf FROM (SELECT name, unnest({_TERMS.format("notice")}) AS word FROM templates) GROUP BY ALL),
+seen AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS.format("text")})) AS word FROM docs) SEMI JOIN tw USING (word) GROUP BY word),
+size AS (SELECT count(*) AS n FROM docs),
+idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN seen USING (word), size),
+tv AS (SELECT name, word, tf * idf AS w FROM tw JOIN idf USING (word)),
+tn AS (SELECT name, word, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS u FROM tv),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM docs),
+near AS (SELECT * FROM lines WHERE len(list_intersect({_TERMS.format("line")}, (SELECT list(word) FROM idf))) > 0),
+words AS (SELECT doc_id, no, word, count(*) AS tf FROM (SELECT doc_id, no, unnest({_TERMS.format("line")}) AS word FROM near) GROUP BY ALL),
+lw AS (SELECT doc_id, no, word, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM words LEFT JOIN idf USING (word), size),
+norm AS (SELECT doc_id, no, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
+cosine AS (SELECT doc_id, no, name, round(sum(w * u) / any_value(norm), 6) AS score FROM lw JOIN tn USING (word) JOIN norm USING (doc_id, no) GROUP BY ALL),
+hits AS (SELECT doc_id, no, score, name, row_number() OVER (PARTITION BY doc_id, no ORDER BY score DESC, name) AS k FROM cosine WHERE score >= 0.75),
+own AS (SELECT doc_id, score, name, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, no) AS k FROM hits WHERE k = 1),
+known AS (SELECT files.doc_id, folder, files.name AS file, own.name AS lic, own.score FROM files LEFT JOIN own ON own.doc_id = files.doc_id AND own.k = 1),
+grants AS (SELECT folder AS above, lic AS given FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, lic DESC) AS k FROM known WHERE file = 'LICENSE' AND lic IS NOT NULL) WHERE k = 1),
+reach AS (SELECT f.folder, above, given, row_number() OVER (PARTITION BY f.folder ORDER BY length(above) DESC) AS k
+  FROM (SELECT DISTINCT folder FROM known) f JOIN grants ON f.folder = above OR starts_with(f.folder, above || '/'))
+SELECT known.doc_id, known.folder || '/' || file AS path, lic AS own_license, score AS own_score, coalesce(lic, given) AS license,
+  CASE WHEN lic IS NULL THEN above END AS inherited_from
+FROM known LEFT JOIN reach ON reach.folder = known.folder AND reach.k = 1"""
+
+
 def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -133,4 +177,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op9_license_scan": OP9_SQL}
