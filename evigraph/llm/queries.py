@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from evigraph.llm import image_copies, language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +111,39 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.col("block_score"))
 
 
+SIDE = 80
+
+
+@cache
+def _textures() -> np.ndarray:
+    """A smooth random texture for each of 64 components."""
+    noise = np.random.default_rng(64).standard_normal((64, SIDE + 16, SIDE + 16))
+    for axis in (1, 2):
+        for _ in range(3):
+            noise = (np.roll(noise, 1, axis) + noise + np.roll(noise, -1, axis)) / 3
+    return noise[:, 8:-8, 8:-8].reshape(64, -1)
+
+
+def render(vector: list[float] | None) -> bytes | None:
+    """The tables hold no images: a vector is drawn as a grey image, near vectors as edited copies."""
+    if vector is None or len(vector) != 64:
+        return None
+    x = np.asarray([np.nan if v is None else v for v in vector], dtype=float)
+    if not np.isfinite(x).all() or not x.any():
+        return None
+    field = x @ _textures()
+    return image_copies.write_pgm(np.clip(128 + 45 * field / field.std(), 0, 255).astype(np.uint8).reshape(SIDE, SIDE))
+
+
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("binary")
+    def draw(vectors: pd.Series) -> pd.Series:
+        return pd.Series([render(v) for v in vectors])
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", draw("embedding").alias("image"))
+    return image_copies.image_copies(vectors, "vec_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.over_budget(token_counts.prefix_token_counts(docs, keep_table=False), 2048)
