@@ -24,19 +24,23 @@ packed once per row; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evigraph.llm._store import spread, stage
+from evigraph.llm.token_counts import byte_symbols
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -51,7 +55,7 @@ class WordEncoder:
     """Ids of whole texts, word by word with a memo; exact for the byte-level vocabulary.
 
     Its piece pattern never joins a sign to a blank on its right, so a text whose blanks stand alone
-    falls into words that the library can encode one by one: a word after a blank carries the blank, a
+    falls into words that can be encoded one by one: a word after a blank carries the blank, a
     word at the start or after a line feed does not.  Texts with other white space go whole to the
     library.
     """
@@ -59,7 +63,14 @@ class WordEncoder:
     _FIRST = "\x01"  # marks a word without a blank before it
 
     def __init__(self, path: str):
+        # The library's own threads would fight with Spark's tasks over the cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte[c] for c in t): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        #: The same vocabulary for single words; it merges by rank as the library does, with less ado.
+        self.words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._odd = re.compile(r"[\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]")
         self.ids: dict[str, bytes | None] = {}
 
@@ -69,19 +80,17 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.ids) + len(words) > MEMO_WORDS:
             self.ids.clear()
-        known: list[tuple[str, str]] = []
         for w in words:
             first = w[:1] == self._FIRST
             body = w[1:] if first else w
             if w == "\n":
-                known.append((w, w))
-            elif not body or self._odd.search(body):
+                found = self.words.encode_ordinary(w)
+            elif not body.isalpha() and (not body or self._odd.search(body) or any(x in body for x in self.special)):
                 self.ids[w] = None
+                continue
             else:
-                known.append((w, body if first else " " + body))
-        encoded = self.library.encode_batch_fast([x for _, x in known], add_special_tokens=False)
-        for (w, _), e in zip(known, encoded, strict=True):
-            self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+                found = self.words.encode_ordinary(body if first else " " + body)
+            self.ids[w] = array("I", found).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""

@@ -38,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 MEMO_WORDS = 700_000
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable stand-in of each byte value used by byte-level vocabularies."""
     shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = iter(range(0x100, 0x200))
@@ -63,7 +63,7 @@ class PrefixCounter:
                 shut = body + self.end if body in closed else ""
                 self.inside.add_word(body, (len(body), body if body in self.vocab else "", shut))
         self.inside.make_automaton()
-        self.byte = _byte_symbols()
+        self.byte = byte_symbols()
         self.special = [a["content"] for a in spec["added_tokens"]]
         self._special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         # The piece pattern of the vocabulary file, white space spelled out.
