@@ -82,7 +82,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learned from labelled documents outside the held-out fifth."""
     labels = _table(spark, sf_dir, "labels").where(_part(5) != 0).select("doc_id", "toxic")
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(docs, labels)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             owners.append(owner[ok])
     owner, features = np.concatenate(owners), np.concatenate(parts).astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    return features[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    return features[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
 
 def _sums(table: np.ndarray, picks: np.ndarray, starts: np.ndarray, step: int = 200_000, weight: np.ndarray | None = None) -> np.ndarray:
@@ -128,7 +128,7 @@ class Model:
 
 def train(
     texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 16, dims: int = 4,
-    rounds: int = 70, rate: float = 0.5, floor: float = 0.05, decay: float = 0.02, seed: int = 7,
+    rounds: int = 60, rate: float = 0.5, floor: float = 0.05, decay: float = 0.02, seed: int = 7,
 ) -> Model:
     """Fit table and softmax jointly (Adam over all rows)."""
     rng = np.random.default_rng(seed)
@@ -154,7 +154,8 @@ def train(
     features, feature_start = subwords(list(ids), buckets)
     feature_owner = np.repeat(np.arange(len(ids)), np.diff(feature_start))
     turn = np.argsort(features, kind="stable")
-    turned = feature_owner[turn]
+    turned = feature_owner[turn].astype(np.int32)
+    del turn, feature_owner
     bucket_start = np.concatenate([[0], np.cumsum(np.bincount(features, minlength=buckets))])
     each = np.full(len(labels), 1 / len(labels), dtype=np.float32)
     params = [table, softmax, bias]
@@ -179,20 +180,21 @@ def train(
 
 
 def fit(
-    labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = 4800, **options
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = 3600, **options
 ) -> Model:
-    """Train on at most about ``train_rows`` rows: at most a quarter of label 1, the rest of label 0, drawn by key hash."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"), F.col(text).alias("_t"))
+    """Train on at most about ``train_rows`` labelled rows, a quarter of them of label 1 at most, drawn by key hash.
+
+    The draw reads ``labels`` alone; its bounded list of keys is broadcast to the documents."""
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     sizes = dict(rows.groupBy("_y").count().collect())
     part = [min(1.0, train_rows * most / sizes[y]) if sizes.get(y) else 0.0 for y, most in ((0, 0.75), (1, 0.25))]
-    drawn = F.pmod(F.xxhash64(F.lit(11), "_k"), F.lit(1 << 20)) < (F.when(F.col("_y") == 1, F.lit(part[1])).otherwise(F.lit(part[0])) * (1 << 20))
-    sample = rows.where(drawn).orderBy("_k").toPandas()
+    limit = F.when(F.col("_y") == 1, F.lit(part[1])).otherwise(F.lit(part[0])) * (1 << 20)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(11), "_k"), F.lit(1 << 20)) < limit)
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    sample = texts.join(F.broadcast(drawn), "_k").toPandas().sort_values("_k", kind="stable")
     return train(list(sample["_t"].where(sample["_t"].notna(), None)), sample["_y"].to_numpy(dtype=np.int64), **options)
 
 
-_HERE: dict[str, Model] = {}
-
-
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` with ``score`` (double, 0 to 1) and ``predicted`` (int: score at or over ``threshold``).
 
