@@ -15,10 +15,10 @@ def term_weights(chunks: DataFrame, k: str = "tokens") -> DataFrame:
 
     Distinct tokens are counted with map-side partial sums; only one number per token is shuffled."""
     df = chunks.select(F.explode(F.array_distinct(k)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").cast("double").alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n: one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    n = chunks.agg(F.count("*").cast("double")).scalar()
+    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("token", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def top_k(claims: DataFrame, chunks: DataFrame, k: int = 5, claim: str = "claim_id", claim_text: str = "claim", order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
@@ -29,12 +29,12 @@ def top_k(claims: DataFrame, chunks: DataFrame, k: int = 5, claim: str = "claim_
     tokens = chunks.select(*order, tokenize(F.col("chunk")).alias("tokens")).withColumn("size", F.size("tokens"))
     asked = claims.select(claim, F.explode(tokenize(F.col(claim_text))).alias("token")).groupBy(claim, "token").agg(F.count("*").alias("qf"))
     weights = term_weights(tokens).join(asked.select("token").distinct(), "token", "left_semi").select("token", "idf")
-    average = tokens.agg(F.avg("size").alias("average"))
+    average = tokens.agg(F.avg("size")).scalar()
     postings = tokens.select(*order, "size", F.explode("tokens").alias("token")).join(weights.select("token"), "token", "left_semi")
     postings = postings.groupBy(*order, "size", "token").agg(F.count("*").alias("tf"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("average"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / average)
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = postings.join(weights, "token").join(asked, "token").crossJoin(F.broadcast(average)).withColumn("part", part)
+    scored = postings.join(weights, "token").join(asked, "token").withColumn("part", part)
     scored = scored.groupBy(claim, *order).agg(F.round(F.sum("part"), 6).alias("score"))
     best = Window.partitionBy(claim).orderBy(F.desc("score"), *order)
     return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0)).select(claim, "rank", *order, "score")
