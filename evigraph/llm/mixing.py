@@ -19,6 +19,7 @@ through; names that begin with ``_mix`` are the operator's.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,13 +71,13 @@ def budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, float],
         known = known.withColumn(f"_mix_w{i}", _weight(levels[: i + 1], weights))
     usable = F.greatest(F.lit(0.0), F.least(*[F.col(f"_mix_w{i}") for i in range(len(levels))])) > 0 if len(levels) > 1 else F.col("_mix_w0") > 0
     known = known.withColumn("_mix_limit", F.when(usable, F.col("_mix_total").cast("double") * max_epochs).otherwise(F.lit(0.0)))
-    total = leaves.agg(F.coalesce(F.sum("_mix_total"), F.lit(0)).cast("double").alias("_mix_all"))
-    asked = F.lit(float(budget)) if budget is not None else F.floor(F.col("_mix_all") * F.lit(float(share))).cast("double")
-    above = total.select(asked.alias("_mix_budget"))
+    if budget is None:  # one number
+        budget = math.floor(float(leaves.agg(F.coalesce(F.sum("_mix_total"), F.lit(0))).first()[0]) * float(share))
+    above = None
     for i, name in enumerate(levels):
         parents = levels[:i]
         nodes = known.groupBy(*parents, name).agg(F.sum("_mix_limit").alias("_mix_limit"), F.first(f"_mix_w{i}").alias("_mix_weight"))
-        nodes = nodes.join(above, parents) if parents else nodes.crossJoin(above)  # one row
+        nodes = nodes.join(above, parents) if parents else nodes.withColumn("_mix_budget", F.lit(float(budget)))
         above = _share(nodes, parents, name).select(*parents, name, F.col("_mix_share").alias("_mix_budget"))
     return leaves.join(above, levels).withColumn("_mix_take", F.floor(F.col("_mix_budget") + F.lit(1e-6)).cast("long")).drop("_mix_budget")
 
@@ -136,9 +137,9 @@ def counted(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 def with_text(mixed: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``df`` as often as the mixture took them; of a document taken in part the first words,
     joined by single blanks."""
-    taken = mixed.select(F.col(key).alias("_mix_key"), "text_hash", "n_tokens", "taken_tokens")
-    same = F.col(key).eqNullSafe(F.col("_mix_key")) & (F.xxhash64(F.col(text)) == F.col("text_hash"))
+    taken = mixed.select(F.col(key).alias("_mix_key"), *[F.col(c).alias("_mix_" + c) for c in ("text_hash", "n_tokens", "taken_tokens")])
+    same = F.col(key).eqNullSafe(F.col("_mix_key")) & (F.xxhash64(F.col(text)) == F.col("_mix_text_hash"))
     rows = df.join(taken, same)
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("taken_tokens").cast("int")), " ")
-    cut = F.when(F.col("taken_tokens") < F.col("n_tokens"), first).otherwise(F.col(text))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_mix_taken_tokens").cast("int")), " ")
+    cut = F.when(F.col("_mix_taken_tokens") < F.col("_mix_n_tokens"), first).otherwise(F.col(text))
     return rows.select(*[cut.alias(c) if c == text else F.col(c) for c in df.columns])
