@@ -12,8 +12,8 @@ last of them in part.  The running sum over an epoch is taken in two steps, over
 within the one range where the prefix ends, so that a hot source is never one task.
 
 Rows: a null level is a node of its own (named by the empty string); null text and key are read as empty, null tokens as none;
-documents without tokens are never taken; nodes of weight 0 get nothing; repeated rows are documents of
-their own (equal ones in any order); an empty table or budget gives an empty result.  Columns of the input pass
+documents without tokens are never taken; nodes of weight 0 get nothing; rows that repeat key and text
+are one document; an empty table or budget gives an empty result.  Columns of the input pass
 through; names that begin with ``_mix`` are the operator's.
 """
 
@@ -130,16 +130,18 @@ def mix(
 
 
 def counted(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The slim table of a corpus: the columns ``keep``, ``n_tokens`` and ``text_hash``; texts are read once."""
-    return stage(df.select(*keep, words(F.col(text)).alias("n_tokens"), F.xxhash64(F.col(text)).alias("text_hash")), "counted")
+    """The slim table of a corpus: the columns ``keep``, ``n_tokens`` and ``text_hash``; texts are read once.
+    Rows that are equal in all of these are one document."""
+    slim = df.select(*keep, words(F.col(text)).alias("n_tokens"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return stage(slim.distinct(), "counted")
 
 
 def with_text(mixed: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` as often as the mixture took them; of a document taken in part the first words,
-    joined by single blanks."""
+    """Rows of ``df`` as often as the mixture took them (rows that repeat key and text are one); of a document
+    taken in part the first words, joined by single blanks."""
     taken = mixed.select(F.col(key).alias("_mix_key"), *[F.col(c).alias("_mix_" + c) for c in ("text_hash", "n_tokens", "taken_tokens")])
-    same = F.col(key).eqNullSafe(F.col("_mix_key")) & (F.xxhash64(F.col(text)) == F.col("_mix_text_hash"))
-    rows = df.join(taken, same)
+    same = F.col(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_same") == F.col("_mix_text_hash"))
+    rows = df.withColumn("_mix_same", F.xxhash64(F.col(text))).dropDuplicates([key, "_mix_same"]).join(taken, same)
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_mix_taken_tokens").cast("int")), " ")
     cut = F.when(F.col("_mix_taken_tokens") < F.col("_mix_n_tokens"), first).otherwise(F.col(text))
     return rows.select(*[cut.alias(c) if c == text else F.col(c) for c in df.columns])
