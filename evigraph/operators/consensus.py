@@ -58,7 +58,7 @@ def best_source(chapters: DataFrame, book: str = "book") -> DataFrame:
     """(book, src, n): the longest list, the first source on ties."""
     sizes = chapters.groupBy(book, "src").agg(F.count("*").alias("n"))
     k = F.row_number().over(Window.partitionBy(book).orderBy(F.desc("n"), "src"))
-    return sizes.withColumn("k", k).where("k = 1").drop("k")
+    return sizes.withColumn("_k", k).where("_k = 1").drop("_k")
 
 
 def reliable(confidence_, agreed):

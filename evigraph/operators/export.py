@@ -36,7 +36,7 @@ def two_sources(mentions: DataFrame, relations: DataFrame, first: str, second: s
     if cut is not None:
         ranked = held.where(F.col("source_id") == cut).join(degrees(relations, mentions), "name", "left")
         k = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "name"))
-        top = ranked.withColumn("k", k).where(F.col("k") <= most).select("source_id", "name")
+        top = ranked.withColumn("_k", k).where(F.col("_k") <= most).select("source_id", "name")
         kept = held.where(F.col("source_id") != cut).unionByName(top)
     cluster = F.when(F.max("n") > 1, 2).when(F.min("source_id") == first, 0).otherwise(1)
     return kept.join(sides, "name").groupBy("name").agg(cluster.alias("cluster"))

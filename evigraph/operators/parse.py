@@ -46,13 +46,13 @@ def entities(df: DataFrame, keys: list[str], raw: str = "raw", types: list[str]
         F.coalesce(F.col("e.description"), F.lit("")).alias("description"), _confidence(F.col("e.confidence")).alias("confidence"),
     )
     k = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-    return rows.withColumn("k", k).where(F.col("k") <= most).drop("k")
+    return rows.withColumn("_k", k).where(F.col("_k") <= most).drop("_k")
 
 
 def dedupe_entities(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     """Of the entities of one name (any case) in a scope the one of highest confidence, the first on ties."""
     best = Window.partitionBy(*scope, F.lower("name")).orderBy(F.desc("confidence"), *order)
-    return rows.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
 def triples(df: DataFrame, known: DataFrame, keys: list[str], scope: list[str], raw: str = "raw", podcast: bool = False) -> DataFrame:
@@ -76,7 +76,7 @@ def triples(df: DataFrame, known: DataFrame, keys: list[str], scope: list[str],
 
 def dedupe_triples(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     best = Window.partitionBy(*scope, F.lower("subject"), "predicate", F.lower("object")).orderBy(F.desc("confidence"), *order)
-    return rows.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
 def indexed_batch(text: Column, expected: Column) -> Column:

@@ -44,7 +44,7 @@ def counts(state: DataFrame, *columns: str) -> DataFrame:
 def unregistered(feed: DataFrame, registry: DataFrame, keys: list[str], per: str, order: list, most: int) -> DataFrame:
     """Feed rows that the registry lacks: of each ``per`` the first ``most`` in feed order."""
     new = feed.join(registry.select(*keys).distinct(), keys, "left_anti")
-    return new.withColumn("k", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("k") <= most).drop("k")
+    return new.withColumn("_k", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
 
 
 def failure_kind(log):

@@ -77,7 +77,7 @@ def best_sections(claims: DataFrame, sections: DataFrame, claim: str = "claim_id
     asked = asked.select(claim, "size", F.explode("tokens").alias("token"))
     scored = held.join(asked, "token").groupBy(claim, "doc_id", "section").agg((F.count("*") / F.first("size")).alias("score"))
     first = Window.partitionBy(claim, "doc_id").orderBy(F.desc("score"), "section")
-    return scored.withColumn("k", F.row_number().over(first)).where((F.col("k") == 1) & (F.col("score") >= least)).drop("k")
+    return scored.withColumn("_k", F.row_number().over(first)).where((F.col("_k") == 1) & (F.col("score") >= least)).drop("_k")
 
 
 def keep_rewrite(old: Column, new: Column) -> Column:

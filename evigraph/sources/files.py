@@ -12,8 +12,8 @@ TEXT_ENDINGS = "*.{txt,md,rst,TXT,MD,RST}"
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(source, text): every text file of a folder tree, one row each."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", TEXT_ENDINGS)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=TEXT_ENDINGS)
+    return found.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
 def ordered_sources(texts: DataFrame) -> DataFrame:
