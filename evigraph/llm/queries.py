@@ -50,7 +50,7 @@ _OP1_LEVEL = """
 OP1_SQL = (
     f"""WITH docs AS (SELECT doc_id, text, lang, source,
   'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 4) AS domain,
-  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS t FROM documents),
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS t FROM (SELECT DISTINCT doc_id, text, lang, source FROM documents)),
 leaf AS (SELECT domain, coalesce(lang, '') AS la, coalesce(source, '') AS so, sum(t)::DOUBLE AS total, sum(t)::DOUBLE * {MIX_EPOCHS} AS lim FROM docs WHERE t > 0 GROUP BY ALL),
 a_n AS (SELECT domain, sum(lim) AS lim, CASE domain WHEN 'd0' THEN 4.0::DOUBLE WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS w,
   (SELECT floor(sum(total) * {MIX_SHARE}::DOUBLE) FROM leaf) AS b FROM leaf GROUP BY domain),"""
