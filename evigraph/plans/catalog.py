@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import chunks, text
@@ -386,7 +386,7 @@ def digest_nodes(spark, sf_dir):
 
 def _names(spark, sf_dir):
     """Part names with variants: bracketed, capitalised, acronyms."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 2000").select("p_partkey", "p_name", "p_type")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     title = F.initcap("p_name")
     initials = F.upper(F.concat(F.substring("p_name", 1, 1), F.substring(F.substring_index("p_name", " ", -1), 1, 1), F.substring("p_type", 1, 1)))
     name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.col("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")"))).when(F.col("p_partkey") % 4 == 1, title).when(F.col("p_partkey") % 4 == 2, F.concat(title, F.lit(" ("), initials, F.lit(")"))).otherwise(initials)
@@ -394,7 +394,7 @@ def _names(spark, sf_dir):
 
 
 _NAMES = """names AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name || ' (' || p_type || ')' WHEN 1 THEN t WHEN 2 THEN t || ' (' || i || ')' ELSE i END AS name FROM
- (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS t, upper(p_name[1:1] || string_split(p_name, ' ')[-1][1:1] || p_type[1:1]) AS i FROM part WHERE p_partkey < 2000))"""
+ (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS t, upper(p_name[1:1] || string_split(p_name, ' ')[-1][1:1] || p_type[1:1]) AS i FROM part))"""
 _PICK = "arg_min(name, (CASE WHEN regexp_matches(name, '[(\\[]') THEN 0 WHEN regexp_matches(name, '^[A-Z]') THEN 1 ELSE 2 END, -length(name), name))"
 
 
@@ -428,13 +428,12 @@ def cosine_pairs(spark, sf_dir):
     return near.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part WHERE p_partkey < 500),
-t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(a), '[\\s\\-_/]+'), lambda x: length(x) > 2)) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b), '[\\s\\-_/]+'), lambda x: length(x) > 2)) AS y FROM p WHERE b IS NOT NULL)
+@query("""WITH t AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[\\s\\-_/]+'), lambda x: length(x) > 2)) AS x,
+  list_distinct(list_filter(regexp_split_to_array(lower(p_type || '-' || p_name || '/of ' || p_brand), '[\\s\\-_/]+'), lambda x: length(x) > 2)) AS y FROM part)
 SELECT p_partkey, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS jaccard FROM t""")
 def name_jaccard(spark, sf_dir):
-    # Two partitions-worth of names: the first 500 parts are the query's own list.
-    part = table(spark, sf_dir, "part").where("p_partkey < 500").withColumn("next", F.lead("p_name").over(Window.orderBy("p_partkey")))
-    return part.where("next is not null").select("p_partkey", text.jaccard(text.name_tokens(F.col("p_name")), text.name_tokens(F.col("next"))).alias("jaccard"))
+    long = F.concat("p_type", F.lit("-"), "p_name", F.lit("/of "), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", text.jaccard(text.name_tokens(F.col("p_name")), text.name_tokens(long)).alias("jaccard"))
 
 
 @query("""SELECT p_partkey, CASE WHEN q = t THEN 1.0 WHEN starts_with(t, q || ' ') AND NOT regexp_matches(t[length(q) + 2:], '^[0-9]') THEN 0.85 ELSE round(len(list_intersect(string_split(q, ' '), string_split(t, ' ')))::DOUBLE / greatest(len(string_split(q, ' ')), len(string_split(t, ' '))), 3) END::DOUBLE AS confidence
@@ -447,9 +446,11 @@ def title_confidence(spark, sf_dir):
 
 @query()
 def closest_names(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    known = part.where("p_partkey < 20").groupBy(F.col("p_name").alias("canonical")).agg(F.min("p_partkey").alias("ord"))
-    return normalize.closest(part.select(F.col("p_name").alias("name")).distinct(), known)
+    """Market segments with their last letter lost find the segment again."""
+    customer = table(spark, sf_dir, "customer")
+    known = customer.groupBy(F.col("c_mktsegment").alias("canonical")).agg(F.min("c_custkey").alias("ord"))
+    heard = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.expr("substring(c_mktsegment, 1, length(c_mktsegment) - 1)"))
+    return normalize.closest(customer.select("c_custkey", heard.alias("name")), known)
 
 
 # --- Registry and feeds -------------------------------------------------------------------------------------
@@ -660,6 +661,6 @@ def consensus_unnumbered(spark, sf_dir):
 
 @query()
 def report_markdown(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("claim"), F.array(F.substring("text", 61, 300)).alias("evidence"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("claim"), F.filter(F.split("text", "\n"), lambda x, i: i > 0).alias("evidence"))
     judged = _verdicts(spark, sf_dir).select("doc_id", "verdict").join(docs, "doc_id").withColumn("claim_no", F.col("doc_id"))
     return export.report(judged, ["source"])
