@@ -186,3 +186,69 @@ def attach_captions(blocks: DataFrame, doc: str = "doc", reach: int = 5) -> Data
 
     return blocks.groupBy(doc).applyInPandas(fold, f"`{doc}` {blocks.schema[doc].dataType.simpleString()}, figure int, caption int")
 
+
+
+AFFILIATION = r"(?i)(@|\.edu|\.com|\buniversit|\binstitut|\bgoogle\b|\bmicrosoft\b|\bdeepmind\b|\bresearch\b|\blaborator|\bcollege\b|\bacadem|\binc\b|\bllc\b)"
+SECTION_NUMBER = r"^(\d+(?:\.\d+)*)\.?\s+.+$"
+
+
+def joined_lines(text: Column) -> Column:
+    """Words that were broken at line ends joined, single line ends to blanks, paragraph breaks kept."""
+    whole = F.regexp_replace(text, r"(?U)(\w)[\x{00ad}-]\n(\w)", "$1$2")
+    return F.trim(F.regexp_replace(F.regexp_replace(whole, r"[ \t]*(?<!\n)\n(?!\n)[ \t]*", " "), r"[ \t]{2,}", " "))
+
+
+def heading_level(text: Column, size: Column, bold: Column, body: Column, ratio: float = 1.08) -> Column:
+    """Level of a heading by number, size or weight; null for other text."""
+    plain = strip(text)
+    number = F.regexp_extract(plain, SECTION_NUMBER, 1)
+    words = F.size(F.split(plain, r"(?U)\s+"))
+    short = (words <= 12) & ~F.substring(plain, -1, 1).isin(list(TERMINAL))
+    level = (
+        F.when((number != "") & (F.length(plain) <= 120), F.size(F.split(number, r"\.")))
+        .when((size >= body * ratio) & short, F.when(size >= body * 1.5, 1).otherwise(2))
+        .when(bold & short & (words <= 10), 2)
+    )
+    return F.when((plain != "") & ~F.contains(plain, F.lit("\n\n")), level)
+
+
+def segmented(blocks: DataFrame, sizes: DataFrame, skip_references: bool = True, least: int = 3) -> DataFrame:
+    """Blocks (doc, pos, page, kind, x0, x1, text, font_size, bold) as typed blocks with level and label.
+
+    sizes: (doc, size), the body size.  What comes after the references' heading and which headings an abstract stands
+    under are running values over a document's blocks."""
+    known = blocks.join(sizes, "doc").withColumn("text", joined_lines(F.coalesce("text", F.lit("")))).withColumn("_level", heading_level(F.col("text"), F.col("font_size"), F.col("bold"), F.col("size")))
+    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_text = F.col("kind") == "text"
+    refs_head = is_text & F.col("text").rlike(r"(?i)^(references|bibliography|参考文献)\s*$")
+    abstract_head = F.col("text").rlike(r"(?i)^abstract\s*$")
+    author = (F.col("page") == 1) & (F.col("_level").isNotNull() | F.contains("text", F.lit("@"))) & F.col("text").rlike(AFFILIATION) & ~F.col("text").rlike(SECTION_NUMBER) & ~abstract_head
+    known = known.withColumn("_head", refs_head).withColumn("_author", is_text & author)
+    known = known.withColumn("_refs", F.max(F.col("_head").cast("int")).over(before) == 1)
+    heading = is_text & F.col("_level").isNotNull() & ~F.col("_author") & ~F.col("_head")
+    known = known.withColumn("_abstract", F.coalesce(F.last(F.when(heading, abstract_head), ignorenulls=True).over(before), F.lit(False)))
+    known = known.withColumn("label", F.when(is_text, caption_label(F.col("text"))).otherwise(""))
+    kind = (
+        F.when(F.col("kind") == "table", "table").when(F.col("kind") == "image", "figure").when(F.col("_head"), "heading").when(F.col("_refs"), "reference")
+        .when(F.col("_author"), "paragraph").when(heading, "heading").when(F.col("label") != "", "caption").when(F.col("_abstract"), "abstract").otherwise("paragraph")
+    )
+    level = F.when(F.col("_head"), 1).when(kind == "heading", F.col("_level"))
+    small = (F.col("kind") == "image") & (F.col("x1") - F.col("x0") < 24) | is_text & (F.length("text") == 0)
+    short = is_text & (F.length("text") < least) & kind.isin("paragraph", "abstract")
+    kept = known.where(~small & ~short)
+    if skip_references:
+        kept = kept.where(~F.col("_refs"))
+    return kept.select("doc", "pos", "page", kind.alias("type"), level.alias("level"), "text", "label", (F.col("_author") | F.col("_refs")).alias("skip_translate"))
+
+
+def numbered_blocks(blocks: DataFrame, doc: str = "doc", order: str = "pos") -> DataFrame:
+    """With ``id``: b0001 and so on in reading order."""
+    return blocks.withColumn("id", F.format_string("b%04d", F.row_number().over(Window.partitionBy(doc).orderBy(order))))
+
+
+def diagnostics(blocks: DataFrame, doc: str = "doc", order: str = "pos") -> DataFrame:
+    """(doc, type counts, dangling): blocks by type, and paragraphs without an end before something that is no paragraph."""
+    following = F.lead("type").over(Window.partitionBy(doc).orderBy(order))
+    open_ = (F.col("type") == "paragraph") & ~F.substring(F.rtrim("text"), -1, 1).isin(list(TERMINAL)) & following.isin("heading", "figure", "table", "caption")
+    kinds = ["title", "heading", "paragraph", "abstract", "figure", "table", "caption", "reference"]
+    return blocks.withColumn("_open", F.coalesce(open_, F.lit(False))).groupBy(doc).agg(*[F.count_if(F.col("type") == t).alias(t) for t in kinds], F.count_if("_open").alias("dangling"))

@@ -62,3 +62,31 @@ def failure_kind(log):
             hit = hit | low.contains(w)
         kind = kind.when(hit, F.lit(name))
     return kind.otherwise(F.lit("unknown"))
+
+
+def drain(state: DataFrame, most: int, least_seconds: int = 3600) -> DataFrame:
+    """The first ``most`` pending items (added_at, duration): too short ones fail, those without a duration pass."""
+    first = state.where("status = 'pending'").orderBy("added_at").limit(most)
+    short = F.col("duration") < least_seconds
+    error = F.when(short, F.concat(F.lit("short_video:"), F.col("duration").cast("string"), F.lit("s")))
+    return first.withColumn("error", error).withColumn("status", F.when(short, "failed").otherwise("processing"))
+
+
+def unpublished(runs: DataFrame, published: DataFrame) -> DataFrame:
+    """(id, run): of each id that is not published the latest run that holds something."""
+    latest = runs.where("n_files > 0").groupBy("id").agg(F.max("run").alias("run"))
+    return latest.join(published.select("id"), "id", "left_anti")
+
+
+def decision(score, answer):
+    """struct(action, reason): redo below 70 unasked; else the model's action if it is one; without an answer publish from 88 on."""
+    body = F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), "action string, reason string")
+    action = F.when(body["action"].isin("publish", "review", "redo"), body["action"]).otherwise(F.lit("review"))
+    failed = F.when(score >= 88, F.lit("publish")).otherwise(F.lit("review"))
+    chosen = F.when(score < 70, F.lit("redo")).when(answer.isNull(), failed).otherwise(action)
+    return F.struct(chosen.alias("action"), F.coalesce(F.when((score >= 70) & answer.isNotNull(), body["reason"]), F.lit("")).alias("reason"))
+
+
+def added(after: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """What is there after and was not before, in order."""
+    return after.select(key).distinct().join(before.select(key), key, "left_anti").orderBy(key)
