@@ -179,6 +179,26 @@ def train(
     return Model(table, softmax, bias)
 
 
+def calibrated(texts: list[str | None], labels: np.ndarray, **options) -> Model:
+    """Train on four fifths of the rows and move the bias so that a score of 0.5 gives the best F1 on the fifth
+    that was not trained on (every fifth row of each label).  Too few rows for that are all trained on."""
+    labels = np.asarray(labels, dtype=np.int64)
+    place = np.zeros(len(labels), dtype=np.int64)
+    for y in (0, 1):
+        place[labels == y] = np.arange((labels == y).sum())
+    held = place % 5 == 4
+    if min(np.bincount(labels[held], minlength=2)) < 5:
+        return train(texts, labels, **options)
+    model = train([t for t, h in zip(texts, held, strict=True) if not h], labels[~held], **options)
+    p = np.clip(model.scores([t for t, h in zip(texts, held, strict=True) if h]), 1e-12, 1 - 1e-12)
+    order = np.argsort(-p)
+    logit, hit = np.log(p / (1 - p))[order], labels[held][order]
+    f1 = 2 * np.cumsum(hit) / (np.arange(1, len(hit) + 1) + hit.sum())
+    best = int(f1.argmax())
+    model.bias[1] -= (logit[best] + logit[min(best + 1, len(logit) - 1)]) / 2
+    return model
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = 3600, **options
 ) -> Model:
@@ -192,7 +212,7 @@ def fit(
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(11), "_k"), F.lit(1 << 20)) < limit)
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     sample = texts.join(F.broadcast(drawn), "_k").toPandas().sort_values("_k", kind="stable")
-    return train(list(sample["_t"].where(sample["_t"].notna(), None)), sample["_y"].to_numpy(dtype=np.int64), **options)
+    return calibrated(list(sample["_t"].where(sample["_t"].notna(), None)), sample["_y"].to_numpy(dtype=np.int64), **options)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
