@@ -143,6 +143,36 @@ def test_lattice_near_duplicates(spark, block, monkeypatch):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_lattice_recall_of_every_shape():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    found = []
+    for rows in (1000, 10_000_000, 1_000_000_000):
+        x, y = (lattice.cells(v, *lattice.shape(rows)) for v in (a, b))
+        found.append(((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).any(axis=1).mean())
+    assert min(found) == found[0] >= 0.99, found
+
+
+@pytest.mark.parametrize("size", [10_000_000, 1_000_000_000])
+def test_lattice_shapes_of_large_tables(spark, size, monkeypatch):
+    large = lattice.shape(size)
+    monkeypatch.setattr(lattice, "shape", lambda rows: large)
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(20):
+        v = rng.normal(size=64)
+        v /= np.linalg.norm(v)
+        for _ in range(4):
+            w = rng.normal(size=64)
+            w -= (w @ v) * v
+            rows.append((len(rows), (v + w / np.linalg.norm(w) * 0.27).tolist(), 1))  # two of a group are near cosine 0.93
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in lattice.near_duplicates(df).collect()) == brute_cosine(rows)
+
+
 def texture(rng, side=96):
     x = rng.normal(size=(1, side, side))
     x = image_copies._box(image_copies._box(x, 2), 1)[0]
