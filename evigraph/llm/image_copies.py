@@ -2,10 +2,11 @@
 
 Images are binary columns in portable grey-map form (``P5``, 8 bits).  Of each image, at several scales, the strongest
 corners (of the structure tensor) are described by 256 comparisons of smoothed pixels, turned by the patch's
-orientation (its intensity centroid).  A descriptor's eight 32-bit parts are keys of eight tables; images
-that share a key of a table become candidates of the list's first image, so that a list yields no more
-candidates than it has entries.  Candidates that share enough corners are verified by geometric
-consensus: the matches (mutually nearest by Hamming distance) must agree on one scale, turn and shift.
+orientation (its intensity centroid).  A descriptor's eight 32-bit parts are keys of eight tables; every two
+images of a key's list share its corner.  Long lists are cut into blocks, and each pair of blocks is a row
+group of its own.  All pairs that share enough corners are verified by geometric consensus: the
+matches (mutually nearest by Hamming distance) must agree on one scale, turn and shift.  The pairs of a
+key that many images hold are many; none is passed over.
 
 The corners per image are part of the descriptor (``CORNERS`` a scale).  Equal images are one node.
 
@@ -34,6 +35,8 @@ TURNS = 36
 BITS, PARTS = 256, 8
 #: Shared corners that make a candidate, Hamming distance of a match, agreeing matches that make a link.
 SHARED, NEAR, AGREE = 3, 56, 6
+#: Images in a block of a key's list; pairs that a task makes at a time.
+LIST_BLOCK, PAIRS = 512, 1 << 20
 _RECORD = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", BITS // 8)])
 
 
@@ -179,24 +182,43 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, corner)], names=["key", "node", "corner"])
 
 
+def _pairs(group: np.ndarray, node: np.ndarray, corner: np.ndarray, own: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b, corner of b) of every two entries of a group that are of different images and, where two blocks meet, of
+    different blocks."""
+    index = np.arange(len(group))
+    last = np.append(np.flatnonzero(np.diff(group)), len(group) - 1)
+    after = last[np.searchsorted(last, index)] - index
+    total = np.cumsum(after)
+    at = 0
+    while at < len(index):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        n = after[at:end]
+        i = np.repeat(index[at:end], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        keep = (node[i] != node[j]) & (~cross[i] | (own[i] != own[j]))
+        i, j = i[keep], j[keep]
+        low = node[i] < node[j]
+        columns = (np.where(low, node[i], node[j]), np.where(low, node[j], node[i]), np.where(low, corner[j], corner[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "corner"])
+        at = end
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, corner) of lists in a partition sorted by key and node: each entry with the list's first image."""
-    key, first = None, 0
+    """(a, b, corner) of all pairs of the groups of a partition sorted by group; a group may span batches."""
+    rest: list[np.ndarray] | None = None
     for batch in batches:
-        keys, nodes, corner = (batch.column(i).to_numpy() for i in range(3))
-        if not len(keys):
-            continue
-        new = np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]])
-        starts = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        head = np.where(starts >= 0, nodes[np.maximum(starts, 0)], first)
-        key, first = keys[-1], head[-1]
-        keep = head != nodes
-        both = np.unique(np.stack([head[keep], nodes[keep], corner[keep]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["a", "b", "corner"])
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        rest = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        starts = np.flatnonzero(np.diff(rest[0])) + 1
+        if len(starts):
+            yield from _pairs(*[x[: starts[-1]] for x in rest])
+            rest = [x[starts[-1] :] for x in rest]
+    if rest is not None and len(rest[0]):
+        yield from _pairs(*rest)
 
 
 def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
-    """key, n_keypoints, n_verified (images it was compared to and found a copy of, equal ones included) and
+    """key, n_keypoints, n_verified (images that share enough corners and were found copies of it, equal ones included) and
     component_id (smallest key reachable by verified copies, itself included)."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(image).alias("image"))
 
@@ -210,15 +232,21 @@ def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") ->
     nodes = seen.where("node is not null").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("corners").alias("corners"))
     nodes = stage(nodes, "images")
     entries = nodes.select("node", "corners").mapInArrow(_keys, "key long, node long, corner long")
-    lists = entries.repartition(spread(df), "key").sortWithinPartitions("key", "node")
-    shared = lists.mapInArrow(_candidates, "a long, b long, corner long").groupBy("a", "b").agg(F.count_distinct("corner").alias("n"))
+    blocks = F.ceil(F.col("n") / LIST_BLOCK).cast("int")
+    lists = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", blocks.alias("blocks"))
+    met = entries.join(lists, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
+    met = met.select(group, "node", "corner", "own", (F.col("own") != F.col("other")).alias("cross"))
+    shared = met.repartition(spread(df), "group").sortWithinPartitions("group").mapInArrow(_candidates, "a long, b long, corner long").groupBy("a", "b").agg(F.count_distinct("corner").alias("n"))
     left = nodes.select(F.col("node").alias("a"), F.col("corners").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("corners").alias("y"))
     pairs = shared.where(F.col("n") >= SHARED).select("a", "b").join(left, "a").join(right, "b")
 
     @F.pandas_udf("int")
     def agree(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([agreeing(x, y) for x, y in zip(xs, ys, strict=True)])
+        # Either image's own places may propose the map: a link must not hang on which comes first.
+        return pd.Series([min(agreeing(x, y), agreeing(y, x)) for x, y in zip(xs, ys, strict=True)])
 
     links = stage(pairs.select("a", "b", agree("x", "y").alias("n")).where(F.col("n") >= AGREE).select("a", "b").distinct(), "copies")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -200,6 +200,25 @@ def test_image_copies(spark):
     assert image_copies.image_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_image_copies_compares_all_that_share_keys(spark, block, monkeypatch):
+    monkeypatch.setattr(image_copies, "LIST_BLOCK", block, raising=False)
+    rng = np.random.default_rng(5)
+    mark = texture(rng)[:40]  # hot keys: all images bear it
+    rows = []
+    for _ in range(6):
+        x = texture(rng).astype(float)
+        x[:40] = mark
+        rows += [(len(rows) + i, image_copies.write_pgm(np.clip(x + rng.normal(0, 6, x.shape), 0, 255))) for i in range(3)]
+    seen = [np.frombuffer(d, dtype=image_copies._RECORD) for d in image_copies.describe([r[1] for r in rows])]
+    parts = [np.ascontiguousarray(s["bits"]).view("<u4") for s in seen]
+    shared = lambda i, j: min(sum(any(row[p] in y[:, p] for p in range(8)) for row in x) for x, y in ((parts[i], parts[j]), (parts[j], parts[i])))
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if shared(i, j) >= image_copies.SHARED and image_copies.agreeing(seen[i].tobytes(), seen[j].tobytes()) >= image_copies.AGREE]
+    got = {r.image_id: r for r in image_copies.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    label = groups_of(edges, range(len(rows)))
+    assert all(got[i].n_verified >= sum(i in e for e in edges) and label[got[i].component_id] == label[i] for i in range(len(rows)))
+
+
 def brute_shares(budget, nodes):
     """Shares of siblings [(weight, limit)]: the level is found by repetition."""
     live, given = [i for i, (w, _) in enumerate(nodes) if w > 0], [0.0] * len(nodes)
