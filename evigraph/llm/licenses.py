@@ -1,8 +1,7 @@
 """License scans (operator 9); DataFrame functions only.
 
 Every line of every whole text is compared to license templates by the cosine of sparse TF-IDF vectors.  Document
-frequencies of the templates' words are counted over all documents; other words weigh as if no document
-had them.  A line can reach the threshold only with one of a template's heaviest words (those without which the
+frequencies are counted over all documents, for the templates' words and for those of the lines compared.  A line can reach the threshold only with one of a template's heaviest words (those without which the
 template's own weight falls below it), so lines without any are passed over before they are cut into
 words; this loses nothing.
 
@@ -43,8 +42,8 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _template_weights(df: DataFrame, text: str, templates: Mapping[str, str]) -> tuple[dict[str, dict[str, float]], float]:
-    """Unit TF-IDF vectors of the templates (with ``idf`` under the empty name), and the weight of other words.
+def _template_weights(df: DataFrame, text: str, templates: Mapping[str, str]) -> tuple[dict[str, dict[str, float]], int]:
+    """Unit TF-IDF vectors of the templates (with ``idf`` under the empty name), and the number of documents.
     What is gathered is one number for each template word."""
     spark = df.sparkSession
     rows = spark.createDataFrame(sorted(templates.items()), "name string, notice string")
@@ -60,7 +59,7 @@ def _template_weights(df: DataFrame, text: str, templates: Mapping[str, str]) ->
     for v in vectors.values():
         norm = math.sqrt(sum(x * x for x in v.values()))
         v.update({w: x / norm for w, x in v.items()})
-    return vectors | {"": idf}, math.log(n + 1) + 1
+    return vectors | {"": idf}, n
 
 
 def _needed(vectors: Mapping[str, Mapping[str, float]], threshold: float) -> set[str]:
@@ -79,7 +78,7 @@ def _needed(vectors: Mapping[str, Mapping[str, float]], threshold: float) -> set
 
 def license_lines(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.75) -> DataFrame:
     """key, line_no, license, score: lines at or above the threshold with their best template."""
-    vectors, other = _template_weights(df, text, templates)
+    vectors, n = _template_weights(df, text, templates)
     idf = vectors.pop("")
     held = "|".join(w.replace(".", r"\.") for w in sorted(_needed(vectors, threshold)))
     lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
@@ -87,7 +86,10 @@ def license_lines(df: DataFrame, key: str = "doc_id", text: str = "text", templa
     words = lines.select("key", "line_no", F.hash("line").alias("of"), F.explode(terms(F.col("line"))).alias("word"))
     counted = words.groupBy("key", "line_no", "of", "word").agg(F.count("*").cast("double").alias("tf"))
     weight = F.create_map(*[F.lit(x) for w, v in sorted(idf.items()) for x in (w, v)])
-    counted = counted.withColumn("w", F.col("tf") * F.coalesce(weight[F.col("word")], F.lit(other)))
+    others = counted.where(~F.col("word").isin(*idf)).select("word").distinct()
+    seen = df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("word")).join(others, "word", "left_semi")
+    seen = seen.groupBy("word").agg((F.log(F.lit(n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    counted = counted.join(seen, "word", "left").withColumn("w", F.col("tf") * F.coalesce(weight[F.col("word")], F.col("idf")))
     norms = [F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")]
     dots = []
     for i, (_, v) in enumerate(sorted(vectors.items())):

@@ -307,6 +307,15 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_notices_among_common_words(spark):
+    common = "this file is released under the see license for details"
+    rows = [(i, f"{common} {i}") for i in range(400)]
+    found = {1000: "This file is released under the MIT License.", 1001: "Released under the MIT License. See LICENSE for details."}
+    rows += [*found.items(), (1002, "zyx wvu tsr qpo nml kji mit license")]  # words that no other document has
+    got = {r.doc_id: r.license for r in licenses.license_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: "mit" for k in found}
+
+
 def test_queries_with_sql_equal_it(spark):
     from evigraph.llm import queries
 
