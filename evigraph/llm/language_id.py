@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm._store import spare
+
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 #: Characters whose n-grams are held at a time.
@@ -120,14 +122,15 @@ def fit(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     bits: int = 15, rows_per_lang: int = 4000, smooth: float = 0.5, tasks: int = 8,
 ) -> Model:
-    """Learn from about ``rows_per_lang`` rows of each language at most."""
+    """Learn from about ``rows_per_lang`` different rows of each language at most.  Rows that repeat key and text are
+    drawn once; nothing of the sample's texts goes to the driver, only the counts."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((1 << bits, 1), dtype=np.float32), np.zeros(1))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows_per_lang / n))])
-    drawn = F.pmod(F.xxhash64(F.lit(5), "_k"), F.lit(1 << 20)) < share[F.col("_lang")] * (1 << 20)
-    sample = rows.where(drawn).select("_lang", "_text").repartition(tasks)
+    drawn = F.pmod(F.xxhash64(F.lit(5), "_k", "_text"), F.lit(1 << 30)) < share[F.col("_lang")] * (1 << 30)
+    sample = rows.where(drawn).distinct().select("_lang", "_text").repartition(tasks)
     counted = sample.mapInPandas(lambda it: _count(it, bits), "_lang string, _bucket long, _n long")
     langs = sorted(sizes)
     counts = np.full((1 << bits, len(langs)), smooth)
@@ -139,7 +142,8 @@ def fit(
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``; one pass, no shuffle."""
+    """``df`` with ``lang_pred`` and ``score``; one pass, no shuffle.  The scoring is marked as not to be repeated, so
+    that a filter on its result does not make Spark score each text twice."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -148,5 +152,6 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             lang, p = shared.value.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang": lang, "score": p})
 
-    made = df.withColumn("_told", tell(F.col(text)))
-    return made.withColumn("lang_pred", F.col("_told.lang")).withColumn("score", F.col("_told.score")).drop("_told")
+    told = spare(df, "told")
+    made = df.withColumn(told, tell.asNondeterministic()(F.col(text)))
+    return made.withColumn("lang_pred", F.col(f"{told}.lang")).withColumn("score", F.col(f"{told}.score")).drop(told)

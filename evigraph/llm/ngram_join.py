@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm._store import spread, stage
+from evigraph.llm._worker import ENTRY, Memo, held
 from evigraph.llm.components import components
 
 #: Documents of which n-grams are counted together, and the least count that a batch reports.
@@ -46,9 +47,6 @@ BATCH, REPORT = 2000, 3
 FREQUENT = 200_000
 #: Sets in a block of a group, and entries in a block of a list.
 GROUP_BLOCK, LIST_BLOCK = 1024, 64
-#: Words whose hashes a worker keeps.
-MEMO_WORDS = 600_000
-_WORDS: dict[bytes, int] = {}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,17 +61,14 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, dtype=np.uint64)
+    known = held("words", Memo)
     try:
-        values = [_WORDS[w] for w in words]
+        values = [known[w] for w in words]
     except KeyError:
-        if len(_WORDS) > MEMO_WORDS:
-            _WORDS.clear()
-        values = []
-        for w in words:
-            h = _WORDS.get(w)
-            if h is None:
-                h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-            values.append(h)
+        new = {w: xxhash.xxh3_64_intdigest(w) for w in words if w not in known}
+        known.room(sum(map(len, new)) + ENTRY * len(new))
+        values = [known[w] if w in known else new[w] if w in new else xxhash.xxh3_64_intdigest(w) for w in words]
+        known.update(new)
     codes = np.array(values, dtype=np.uint64)
     size = min(n, len(codes))
     h = codes[: len(codes) - size + 1].copy()
@@ -181,8 +176,8 @@ def _alive(size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(pivot, node) of the lists of a sorted partition; a list may span batches."""
-    rest = [np.empty(0, dtype=np.int64)] * 3
+    """(pivot, node) of the lists of a sorted partition; a list may span batches, whose arrays are put together once."""
+    rest: list[list[np.ndarray]] = []
 
     def lists(key: np.ndarray, node: np.ndarray, shape: np.ndarray):
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]))
@@ -205,15 +200,18 @@ def _groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["pivot", "node"])
 
     for batch in batches:
-        key, node, shape = (np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest))
-        if not len(key):
+        part = [batch.column(i).to_numpy() for i in range(3)]
+        if not len(part[0]):
             continue
-        last = int(np.searchsorted(key, key[-1]))
-        rest = [key[last:], node[last:], shape[last:]]
-        if last:
-            yield from lists(key[:last], node[:last], shape[:last])
-    if len(rest[0]):
-        yield from lists(*rest)
+        last = int(np.searchsorted(part[0], part[0][-1]))
+        if last or (rest and rest[-1][0][-1] != part[0][0]):  # another list begins in this batch
+            whole = [*rest, [x[:last] for x in part]]
+            yield from lists(*(np.concatenate([x[i] for x in whole]) for i in range(3)))
+            rest = [[x[last:] for x in part]]
+        else:
+            rest.append(part)
+    if rest:
+        yield from lists(*(np.concatenate([x[i] for x in rest]) for i in range(3)))
 
 
 # --- Pass 4: exact comparison inside groups ----------------------------------------------------------------
@@ -303,7 +301,7 @@ def similarity_components(
     """key, n_shingles, component_id (smallest key reachable by links, itself included)."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    parts = spread(df)
+    parts = spread(docs)
     surveyed = stage(docs.mapInArrow(lambda it: _survey(it, n), "key long, n long, hash long, counted boolean"), "sets")
     sets = surveyed.where("not counted").select("key", "n", F.col("hash").alias("node"))
     top = surveyed.where("counted").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).toPandas()

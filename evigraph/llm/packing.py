@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evigraph.llm._store import spread, stage
+from evigraph.llm._worker import ENTRY, Memo, held
 from evigraph.llm.token_counts import byte_symbols
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,8 +48,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Borders between small and large lengths that are tried, as parts of the capacity.
 SHARES = (8, 4, 3, 2)
-#: Words whose ids a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 600_000
+#: Bytes of the words' ids that a worker keeps; beyond it the memo starts anew.
+MEMO_BYTES = 48 << 20
 
 
 class WordEncoder:
@@ -72,14 +73,13 @@ class WordEncoder:
         #: The same vocabulary for single words; it merges by rank as the library does, with less ado.
         self.words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._odd = re.compile(r"[\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]")
-        self.ids: dict[str, bytes | None] = {}
+        self.ids: dict[str, bytes | None] = Memo(MEMO_BYTES)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > MEMO_WORDS:
-            self.ids.clear()
+        self.ids.room(5 * sum(map(len, words)) + ENTRY * len(words))
         for w in words:
             first = w[:1] == self._FIRST
             body = w[1:] if first else w
@@ -108,14 +108,9 @@ class WordEncoder:
         return b"".join(map(self.ids.__getitem__, words))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(vocabulary: str = VOCABULARY) -> WordEncoder:
-    """The worker's encoder, made once a process."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordEncoder(public_tokenizers.path(vocabulary))
-    return _ENCODERS[vocabulary]
+    """The worker's encoder, made at first use."""
+    return held(f"encoder {vocabulary}", lambda: WordEncoder(public_tokenizers.path(vocabulary)))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

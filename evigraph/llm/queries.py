@@ -18,8 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _part(n: int):
-    """crc32 of the key's text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """crc32 of the key's text (empty for null), modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
 #: Target weights of the mixture: domains, languages within each, sources alike.

@@ -13,7 +13,8 @@ whose last symbol carries an end-of-word mark keep a second table for "the prefi
 
 Rows: null text counts as empty; empty text has an empty table and zero tokens; repeated rows are
 kept; an empty table gives an empty result; other columns pass through, and an input column with the
-name of a result column is replaced.
+name of a result column is replaced; a text that has no table in one byte a character (none with the given vocabulary)
+gets the library's count and a null table.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
+
+from evigraph.llm._store import spare
+from evigraph.llm._worker import ENTRY, Memo, held
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose tables a worker keeps; beyond it the memo starts anew (a bound on memory, not on texts).
-MEMO_WORDS = 700_000
+#: Bytes of the tables of words, of pieces and of pairs that a worker keeps, each; beyond it a memo starts anew.
+MEMO_BYTES = 24 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -49,6 +54,7 @@ class PrefixCounter:
     """Prefix tables for one vocabulary file with byte-level symbols and an end-of-word mark."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -75,9 +81,9 @@ class PrefixCounter:
             self.made_of.setdefault(pair[0] + pair[1], pair)
         self._edges: tuple[dict, dict] = ({}, {})
         self._wholes: dict[str, bool] = {}
-        self._follows: dict[tuple[str, str], bool] = {}
-        self._pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self._follows: dict[tuple[str, str], bool] = Memo(MEMO_BYTES)
+        self._pieces: dict[str, bytes] = Memo(MEMO_BYTES)
+        self.words: dict[str, bytes] = Memo(MEMO_BYTES)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Byte-pair merging of a short symbol list."""
@@ -121,8 +127,7 @@ class PrefixCounter:
         leftmost merge comes first."""
         got = self._follows.get((left, right))
         if got is None:
-            if len(self._follows) > 4 * MEMO_WORDS:
-                self._follows.clear()
+            self._follows.room(ENTRY)
             got = self._whole(right)
             if got and left:
                 rank, none = self.rank, float("inf")
@@ -170,8 +175,7 @@ class PrefixCounter:
         if max(steps) > 127 or min(steps) < -128:
             raise OverflowError("a prefix count changes by more than a signed byte holds")
         out = bytes([x & 255 for x in steps])
-        if len(self._pieces) > MEMO_WORDS:
-            self._pieces.clear()
+        self._pieces.room(2 * len(text) + ENTRY)
         self._pieces[text] = out
         return out
 
@@ -188,8 +192,7 @@ class PrefixCounter:
                 at = m.end()
             parts.append(b"\0" * (len(text) - at))
             out = b"".join(parts)
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
+        self.words.room(2 * len(text) + ENTRY)
         self.words[text] = out
         return out
 
@@ -223,6 +226,19 @@ class PrefixCounter:
         return b"".join(out)
 
 
+    def table(self, text: str | None) -> bytes | None:
+        """``deltas``, or None where a signed byte a character cannot hold them (with a vocabulary that leaves out bytes,
+        or tokens of more than 127 characters)."""
+        try:
+            return self.deltas(text)
+        except (ValueError, OverflowError):
+            return None
+
+    def plain_count(self, text: str) -> int:
+        """The library's own count, for texts without a table."""
+        return len(Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids)
+
+
 def count_at(deltas: bytes, n_chars: int | None = None) -> int:
     """Exact tokens of the first ``n_chars`` characters (all if None), from the stored table."""
     return int(np.frombuffer(deltas, dtype=np.int8)[:n_chars].sum(dtype=np.int64))
@@ -235,14 +251,9 @@ def longest_within(deltas: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(vocabulary: str = VOCABULARY) -> PrefixCounter:
-    """The worker's counter for a vocabulary, made once a process."""
-    if vocabulary not in _COUNTERS:
-        _COUNTERS[vocabulary] = PrefixCounter(public_tokenizers.path(vocabulary))
-    return _COUNTERS[vocabulary]
+    """The worker's counter for a vocabulary, made at first use."""
+    return held(f"counter {vocabulary}", lambda: PrefixCounter(public_tokenizers.path(vocabulary)))
 
 
 def prefix_token_counts(
@@ -261,12 +272,14 @@ def prefix_token_counts(
     def table(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = counter(vocabulary)
         for texts in batches:
-            deltas = [known.deltas(x) for x in texts]
-            out = {"n_tokens": np.array([count_at(d) for d in deltas], dtype=np.int64)}
+            deltas = [known.table(x) for x in texts]
+            counts = [known.plain_count(x) if d is None else count_at(d) for x, d in zip(texts, deltas, strict=True)]
+            out = {"n_tokens": np.array(counts, dtype=np.int64)}
             yield pd.DataFrame(out | ({"prefix_deltas": deltas} if keep_table else {}))
 
-    made = df.withColumn("_tokens", table(F.col(text)))
-    return made.withColumns({f.name: F.col(f"_tokens.{f.name}") for f in fields}).drop("_tokens")
+    made = spare(df, "tokens")
+    out = df.withColumn(made, table.asNondeterministic()(F.col(text)))
+    return out.withColumns({f.name: F.col(f"{made}.{f.name}") for f in fields}).drop(made)
 
 
 def truncate_to(df: DataFrame, budget: int, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

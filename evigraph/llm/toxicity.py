@@ -5,7 +5,7 @@ all from one hashed table; a text is the average of its words; a linear softmax
 the score.  Table and softmax are trained jointly in numpy.  A misspelling that was never seen shares most n-grams with
 the word it stands for, and so its vector.
 
-Training reads a bounded sample of labelled rows (``train_rows``, chosen by a hash of the key, a
+Training reads a bounded sample of labelled rows (``train_rows`` and ``train_bytes``, chosen by a hash of the key, a
 quarter of it at most from the label 1); scoring covers every whole text: since the softmax is linear, a word adds a
 fixed amount to the text's logit, which workers keep per word.
 
@@ -27,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm._worker import ENTRY, Memo
+
 _WORD = re.compile(r"[^\W_]+")
 ORDERS = (3, 4, 5)
 #: Zero words that each average takes in, so that a few words do not decide a short text by chance.
 PAD = 16
-#: Words whose amounts a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 1_000_000
+#: Bytes of the words' amounts that a worker keeps; beyond it the memo starts anew.
+MEMO_BYTES = 32 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,15 +93,14 @@ class Model:
     table: np.ndarray
     softmax: np.ndarray
     bias: np.ndarray
-    known: dict[str, tuple[float, int]] = field(default_factory=dict, repr=False)
+    known: Memo = field(default_factory=lambda: Memo(MEMO_BYTES), repr=False)  # (amount, words) of a token as one complex number
 
     def __getstate__(self):
-        return {"table": self.table, "softmax": self.softmax, "bias": self.bias, "known": {}}
+        return {"table": self.table, "softmax": self.softmax, "bias": self.bias, "known": Memo(MEMO_BYTES)}
 
     def learn(self, tokens: set[str]) -> None:
         """Amounts of tokens between blanks: the sum over their words, and how many words they hold."""
-        if len(self.known) + len(tokens) > MEMO_WORDS:
-            self.known.clear()
+        self.known.room(sum(map(len, tokens)) + ENTRY * len(tokens))
         tokens = list(tokens)
         split = [_WORD.findall(t) for t in tokens]
         words = list({w for ws in split for w in ws})
@@ -107,7 +108,7 @@ class Model:
         line = (self.table @ (self.softmax[1] - self.softmax[0])).astype(np.float32)[:, None]
         amount = dict(zip(words, _sums(line, features, starts)[:, 0].tolist(), strict=True))
         for t, ws in zip(tokens, split, strict=True):
-            self.known[t] = (sum(amount[w] for w in ws), len(ws))
+            self.known[t] = complex(sum(amount[w] for w in ws), len(ws))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of label 1 of each whole text."""
@@ -120,9 +121,8 @@ class Model:
                 if any(t not in self.known for tokens in split for t in tokens):  # the memo was emptied
                     self.learn({t for tokens in split for t in tokens})
             for i, tokens in enumerate(split, a):
-                got = [self.known[t] for t in tokens]
-                n = sum([x[1] for x in got])
-                out[i] = sum([x[0] for x in got]) / (n + PAD) + bias
+                got = sum(map(self.known.__getitem__, tokens), 0j)
+                out[i] = got.real / (got.imag + PAD) + bias
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
@@ -200,31 +200,43 @@ def calibrated(texts: list[str | None], labels: np.ndarray, **options) -> Model:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = 3600, **options
-) -> Model:
-    """Train on at most about ``train_rows`` labelled rows, a quarter of them of label 1 at most, drawn by key hash.
-
-    The draw reads ``labels`` alone; its bounded list of keys is broadcast to the documents."""
-    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
-    sizes = dict(rows.groupBy("_y").count().collect())
-    part = [min(1.0, train_rows * most / sizes[y]) if sizes.get(y) else 0.0 for y, most in ((0, 0.75), (1, 0.25))]
-    limit = F.when(F.col("_y") == 1, F.lit(part[1])).otherwise(F.lit(part[0])) * (1 << 20)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(11), "_k"), F.lit(1 << 20)) < limit)
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    sample = texts.join(F.broadcast(drawn), "_k").toPandas().sort_values("_k", kind="stable")
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = 3600,
+    train_bytes: int = 96 << 20, **options,
+) -> Model:
+    """Train on at most ``train_rows`` labelled keys, a quarter of them of label 1 at most, drawn by key hash.
+
+    The draw reads ``labels`` alone: equal rows count once, and a limit after the hash order bounds the list of keys, which is
+    broadcast to the documents.  Of the documents with a drawn key sizes and hashes are looked at first, equal texts of a key
+    once; those first in hash order are taken until ``train_bytes`` of text, and only their texts go to the driver."""
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null").distinct()
+    turn = F.xxhash64(F.lit(11), "_k")
+    drawn = [rows.where(F.col("_y") == y).orderBy(turn, "_k").limit(most) for y, most in ((0, train_rows - train_rows // 4), (1, train_rows // 4))]
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "_k")
+    shape = [F.coalesce(F.octet_length("_t"), F.lit(0)).alias("_n"), F.xxhash64("_t").alias("_h")]
+    found = texts.select("_k", "_y", *shape).distinct().orderBy(turn, "_k", "_y", "_h").limit(2 * train_rows).toPandas()
+    taken = found[found["_n"].cumsum() <= train_bytes]
+    chosen = docs.sparkSession.createDataFrame(taken[["_k", "_y", "_h"]], texts.select("_k", "_y", shape[1]).schema) if len(taken) else None
+    if chosen is None:
+        return calibrated([], np.array([], dtype=np.int64), **options)
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    sample = texts.join(F.broadcast(chosen), ["_k", "_h"]).select("_k", "_y", "_t", "_h").distinct().toPandas().sort_values(["_k", "_y", "_h"], kind="stable")
     return calibrated(list(sample["_t"].where(sample["_t"].notna(), None)), sample["_y"].to_numpy(dtype=np.int64), **options)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` with ``score`` (double, 0 to 1) and ``predicted`` (int: score at or over ``threshold``).
 
-    One pass, no shuffle; the broadcast model has a fixed size (buckets x dims)."""
+    One pass, no shuffle; the broadcast model has a fixed size (buckets x dims).  A filter on the score does not make
+    Spark score a text twice."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = shared.value
-        for texts in batches:
-            yield pd.Series(known.scores([t if isinstance(t, str) else None for t in texts]))
+        try:
+            for texts in batches:
+                yield pd.Series(known.scores([t if isinstance(t, str) else None for t in texts]))
+        finally:
+            known.known.clear()
 
-    return df.withColumn("score", rate(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return df.withColumn("score", rate.asNondeterministic()(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -4,7 +4,7 @@ Rules ``host/path-prefix`` with a verdict are matched by SQL functions; the long
 others are decided by boosted trees over length, depth, digit ratio, entropy, parameter counts and
 statistics of suffixes (how often labelled URLs with this top-level domain, this registered name, this
 first folder, this file ending are blocked).  Trees and statistics are trained in numpy from labelled
-URLs, a bounded sample of them (``train_rows``, drawn by hash); every URL is judged.
+URLs, a bounded sample of them (``train_rows``, first in hash order); every URL is judged.
 
 Rows: a null URL, or one without ``://``, has an empty host and path, fits no rule and is scored on what
 characters it has; without labelled URLs of both verdicts the verdict is the commoner one (allow if
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Longer URLs are judged, but not learned from.
+MOST_CHARS = 8192
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -168,11 +170,14 @@ def train(urls: list[str | None], blocked: np.ndarray, rounds: int = 40, rate: f
 
 
 def fit(labelled: DataFrame, url: str = "url", verdict: str = "verdict", train_rows: int = 20_000, **options) -> Trees:
-    """Train on about ``train_rows`` labelled rows (verdict ``block`` or ``allow``) at most."""
+    """Train on at most ``train_rows`` labelled rows (verdict ``block`` or ``allow``), those first in the order of a hash.
+    Equal rows count once, and a limit bounds what goes to the driver however often a URL is repeated."""
     rows = labelled.where(F.col(verdict).isin("block", "allow") & F.col(url).isNotNull()).select(F.col(url).alias("url"), (F.col(verdict) == "block").alias("blocked"))
-    n = rows.count()
-    part = min(1.0, train_rows / n) if n else 0.0
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(1 << 20)) < part * (1 << 20)).orderBy("url", "blocked").toPandas()
+    turn = F.xxhash64(F.lit(3), "url")
+    different = rows.agg(F.approx_count_distinct("url")).first()[0]
+    near = F.pmod(turn, F.lit(1 << 20)) <= (1 << 20) * min(1.0, 2 * train_rows / max(1, different))  # spares the others the exchange
+    turn = F.pmod(turn, F.lit(1 << 20))
+    sample = rows.where(near & (F.length("url") <= MOST_CHARS)).distinct().orderBy(turn, "url", "blocked").limit(train_rows).toPandas().sort_values(["url", "blocked"])
     return train(list(sample["url"]), sample["blocked"].to_numpy(dtype=float), **options)
 
 
@@ -190,6 +195,6 @@ def judge(df: DataFrame, rules: dict[str, str], model: Trees, url: str = "url",
         df.withColumn("host", host_of(F.col(url)))
         .withColumn("path", path_of(F.col(url)))
         .withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-        .withColumn("block_score", rate(F.col(url)))
+        .withColumn("block_score", rate.asNondeterministic()(F.col(url)))
         .withColumn("verdict", F.coalesce(verdict_of[F.col("rule")], F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))))
     )

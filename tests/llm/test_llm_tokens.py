@@ -78,7 +78,7 @@ def test_packing_ids_equal_the_library(byte_bpe):
 
 
 def test_memo_that_overflows_changes_nothing(byte_bpe, monkeypatch):
-    monkeypatch.setattr(packing, "MEMO_WORDS", 5)
+    monkeypatch.setattr(packing, "MEMO_BYTES", 1500)
     encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("one two three four five six seven", "eight nine ten one two", "one two three"):
         assert encoder.encode(text) == np.asarray(byte_bpe.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
