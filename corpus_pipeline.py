@@ -1,11 +1,14 @@
 """Corpus pipeline over ``documents``: five stages of the numbered operators.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
-documents.  All but the last return the columns of ``documents``.  Ids are taken to be unique.
+documents.  All but the last return the columns of ``documents``.
+
+Rows: ids may be null and may repeat.  Documents without a letter (null and empty texts among them) go in the first stage; of
+rows that repeat id and text one stays in the third.  An empty table gives an empty result.
 
 1. Language ID: documents without an identifiable language go; ``lang`` becomes the identified language.
 2. Toxicity: documents scored toxic go.
-3. n-gram Jaccard join: of each group of near-duplicates the document of the smallest id stays.
+3. n-gram Jaccard join: of each group of near-duplicates the document of the smallest id stays (null after all others).
 4. Mixing: documents are taken to the target weights, once each; of each leaf's last one the first words.
 5. Best-fit packing into sequences.
 """
@@ -41,9 +44,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.similarity_components(docs)
-    copies = found.where("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    row = F.xxhash64("doc_id", "text").alias("row")  # a row by its id and text: ids may repeat
+    found = ngram_join.similarity_components(docs.select(row, "text"), key="row").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stays = docs.select(row, "doc_id").join(found, "row").groupBy("component_id").agg(first).select("first.row")
+    return docs.select(row, *COLUMNS).join(stays, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
