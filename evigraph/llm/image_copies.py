@@ -1,16 +1,22 @@
 """Image copies by local descriptors (operator 4): cropped, rescaled or edited copies of grey images.
 
-Images are binary columns in portable grey-map form (``P5``, 8 bits).  Of each image, at several scales, the strongest
-corners (of the structure tensor) are described by 256 comparisons of smoothed pixels, turned by the patch's
-orientation (its intensity centroid).  A descriptor's eight 32-bit parts are keys of eight tables; every two
-images of a key's list share its corner.  Long lists are cut into blocks, and each pair of blocks is a row
-group of its own.  All pairs that share enough corners are verified by geometric consensus: the
-matches (mutually nearest by Hamming distance) must agree on one scale, turn and shift.  The pairs of a
-key that many images hold are many; none is passed over.
-
-The corners per image are part of the descriptor (``CORNERS`` a scale).  Equal images are one node.
-
-Rows: a null image, or one that can't be read or is too small for a patch, has no corners and is linked with nothing;
+Images are binary columns in portable grey-map form (``P5``, 8 bits).  On every level of a pyramid, in every cell of it, the
+strongest corners (of the structure tensor) are described by 256 comparisons of smoothed pixels, turned by the patch's
+orientation (its intensity centroid); large images have more cells, and so more corners.  Four 32-bit parts of a descriptor
+are keys of four tables (Hamming tables): in a key's list two corners are the same if a sketch of 64 of their bits differs by at
+most ``CLOSE``.  Two images that share ``SHARED`` corners are verified by geometric consensus: the matches (mutually nearest by
+Hamming distance) must agree on one scale, turn and shift, read in either direction.
+
+1. Groups are found through heads: of each list the members that are like its first image are paired with it, each image
+   goes with the head that shares most corners with it, and what is verified is joined.  Two such rounds, over two tables each
+   and with other heads, decide nothing but cost.
+2. Then all pairs of images of different components that share enough corners are verified, over all tables.  A list
+   within one component is done with; long lists are cut into blocks, and each pair of blocks is a row group of its own.
+   No such pair is passed over, so the components are those of all pairs.
+
+Equal images are one node.
+
+Rows: a null image, or one that can't be read or is too small for a patch, has no corners and is a component of its own;
 repeated ids are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,18 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._store import spread, stage
+from evigraph.llm._store import discard, spread, stage
 from evigraph.llm.components import components
 
-SCALES = (1.0, 0.75, 0.5)
-CORNERS = (20, 14, 8)
+#: Corners of a cell on the first three levels of the pyramid, and on the others; a cell's side in pixels of the level.
+CORNERS, FURTHER, CELL = (20, 14, 8), 8, 80
+#: A level's least side.
+LEAST = 40
 RADIUS = 7
 TURNS = 36
 BITS, PARTS = 256, 8
+#: The parts that are keys, and by how many bits the sketches of one corner may differ.
+TABLES, CLOSE = (0, 2, 4, 6), 5
 #: Shared corners that make a candidate, Hamming distance of a match, agreeing matches that make a link.
 SHARED, NEAR, AGREE = 3, 56, 6
-#: Images in a block of a key's list; pairs that a task makes at a time.
-LIST_BLOCK, PAIRS = 512, 1 << 20
+#: Images in a block of a key's list; pairs that a task makes at a time; pixels that are described at a time.
+LIST_BLOCK, PAIRS, PIXELS = 1024, 1 << 20, 1 << 19
 _RECORD = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", BITS // 8)])
 
 
@@ -57,9 +67,10 @@ def write_pgm(pixels: np.ndarray) -> bytes:
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Mean over windows of side 2r+1, of the images' own size."""
-    pad = np.pad(x, ((0, 0), (r + 1, r), (r + 1, r)), mode="edge").cumsum(axis=1).cumsum(axis=2)
+    exact = np.float64 if x.shape[1] * x.shape[2] > 1 << 14 else x.dtype  # sums over large images outgrow 24 bits
+    pad = np.pad(x, ((0, 0), (r + 1, r), (r + 1, r)), mode="edge").cumsum(axis=1, dtype=exact).cumsum(axis=2)
     n = 2 * r + 1
-    return (pad[:, n:, n:] - pad[:, :-n, n:] - pad[:, n:, :-n] + pad[:, :-n, :-n]) / (n * n)
+    return ((pad[:, n:, n:] - pad[:, :-n, n:] - pad[:, n:, :-n] + pad[:, :-n, :-n]) / (n * n)).astype(x.dtype, copy=False)
 
 
 def _resized(x: np.ndarray, scale: float) -> np.ndarray:
@@ -68,7 +79,7 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
     h, w = int(x.shape[1] * scale), int(x.shape[2] * scale)
     if h < 2 or w < 2:
         return x[:, :h, :w]
-    x = _box(x, 1)
+    x = _box(x, max(1, int(0.5 / scale)))
     ys, xs = (np.arange(h) + 0.5) / scale - 0.5, (np.arange(w) + 0.5) / scale - 0.5
     y0, x0 = np.clip(ys.astype(int), 0, x.shape[1] - 2), np.clip(xs.astype(int), 0, x.shape[2] - 2)
     fy, fx = (ys - y0)[None, :, None], (xs - x0)[None, None, :]
@@ -92,11 +103,37 @@ _TESTS = _tests()
 _DISC = np.array([(dy, dx) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if dy * dy + dx * dx <= RADIUS * RADIUS])
 
 
+def levels(height: int, width: int) -> list[tuple[float, int]]:
+    """(scale, corners of a cell) of the pyramid: 1, 3/4, 1/2, 3/8, 1/4 and so on."""
+    out = []
+    for i in range(2 * 16):
+        scale = (1.0, 0.75)[i % 2] / (1 << (i // 2))
+        if i >= len(CORNERS) and min(height, width) * scale < LEAST:
+            break
+        out.append((scale, CORNERS[i] if i < len(CORNERS) else FURTHER))
+    return out
+
+
+def _strongest(value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, y, x) of the largest values over 0 of each cell."""
+    found = []
+    n, h, w = value.shape
+    for y in range(0, h, CELL):
+        for x in range(0, w, CELL):
+            cell = value[:, y : y + CELL, x : x + CELL]
+            flat = cell.reshape(n, -1)
+            best = np.argsort(-flat, axis=1, kind="stable")[:, : min(most, flat.shape[1])]
+            image, column = np.nonzero(np.take_along_axis(flat, best, axis=1) > 0)
+            at = best[image, column]
+            found.append((image, y + at // cell.shape[2], x + at % cell.shape[2]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def corners(images: np.ndarray) -> list[np.ndarray]:
     """Corner records of a stack of images of one size."""
     found: list[list[np.ndarray]] = [[] for _ in images]
     border = RADIUS + 2
-    for scale, most in zip(SCALES, CORNERS, strict=True):
+    for scale, most in levels(*images.shape[1:]):
         x = _resized(images.astype(np.float32), scale)
         _, h, w = x.shape
         if h <= 2 * border + 2 or w <= 2 * border + 2:
@@ -111,12 +148,8 @@ def corners(images: np.ndarray) -> list[np.ndarray]:
             for dx in (-1, 0, 1):
                 if dy or dx:
                     peak &= inner >= strength[:, border + dy : h - border + dy, border + dx : w - border + dx]
-        value = np.where(peak & (inner > 1e-3), inner, 0).reshape(len(x), -1)
-        k = min(most, value.shape[1])
-        best = np.argsort(-value, axis=1, kind="stable")[:, :k]
-        image, column = np.nonzero(np.take_along_axis(value, best, axis=1) > 0)
-        at = best[image, column]
-        ys, xs = at // inner.shape[2] + border, at % inner.shape[2] + border
+        image, ys, xs = _strongest(np.where(peak & (inner > 1e-3), inner, 0), most)
+        ys, xs = ys + border, xs + border
         patch = smooth[image[:, None], ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
         angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
         t = _TESTS[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
@@ -140,21 +173,38 @@ def describe(images: list[bytes | None]) -> list[bytes]:
         if p is not None:
             by_size.setdefault(p.shape, []).append(i)
     for places in by_size.values():
-        for a in range(0, len(places), 64):
-            part = places[a : a + 64]
+        step = max(1, PIXELS // (pixels[places[0]].size))
+        for a in range(0, len(places), step):
+            part = places[a : a + step]
             for i, found in zip(part, corners(np.stack([pixels[i] for i in part])), strict=True):
                 out[i] = found.tobytes()
     return out
 
 
+def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For descriptors x and y: of each x the nearest y and how far it is, and of each y the nearest x; a block of rows at
+    a time."""
+    x, y = (np.ascontiguousarray(d["bits"]).view("<u8") for d in (x, y))
+    to, far = np.empty(len(x), dtype=np.int64), np.empty(len(x), dtype=np.int64)
+    back, least = np.zeros(len(y), dtype=np.int64), np.full(len(y), BITS + 1)
+    step = max(1, (1 << 20) // len(y))
+    for a in range(0, len(x), step):
+        apart = sum(np.bitwise_count(x[a : a + step, None, w] ^ y[None, :, w]).astype(np.int16) for w in range(BITS // 64))
+        to[a : a + step], far[a : a + step] = apart.argmin(axis=1), apart.min(axis=1)
+        here, low = apart.argmin(axis=0), apart.min(axis=0)
+        better = low < least
+        back[better], least[better] = a + here[better], low[better]
+    return to, far, back
+
+
 def agreeing(a: bytes, b: bytes) -> int:
-    """Matches of two images' corners that agree on one scale, turn and shift."""
+    """Matches of two images' corners that agree on one scale, turn and shift; 0 if they are under an eighth of all
+    matches, as many as agree by chance."""
     x, y = np.frombuffer(a, dtype=_RECORD), np.frombuffer(b, dtype=_RECORD)
     if not len(x) or not len(y):
         return 0
-    far = np.bitwise_count(x["bits"][:, None, :] ^ y["bits"][None, :, :]).sum(axis=2, dtype=np.int64)
-    to, back = far.argmin(axis=1), far.argmin(axis=0)
-    i = np.flatnonzero((back[to] == np.arange(len(x))) & (far[np.arange(len(x)), to] <= NEAR))
+    to, far, back = _nearest(x, y)
+    i = np.flatnonzero((back[to] == np.arange(len(x))) & (far <= NEAR))
     if len(i) < 2:
         return len(i)
     j = to[i]
@@ -162,29 +212,59 @@ def agreeing(a: bytes, b: bytes) -> int:
     p, q = np.stack([x["x"][i], x["y"][i]], 1), np.stack([y["x"][j], y["y"][j]], 1)
     cos, sin = np.cos(turn) * size, np.sin(turn) * size
     # Each match proposes the map that its own scale, angle and place give; the others vote.
-    dx, dy = p[None, :, 0] - p[:, None, 0], p[None, :, 1] - p[:, None, 1]
-    ex = q[:, None, 0] + cos[:, None] * dx - sin[:, None] * dy - q[None, :, 0]
-    ey = q[:, None, 1] + sin[:, None] * dx + cos[:, None] * dy - q[None, :, 1]
-    reach = 2.5 + 0.12 * np.hypot(dx, dy)
-    return int(((ex**2 + ey**2) <= reach**2).sum(axis=1).max())
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, corner) of every descriptor part."""
+    best, step = 0, max(1, (1 << 20) // len(i))
+    for k in (slice(at, at + step) for at in range(0, len(i), step)):
+        dx, dy = p[None, :, 0] - p[k, None, 0], p[None, :, 1] - p[k, None, 1]
+        ex = q[k, None, 0] + cos[k, None] * dx - sin[k, None] * dy - q[None, :, 0]
+        ey = q[k, None, 1] + sin[k, None] * dx + cos[k, None] * dy - q[None, :, 1]
+        reach = 2.5 + 0.12 * np.hypot(dx, dy)
+        best = max(best, int(((ex**2 + ey**2) <= reach**2).sum(axis=1).max()))
+    return best if 8 * best >= len(i) else 0
+
+
+def _keys(batches: Iterator[pa.RecordBatch], tables: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(key, node, part_of, corner, sketch) of the descriptors' parts in ``tables``; part_of: the node's component."""
+    for batch in batches:
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
+        for node, part_of, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            bits = np.frombuffer(data, dtype=_RECORD)["bits"]
+            parts = np.ascontiguousarray(bits).view("<u4").astype(np.int64)[:, tables]
+            sketch = np.packbits(np.unpackbits(bits, axis=1)[:, :: BITS // 64], axis=1).view("<i8").ravel()
+            found[0].append(((np.asarray(tables, dtype=np.int64) << 32) + parts).ravel())
+            found[1].append(np.full(parts.size, node))
+            found[2].append(np.full(parts.size, part_of))
+            found[3].append(np.repeat(np.arange(len(parts), dtype=np.int64), len(tables)))
+            found[4].append(np.repeat(sketch, len(tables)))
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in found], names=["key", "node", "part_of", "corner", "sketch"])
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, node, corner) of the members of each list that have the corner of its first entry and another component.
+    Partitions are sorted by key; of a list no more than its head is kept."""
+    key, head, part_of, sketch = None, 0, 0, 0
     for batch in batches:
-        keys, nodes, corner = [], [], []
-        for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parts = np.ascontiguousarray(np.frombuffer(data, dtype=_RECORD)["bits"]).view("<u4").astype(np.int64)
-            keys.append(((np.arange(PARTS, dtype=np.int64) << 32) + parts).ravel())
-            nodes.append(np.full(parts.size, node))
-            corner.append(np.repeat(np.arange(len(parts), dtype=np.int64), PARTS))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, nodes, corner)], names=["key", "node", "corner"])
-
-
-def _pairs(group: np.ndarray, node: np.ndarray, corner: np.ndarray, own: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(a, b, corner of b) of every two entries of a group that are of different images and, where two blocks meet, of
-    different blocks."""
+        k, node, comp, corner, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        if not len(k):
+            continue
+        starts = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
+        sizes = np.diff(np.append(starts, len(k)))
+        own = [x[starts].copy() for x in (node, comp, bits)]
+        if k[0] == key:
+            own[0][0], own[1][0], own[2][0] = head, part_of, sketch
+        heads = [np.repeat(x, sizes) for x in own]
+        keep = (heads[1] != comp) & (_differ(heads[2], bits) <= CLOSE)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (heads[0], node, corner)], names=["a", "b", "corner"])
+        key, head, part_of, sketch = k[-1], own[0][-1], own[1][-1], own[2][-1]
+
+
+def _pairs(group: np.ndarray, node: np.ndarray, part_of: np.ndarray, corner: np.ndarray, sketch: np.ndarray, own: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b, corner of b) of the entries of a group that are one corner of images of different components and, where two
+    blocks meet, of different blocks."""
     index = np.arange(len(group))
     last = np.append(np.flatnonzero(np.diff(group)), len(group) - 1)
     after = last[np.searchsorted(last, index)] - index
@@ -195,7 +275,7 @@ def _pairs(group: np.ndarray, node: np.ndarray, corner: np.ndarray, own: np.ndar
         n = after[at:end]
         i = np.repeat(index[at:end], n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        keep = (node[i] != node[j]) & (~cross[i] | (own[i] != own[j]))
+        keep = (_differ(sketch[i], sketch[j]) <= CLOSE) & (part_of[i] != part_of[j]) & (~cross[i] | (own[i] != own[j]))
         i, j = i[keep], j[keep]
         low = node[i] < node[j]
         columns = (np.where(low, node[i], node[j]), np.where(low, node[j], node[i]), np.where(low, corner[j], corner[i]))
@@ -204,10 +284,10 @@ def _pairs(group: np.ndarray, node: np.ndarray, corner: np.ndarray, own: np.ndar
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, corner) of all pairs of the groups of a partition sorted by group; a group may span batches."""
+    """(a, b, corner) of the groups of a partition sorted by group; a group may span batches."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         rest = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
         starts = np.flatnonzero(np.diff(rest[0])) + 1
         if len(starts):
@@ -217,9 +297,29 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pairs(*rest)
 
 
+def _agree(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    # Either image's own places may propose the map: a link must not hang on which comes first.
+    return pd.Series([min(agreeing(x, y), agreeing(y, x)) for x, y in zip(xs, ys, strict=True)])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose corners agree."""
+    left = nodes.select(F.col("node").alias("a"), F.col("corners").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("corners").alias("y"))
+    checked = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.pandas_udf(_agree, "int")("x", "y").alias("n"))
+    return stage(checked.where(F.col("n") >= AGREE).select("a", "b"), name)
+
+
+def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``nodes`` with ``part_of``, the component that they are known to belong to."""
+    if label is None:
+        return nodes.withColumn("part_of", F.col("node"))
+    return nodes.join(label, "node", "left").withColumn("part_of", F.coalesce("label", "node")).drop("label")
+
+
 def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
-    """key, n_keypoints, n_verified (images that share enough corners and were found copies of it, equal ones included) and
-    component_id (smallest key reachable by verified copies, itself included)."""
+    """key, n_keypoints, n_copies (other rows of its component) and component_id (smallest key reachable by verified
+    copies, itself included)."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(image).alias("image"))
 
     @F.pandas_udf("binary")
@@ -228,38 +328,38 @@ def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") ->
             yield pd.Series(describe(list(images)))
 
     seen = stage(rows.select("key", F.xxhash64("image").alias("hash"), see("image").alias("corners")), "corners")
-    seen = seen.withColumn("node", F.when(F.octet_length("corners") > 0, F.col("hash")))
-    nodes = seen.where("node is not null").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("corners").alias("corners"))
-    nodes = stage(nodes, "images")
-    entries = nodes.select("node", "corners").mapInArrow(_keys, "key long, node long, corner long")
-    blocks = F.ceil(F.col("n") / LIST_BLOCK).cast("int")
-    lists = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", blocks.alias("blocks"))
+    size = F.octet_length("corners")
+    slim = stage(seen.select("key", F.when(size > 0, F.col("hash")).alias("node"), (size / _RECORD.itemsize).cast("int").alias("n_keypoints")), "seen")
+    nodes = stage(seen.where(size > 0).groupBy(F.col("hash").alias("node")).agg(F.first("corners").alias("corners")), "images")
+    discard(seen)
+    parts, entry = spread(nodes), "key long, node long, part_of long, corner long, sketch long"
+    links = label = None
+    half = len(TABLES) // 2
+    for turn, tables in enumerate((TABLES[:half], TABLES[half:])):
+        entries = _labelled(nodes, label).select("node", "part_of", "corners").mapInArrow(lambda it, t=tables: _keys(it, t), entry)
+        order = F.xxhash64(F.lit(turn), "node")
+        pairs = entries.repartition(parts, "key").sortWithinPartitions("key", order).mapInArrow(_heads, "a long, b long, corner long")
+        pairs = pairs.groupBy("a", "b").agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= SHARED)
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+        new = _verified(best, nodes, "copies")
+        links = new if links is None else links.unionByName(new)
+        label = components(links)
+
+    entries = _labelled(nodes, label).select("node", "part_of", "corners").mapInArrow(lambda it: _keys(it, TABLES), entry)
+    lists = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("part_of").alias("low"), F.max("part_of").alias("high"))
+    lists = lists.where("low < high").select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
     met = entries.join(lists, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    met = met.select(group, "node", "corner", "own", (F.col("own") != F.col("other")).alias("cross"))
-    shared = met.repartition(spread(df), "group").sortWithinPartitions("group").mapInArrow(_candidates, "a long, b long, corner long").groupBy("a", "b").agg(F.count_distinct("corner").alias("n"))
-    left = nodes.select(F.col("node").alias("a"), F.col("corners").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("corners").alias("y"))
-    pairs = shared.where(F.col("n") >= SHARED).select("a", "b").join(left, "a").join(right, "b")
-
-    @F.pandas_udf("int")
-    def agree(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        # Either image's own places may propose the map: a link must not hang on which comes first.
-        return pd.Series([min(agreeing(x, y), agreeing(y, x)) for x, y in zip(xs, ys, strict=True)])
-
-    links = stage(pairs.select("a", "b", agree("x", "y").alias("n")).where(F.col("n") >= AGREE).select("a", "b").distinct(), "copies")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = nodes.select(F.col("node").alias("b"), "copies")
-    counts = ends.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
+    met = met.select(group, "node", "part_of", "corner", "sketch", "own", (F.col("own") != F.col("other")).alias("cross"))
+    pairs = met.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_candidates, "a long, b long, corner long")
+    pairs = pairs.groupBy("a", "b").agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= SHARED)
+    links = links.unionByName(_verified(pairs, nodes, "copies"))
     label = components(links)
-    first = nodes.select("node", "first", "copies")
-    named = label.join(first, "node").groupBy("label").agg(F.min("first").alias("component_id"))
-    named = label.join(named, "label").select("node", "component_id")
-    known = first.join(counts, "node", "left").join(named, "node", "left")
-    out = seen.join(known, "node", "left")
-    return out.select(
-        F.col("key").alias(key), (F.octet_length("corners") / _RECORD.itemsize).cast("int").alias("n_keypoints"),
-        F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_verified"),
-        F.coalesce("component_id", "first", "key").alias("component_id"),
+
+    known = slim.join(label, "node", "left").select("key", "n_keypoints", F.coalesce("label", "node").alias("part_of"))
+    of = known.where("part_of is not null").groupBy("part_of").agg(F.min("key").alias("component_id"), F.count("*").alias("n"))
+    return known.join(of, "part_of", "left").select(
+        F.col("key").alias(key), "n_keypoints", F.coalesce(F.col("n") - 1, F.lit(0)).cast("long").alias("n_copies"),
+        F.coalesce("component_id", "key").alias("component_id"),
     )

@@ -195,28 +195,43 @@ def test_image_copies(spark):
     found = {r.image_id: r for r in out}
     assert sum(found[k].component_id == v for k, v in expected.items()) >= 15
     assert all(found[i].component_id == i for i in range(25))
-    assert all(found[i].n_keypoints == 0 and found[i].component_id == i and found[i].n_verified == 0 for i in range(200, 206))
-    assert found[0].n_verified >= 1
+    assert all(found[i].n_keypoints == 0 and found[i].component_id == i and found[i].n_copies == 0 for i in range(200, 206))
+    assert found[0].n_copies >= 1
     assert image_copies.image_copies(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_image_copies_compares_all_that_share_keys(spark, block, monkeypatch):
-    monkeypatch.setattr(image_copies, "LIST_BLOCK", block, raising=False)
+@pytest.mark.parametrize("block", [1024, 3])
+def test_image_copies_equal_brute_force_over_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(image_copies, "LIST_BLOCK", block)
     rng = np.random.default_rng(5)
-    mark = texture(rng)[:40]  # hot keys: all images bear it
+    mark = texture(rng)[:40]  # hot keys: all images bear it, so lists begin with images that are no copies
     rows = []
     for _ in range(6):
         x = texture(rng).astype(float)
         x[:40] = mark
         rows += [(len(rows) + i, image_copies.write_pgm(np.clip(x + rng.normal(0, 6, x.shape), 0, 255))) for i in range(3)]
-    seen = [np.frombuffer(d, dtype=image_copies._RECORD) for d in image_copies.describe([r[1] for r in rows])]
-    parts = [np.ascontiguousarray(s["bits"]).view("<u4") for s in seen]
-    shared = lambda i, j: min(sum(any(row[p] in y[:, p] for p in range(8)) for row in x) for x, y in ((parts[i], parts[j]), (parts[j], parts[i])))
-    edges = [(i, j) for i in range(len(rows)) for j in range(i) if shared(i, j) >= image_copies.SHARED and image_copies.agreeing(seen[i].tobytes(), seen[j].tobytes()) >= image_copies.AGREE]
-    got = {r.image_id: r for r in image_copies.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    for _ in range(12):
+        x = texture(rng).astype(float)
+        edits = [x, x[8:88, 5:90], np.rot90(x), x * 0.7 + 40, x + rng.normal(0, 5, x.shape)]
+        rows += [(len(rows) + i, image_copies.write_pgm(np.clip(e, 0, 255))) for i, e in enumerate(edits)]
+    seen = image_copies.describe([r[1] for r in rows])
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if min(image_copies.agreeing(seen[i], seen[j]), image_copies.agreeing(seen[j], seen[i])) >= image_copies.AGREE]
+    got = {r.image_id: r.component_id for r in image_copies.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
     label = groups_of(edges, range(len(rows)))
-    assert all(got[i].n_verified >= sum(i in e for e in edges) and label[got[i].component_id] == label[i] for i in range(len(rows)))
+    assert all(label[got[i]] == label[i] for i in got)  # nothing joined that brute force keeps apart
+    wanted = sum(label[i] == label[j] for i in range(len(rows)) for j in range(i))
+    found = sum(got[i] == got[j] for i in range(len(rows)) for j in range(i))
+    assert found >= 0.9 * wanted
+
+
+def test_image_copies_finds_a_crop_of_a_large_image(spark):
+    rng = np.random.default_rng(8)
+    large = [texture(rng, 600) for _ in range(4)]
+    rows = [(i, image_copies.write_pgm(x)) for i, x in enumerate(large)]
+    rows += [(10, image_copies.write_pgm(large[2][100:250, 300:450])), (11, image_copies.write_pgm(large[1][::2, ::2])), (12, image_copies.write_pgm(texture(rng, 200)))]
+    got = {r.image_id: r for r in image_copies.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert [got[i].component_id for i in (10, 12)] == [2, 12]
+    assert got[0].n_keypoints > 10 * got[12].n_keypoints / 4
 
 
 def brute_shares(budget, nodes):
