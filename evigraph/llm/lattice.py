@@ -29,17 +29,13 @@ from evigraph.llm._store import spread, stage
 from evigraph.llm.components import components
 
 SCALE = 0.5
+#: Tables, and lattice points of a home cell: the same for every size of the input.  In 64 dimensions a pair of cosine
+#: 0.93 meets in one of the cells with probability 0.995, one of 0.94 with 0.998.
+TABLES, POINTS = 12, 2
 #: Nodes in a block of a cell.
 CELL_BLOCK = 1024
 
 
-def shape(rows: int) -> tuple[int, int]:
-    """(tables, lattice points of a home cell) for so many rows.  A further point makes unrelated vectors
-    meet about 200 times more rarely and near ones more rarely too; there are so many tables that pairs at
-    cosine 0.93 are found at least as often as with two points."""
-    return (12, 2) if rows <= 2_000_000 else (40, 3) if rows <= 500_000_000 else (100, 4)
-
-
 def _d8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest points of D8 (whole coordinates, even sum) and the next nearest of their kind."""
     near = np.rint(x)
@@ -165,9 +161,10 @@ def _compare(batches: Iterator[pd.DataFrame], tables: int, width: int, cosine: f
         yield _links(rest, tables, width, cosine)
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, tables: int = TABLES, points: int = POINTS) -> DataFrame:
     """key, n_links (other vectors linked directly), component_id (smallest key reachable by links, itself
-    included) and kept (key = component_id), for every row."""
+    included) and kept (key = component_id), for every row.  More ``points`` a cell make unrelated vectors meet more rarely and
+    near ones too; more ``tables`` make up for that."""
     spark = df.sparkSession
     parts = spread(df)
     v = F.col(vector).cast("array<double>")
@@ -175,8 +172,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     usable = F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(inner, F.lit(False)) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(key).cast("long").alias("key"), F.when(usable, F.xxhash64(F.col(label), v)).alias("node"), F.col(label).alias("label"), v.alias("vector"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    tables, blocks = shape(df.count())
-    width = 2 + blocks
+    width = 2 + points
 
     @F.pandas_udf("array<long>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -185,7 +181,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             sizes = np.array([len(x) for x in vectors])
             for size in np.unique(sizes):  # a table's projections depend on the vectors' length
                 at = np.flatnonzero(sizes == size)
-                found = cells(_unit([vectors.iloc[i] for i in at]), tables, blocks)
+                found = cells(_unit([vectors.iloc[i] for i in at]), tables, points)
                 for i, c in zip(at, found.reshape(len(at), -1), strict=True):
                     out[i] = c
             yield pd.Series(out)
