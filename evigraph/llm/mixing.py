@@ -9,11 +9,12 @@ limit per weight, the first node that its share fits fixes the share of all afte
 A leaf's documents are read in seeded epochs: in each a new order, by a hash of seed, epoch and key.  The leaf takes the
 prefix of that stream which holds its tokens: whole epochs, then the first documents of the next, the
 last of them in part.  The running sum over an epoch is taken in two steps, over hash ranges and then
-within the one range where the prefix ends, so that a hot source is never one task.
+within the one range where the prefix ends.  Leaves with more than a thousandth of all documents (a thousand at most) are
+joined to their documents by broadcast, so that a hot source is never one task; the others by an exchange.
 
 Rows: a null level is a node of its own (named by the empty string); null text and key are read as empty, null tokens as none;
 documents without tokens are never taken; nodes of weight 0 get nothing; rows that repeat key and text
-are one document; an empty table or budget gives an empty result.  Columns of the input pass
+are documents of their own, next to each other in the order of an epoch; an empty table or budget gives an empty result.  Columns of the input pass
 through; names that begin with ``_mix`` are the operator's.
 """
 
@@ -30,7 +31,9 @@ from evigraph.llm._store import stage
 #: Words: runs of other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a leaf's hash range.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
+#: A leaf is hot if it has more than this part of all documents.
+HOT = 1 / 1000
 
 
 def words(text: Column) -> Column:
@@ -100,9 +103,13 @@ def mix(
     plan = plan.withColumn("_mix_whole", F.floor(F.col("_mix_take") / F.col("_mix_total")).cast("int"))
     plan = plan.withColumn("_mix_rest", F.col("_mix_take") - F.col("_mix_whole") * F.col("_mix_total"))
     digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("_mix_rows") / RANGE_ROWS))).cast("int")
-    plan = plan.withColumn("_mix_digits", digits).drop("_mix_rows", "_mix_total", "_mix_take")
+    plan = plan.withColumn("_mix_digits", digits).drop("_mix_total", "_mix_take")
+    plan = stage(plan, "plan")
+    n = plan.agg(F.sum("_mix_rows")).first()[0] or 0
+    hot = F.broadcast(plan.where(F.col("_mix_rows") > n * HOT))
+    others = docs.join(hot.select(*named), named, "left_anti").join(plan.where(F.col("_mix_rows") <= n * HOT), named)
 
-    ordered = docs.join(plan, named).withColumn(
+    ordered = docs.join(hot, named).unionByName(others).drop("_mix_rows").withColumn(
         "_mix_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_mix_whole").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     ).withColumn("_mix_range", F.substring(F.col("_mix_hash"), F.lit(1), F.col("_mix_digits")))
     ranges = ordered.where("_mix_rest > 0").groupBy(*named, "_mix_range", "_mix_rest").agg(F.sum("_mix_tokens").alias("_mix_sum"))
@@ -112,9 +119,14 @@ def mix(
     begun = ordered.join(ranges.select(*named, "_mix_range", "_mix_before", "_mix_inside"), [*named, "_mix_range"])
 
     inside = begun.where("_mix_inside").withColumn("_mix_taken", F.col("_mix_tokens"))
-    within = Window.partitionBy(*named, "_mix_range").orderBy("_mix_hash", "_mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = begun.where("not _mix_inside").withColumn("_mix_ahead", F.col("_mix_before") + F.coalesce(F.sum("_mix_tokens").over(within), F.lit(0)))
-    last = last.withColumn("_mix_taken", F.least("_mix_tokens", F.col("_mix_rest") - F.col("_mix_ahead"))).where("_mix_taken > 0").drop("_mix_ahead")
+    # Where the prefix ends: rows that repeat a document are one row with a count, which is cut and dealt out again.
+    last = begun.where("not _mix_inside")
+    last = last.groupBy(*last.columns).agg(F.count("*").alias("_mix_copies"))
+    within = Window.partitionBy(*named, "_mix_range").orderBy("_mix_hash", "_mix_tokens", *_rest_of(last)).rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_mix_ahead", F.col("_mix_before") + F.coalesce(F.sum(F.col("_mix_tokens") * F.col("_mix_copies")).over(within), F.lit(0)))
+    last = last.withColumn("_mix_left", F.least(F.col("_mix_tokens") * F.col("_mix_copies"), F.col("_mix_rest") - F.col("_mix_ahead"))).where("_mix_left > 0")
+    last = last.withColumn("_mix_no", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_mix_left") / F.col("_mix_tokens")).cast("long") - 1)))
+    last = last.withColumn("_mix_taken", F.least("_mix_tokens", F.col("_mix_left") - F.col("_mix_no") * F.col("_mix_tokens")))
     whole = ordered.where("_mix_whole > 0").withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_whole") - 1)))
 
     kept = [c for c in df.columns if c not in ("epoch", "taken_tokens")]
@@ -129,19 +141,27 @@ def mix(
     )
 
 
+def _rest_of(df: DataFrame) -> list[str]:
+    """The input's columns that can be ordered: they settle ties between different documents of one key."""
+    return [c for c, kind in df.dtypes if not c.startswith("_mix") and not kind.startswith(("map", "variant"))]
+
+
 def counted(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The slim table of a corpus: the columns ``keep``, ``n_tokens`` and ``text_hash``; texts are read once.
-    Rows that are equal in all of these are one document."""
-    slim = df.select(*keep, words(F.col(text)).alias("n_tokens"), F.xxhash64(F.col(text)).alias("text_hash"))
-    return stage(slim.distinct(), "counted")
-
-
-def with_text(mixed: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` as often as the mixture took them (rows that repeat key and text are one); of a document
-    taken in part the first words, joined by single blanks."""
-    taken = mixed.select(F.col(key).alias("_mix_key"), *[F.col(c).alias("_mix_" + c) for c in ("text_hash", "n_tokens", "taken_tokens")])
-    same = F.col(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_same") == F.col("_mix_text_hash"))
-    rows = df.withColumn("_mix_same", F.xxhash64(F.col(text))).dropDuplicates([key, "_mix_same"]).join(taken, same)
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_mix_taken_tokens").cast("int")), " ")
-    cut = F.when(F.col("_mix_taken_tokens") < F.col("_mix_n_tokens"), first).otherwise(F.col(text))
+    """The slim table of a corpus: the columns ``keep``, ``n_tokens`` and ``text_hash``, a row for each row; texts are
+    read once."""
+    return stage(df.select(*keep, words(F.col(text)).alias("n_tokens"), F.xxhash64(F.col(text)).alias("text_hash")), "counted")
+
+
+def with_text(mixed: DataFrame, df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Rows of ``df`` as often as the mixture took them; of a document taken in part the first words, joined by single
+    blanks.  ``keep`` are columns of both (those of ``counted``); rows that agree in them and in their text are one row
+    with a count, and the other columns are those of one of them."""
+    names = {c: f"_mix_{i}" for i, c in enumerate([*keep, "text_hash"])}
+    taken = mixed.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("n_tokens").alias("_mix_all"), F.col("taken_tokens").alias("_mix_taken"))
+    taken = taken.groupBy(*taken.columns).agg(F.count("*").alias("_mix_times"))
+    rows = df.withColumn("_mix_same", F.xxhash64(F.col(text)))
+    same = [F.col(c).eqNullSafe(F.col(names[c])) for c in keep] + [F.col("_mix_same") == F.col(names["text_hash"])]
+    rows = rows.dropDuplicates([*keep, "_mix_same"]).join(taken, same).withColumn("_mix_no", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_mix_taken").cast("int")), " ")
+    cut = F.when(F.col("_mix_taken") < F.col("_mix_all"), first).otherwise(F.col(text))
     return rows.select(*[cut.alias(c) if c == text else F.col(c) for c in df.columns])
