@@ -1,16 +1,19 @@
 """License scans (operator 9); DataFrame functions only.
 
-Every line of every whole text is compared to license templates by the cosine of sparse TF-IDF vectors.  Document
-frequencies are counted over all documents, for the templates' words and for those of the lines compared.  A line can reach the threshold only with one of a template's heaviest words (those without which the
-template's own weight falls below it), so lines without any are passed over before they are cut into
-words; this loses nothing.
-
-A file's own license is that of its best line.  A file without one inherits from the nearest directory at or above its
+Notices, headers and licence files are compared to license templates by the cosine of sparse TF-IDF vectors.  The units of
+every whole text are its lines, its blocks (paragraphs: a comment header over several lines is one, comment marks are no
+words) and, for a licence file, the whole file.  The templates are notices, headers, titles and opening paragraphs, and full
+texts where they are short; further full texts can be given (``full_texts``).  Document frequencies are counted over all
+documents, for the templates' words and for those of the units compared.  A unit can reach the threshold only with one of a
+template's heaviest words (those without which the template's own weight falls below it), so units without any are passed
+over before they are cut into words; this loses nothing.
+
+A file's own license is that of its best unit.  A file without one inherits from the nearest directory at or above its
 own that holds a licence file with a license: directories (far fewer than files) are joined to their
 ancestors, then files to directories.
 
-Rows: null and empty texts have no own license; a null path inherits nothing; rows of one key are one file (the
-best line of all of them, each row answered); ties go to the smaller template name, and among a
+Rows: null and empty texts have no own license; a null path inherits nothing and is no licence file; rows of one key are one
+file (the best unit of all of them, each row answered); ties go to the smaller license name, and among a
 directory's licence files to the higher score, then the larger license name; an empty table gives an empty
 result.  Other columns are ignored.
 """
@@ -18,55 +21,94 @@ result.  Other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short forms of license notices.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "proprietary": "All rights reserved.",
-}
+from evigraph.llm._store import stage
+
+#: Notices, headers, titles and texts of public licenses.
+TEMPLATES = (
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-2-clause", "BSD 2-Clause License"),
+    ("bsd-3-clause", "BSD 3-Clause License"),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("isc", "ISC License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("lgpl-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mit", "Released under the MIT License."),
+    ("mit", "MIT License"),
+    ("mit", "The MIT License (MIT)"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl-2.0", "Mozilla Public License Version 2.0"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("proprietary", "All rights reserved."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+)
 LICENSE_FILE = r"(?i)^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)(\.(txt|md|rst))?$"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Between two blocks: a line end and lines without letter or digit.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _template_weights(df: DataFrame, text: str, templates: Mapping[str, str]) -> tuple[dict[str, dict[str, float]], int]:
-    """Unit TF-IDF vectors of the templates (with ``idf`` under the empty name), and the number of documents.
+def full_texts(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Templates from a folder of licence texts (a few hundred files at most), named by their file names."""
+    read = spark.read.text(folder, wholetext=True).select(F.lower(F.regexp_extract(F.input_file_name(), "([^/]+?)(?:[.](?:txt|md))?$", 1)), "value")
+    return sorted((name, text) for name, text in read.limit(1000).collect())
+
+
+def _idf(n: int, df: Column) -> Column:
+    return F.log(F.lit(n + 1) / (df + 1)) + 1
+
+
+def _template_weights(df: DataFrame, text: str, templates: Sequence[tuple[str, str]]) -> tuple[list[dict[str, float]], dict[str, float], int]:
+    """Unit TF-IDF vectors of the templates, the inverse frequencies of their words, and the number of documents.
     What is gathered is one number for each template word."""
-    spark = df.sparkSession
-    rows = spark.createDataFrame(sorted(templates.items()), "name string, notice string")
-    counts = {(r.name, r.word): r.n for r in rows.select("name", F.explode(terms(F.col("notice"))).alias("word")).groupBy("name", "word").agg(F.count("*").alias("n")).collect()}
+    rows = df.sparkSession.createDataFrame([(i, t) for i, (_, t) in enumerate(templates)], "i int, notice string")
+    counts = {(r.i, r.word): r.n for r in rows.select("i", F.explode(terms(F.col("notice"))).alias("word")).groupBy("i", "word").agg(F.count("*").alias("n")).collect()}
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, w in counts})])
     seen = df.select(F.explode(F.array_intersect(terms(F.col(text)), vocabulary)).alias("word")).groupBy("word").count()
     found = dict(seen.collect())
     n = df.count()
     idf = {w: math.log((n + 1) / (found.get(w, 0) + 1)) + 1 for _, w in counts}
-    vectors: dict[str, dict[str, float]] = {}
-    for (name, word), c in sorted(counts.items()):
-        vectors.setdefault(name, {})[word] = c * idf[word]
-    for v in vectors.values():
-        norm = math.sqrt(sum(x * x for x in v.values()))
+    vectors: list[dict[str, float]] = [{} for _ in templates]
+    for (i, word), c in sorted(counts.items()):
+        vectors[i][word] = c * idf[word]
+    for v in vectors:
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         v.update({w: x / norm for w, x in v.items()})
-    return vectors | {"": idf}, n
+    return vectors, idf, n
 
 
-def _needed(vectors: Mapping[str, Mapping[str, float]], threshold: float) -> set[str]:
-    """Words of which a line must hold one to be near a template: without them the template's length is short
+def _needed(vectors: Sequence[dict[str, float]], threshold: float) -> set[str]:
+    """Words of which a unit must hold one to be near a template: without them the template's length is short
     of the threshold."""
     out: set[str] = set()
-    for v in vectors.values():
+    for v in vectors:
         left = 1.0
         for word, x in sorted(v.items(), key=lambda kv: (-kv[1], kv[0])):
             if math.sqrt(max(0.0, left)) < threshold - 1e-9:
@@ -76,29 +118,46 @@ def _needed(vectors: Mapping[str, Mapping[str, float]], threshold: float) -> set
     return out
 
 
-def license_lines(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.75) -> DataFrame:
-    """key, line_no, license, score: lines at or above the threshold with their best template."""
-    vectors, n = _template_weights(df, text, templates)
-    idf = vectors.pop("")
+def _units(df: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
+    """key, kind (line, block, file), no, unit."""
+
+    def as_units(kind: str, parts: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("no"), x.alias("unit")))
+
+    whole = F.col(text)
+    found = [as_units("line", F.split(whole, "\n")), as_units("block", F.split(whole, BLANK))]
+    if path:
+        named = F.coalesce(F.regexp_extract(path, "([^/]*)$", 1).rlike(LICENSE_FILE), F.lit(False))
+        found.append(as_units("file", F.when(named, F.array(whole)).otherwise(F.array().cast("array<string>"))))
+    return df.where(whole.isNotNull()).select(F.col(key).alias("key"), F.explode(F.concat(*found)).alias("u")).select("key", "u.*")
+
+
+def license_units(
+    df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
+    templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.75,
+) -> DataFrame:
+    """key, kind, no, license, score: units at or above the threshold with their best template's license."""
+    vectors, idf, n = _template_weights(df, text, templates)
     held = "|".join(w.replace(".", r"\.") for w in sorted(_needed(vectors, threshold)))
-    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    lines = lines.where(F.lower("line").rlike(rf"(?<![a-z0-9])({held})(?![a-z0-9])"))
-    words = lines.select("key", "line_no", F.hash("line").alias("of"), F.explode(terms(F.col("line"))).alias("word"))
-    counted = words.groupBy("key", "line_no", "of", "word").agg(F.count("*").cast("double").alias("tf"))
+    units = _units(df, key, text, path).where(F.lower("unit").rlike(rf"(?<![a-z0-9])(?:{held})(?![a-z0-9])"))
+    words = units.select("key", "kind", "no", F.xxhash64("unit").alias("of"), F.explode(terms(F.col("unit"))).alias("word"))
+    unit = ["key", "kind", "no", "of"]
+    counted = stage(words.groupBy(*unit, "word").agg(F.count("*").cast("double").alias("tf")), "license-words")
     weight = F.create_map(*[F.lit(x) for w, v in sorted(idf.items()) for x in (w, v)])
-    others = counted.where(~F.col("word").isin(*idf)).select("word").distinct()
+    others = stage(counted.where(~F.col("word").isin(*idf)).select("word").distinct(), "license-others")
     seen = df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("word")).join(others, "word", "left_semi")
-    seen = seen.groupBy("word").agg((F.log(F.lit(n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    counted = counted.join(seen, "word", "left").withColumn("w", F.col("tf") * F.coalesce(weight[F.col("word")], F.col("idf")))
-    norms = [F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")]
-    dots = []
-    for i, (_, v) in enumerate(sorted(vectors.items())):
-        unit = F.create_map(*[F.lit(x) for w, y in sorted(v.items()) for x in (w, y)])
-        dots.append(F.sum(F.col("w") * F.coalesce(unit[F.col("word")], F.lit(0.0))).alias(f"dot{i}"))
-    scored = counted.groupBy("key", "line_no", "of").agg(*norms, *dots)
-    options = F.array(*[F.struct(F.round(F.col(f"dot{i}") / F.col("norm"), 6).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, name in enumerate(sorted(vectors))])
-    best = scored.select("key", "line_no", F.array_max(options).alias("best")).where(F.col("best.score") >= threshold)
-    return best.select(F.col("key").alias(key), "line_no", "best.license", "best.score")
+    seen = seen.groupBy("word").agg(_idf(n, F.count("*")).alias("idf"))
+    weighed = counted.join(seen, "word", "left").withColumn("w", F.col("tf") * F.coalesce(weight[F.col("word")], F.col("idf")))
+    # One array of (template, weight) for each template word, so that a unit's products are made in its one group.
+    by_word = {w: [(i, v[w]) for i, v in enumerate(vectors) if w in v] for w in idf}
+    rows = df.sparkSession.createDataFrame([(w, i, x) for w, at in by_word.items() for i, x in at], "word string, template int, u double")
+    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.where(F.col("word").isin(*idf)).join(F.broadcast(rows), "word").groupBy(*unit, "template").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    same = F.col("d.key").eqNullSafe(F.col("n.key")) & (F.col("d.kind") == F.col("n.kind")) & (F.col("d.no") == F.col("n.no")) & (F.col("d.of") == F.col("n.of"))
+    scored = dots.alias("d").join(norms.alias("n"), same).select("d.key", "d.kind", "d.no", "d.of", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    name = F.element_at(F.array(*[F.lit(x) for x, _ in templates]), F.col("template") + 1)
+    best = scored.where(F.col("score") >= threshold).groupBy(*unit).agg(F.min(F.struct((-F.col("score")).alias("less"), name.alias("license"))).alias("best"))
+    return best.select(F.col("key").alias(key), "kind", "no", "best.license", (-F.col("best.less")).alias("score"))
 
 
 def ancestors(folder: Column) -> Column:
@@ -109,14 +168,14 @@ def ancestors(folder: Column) -> Column:
 
 def scan(
     df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path",
-    templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.75,
+    templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.75,
 ) -> DataFrame:
     """key, path, own_license, own_score, license, inherited_from (directory, null if own or none)."""
-    lines = license_lines(df, key, text, templates, threshold)
-    own = lines.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct("score", (-F.col("line_no")).alias("at"), "license")).alias("best"))
+    units = license_units(df, key, text, path, templates, threshold)
+    own = units.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("best"))
     files = df.select(F.col(key), F.col(path).alias("path"))
     known = files.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(
-        key, "path", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"),
+        key, "path", F.col("best.license").alias("own_license"), (-F.col("best.less")).alias("own_score"),
         F.array_join(F.filter(F.split(F.regexp_extract("path", "^(.*)/[^/]*$", 1), "/"), lambda x: x != ""), "/").alias("_folder"),
         F.regexp_extract("path", "([^/]*)$", 1).alias("_name"),
     )

@@ -50,7 +50,7 @@ _OP1_LEVEL = """
 OP1_SQL = (
     f"""WITH docs AS (SELECT doc_id, text, lang, source,
   'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 4) AS domain,
-  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS t FROM (SELECT DISTINCT doc_id, text, lang, source FROM documents)),
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS t FROM documents),
 leaf AS (SELECT domain, coalesce(lang, '') AS la, coalesce(source, '') AS so, sum(t)::DOUBLE AS total, sum(t)::DOUBLE * {MIX_EPOCHS} AS lim FROM docs WHERE t > 0 GROUP BY ALL),
 a_n AS (SELECT domain, sum(lim) AS lim, CASE domain WHEN 'd0' THEN 4.0::DOUBLE WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS w,
   (SELECT floor(sum(total) * {MIX_SHARE}::DOUBLE) FROM leaf) AS b FROM leaf GROUP BY domain),"""
@@ -174,26 +174,27 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(with_path(docs).select("doc_id", "text", "path"))
 
 
-_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+_NOTICES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(licenses.TEMPLATES))
 _TERMS = "regexp_extract_all(lower({}), '" + licenses.WORD + "')"
 OP9_SQL = f"""WITH docs AS (SELECT doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') AS top, coalesce(doc_id, 0) AS num FROM documents),
 files AS (SELECT doc_id, text, CASE WHEN num % 80 = 0 THEN top ELSE top || '/' || (num // 1000) END AS folder,
   CASE WHEN num % 40 = 0 THEN 'LICENSE' ELSE num || '.txt' END AS name FROM docs),
-templates(name, notice) AS (VALUES {_NOTICES}),
-tw AS (SELECT name, word, count(*) AS tf FROM (SELECT name, unnest({_TERMS.format("notice")}) AS word FROM templates) GROUP BY ALL),
-seen AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS.format("text")})) AS word FROM docs) SEMI JOIN tw USING (word) GROUP BY word),
+templates(t, name, notice) AS (VALUES {_NOTICES}),
+tw AS (SELECT t, name, word, count(*) AS tf FROM (SELECT t, name, unnest({_TERMS.format("notice")}) AS word FROM templates) GROUP BY ALL),
+seen AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS.format("text")})) AS word FROM docs) GROUP BY word),
 size AS (SELECT count(*) AS n FROM docs),
-idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN seen USING (word), size),
-tv AS (SELECT name, word, tf * idf AS w FROM tw JOIN idf USING (word)),
-tn AS (SELECT name, word, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS u FROM tv),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM docs),
-near AS (SELECT * FROM lines WHERE len(list_intersect({_TERMS.format("line")}, (SELECT list(word) FROM idf))) > 0),
-words AS (SELECT doc_id, no, word, count(*) AS tf FROM (SELECT doc_id, no, unnest({_TERMS.format("line")}) AS word FROM near) GROUP BY ALL),
-lw AS (SELECT doc_id, no, word, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM words LEFT JOIN idf USING (word), size),
-norm AS (SELECT doc_id, no, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
-cosine AS (SELECT doc_id, no, name, round(sum(w * u) / any_value(norm), 6) AS score FROM lw JOIN tn USING (word) JOIN norm USING (doc_id, no) GROUP BY ALL),
-hits AS (SELECT doc_id, no, score, name, row_number() OVER (PARTITION BY doc_id, no ORDER BY score DESC, name) AS k FROM cosine WHERE score >= 0.75),
-own AS (SELECT doc_id, score, name, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, no) AS k FROM hits WHERE k = 1),
+idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT word FROM tw UNION SELECT word FROM seen) LEFT JOIN seen USING (word), size),
+tv AS (SELECT t, name, word, tf * idf AS w FROM tw JOIN idf USING (word)),
+tn AS (SELECT t, name, word, w / sqrt(sum(w * w) OVER (PARTITION BY t)) AS u FROM tv),
+parts AS (SELECT doc_id, 'line' AS kind, string_split(text, chr(10)) AS p FROM files UNION ALL
+  SELECT doc_id, 'block', string_split(regexp_replace(text, '{licenses.BLANK}', chr(12) || chr(0), 'g'), chr(12) || chr(0)) FROM files UNION ALL
+  SELECT doc_id, 'file', [text] FROM files WHERE name = 'LICENSE'),
+units AS (SELECT doc_id, kind, unnest(p) AS unit, generate_subscripts(p, 1) AS no FROM parts),
+words AS (SELECT doc_id, kind, no, word, count(*) AS tf FROM (SELECT doc_id, kind, no, unnest({_TERMS.format("unit")}) AS word FROM units) GROUP BY ALL),
+uw AS (SELECT doc_id, kind, no, word, tf * idf AS w FROM words JOIN idf USING (word)),
+norm AS (SELECT doc_id, kind, no, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
+cosine AS (SELECT doc_id, kind, no, t, name, round(sum(w * u) / any_value(norm), 6) AS score FROM uw JOIN tn USING (word) JOIN norm USING (doc_id, kind, no) GROUP BY ALL),
+own AS (SELECT doc_id, score, name, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS k FROM cosine WHERE score >= 0.75),
 known AS (SELECT files.doc_id, folder, files.name AS file, own.name AS lic, own.score FROM files LEFT JOIN own ON own.doc_id = files.doc_id AND own.k = 1),
 grants AS (SELECT folder AS above, lic AS given FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, lic DESC) AS k FROM known WHERE file = 'LICENSE' AND lic IS NOT NULL) WHERE k = 1),
 reach AS (SELECT f.folder, above, given, row_number() OVER (PARTITION BY f.folder ORDER BY length(above) DESC) AS k
