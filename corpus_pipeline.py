@@ -55,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slim = mixing.counted(with_domain(docs), ["doc_id", "domain", "lang", "source"])
     mixed = mixing.mix(slim, ["domain", "lang", "source"], MIX_WEIGHTS, share=MIX_SHARE, max_epochs=1, seed=MIX_SEED)
-    return mixing.with_text(mixed, docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return mixing.with_text(mixed, docs.select(*COLUMNS), ["doc_id", "lang", "source"]).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
