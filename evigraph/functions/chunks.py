@@ -114,3 +114,18 @@ def without_sections(df: DataFrame, key: str, names: list[str], text: str = "tex
     kept = lines.where(~F.coalesce("skip", F.lit(False)))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return kept.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(text))
+
+
+def chunk_text(df: DataFrame, key: str, strategy: str = "character", text: str = "text", size: int = 400, overlap: int = 80) -> DataFrame:
+    """(key, chunk_no, offset, chunk) by a strategy: ``sentence`` packs sentences, any other cuts windows of characters."""
+    if strategy != "sentence":
+        return chunk_by_chars(df, key, text, size, overlap)
+    made = df.select(key, F.posexplode(split_with(sentence_pieces, F.col(text), size=size, overlap=overlap)).alias("chunk_no", "c"))
+    return made.select(key, "chunk_no", "c.offset", F.col("c.text").alias("chunk"))
+
+
+def slices(df: DataFrame, key: str, text: str = "text", size: int = 6000) -> DataFrame:
+    """(key, chunk_no, offset, chunk): slices that do not overlap, for translations (6000) and summaries (5000)."""
+    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
+    rows = df.where(F.length(text) > 0).select(key, F.col(text).alias("_t"), F.posexplode(at).alias("chunk_no", "offset"))
+    return rows.select(key, "chunk_no", "offset", F.substring("_t", F.col("offset") + 1, F.lit(size)).alias("chunk"))

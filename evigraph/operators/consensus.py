@@ -64,3 +64,33 @@ def best_source(chapters: DataFrame, book: str = "book") -> DataFrame:
 def reliable(confidence_, agreed):
     """Whether a structure is used: confidence of 0.5 and two agreed chapters at least."""
     return (confidence_ >= 0.5) & (agreed >= 2)
+
+
+def domain_of(url):
+    """The host of a URL in lower case without ``www.``; a text that is no URL stands for itself."""
+    host = F.lower(F.regexp_replace(F.regexp_extract(url, "^.*?://([^/]*)", 1), "^www[.]", ""))
+    return F.when(F.contains(url, F.lit("://")), host).otherwise(url)
+
+
+def submitted(answers: DataFrame, key: str, chapters: str = "chapters", sources: str = "sources", confidence_: str = "confidence") -> DataFrame:
+    """(key, chapters, confidence, sources_agreed) of chapter lists that a model handed in.
+
+    Chapters (num, title, part) without a number get their place; lists with a chapter without title, and empty ones, are left
+    out; the confidence is clamped to 0 and 1; agreement is the number of different domains."""
+    plain = F.transform(F.col(chapters), lambda c, i: F.struct(F.coalesce(F.when(F.trim(c["num"]) != "", F.trim(c["num"])), (i + 1).cast("string")).alias("num"), F.trim(c["title"]).alias("title"), F.coalesce(F.trim(c["part"]), F.lit("")).alias("part")))
+    whole = (F.size(chapters) > 0) & ~F.exists(chapters, lambda c: F.coalesce(F.trim(c["title"]), F.lit("")) == "")
+    named = F.filter(F.transform(F.coalesce(sources, F.array()), lambda s: F.trim(s)), lambda s: s != "")
+    agreed = F.size(F.array_distinct(F.transform(named, domain_of))).alias("sources_agreed")
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(confidence_).cast("double"), F.lit(0.0)))).alias("confidence")
+    return answers.where(whole).select(key, plain.alias("chapters"), sure, agreed)
+
+
+def override(agreed: DataFrame, chapters: DataFrame, book: str = "book") -> DataFrame:
+    """(book, src, n, confidence) where one source's list replaces the agreed one: it is longer than four and than one and
+    a half times what was agreed.  Its confidence is 0.5 and 0.05 for each other source, 0.85 at most."""
+    n_agreed = agreed.groupBy(book).agg(F.count("*").alias("_agreed"))
+    others = chapters.groupBy(book).agg((F.count_distinct("src") - 1).alias("_others"))
+    both = best_source(chapters, book).join(n_agreed, book, "left").join(others, book)
+    had = F.coalesce("_agreed", F.lit(0))
+    wins = both.where((F.col("n") > F.greatest(had, F.lit(4))) & (F.col("n") > 1.5 * had))
+    return wins.select(book, "src", "n", F.least(F.lit(0.85), 0.5 + 0.05 * F.col("_others")).alias("confidence"))

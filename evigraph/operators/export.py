@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +78,80 @@ def replace_table(guide: Column, table: Column, heading: str) -> Column:
     there = F.regexp_replace(guide, F.lit(rf"(?m)^## {heading}[^\n]*\n(?:\s*\|[^\n]*\n?|\s*\n)*"), F.concat(safe, F.lit("\n")))
     before = F.concat(F.substring(guide, F.lit(1), at - 1), section, F.lit("\n"), F.substring(guide, at, F.length(guide)))
     return F.when(guide.rlike(rf"(?m)^## {heading}"), there).when(at > 0, before).otherwise(F.concat(guide, F.lit("\n\n"), section))
+
+
+def source_pairs(lists: DataFrame, key: str, sources: str = "sources") -> DataFrame:
+    """(key, first, second) of documents that name two sources or more: each two of a document's list, in its order."""
+    rows = lists.where(F.size(sources) >= 2).select(key, F.posexplode(F.array_distinct(sources)).alias("i", "first"))
+    other = rows.select(key, F.col("i").alias("j"), F.col("first").alias("second"))
+    return rows.join(other, key).where("i < j").select(key, "first", "second")
+
+
+def blog_posts(posts: DataFrame, existing: DataFrame, categories: list[str]) -> DataFrame:
+    """(slug, post) of posts (slug, title, date, category, tags, summary, body, graph): front matter and body, a graph section if
+    there is one.  A slug that exists is never written again, an unknown category is the first known one."""
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(x, F.lit("")), '(["\\\\])', r"\\$1"), F.lit('"'))
+    category = F.when(F.col("category").isin(categories), F.col("category")).otherwise(F.lit(categories[0]))
+    tags = F.concat(F.lit("["), F.array_join(F.transform("tags", quoted), ", "), F.lit("]"))
+    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), quoted(F.col("title"))), F.concat(F.lit("date: "), F.col("date")), F.concat(F.lit("category: "), category), F.concat(F.lit("tags: "), tags), F.concat(F.lit("summary: "), quoted(F.col("summary"))), F.lit("---"))
+    graph = F.when(F.col("graph").isNotNull(), F.concat(F.lit("\n\n## Graph\n\n"), F.col("graph"))).otherwise("")
+    new = posts.join(existing.select("slug"), "slug", "left_anti").dropDuplicates(["slug"])
+    return new.select("slug", F.concat(head, F.lit("\n\n"), F.coalesce("body", F.lit("")), graph, F.lit("\n")).alias("post"))
+
+
+def bilingual(blocks: DataFrame, titles: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, document): a JSON text of each document with its blocks (doc, pos, id, type, en, ja, level) in order.  A first heading
+    that is the title (doc, title) is a title block without level."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\\s+", " ")))
+    first = F.min(F.when(F.col("type") == "heading", F.col("pos"))).over(Window.partitionBy(doc)) == F.col("pos")
+    known = blocks.join(titles, doc).withColumn("_is", F.coalesce(first, F.lit(False)) & (plain(F.col("en")) == plain(F.col("title"))))
+    block = F.struct("pos", "id", F.when(F.col("_is"), "title").otherwise(F.col("type")).alias("type"), "en", "ja", F.when(~F.col("_is"), F.col("level")).alias("level"))
+    made = known.groupBy(doc, "title").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    rows = F.transform("b", lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["en"].alias("en"), x["ja"].alias("ja"), x["level"].alias("level")))
+    return made.select(doc, F.to_json(F.struct("title", rows.alias("blocks")), {"ignoreNullFields": "false"}).alias("document"))
+
+
+_INLINE = re.compile(r"\*\*(?P<bold>.+?)\*\*|\*(?P<italic>.+?)\*|`(?P<code>.+?)`|\[(?P<link>[^\]]+)\]\((?P<href>[^)]+)\)")
+
+
+def _inline(line: str) -> list[dict]:
+    out, at = [], 0
+    for m in _INLINE.finditer(line):
+        out += [{"type": "text", "text": line[at : m.start()]}] * (m.start() > at)
+        kind = next(k for k in ("bold", "italic", "code", "link") if m[k])
+        mark = {"type": kind} | ({"attrs": {"href": m["href"], "target": "_blank"}} if kind == "link" else {})
+        out.append({"type": "text", "text": m[kind], "marks": [mark]})
+        at = m.end()
+    return out + [{"type": "text", "text": line[at:]}] * (at < len(line))
+
+
+def rich_text(markdown: Column) -> Column:
+    """A draft as a JSON tree of headings, rules, lists, quotes and paragraphs with marked inline text.  The result is
+    nested to any depth, for which Spark has no expression."""
+
+    def paragraph(text: str) -> dict:
+        nodes: list[dict] = []
+        for i, line in enumerate(text.split("\n")):
+            nodes += [{"type": "hard_break"}] * (i > 0) + _inline(line)
+        return {"type": "paragraph", "content": nodes or [{"type": "text", "text": ""}]}
+
+    def block(text: str) -> dict | None:
+        if head := re.fullmatch(r"(#{1,4})\s+(.+)", text):
+            return {"type": "heading", "attrs": {"level": len(head[1])}, "content": paragraph(head[2].strip())["content"]}
+        if re.fullmatch("-{3,}", text):
+            return {"type": "horizontal_rule"}
+        if text.startswith(("- ", "* ")):
+            items = [paragraph(x[2:]) for x in text.split("\n") if re.match("[-*] .", x)]
+            return {"type": "bullet_list", "content": [{"type": "list_item", "content": [x]} for x in items]} if items else None
+        if text.startswith(">"):
+            inner = "\n".join(re.sub("^> ?", "", x) for x in text.split("\n"))
+            parts = [paragraph(x.strip()) for x in re.split(r"\n\n+", inner.strip()) if x.strip()]
+            return {"type": "blockquote", "content": parts} if parts else None
+        return paragraph(text)
+
+    @F.pandas_udf("string")
+    def tree(texts: pd.Series) -> pd.Series:
+        made = [[block(b.strip()) for b in re.split(r"\n\n+", (t or "").strip()) if b.strip()] for t in texts]
+        return pd.Series([json.dumps({"type": "doc", "content": [b for b in m if b]}, ensure_ascii=False) for m in made])
+
+    return tree(markdown)

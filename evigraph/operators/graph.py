@@ -125,3 +125,59 @@ def relevance(entities: DataFrame, terms: DataFrame, most: int = 30) -> DataFram
     scored = entities.withColumn("_text", text).join(F.broadcast(terms), F.contains("_text", F.col("term")))
     scored = scored.groupBy("name").agg(F.count("*").alias("score"))
     return scored.orderBy(F.desc("score"), "name").limit(most)
+
+
+def search(entities: DataFrame, term: str, most: int = 20) -> DataFrame:
+    """Entities whose name holds a term in any case, the surest first."""
+    return entities.where(F.contains(F.lower("name"), F.lit(term.lower()))).orderBy(F.desc("confidence"), "name").limit(most)
+
+
+def listing(sources: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Sources (source_id, title, source_type, created_at) in order of creation, all or those of ``ids``."""
+    kept = sources if ids is None else sources.join(ids.select("source_id").distinct(), "source_id", "left_semi")
+    return kept.select("source_id", "title", "source_type", "created_at").orderBy("created_at", "source_id")
+
+
+def _person_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    return mentions.select("source_id", "name").join(entities.where("type = 'person'").select("name"), "name", "left_semi").distinct()
+
+
+def sources_of(mentions: DataFrame, entities: DataFrame, speakers: list[str], given: DataFrame | None = None) -> DataFrame:
+    """(source_id, given) of the sources that mention one of the persons, after the ids that are given anyway."""
+    said = _person_mentions(mentions, entities).where(F.col("name").isin(speakers)).select("source_id").distinct().withColumn("given", F.lit(False))
+    if given is None:
+        return said
+    own = given.select("source_id").distinct()
+    return own.withColumn("given", F.lit(True)).unionByName(said.join(own, "source_id", "left_anti"))
+
+
+def sources_per_speaker(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name, n): in how many sources each person is, the most first."""
+    return _person_mentions(mentions, entities).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name")
+
+
+def material(mentions: DataFrame, entities: DataFrame, ids: DataFrame, types: list[str], most: int, inside: bool = True, least: float | None = None) -> DataFrame:
+    """Described entities of some types in the sources of ``ids`` (or in all others), the surest first."""
+    held = mentions.select("source_id", "name").distinct().join(ids.select("source_id").distinct(), "source_id", "left_semi" if inside else "left_anti")
+    kept = entities.where(F.col("type").isin(types) & F.col("description").isNotNull())
+    if least is not None:
+        kept = kept.where(F.col("confidence") >= least)
+    columns = ["source_id", "name", "type", "description", "confidence"]
+    return held.join(kept, "name").select(*columns).orderBy(F.desc("confidence"), "name", "source_id").limit(most)
+
+
+def common_entities(mentions: DataFrame, first, second) -> DataFrame:
+    """(name) that two sources both mention."""
+    one, other = (mentions.where(F.col("source_id") == s).select("name") for s in (first, second))
+    return one.distinct().join(other, "name", "left_semi")
+
+
+def processed(document: dict[str, DataFrame], tables: dict[str, DataFrame], keys: DataFrame, clear_old: bool = True) -> dict[str, DataFrame]:
+    """The log tables (sources, entities, relations, mentions) after processed documents are written.
+
+    ``keys`` are their source ids.  Their old relations go first, unless ``clear_old`` is off; then all rows are appended, and the
+    views (``upsert_sources`` and so on) see them as the latest.  Both have the same columns."""
+    out = dict(tables)
+    if clear_old:
+        out["relations"] = tables["relations"].join(keys.select("source_id").distinct(), "source_id", "left_anti")
+    return {name: out[name].unionByName(document[name]) if name in document else out[name] for name in out}

@@ -23,8 +23,11 @@ def running_lines(lines: DataFrame, doc: str = "doc", page: str = "page", text:
 
 def upper_median(df: DataFrame, by: list[str], value: str, default: float = 10.0) -> DataFrame:
     """(by, size): the value at place n // 2 of the sorted positive values."""
-    sizes = F.array_sort(F.collect_list(F.when(F.col(value) > 0, F.col(value))))
-    return df.groupBy(*by).agg(sizes.alias("_s")).select(*by, F.coalesce(F.get("_s", F.floor(F.size("_s") / 2).cast("int")), F.lit(default)).alias("size"))
+    counts = df.where(F.col(value) > 0).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))  # different sizes are few
+    up_to = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))
+    place = F.floor(F.sum("_n").over(Window.partitionBy(*by)) / 2)
+    found = counts.withColumn("_to", up_to).withColumn("_at", place).where("_to > _at").groupBy(*by).agg(F.min("_v").alias("_s"))
+    return df.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("_s", F.lit(default)).alias("size"))
 
 
 def dominant_size(spans: DataFrame, by: list[str]) -> DataFrame:
@@ -78,12 +81,12 @@ def merge_paragraphs(blocks: DataFrame, doc: str = "doc", order: str = "pos") ->
 
 
 def caption_label(text: Column) -> Column:
-    """``Figure 1`` or ``Table 2`` of a caption, else empty: a sign must follow the number, or the line be short."""
-    pattern = r"(?i)^\s*(fig(?:ure)?\.?|table)\s*([0-9]+)"
+    """``Figure 1``, ``Table 2`` or ``Algorithm 3`` of a caption, else empty: a sign must follow the number, or the line be short."""
+    pattern = r"(?i)^\s*(fig(?:ure)?\.?|table|algorithm|alg\.?)\s*([0-9]+)"
     kind, number = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     signed = text.rlike(pattern + r"\s*[:.—\-]")
     short = F.size(F.split(strip(text), r"(?U)\s+")) <= 8
-    label = F.concat(F.when(F.lower(kind).startswith("table"), "Table ").otherwise("Figure "), number)
+    label = F.concat(F.when(F.lower(kind).startswith("table"), "Table ").when(F.lower(kind).startswith("alg"), "Algorithm ").otherwise("Figure "), number)
     return F.when((number != "") & (signed | short), label).otherwise("")
 
 
@@ -187,7 +190,7 @@ def attach_captions(blocks: DataFrame, doc: str = "doc", reach: int = 5) -> Data
     return blocks.groupBy(doc).applyInPandas(fold, f"`{doc}` {blocks.schema[doc].dataType.simpleString()}, figure int, caption int")
 
 
-
+# Words of an affiliation, the form of a section number.
 AFFILIATION = r"(?i)(@|\.edu|\.com|\buniversit|\binstitut|\bgoogle\b|\bmicrosoft\b|\bdeepmind\b|\bresearch\b|\blaborator|\bcollege\b|\bacadem|\binc\b|\bllc\b)"
 SECTION_NUMBER = r"^(\d+(?:\.\d+)*)\.?\s+.+$"
 

@@ -90,3 +90,32 @@ def decision(score, answer):
 def added(after: DataFrame, before: DataFrame, key: str) -> DataFrame:
     """What is there after and was not before, in order."""
     return after.select(key).distinct().join(before.select(key), key, "left_anti").orderBy(key)
+
+
+def insert(state: DataFrame, new: DataFrame, keys: list[str], now, skip_if_exists: bool = True) -> DataFrame:
+    """Rows to append to the log for new items (keys, title), all pending: those that the state lacks, or all, which
+    sets what is there back."""
+    items = new.dropDuplicates(keys)
+    if skip_if_exists:
+        items = items.join(state.select(*keys), keys, "left_anti")
+    return items.select(*keys, F.lit("pending").alias("status"), "title", now.alias("at"))
+
+
+def lookup(state: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, present, status) of the items asked for."""
+    known = state.select(*keys, "status").withColumn("present", F.lit(True))
+    return wanted.select(*keys).distinct().join(known, keys, "left").select(*keys, F.coalesce("present", F.lit(False)).alias("present"), "status")
+
+
+def popular(comments: DataFrame, first: int = 50, most: int = 30, by: list[str] | None = None) -> DataFrame:
+    """(by, pos, score, text) of comments (by, pos, votes, reply_count, text): of the first so many of each group those with most votes and
+    answers, an answer worth ten votes; texts cut at 300 characters."""
+    scored = comments.withColumn("score", F.col("votes") + 10 * F.col("reply_count"))
+    groups = by or []
+    at = Window.partitionBy(*groups) if groups else None
+    if at is None:
+        top = scored.orderBy("pos").limit(first).orderBy(F.desc("score"), "pos").limit(most)
+    else:
+        met = scored.withColumn("_k", F.row_number().over(at.orderBy("pos"))).where(F.col("_k") <= first)
+        top = met.withColumn("_k", F.row_number().over(at.orderBy(F.desc("score"), "pos"))).where(F.col("_k") <= most)
+    return top.select(*groups, "pos", "score", F.substring("text", 1, 300).alias("text"))

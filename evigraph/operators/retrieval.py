@@ -2,42 +2,141 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import tokenize, word_set
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Claim tokens (over all claims) that are broadcast at most; more are joined by token.
+MOST_ASKED = 1_000_000
+#: Claims and rows that are scored at a time.
+CLAIM_BLOCK, ROW_BLOCK = 256, 512
+#: Marks in the table of counts: the number of chunks, and their tokens in all.
+_ALL, _SIZE = "", " "
+
+
+def _counts(chunks: DataFrame, k: str) -> DataFrame:
+    """(token, n): in how many chunks each token is, with two marks; one pass, map-side partial sums."""
+    one = F.transform(F.array_distinct(k), lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("n")))
+    marks = F.array(*[F.struct(F.lit(m).alias("token"), n.cast("long").alias("n")) for m, n in ((_ALL, F.lit(1)), (_SIZE, F.size(k)))])
+    return chunks.select(F.explode(F.concat(one, marks)).alias("e")).groupBy("e.token").agg(F.sum("e.n").alias("n"))
+
+
+def _weights(counts: DataFrame) -> DataFrame:
+    n = F.coalesce(counts.where(F.col("token") == _ALL).agg(F.max("n")).scalar(), F.lit(0)).cast("double")
+    raw = counts.where(~F.col("token").isin(_ALL, _SIZE)).withColumn("raw", F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("token", F.col("n").alias("df"), F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def term_weights(chunks: DataFrame, k: str = "tokens") -> DataFrame:
     """(token, df, idf): idf may be negative; then it is ``EPSILON`` times the mean of all raw values.
 
     Distinct tokens are counted with map-side partial sums; only one number per token is shuffled."""
-    df = chunks.select(F.explode(F.array_distinct(k)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").cast("double")).scalar()
-    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw")).scalar()
-    return raw.select("token", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+    return _weights(_counts(chunks, k))
+
+
+def _blocks(asked: pd.DataFrame) -> list[tuple[np.ndarray, dict[str, int], np.ndarray]]:
+    """Claims in blocks: their numbers, the column of each token, and the weights (tokens x claims)."""
+    out = []
+    claims = np.unique(asked["c"])
+    for a in range(0, len(claims), CLAIM_BLOCK):
+        part = asked[asked["c"].isin(claims[a : a + CLAIM_BLOCK])]
+        tokens = {t: i for i, t in enumerate(sorted(set(part["token"])))}
+        weight = np.zeros((len(tokens), len(claims[a : a + CLAIM_BLOCK])))
+        weight[part["token"].map(tokens), np.searchsorted(claims[a : a + CLAIM_BLOCK], part["c"])] = part["weight"]
+        out.append((claims[a : a + CLAIM_BLOCK], tokens, weight))
+    return out
+
+
+def _scored(lists: list, blocks: list, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, claims, scores) of token lists by blocks; ``value`` turns counts and list sizes into amounts."""
+    for a in range(0, len(lists), ROW_BLOCK):
+        part = lists[a : a + ROW_BLOCK]
+        sizes = np.array([len(x) for x in part])
+        row = np.repeat(np.arange(len(part)), sizes)
+        words = [t for x in part for t in x]
+        for claims, tokens, weight in blocks:
+            column = np.fromiter((tokens.get(t, -1) for t in words), dtype=np.int64, count=len(words))
+            at, times = np.unique(row[column >= 0] * len(tokens) + column[column >= 0], return_counts=True)
+            amount = np.zeros((len(part), len(tokens)))
+            amount.ravel()[at] = value(times, sizes[at // max(1, len(tokens))])
+            yield a, claims, amount @ weight
 
 
 def top_k(claims: DataFrame, chunks: DataFrame, k: int = 5, claim: str = "claim_id", claim_text: str = "claim", order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """(claim, rank, *order, score): the ``k`` best chunks of each claim, then those of positive score.
 
-    ``chunks`` has the ``order`` columns and ``chunk``; ties go to the earlier chunk.  Postings are made
-    for the claims' tokens only; scores are rounded so that the order of summation decides no tie."""
+    ``chunks`` has the ``order`` columns and ``chunk``; ties go to the earlier chunk.  The weights of the claims' tokens are
+    broadcast if they are few (``MOST_ASKED``): each task scores its chunks by a matrix product and keeps ``k`` for each claim, so
+    that nothing is exchanged by token.  More claims than that are joined to postings by token.  Scores are rounded so that
+    the order of summation decides no tie."""
     tokens = chunks.select(*order, tokenize(F.col("chunk")).alias("tokens")).withColumn("size", F.size("tokens"))
     asked = claims.select(claim, F.explode(tokenize(F.col(claim_text))).alias("token")).groupBy(claim, "token").agg(F.count("*").alias("qf"))
-    weights = term_weights(tokens).join(asked.select("token").distinct(), "token", "left_semi").select("token", "idf")
+    counts = _counts(tokens, "tokens")
+    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    if few:
+        scored = _top_by_block(tokens, asked, counts, k, claim, order)
+    else:
+        scored = _scored_by_token(tokens, asked, counts, claim, order)
+    best = Window.partitionBy(claim).orderBy(F.desc("score"), *order)
+    return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0)).select(claim, "rank", *order, "score")
+
+
+def _top_by_block(tokens: DataFrame, asked: DataFrame, counts: DataFrame, k: int, claim: str, order: tuple[str, ...]) -> DataFrame:
+    """(claim, *order, score): the best of each batch."""
+    marked = F.col("token").isin(_ALL, _SIZE)
+    weights = _weights(counts).join(asked, "token").select(claim, "token", (F.col("qf") * F.col("idf")).alias("weight"))
+    totals = counts.where(marked).select(F.lit(None).cast(asked.schema[claim].dataType).alias(claim), "token", F.col("n").cast("double").alias("weight"))
+    rows = weights.unionByName(totals).toArrow().to_pydict()  # not through pandas, which makes whole numbers with nulls inexact
+    total = {t: w for t, w in zip(rows["token"], rows["weight"], strict=True) if t in (_ALL, _SIZE)}
+    average = total.get(_SIZE, 0.0) / max(1.0, total.get(_ALL, 0.0))
+    place: dict = {}
+    known = [(place.setdefault(c, len(place)), t, w) for c, t, w in zip(rows[claim], rows["token"], rows["weight"], strict=True) if t not in (_ALL, _SIZE)]
+    names, known = list(place), pd.DataFrame(known, columns=["c", "token", "weight"])
+    shared = tokens.sparkSession.sparkContext.broadcast((names, _blocks(known)))
+    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in [(claim, asked.schema[claim].dataType), *((c, tokens.schema[c].dataType) for c in order)]) + ", score double"
+
+    def amount(times: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return times * (K1 + 1) / (times + K1 * (1 - B + B * size / average))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, blocks = shared.value
+        for batch in batches:
+            found = []
+            for a, claims, scores in _scored(list(batch["tokens"]), blocks, amount):
+                scores = np.round(scores, 6)
+                least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else 0.0  # those equal to the k-th stay in
+                row, column = np.nonzero((scores > 0) & (scores >= least))
+                found.append(batch.iloc[a + row][list(order)].assign(c=claims[column], score=scores[row, column]))
+                if len(found) > 64:
+                    found = [_best(found, k, order)]
+            if found:
+                best = _best(found, k, order)
+                yield best.assign(**{claim: [names[i] for i in best["c"]]})[[claim, *order, "score"]]
+
+    return tokens.select(*order, "tokens").mapInPandas(score, schema)
+
+
+def _best(found: list[pd.DataFrame], k: int, order: tuple[str, ...]) -> pd.DataFrame:
+    rows = pd.concat(found, ignore_index=True).sort_values(["c", "score", *order], ascending=[True, False, *[True] * len(order)])
+    return rows.groupby("c").head(k)
+
+
+def _scored_by_token(tokens: DataFrame, asked: DataFrame, counts: DataFrame, claim: str, order: tuple[str, ...]) -> DataFrame:
+    weights = _weights(counts).join(asked.select("token").distinct(), "token", "left_semi").select("token", "idf")
     average = tokens.agg(F.avg("size")).scalar()
     postings = tokens.select(*order, "size", F.explode("tokens").alias("token")).join(weights.select("token"), "token", "left_semi")
     postings = postings.groupBy(*order, "size", "token").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / average)
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scored = postings.join(weights, "token").join(asked, "token").withColumn("part", part)
-    scored = scored.groupBy(claim, *order).agg(F.round(F.sum("part"), 6).alias("score"))
-    best = Window.partitionBy(claim).orderBy(F.desc("score"), *order)
-    return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0)).select(claim, "rank", *order, "score")
+    return scored.groupBy(claim, *order).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def confidence(verdicts: DataFrame, by: list[str], verdict: str = "verdict") -> DataFrame:
@@ -72,12 +171,38 @@ def best_sections(claims: DataFrame, sections: DataFrame, claim: str = "claim_id
     usable = sections.where("section > 0 and body <> ''")
     for word in skip:
         usable = usable.where(~F.col("header").contains(word))
-    held = usable.select("doc_id", "section", F.explode(word_set(F.concat_ws(" ", "header", "body"))).alias("token"))
-    asked = claims.select(claim, word_set(F.col(claim_text)).alias("tokens")).withColumn("size", F.size("tokens"))
-    asked = asked.select(claim, "size", F.explode("tokens").alias("token"))
-    scored = held.join(asked, "token").groupBy(claim, "doc_id", "section").agg((F.count("*") / F.first("size")).alias("score"))
+    held = usable.select("doc_id", "section", word_set(F.concat_ws(" ", "header", "body")).alias("tokens"))
+    asked = claims.select(claim, word_set(F.col(claim_text)).alias("tokens")).where(F.size("tokens") > 0)
+    few = asked.select(F.explode("tokens")).limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    scored = _shares_by_block(held, asked, claim, least) if few else _shares_by_token(held, asked, claim)
     first = Window.partitionBy(claim, "doc_id").orderBy(F.desc("score"), "section")
-    return scored.withColumn("_k", F.row_number().over(first)).where((F.col("_k") == 1) & (F.col("score") >= least)).drop("_k")
+    return scored.where(F.col("score") >= least).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+
+
+def _shares_by_block(held: DataFrame, asked: DataFrame, claim: str, least: float) -> DataFrame:
+    """(claim, doc_id, section, score) of at least ``least``; the claims' tokens are broadcast, sections stay where they are."""
+    known = asked.toArrow().to_pydict()
+    rows = [(i, t, 1.0) for i, tokens in enumerate(known["tokens"]) for t in tokens]
+    size = np.array([len(x) for x in known["tokens"]], dtype=float)
+    shared = held.sparkSession.sparkContext.broadcast((known[claim], size, _blocks(pd.DataFrame(rows, columns=["c", "token", "weight"]))))
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, size, blocks = shared.value
+        for batch in batches:
+            doc, section = batch["doc_id"].to_numpy(), batch["section"].to_numpy()
+            for a, claims, common in _scored(list(batch["tokens"]), blocks, lambda times, _: times):
+                score = np.rint(common) / size[claims]
+                row, column = np.nonzero((score >= least) & (common > 0))
+                yield pd.DataFrame({claim: [names[i] for i in claims[column]], "doc_id": doc[a + row], "section": section[a + row], "score": score[row, column]})
+
+    kinds = [(claim, asked.schema[claim].dataType), ("doc_id", held.schema["doc_id"].dataType), ("section", held.schema["section"].dataType)]
+    return held.mapInPandas(share, ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", score double")
+
+
+def _shares_by_token(held: DataFrame, asked: DataFrame, claim: str) -> DataFrame:
+    asked = asked.select(claim, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    scored = held.select("doc_id", "section", F.explode("tokens").alias("token")).join(asked, "token").groupBy(claim, "doc_id", "section")
+    return scored.agg((F.count("*") / F.first("size")).alias("score"))
 
 
 def keep_rewrite(old: Column, new: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.text import strip
 
-TEXT_ENDINGS = "*.{txt,md,rst,TXT,MD,RST}"
+TEXT_ENDINGS = "*.{[tT][xX][tT],[mM][dD],[rR][sS][tT]}"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -17,8 +17,14 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ordered_sources(texts: DataFrame) -> DataFrame:
-    """With ``source_no``, the place in path order; file lists are small."""
-    return texts.withColumn("source_no", F.row_number().over(Window.orderBy("source")) - 1)
+    """With ``source_no``, the place in path order.  The names alone are numbered, folder by folder, and the
+    numbers joined to the texts."""
+    names = texts.select("source").groupBy("source").agg(F.count("*").alias("_times")).withColumn("_folder", F.regexp_replace("source", "[^/]*$", ""))
+    sizes = names.groupBy("_folder").agg(F.sum("_times").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_times").over(Window.partitionBy("_folder").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = names.withColumn("_at", inside).join(sizes.select("_folder", before.alias("_before")), "_folder")
+    return texts.join(at.select("source", (F.col("_before") + F.col("_at")).cast("int").alias("source_no")), "source")
 
 
 def strip_gutenberg(text: Column) -> Column:
@@ -33,7 +39,12 @@ def strip_gutenberg(text: Column) -> Column:
 
 def read_queue(spark: SparkSession, path: str, types: list[str]) -> DataFrame:
     """(source_type, source_id) of lines ``type id``; comments, blanks and unknown types are left out."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#')")
+    return queue_items(spark.read.text(path), types)
+
+
+def queue_items(lines: DataFrame, types: list[str], line: str = "value") -> DataFrame:
+    """(source_type, source_id) of queue lines."""
+    lines = lines.select(F.trim(line).alias("line")).where("line <> '' and not startswith(line, '#')")
     parts = F.split("line", r"\s+", 2)
     return lines.select(parts[0].alias("source_type"), F.get(parts, F.lit(1)).alias("source_id")).where(F.col("source_type").isin(types) & F.col("source_id").isNotNull())
 
@@ -64,3 +75,23 @@ def carried_sections(lines: DataFrame, key: str, line_no: str = "line_no", line:
     so_far = Window.partitionBy(key).orderBy(line_no).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heading = F.when(F.col(line).rlike("^## "), F.regexp_replace(line, "^## +", ""))
     return lines.withColumn("section", F.last(heading, ignorenulls=True).over(so_far))
+
+
+def episode_rows(lines: DataFrame, key: str, line_no: str = "line_no", line: str = "line", channel: str | None = None) -> DataFrame:
+    """(key, line_no, video_id, title, date, channel) of the lines of Markdown tables that link a video; channel: the
+    section they stand in, which must hold the word asked for."""
+    rows = carried_sections(lines, key, line_no, line).withColumn("video_id", F.regexp_extract(line, r"youtube\.com/watch\?v=([A-Za-z0-9_-]{11})", 1))
+    rows = rows.where((F.col("video_id") != "") & ~F.col(line).rlike("^## "))
+    section = F.coalesce("section", F.lit(""))
+    if channel:
+        rows = rows.where(F.contains(F.lower(section), F.lit(channel.lower())))
+    title = F.regexp_extract(line, r"\[([^\]]+)\]\(https://www\.youtube", 1).alias("title")
+    return rows.select(key, line_no, "video_id", title, F.regexp_extract(line, r"^\|\s*(\d{4}-\d{2}-\d{2})\s*\|", 1).alias("date"), section.alias("channel"))
+
+
+def channel_entries(entries: DataFrame, now: Column, days: int) -> DataFrame:
+    """Entries of a channel feed (id, link, title, published): the id from its tag, else from the link; the last ``days`` and what has
+    no date, which counts as of now."""
+    video = F.coalesce(F.when(F.trim("id") != "", F.regexp_replace("id", "^yt:video:", "")), F.regexp_extract("link", r"[?&]v=([A-Za-z0-9_-]+)", 1))
+    kept = recent(entries.withColumn("video_id", video), "published", now, days)
+    return kept.where("video_id <> ''").select("video_id", "title", F.coalesce("published", now).alias("published"))
