@@ -42,7 +42,7 @@ RADIUS = 7
 TURNS = 36
 BITS, PARTS = 256, 8
 #: The parts that are keys, and by how many bits the sketches of one corner may differ.
-TABLES, CLOSE = (0, 2, 4, 6), 5
+TABLES, CLOSE = (0, 2, 4, 6), 4
 #: Shared corners that make a candidate, Hamming distance of a match, agreeing matches that make a link.
 SHARED, NEAR, AGREE = 3, 56, 6
 #: Images in a block of a key's list; pairs that a task makes at a time; pixels that are described at a time.
@@ -302,6 +302,11 @@ def _agree(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([min(agreeing(x, y), agreeing(y, x)) for x, y in zip(xs, ys, strict=True)])
 
 
+def _sharing(pairs: DataFrame, parts: int) -> DataFrame:
+    """(a, b, n) of pairs with ``SHARED`` different corners; one exchange serves both counts."""
+    return pairs.repartition(parts, "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose corners agree."""
     left = nodes.select(F.col("node").alias("a"), F.col("corners").alias("x"))
@@ -339,7 +344,7 @@ def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") ->
         entries = _labelled(nodes, label).select("node", "part_of", "corners").mapInArrow(lambda it, t=tables: _keys(it, t), entry)
         order = F.xxhash64(F.lit(turn), "node")
         pairs = entries.repartition(parts, "key").sortWithinPartitions("key", order).mapInArrow(_heads, "a long, b long, corner long")
-        pairs = pairs.groupBy("a", "b").agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= SHARED)
+        pairs = _sharing(pairs, parts)
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
         new = _verified(best, nodes, "copies")
         links = new if links is None else links.unionByName(new)
@@ -353,7 +358,7 @@ def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") ->
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
     met = met.select(group, "node", "part_of", "corner", "sketch", "own", (F.col("own") != F.col("other")).alias("cross"))
     pairs = met.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_candidates, "a long, b long, corner long")
-    pairs = pairs.groupBy("a", "b").agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= SHARED)
+    pairs = _sharing(pairs, parts)
     links = links.unionByName(_verified(pairs, nodes, "copies"))
     label = components(links)
 
