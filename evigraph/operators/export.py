@@ -102,7 +102,7 @@ def blog_posts(posts: DataFrame, existing: DataFrame, categories: list[str]) ->
 def bilingual(blocks: DataFrame, titles: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, document): a JSON text of each document with its blocks (doc, pos, id, type, en, ja, level) in order.  A first heading
     that is the title (doc, title) is a title block without level."""
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\\s+", " ")))
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
     first = F.min(F.when(F.col("type") == "heading", F.col("pos"))).over(Window.partitionBy(doc)) == F.col("pos")
     known = blocks.join(titles, doc).withColumn("_is", F.coalesce(first, F.lit(False)) & (plain(F.col("en")) == plain(F.col("title"))))
     block = F.struct("pos", "id", F.when(F.col("_is"), "title").otherwise(F.col("type")).alias("type"), "en", "ja", F.when(~F.col("_is"), F.col("level")).alias("level"))
