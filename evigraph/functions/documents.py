@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.text import drop_thoughts, strip
 
+# The heading of a conclusion and of what follows it, and the forms of lines in a model's summary.
+CONCLUSION = r"^(\d+\.?\s+)?[Cc]onclu(sion|ding|de)"
+NUMBERED = r"^\d+\.?\s+[A-Z]"
+TLDR = r"(?i)^TL;?DR\s*[:：]\s*(.+)$"
+BULLET = r"^[-・*]\s*(.+)$"
+POINT = r"(?i)^(要点|ポイント|point)\s*\d+\s*[:：.]\s*"
+
 
 def conclusions(df: DataFrame, key: str, text: str = "text", most: int = 3000) -> DataFrame:
     """(key, conclusion): from the heading of the conclusion to the next numbered heading; else the last 30 %."""
     lines = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("n", "line"))
-    head = F.trim("line").rlike(r"^(\d+\.?\s+)?[Cc]onclu(sion|ding|de)")
+    head = F.trim("line").rlike(CONCLUSION)
     starts = lines.where(head).groupBy(key).agg(F.min("n").alias("start"))
     inside = lines.join(starts, key).where("n > start")
-    stops = inside.where(F.trim("line").rlike(r"^\d+\.?\s+[A-Z]")).groupBy(key).agg(F.min("n").alias("stop"))
+    stops = inside.where(F.trim("line").rlike(NUMBERED)).groupBy(key).agg(F.min("n").alias("stop"))
     kept = inside.join(stops, key, "left").where(F.col("stop").isNull() | (F.col("n") < F.col("stop")))
     ordered = F.array_sort(F.collect_list(F.struct("n", "line")))
     found = kept.groupBy(key).agg(strip(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("found"))
@@ -34,11 +41,11 @@ def keywords(summary: Column, heading: str = "キーワード", most: int = 10)
 def parse_summary(text: Column) -> Column:
     """struct(tldr, points) of a model's summary: a TLDR line (else the first line) and up to five different points."""
     lines = F.transform(F.split(drop_thoughts(text), r"\r?\n"), lambda x: strip(x))
-    marked = F.filter(lines, lambda x: x.rlike(r"(?i)^TL;?DR\s*[:：]\s*.+$"))
-    tldr = strip(F.regexp_extract(F.get(F.slice(F.reverse(marked), 1, 1), F.lit(0)), r"(?i)^TL;?DR\s*[:：]\s*(.+)$", 1))
+    marked = F.filter(lines, lambda x: x.rlike(TLDR))
+    tldr = strip(F.regexp_extract(F.get(F.slice(F.reverse(marked), 1, 1), F.lit(0)), TLDR, 1))
     other = F.get(F.filter(lines, lambda x: (x != "") & ~F.upper(x).rlike("^(POINTS|TLDR)")), F.lit(0))
-    bullets = F.filter(lines, lambda x: x.rlike(r"^[-・*]\s*.+$"))
-    points = F.transform(bullets, lambda x: strip(F.regexp_replace(F.regexp_replace(x, r"^[-・*]\s*", ""), r"(?i)^(要点|ポイント|point)\s*\d+\s*[:：.]\s*", "")))
+    bullets = F.filter(lines, lambda x: x.rlike(BULLET))
+    points = F.transform(bullets, lambda x: strip(F.regexp_replace(F.regexp_extract(x, BULLET, 1), POINT, "")))
     first = F.slice(F.array_distinct(F.filter(points, lambda p: p != "")), 1, 5)
     return F.struct(F.coalesce(F.when(F.coalesce(tldr, F.lit("")) != "", tldr), other, F.lit("")).alias("tldr"), first.alias("points"))
 

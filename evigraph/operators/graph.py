@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Words of a relevance query.
+MOST_TERMS = 1_000
+
+
 def upsert_sources(log: DataFrame, seq: str = "seq") -> DataFrame:
     """The last row written for each source."""
     columns = [c for c in log.columns if c != "source_id"]
@@ -120,11 +124,14 @@ def attributed(mentions: DataFrame, people: DataFrame, entities: DataFrame, said
 
 
 def relevance(entities: DataFrame, terms: DataFrame, most: int = 30) -> DataFrame:
-    """Entities by how many ``terms`` (a bounded list of words) their name or description holds."""
-    text = F.lower(F.concat_ws(" ", "name", "description"))
-    scored = entities.withColumn("_text", text).join(F.broadcast(terms), F.contains("_text", F.col("term")))
-    scored = scored.groupBy("name").agg(F.count("*").alias("score"))
-    return scored.orderBy(F.desc("score"), "name").limit(most)
+    """Entities by how many ``terms`` (a list of at most ``MOST_TERMS`` words) their name or description holds.  The list is one
+    array beside each row: nothing is joined."""
+    words = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(words) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    text, listed = F.lower(F.concat_ws(" ", "name", "description")), F.array(*map(F.lit, sorted(words))).cast("array<string>")
+    scored = entities.select("name", F.size(F.filter(listed, lambda t: F.contains(text, t))).cast("long").alias("score")).where("score > 0")
+    return scored.groupBy("name").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "name").limit(most)
 
 
 def search(entities: DataFrame, term: str, most: int = 20) -> DataFrame:

@@ -190,14 +190,17 @@ def attach_captions(blocks: DataFrame, doc: str = "doc", reach: int = 5) -> Data
     return blocks.groupBy(doc).applyInPandas(fold, f"`{doc}` {blocks.schema[doc].dataType.simpleString()}, figure int, caption int")
 
 
-# Words of an affiliation, the form of a section number.
+# Words of an affiliation, the form of a section number, of the two headings that count and of a broken word.
+REFERENCES_HEAD = r"(?i)^(references|bibliography|参考文献)\s*$"
+ABSTRACT_HEAD = r"(?i)^abstract\s*$"
+BROKEN_WORD = r"(?U)(\w)[\u00ad-]\n(\w)"
 AFFILIATION = r"(?i)(@|\.edu|\.com|\buniversit|\binstitut|\bgoogle\b|\bmicrosoft\b|\bdeepmind\b|\bresearch\b|\blaborator|\bcollege\b|\bacadem|\binc\b|\bllc\b)"
 SECTION_NUMBER = r"^(\d+(?:\.\d+)*)\.?\s+.+$"
 
 
 def joined_lines(text: Column) -> Column:
     """Words that were broken at line ends joined, single line ends to blanks, paragraph breaks kept."""
-    whole = F.regexp_replace(text, r"(?U)(\w)[\x{00ad}-]\n(\w)", "$1$2")
+    whole = F.regexp_replace(text, BROKEN_WORD, "$1$2")
     return F.trim(F.regexp_replace(F.regexp_replace(whole, r"[ \t]*(?<!\n)\n(?!\n)[ \t]*", " "), r"[ \t]{2,}", " "))
 
 
@@ -223,8 +226,8 @@ def segmented(blocks: DataFrame, sizes: DataFrame, skip_references: bool = True,
     known = blocks.join(sizes, "doc").withColumn("text", joined_lines(F.coalesce("text", F.lit("")))).withColumn("_level", heading_level(F.col("text"), F.col("font_size"), F.col("bold"), F.col("size")))
     before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_text = F.col("kind") == "text"
-    refs_head = is_text & F.col("text").rlike(r"(?i)^(references|bibliography|参考文献)\s*$")
-    abstract_head = F.col("text").rlike(r"(?i)^abstract\s*$")
+    refs_head = is_text & F.col("text").rlike(REFERENCES_HEAD)
+    abstract_head = F.col("text").rlike(ABSTRACT_HEAD)
     author = (F.col("page") == 1) & (F.col("_level").isNotNull() | F.contains("text", F.lit("@"))) & F.col("text").rlike(AFFILIATION) & ~F.col("text").rlike(SECTION_NUMBER) & ~abstract_head
     known = known.withColumn("_head", refs_head).withColumn("_author", is_text & author)
     known = known.withColumn("_refs", F.max(F.col("_head").cast("int")).over(before) == 1)
