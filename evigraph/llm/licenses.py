@@ -4,9 +4,8 @@ Notices, headers and licence files are compared to license templates by the cosi
 every whole text are its lines, its blocks (paragraphs: a comment header over several lines is one, comment marks are no
 words) and, for a licence file, the whole file.  The templates are notices, headers, titles and opening paragraphs, and full
 texts where they are short; further full texts can be given (``full_texts``).  Document frequencies are counted over all
-documents, for the templates' words and for those of the units compared.  A unit can reach the threshold only with one of a
-template's heaviest words (those without which the template's own weight falls below it), so units without any are passed
-over before they are cut into words; this loses nothing.
+documents, for the templates' words and for those of the units compared.  Texts, and then units, whose words cannot reach the
+threshold with any template are passed over before they are cut into counted words; this loses nothing.
 
 A file's own license is that of its best unit.  A file without one inherits from the nearest directory at or above its
 own that holds a licence file with a license: directories (far fewer than files) are joined to their
@@ -104,18 +103,27 @@ def _template_weights(df: DataFrame, text: str, templates: Sequence[tuple[str, s
     return vectors, idf, n
 
 
-def _needed(vectors: Sequence[dict[str, float]], threshold: float) -> set[str]:
-    """Words of which a unit must hold one to be near a template: without them the template's length is short
-    of the threshold."""
-    out: set[str] = set()
-    for v in vectors:
-        left = 1.0
-        for word, x in sorted(v.items(), key=lambda kv: (-kv[1], kv[0])):
-            if math.sqrt(max(0.0, left)) < threshold - 1e-9:
-                break
-            out.add(word)
-            left -= x * x
-    return out
+def _near(text: Column, vectors: Sequence[dict[str, float]], threshold: float) -> Column:
+    """Whether a text's words can be near a template: its cosine is at most the length of the template's part that it
+    shares, here taken over all templates at once.  What holds for a whole text's words holds for each of its units."""
+    words = sorted({w for v in vectors for w in v})
+    return _worth(terms(text), words, vectors) >= threshold**2 - 1e-9
+
+
+def _worth(found: Column, words: list[str], vectors: Sequence[dict[str, float]]) -> Column:
+    square = F.create_map(*[F.lit(x) for w in words for x in (w, max(v.get(w, 0.0) for v in vectors) ** 2)])
+    return F.aggregate(F.array_intersect(found, F.array(*map(F.lit, words))), F.lit(0.0), lambda total, w: total + F.try_element_at(square, w))
+
+
+def _unit_near(unit: Column, vectors: Sequence[dict[str, float]], idf: dict[str, float], threshold: float) -> Column:
+    """Whether a unit can be near a template.  With p the squared length of its part of template words, and at least 1 for
+    every other word (no inverse frequency is under 1), its squared cosine is at most worth x p / (p + other words)."""
+    found, words = terms(unit), sorted(idf)
+    known = F.array(*map(F.lit, words))
+    weight = F.create_map(*[F.lit(x) for w in words for x in (w, idf[w])])
+    part = F.aggregate(F.array_intersect(found, known), F.lit(0.0), lambda total, w: total + F.pow(F.size(F.filter(found, lambda x: x == w)) * F.try_element_at(weight, w), F.lit(2.0)))
+    worth = F.least(F.lit(1.0), _worth(found, words, vectors))
+    return worth * part >= threshold**2 * (part + F.size(F.array_except(found, known))) - 1e-6
 
 
 def _units(df: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
@@ -138,8 +146,9 @@ def license_units(
 ) -> DataFrame:
     """key, kind, no, license, score: units at or above the threshold with their best template's license."""
     vectors, idf, n = _template_weights(df, text, templates)
-    held = "|".join(w.replace(".", r"\.") for w in sorted(_needed(vectors, threshold)))
-    units = _units(df, key, text, path).where(F.lower("unit").rlike(rf"(?<![a-z0-9])(?:{held})(?![a-z0-9])"))
+    kept = [c for c in dict.fromkeys((key, text, path)) if c]
+    units = _units(df.select(*kept).where(_near(F.col(text), vectors, threshold)), key, text, path)
+    units = units.where(_unit_near(F.col("unit"), vectors, idf, threshold))
     words = units.select("key", "kind", "no", F.xxhash64("unit").alias("of"), F.explode(terms(F.col("unit"))).alias("word"))
     unit = ["key", "kind", "no", "of"]
     counted = stage(words.groupBy(*unit, "word").agg(F.count("*").cast("double").alias("tf")), "license-words")
