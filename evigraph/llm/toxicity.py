@@ -151,10 +151,15 @@ def train(
     weight = np.concatenate([b[1] / (PAD + b[1].sum()) for b in bags]).astype(np.float32)
     back = np.argsort(word, kind="stable")
     word_start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(ids)))])
-    features, feature_start = subwords(list(ids), buckets)
-    feature_owner = np.repeat(np.arange(len(ids)), np.diff(feature_start))
+    names = list(ids)
+    parts = [subwords(names[a : a + 20_000], buckets) for a in range(0, len(names), 20_000)]  # a bounded number of words at a time
+    features = np.concatenate([x[0] for x in parts]) if parts else np.empty(0, dtype=np.int32)
+    sizes = np.concatenate([np.diff(x[1]) for x in parts]) if parts else np.empty(0, dtype=np.int64)
+    feature_start = np.concatenate([[0], np.cumsum(sizes)])
+    feature_owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    del parts
     turn = np.argsort(features, kind="stable")
-    turned = feature_owner[turn].astype(np.int32)
+    turned = feature_owner[turn]
     del turn, feature_owner
     bucket_start = np.concatenate([[0], np.cumsum(np.bincount(features, minlength=buckets))])
     each = np.full(len(labels), 1 / len(labels), dtype=np.float32)
