@@ -14,8 +14,9 @@ linked; the result is each document's set size and component.  Every step covers
 4. Answer-level skipping: within a group each set is described by what it shares with the pivot.  A pair's overlap is
    its overlap inside the pivot plus that outside; pairs that the pivot's part with the outside's size
    rules out, or that are already connected, need nothing more, the others are completed incrementally.
-   Large groups are cut into blocks and compared block by block, each pair of blocks a row group of its own.
-   A group returns one edge per connected set, never its pairs.
+   Large groups are cut into blocks, each with the pivot: that is a linear number of rows, and a group of near copies is one
+   component after it.  Only where a large group still holds several components are pairs of its blocks compared, each pair a row
+   group of its own, and none whose sets are all of one component.  A group returns one edge per connected set, never its pairs.
 5. Components over those edges.
 
 Two sets that are linked share an entry, so they meet in its pivot's group, where they are compared exactly
@@ -41,8 +42,8 @@ from evigraph.llm._store import spread, stage
 from evigraph.llm._worker import ENTRY, Memo, held
 from evigraph.llm.components import components
 
-#: Documents of which n-grams are counted together, and the least count that a batch reports.
-BATCH, REPORT = 2000, 3
+#: N-grams that are counted together, and the least count that a batch reports.
+BATCH, REPORT = 2_000_000, 3
 #: The most frequent n-grams that the order knows by count; the others come first.  It bounds the broadcast.
 FREQUENT = 200_000
 #: Sets in a block of a group, and entries in a block of a list.
@@ -96,6 +97,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
+    n_held = 0
 
     def repeated():
         values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -111,9 +113,11 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             sizes[i] = len(s)
             signs[i] = signature(s)
             held.append(s)
-            if len(held) >= BATCH:
+            n_held += len(s)
+            if n_held >= BATCH:
                 yield repeated()
                 held.clear()
+                n_held = 0
         yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(sizes), pa.array(signs), pa.array(np.zeros(len(batch), dtype=bool))], names=["key", "n", "hash", "counted"])
     if held:
         yield repeated()
@@ -313,22 +317,40 @@ def similarity_components(
     lists = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
     members = stage(lists.mapInArrow(lambda it: _groups(it, percent), "pivot long, node long").distinct(), "groups")
 
-    # Blocks of large groups: every pair of a group's blocks is a group of its own.
+    first = sets.where("n > 0 and key is not null").groupBy("node").agg(F.min("key").alias("key"))
+
+    def compared(rows: DataFrame, name: str) -> DataFrame:
+        """Edges of row groups (group, later, node), the texts joined to them."""
+        placed = rows.join(first, "node").join(docs, "key").select("group", "later", "node", "text")
+        grouped = placed.repartition(parts, "group").sortWithinPartitions("group", "later", "node")
+        return stage(grouped.mapInPandas(lambda it: _compare(it, n, percent), "a long, b long"), name)
+
+    # Groups of one block, and the blocks of large groups with the pivot in each.
     blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     cut = members.join(blocks, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("node", F.xxhash64("pivot", F.least("own", "other"), F.greatest("own", "other")).alias("group"), (F.col("node") != F.col("pivot")).alias("later"))
-    first = sets.where("n > 0 and key is not null").groupBy("node").agg(F.min("key").alias("key"))
-    placed = cut.join(first, "node").join(docs, "key")
-    grouped = placed.select("group", "later", "node", "text").repartition(parts, "group").sortWithinPartitions("group", "later", "node")
-    edges = grouped.mapInPandas(lambda it: _compare(it, n, percent), "a long, b long")
+    lead = blocks.select("pivot", F.col("pivot").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    alone = cut.unionByName(lead.where(F.pmod(F.xxhash64("node"), F.col("blocks")) != F.col("own")))
+    edges = compared(alone.select("node", F.xxhash64("pivot", "own").alias("group"), (F.col("node") != F.col("pivot")).alias("later")), "links")
     label = components(edges)
+
+    # Pairs of the blocks of large groups that are not one component yet.
+    known = cut.where("blocks > 1").select("pivot", "node", "own").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spans = known.groupBy("pivot", "own").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = spans.groupBy("pivot").agg(F.min("low").alias("all_low"), F.max("high").alias("all_high")).where("all_low < all_high").select("pivot")
+    spans = spans.join(open_, "pivot", "left_semi")
+    other = spans.select("pivot", F.col("own").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    pairs = spans.join(other, "pivot").where("own < other and not (low = high and other_low = other_high and low = other_low)")
+    ends = pairs.select("pivot", F.xxhash64("pivot", "own", "other").alias("group"), F.explode(F.array("own", "other")).alias("own"))
+    ends = stage(ends, "block-pairs")
+    if not ends.isEmpty():
+        more = compared(known.join(ends, ["pivot", "own"]).select("node", "group", (F.col("node") != F.col("pivot")).alias("later")), "links")
+        label = components(edges.unionByName(more))
     named = label.join(first, "node").groupBy("label").agg(F.min("key").alias("component_id"))
     named = label.join(named, "label").select("node", "component_id")
-    alone = first.select("node", F.col("key").alias("own_copy"))
+    own_copy = first.select("node", F.col("key").alias("own_copy"))
     return (
         sets.join(named, "node", "left")
-        .join(alone, "node", "left")
+        .join(own_copy, "node", "left")
         .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "own_copy")).otherwise(F.col("key")).alias("component_id"))
     )

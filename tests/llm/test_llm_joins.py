@@ -62,7 +62,7 @@ def test_ngram_join_equals_brute_force(spark, seed, monkeypatch):
         monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 3)
         monkeypatch.setattr(ngram_join, "LIST_BLOCK", 2)
     if seed == 3:
-        monkeypatch.setattr(ngram_join, "BATCH", 20)
+        monkeypatch.setattr(ngram_join, "BATCH", 800)
     word = lambda: "".join(rng.choices(LETTERS, k=3))
     base = [[word() for _ in range(rng.randint(1, 90))] for _ in range(25)]
     passage = [word() for _ in range(30)]
