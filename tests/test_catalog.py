@@ -7,9 +7,11 @@ import os
 import duckdb
 import pytest
 
-from evigraph.plans import catalog
+from evigraph.plans import catalog, catalog_tables, catalog_texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
+#: The pages' own links are all local; ``written_links`` has links that count.  The small table has no near vectors.
+EMPTY = {"outbound_links", "cosine_pairs"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -30,8 +32,8 @@ def plain(value):
 def test_query(spark, db, name):
     out = catalog.QUERIES[name](spark, SF)
     rows = out.collect()
+    assert rows or name in EMPTY
     if name not in catalog.SQL:
-        assert rows
         return
     want = db.execute(catalog.SQL[name]).fetchall()
     columns = [c[0] for c in db.description]

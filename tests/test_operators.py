@@ -76,7 +76,8 @@ def test_graph_and_normalisation(spark):
     assert [r.canonical for r in close.collect()] == ["Ada Lovelace", "Alan Turing", "Bob", None]
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0])], "id int, v array<double>")
     assert [(r.a, r.b) for r in normalize.near_pairs(vectors, "id", "v").collect()] == [(1, 2)]
-    assert export.short_post(F.lit("h"), F.lit("text"), F.lit("f")) is not None
+    posts = spark.range(1).select(export.short_post(F.lit("h"), F.lit("text。 more"), F.lit("f"), 7).alias("cut"), export.short_post(F.lit("h"), F.lit("text"), F.lit("f")).alias("whole")).first()
+    assert (posts["cut"], posts["whole"]) == ("htext…f", "htextf")
 
 
 def test_intervals_ignore_touching_and_empty_segments(spark):
@@ -159,3 +160,50 @@ def test_streams(spark, tmp_path):
     events = spark.readStream.schema("t timestamp, k string").json(str(feed))
     for frame in (feeds.windowed_counts(events, "t", ["k"]), feeds.sessions(events, "t", ["k"])):
         assert frame.isStreaming and "n" in frame.columns
+
+
+def test_ids_of_claims_stay_exact_and_ties_go_to_the_earlier_chunk(spark):
+    claims = spark.createDataFrame([(-8871059966584415231, "alpha beta"), (5, "zeta"), (6, "")], "claim_id long, claim string")
+    chunks = spark.createDataFrame([(i, f"alpha beta gamma {'x' * (i % 2)}") for i in range(9)] + [(9, ""), (10, None)], "chunk_id long, chunk string")
+    got = retrieval.top_k(claims, chunks, 3).orderBy("rank").collect()
+    by_token = retrieval._scored_by_token  # beyond the bound of the broadcast the same rows come from a join
+    assert {r.claim_id for r in got} == {-8871059966584415231} and len(got) == 3
+    before, retrieval.MOST_ASKED = retrieval.MOST_ASKED, 1
+    try:
+        assert retrieval.top_k(claims, chunks, 3).orderBy("rank").collect() == got and by_token
+    finally:
+        retrieval.MOST_ASKED = before
+
+
+def test_section_shares_by_block_and_by_token(spark):
+    claims = spark.createDataFrame([(1, "one two three four"), (2, "nothing here"), (3, "")], "claim_id long, claim string")
+    sections = spark.createDataFrame([(7, 1, "# A", "one two"), (7, 2, "# B", "one two three"), (7, 3, "# C", "three two one"), (8, 1, "# D", ""), (8, 0, None, "one two three four")], "doc_id long, section int, header string, body string")
+    want = [(1, 7, 2, 0.75)]
+    assert [tuple(r) for r in retrieval.best_sections(claims, sections).collect()] == want
+    before, retrieval.MOST_ASKED = retrieval.MOST_ASKED, 1
+    try:
+        assert [tuple(r) for r in retrieval.best_sections(claims, sections).collect()] == want
+    finally:
+        retrieval.MOST_ASKED = before
+
+
+def test_documents_are_corrected_section_by_section(spark):
+    from evigraph.functions import chunks
+    from evigraph.operators import correction
+
+    docs = spark.createDataFrame([(1, "head\n# A\nthe moon is cheese\n# B\nall fine here"), (2, "no sections at all")], "doc_id long, text string")
+    made = chunks.sections(docs, "doc_id")
+    verdicts = spark.createDataFrame([(1, "the moon is cheese", "contradicted"), (1, "all fine here", "supported"), (2, "zzz", "partial")], "doc_id long, claim string, verdict string")
+    asked = correction.to_correct(verdicts, made.withColumn("section", F.col("section").cast("int")))
+    assert [tuple(r) for r in asked.collect()] == [(1, 1, ["the moon is cheese"])]
+    new = asked.select("doc_id", "section", F.lit("the moon is made of rock").alias("new"))
+    out = {r.doc_id: (r.text, r.n_fixed) for r in correction.reassemble(made, new).collect()}
+    assert out == {1: ("head\n\n# A\nthe moon is made of rock\n\n# B\nall fine here", 1), 2: ("no sections at all", 0)}
+
+
+def test_upper_median_and_relevance_bounds(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", -1.0), ("c", 5.0), ("c", None)], "doc string, v double")
+    assert sorted(map(tuple, layout.upper_median(rows, ["doc"], "v").collect())) == [("a", 3.0), ("b", 10.0), ("c", 5.0)]
+    entities = spark.createDataFrame([("Graph", "of words"), ("x", None)], "name string, description string")
+    words = spark.createDataFrame([("graph",), ("word",), ("none",)], "term string")
+    assert [tuple(r) for r in graph.relevance(entities, words).collect()] == [("Graph", 2)]
