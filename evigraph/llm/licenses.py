@@ -115,10 +115,10 @@ def _worth(found: Column, words: list[str], vectors: Sequence[dict[str, float]])
     return F.aggregate(F.array_intersect(found, F.array(*map(F.lit, words))), F.lit(0.0), lambda total, w: total + F.try_element_at(square, w))
 
 
-def _unit_near(unit: Column, vectors: Sequence[dict[str, float]], idf: dict[str, float], threshold: float) -> Column:
+def _unit_near(found: Column, vectors: Sequence[dict[str, float]], idf: dict[str, float], threshold: float) -> Column:
     """Whether a unit can be near a template.  With p the squared length of its part of template words, and at least 1 for
     every other word (no inverse frequency is under 1), its squared cosine is at most worth x p / (p + other words)."""
-    found, words = terms(unit), sorted(idf)
+    words = sorted(idf)
     known = F.array(*map(F.lit, words))
     weight = F.create_map(*[F.lit(x) for w in words for x in (w, idf[w])])
     part = F.aggregate(F.array_intersect(found, known), F.lit(0.0), lambda total, w: total + F.pow(F.size(F.filter(found, lambda x: x == w)) * F.try_element_at(weight, w), F.lit(2.0)))
@@ -127,10 +127,10 @@ def _unit_near(unit: Column, vectors: Sequence[dict[str, float]], idf: dict[str,
 
 
 def _units(df: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
-    """key, kind (line, block, file), no, unit."""
+    """key, kind (line, block, file), no, of (hash), terms."""
 
     def as_units(kind: str, parts: Column) -> Column:
-        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("no"), x.alias("unit")))
+        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("no"), F.xxhash64(x).alias("of"), terms(x).alias("terms")))
 
     whole = F.col(text)
     found = [as_units("line", F.split(whole, "\n")), as_units("block", F.split(whole, BLANK))]
@@ -148,14 +148,15 @@ def license_units(
     vectors, idf, n = _template_weights(df, text, templates)
     kept = [c for c in dict.fromkeys((key, text, path)) if c]
     units = _units(df.select(*kept).where(_near(F.col(text), vectors, threshold)), key, text, path)
-    units = units.where(_unit_near(F.col("unit"), vectors, idf, threshold))
-    words = units.select("key", "kind", "no", F.xxhash64("unit").alias("of"), F.explode(terms(F.col("unit"))).alias("word"))
+    units = units.where(_unit_near(F.col("terms"), vectors, idf, threshold))
+    words = units.select("key", "kind", "no", "of", F.explode("terms").alias("word"))
     unit = ["key", "kind", "no", "of"]
     counted = stage(words.groupBy(*unit, "word").agg(F.count("*").cast("double").alias("tf")), "license-words")
     weight = F.create_map(*[F.lit(x) for w, v in sorted(idf.items()) for x in (w, v)])
     others = stage(counted.where(~F.col("word").isin(*idf)).select("word").distinct(), "license-others")
-    seen = df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("word")).join(others, "word", "left_semi")
-    seen = seen.groupBy("word").agg(_idf(n, F.count("*")).alias("idf"))
+    # Counted before the join: a task's words meet in its partial counts, and no single occurrence is exchanged.
+    seen = df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    seen = seen.join(others, "word").select("word", _idf(n, F.col("df")).alias("idf"))
     weighed = counted.join(seen, "word", "left").withColumn("w", F.col("tf") * F.coalesce(weight[F.col("word")], F.col("idf")))
     # One array of (template, weight) for each template word, so that a unit's products are made in its one group.
     by_word = {w: [(i, v[w]) for i, v in enumerate(vectors) if w in v] for w in idf}
