@@ -3,7 +3,7 @@
 Images are binary columns in portable grey-map form (``P5``, 8 bits).  On every level of a pyramid, in every cell of it, the
 strongest corners (of the structure tensor) are described by 256 comparisons of smoothed pixels, turned by the patch's
 orientation (its intensity centroid); large images have more cells, and so more corners.  Four 32-bit parts of a descriptor
-are keys of four tables (Hamming tables): in a key's list two corners are the same if a sketch of 64 of their bits differs by at
+are keys of four tables (Hamming tables): in a key's list two corners are the same if sketches of every second bit differ by at
 most ``CLOSE``.  Two images that share ``SHARED`` corners are verified by geometric consensus: the matches (mutually nearest by
 Hamming distance) must agree on one scale, turn and shift, read in either direction.
 
@@ -41,8 +41,8 @@ LEAST = 40
 RADIUS = 7
 TURNS = 36
 BITS, PARTS = 256, 8
-#: The parts that are keys, and by how many bits the sketches of one corner may differ.
-TABLES, CLOSE = (0, 2, 4, 6), 4
+#: The parts that are keys, by how many bits the sketches of one corner may differ, and a sketch's bits (two words).
+TABLES, CLOSE, SKETCH = (0, 2, 4, 6), 8, 128
 #: Shared corners that make a candidate, Hamming distance of a match, agreeing matches that make a link.
 SHARED, NEAR, AGREE = 3, 56, 6
 #: Images in a block of a key's list; pairs that a task makes at a time; pixels that are described at a time.
@@ -223,46 +223,48 @@ def agreeing(a: bytes, b: bytes) -> int:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], tables: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """(key, node, part_of, corner, sketch) of the descriptors' parts in ``tables``; part_of: the node's component."""
+    """(key, node, part_of, corner, sketch, more) of the descriptors' parts in ``tables``; part_of: the node's component."""
     for batch in batches:
-        found: list[list[np.ndarray]] = [[], [], [], [], []]
+        found: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for node, part_of, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             bits = np.frombuffer(data, dtype=_RECORD)["bits"]
             parts = np.ascontiguousarray(bits).view("<u4").astype(np.int64)[:, tables]
-            sketch = np.packbits(np.unpackbits(bits, axis=1)[:, :: BITS // 64], axis=1).view("<i8").ravel()
+            sketch = np.packbits(np.unpackbits(bits, axis=1)[:, :: BITS // SKETCH], axis=1).view("<i8")
             found[0].append(((np.asarray(tables, dtype=np.int64) << 32) + parts).ravel())
             found[1].append(np.full(parts.size, node))
             found[2].append(np.full(parts.size, part_of))
             found[3].append(np.repeat(np.arange(len(parts), dtype=np.int64), len(tables)))
-            found[4].append(np.repeat(sketch, len(tables)))
+            found[4].append(np.repeat(sketch[:, 0], len(tables)))
+            found[5].append(np.repeat(sketch[:, 1], len(tables)))
         if found[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in found], names=["key", "node", "part_of", "corner", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in found], names=["key", "node", "part_of", "corner", "sketch", "more"])
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64))
+    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16)
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(head, node, corner) of the members of each list that have the corner of its first entry and another component.
     Partitions are sorted by key; of a list no more than its head is kept."""
-    key, head, part_of, sketch = None, 0, 0, 0
+    key, held = None, []
     for batch in batches:
-        k, node, comp, corner, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        k, node, comp, corner, bits, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         if not len(k):
             continue
         starts = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
         sizes = np.diff(np.append(starts, len(k)))
-        own = [x[starts].copy() for x in (node, comp, bits)]
+        own = [x[starts].copy() for x in (node, comp, bits, more)]
         if k[0] == key:
-            own[0][0], own[1][0], own[2][0] = head, part_of, sketch
+            for x, h in zip(own, held, strict=True):
+                x[0] = h
         heads = [np.repeat(x, sizes) for x in own]
-        keep = (heads[1] != comp) & (_differ(heads[2], bits) <= CLOSE)
+        keep = (heads[1] != comp) & (_differ(heads[2], bits) + _differ(heads[3], more) <= CLOSE)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (heads[0], node, corner)], names=["a", "b", "corner"])
-        key, head, part_of, sketch = k[-1], own[0][-1], own[1][-1], own[2][-1]
+        key, held = k[-1], [x[-1] for x in own]
 
 
-def _pairs(group: np.ndarray, node: np.ndarray, part_of: np.ndarray, corner: np.ndarray, sketch: np.ndarray, own: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs(group: np.ndarray, node: np.ndarray, part_of: np.ndarray, corner: np.ndarray, sketch: np.ndarray, more: np.ndarray, own: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(a, b, corner of b) of the entries of a group that are one corner of images of different components and, where two
     blocks meet, of different blocks."""
     index = np.arange(len(group))
@@ -275,7 +277,7 @@ def _pairs(group: np.ndarray, node: np.ndarray, part_of: np.ndarray, corner: np.
         n = after[at:end]
         i = np.repeat(index[at:end], n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        keep = (_differ(sketch[i], sketch[j]) <= CLOSE) & (part_of[i] != part_of[j]) & (~cross[i] | (own[i] != own[j]))
+        keep = (_differ(sketch[i], sketch[j]) + _differ(more[i], more[j]) <= CLOSE) & (part_of[i] != part_of[j]) & (~cross[i] | (own[i] != own[j]))
         i, j = i[keep], j[keep]
         low = node[i] < node[j]
         columns = (np.where(low, node[i], node[j]), np.where(low, node[j], node[i]), np.where(low, corner[j], corner[i]))
@@ -287,7 +289,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, corner) of the groups of a partition sorted by group; a group may span batches."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
         rest = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
         starts = np.flatnonzero(np.diff(rest[0])) + 1
         if len(starts):
@@ -337,7 +339,7 @@ def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") ->
     slim = stage(seen.select("key", F.when(size > 0, F.col("hash")).alias("node"), (size / _RECORD.itemsize).cast("int").alias("n_keypoints")), "seen")
     nodes = stage(seen.where(size > 0).groupBy(F.col("hash").alias("node")).agg(F.first("corners").alias("corners")), "images")
     discard(seen)
-    parts, entry = spread(nodes), "key long, node long, part_of long, corner long, sketch long"
+    parts, entry = spread(nodes), "key long, node long, part_of long, corner long, sketch long, more long"
     links = label = None
     half = len(TABLES) // 2
     for turn, tables in enumerate((TABLES[:half], TABLES[half:])):
@@ -356,7 +358,7 @@ def image_copies(df: DataFrame, key: str = "image_id", image: str = "image") ->
     met = entries.join(lists, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    met = met.select(group, "node", "part_of", "corner", "sketch", "own", (F.col("own") != F.col("other")).alias("cross"))
+    met = met.select(group, "node", "part_of", "corner", "sketch", "more", "own", (F.col("own") != F.col("other")).alias("cross"))
     pairs = met.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_candidates, "a long, b long, corner long")
     pairs = _sharing(pairs, parts)
     links = links.unionByName(_verified(pairs, nodes, "copies"))
