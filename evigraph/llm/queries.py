@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import image_copies, language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from evigraph.llm import hidden_markov, image_copies, language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,6 +208,14 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_part(5) == 1).alias("held_out"))
+    known = hidden_markov.vocabulary(docs.where("not held_out"))
+    coded = hidden_markov.encode(docs, known, ["doc_id", "held_out"])
+    model = hidden_markov.baum_welch(coded.where("not held_out"), known)
+    return hidden_markov.score(coded, model, known, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
