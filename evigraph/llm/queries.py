@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import hidden_markov, image_copies, language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from evigraph.llm import collocations, hidden_markov, image_copies, language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,10 +216,33 @@ def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score(coded, model, known, ["doc_id", "held_out"])
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = """WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 5) AS sizes(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, w[i:i + m - 1] AS p, count(*) AS f FROM places GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+longer AS (SELECT lang, m, p, f AS a FROM f WHERE m > 1 AND f >= 30),
+cuts AS (SELECT lang, p, a, unnest(range(1, m)) AS k FROM longer),
+scored AS (SELECT c.lang, c.p, a, k, h.f AS l, t.f AS r, ((2000000::HUGEINT * a) // (h.f::HUGEINT + t.f))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.p = c.p[1:k] JOIN f t ON t.lang = c.lang AND t.p = c.p[k + 1:]),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS turn FROM scored),
+inside AS (SELECT lang, p, a, m, s, unnest(range(1, m - s + 2)) AS i FROM longer, range(2, 4) AS parts(s) WHERE s < m),
+over AS (SELECT lang, p[i:i + s - 1] AS p, max(a) AS most FROM inside GROUP BY ALL),
+kept AS (SELECT weakest.lang, array_to_string(weakest.p, ' ') AS phrase, a, l, r, score FROM weakest
+  LEFT JOIN over ON over.lang = weakest.lang AND over.p = weakest.p WHERE turn = 1 AND (most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes ON sizes.lang = ranked.lang WHERE rank <= 2000"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op9_license_scan": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op9_license_scan": OP9_SQL, "op13_collocations": OP13_SQL}
