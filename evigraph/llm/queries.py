@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import collocations, hidden_markov, image_copies, language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from evigraph.llm import collocations, conversation_trie, hidden_markov, image_copies, language_id, lattice, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,6 +208,37 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversation_trie.trie(conversation_trie.with_openings(turns))
+
+
+#: CRC-32 of a number's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+  lambda c, d: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, d)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+OP11_SQL = f"""WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS size FROM turns GROUP BY conv_id),
+plan AS (SELECT sizes.conv_id, sizes.conv_id - sizes.conv_id % 5 AS base, {_CRC.replace("conv_id", "sizes.conv_id")} % 9 AS h FROM sizes),
+known AS (SELECT plan.*, least(h, coalesce(size, 0)) AS there FROM plan LEFT JOIN sizes ON sizes.conv_id = base),
+built AS (SELECT known.conv_id, pos, role, text FROM known JOIN turns ON turns.conv_id = base AND pos < h
+  UNION ALL SELECT known.conv_id, pos - h + there, role, text FROM known JOIN turns ON turns.conv_id = known.conv_id AND pos >= h),
+steps AS (SELECT conv_id, pos + 1 AS depth, strlen(text) AS bytes,
+  list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::VARCHAR AS path FROM built),
+members AS (SELECT conv_id, depth, bytes, sha256(path) AS path FROM steps UNION ALL SELECT conv_id, 0, 0, '' FROM sizes),
+lengths AS (SELECT conv_id, max(depth) AS len FROM members GROUP BY conv_id),
+nodes AS (SELECT depth, path, min(members.conv_id) AS conv, count(*) AS n_convs, any_value(bytes) AS bytes,
+  sha256(coalesce(string_agg(members.conv_id::VARCHAR, ',' ORDER BY members.conv_id) FILTER (WHERE depth = len), '')) AS ends FROM members JOIN lengths ON lengths.conv_id = members.conv_id GROUP BY depth, path),
+up AS (SELECT n.*, p.path AS parent FROM nodes n LEFT JOIN members p ON p.conv_id = n.conv AND p.depth = n.depth - 1),
+kids AS (SELECT depth - 1 AS depth, parent AS path, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT up.*, q.conv AS parent_conv, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN nodes q ON q.depth = up.depth - 1 AND q.path = up.parent
+  LEFT JOIN kids ON kids.depth = up.depth AND kids.path = up.path),
+sums AS (SELECT a.depth, a.path, sum((n.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved
+  FROM full_ n JOIN members a ON a.conv_id = n.conv AND a.depth <= n.depth GROUP BY ALL)
+SELECT conv AS conv_id, full_.depth, parent_conv AS parent_conv_id, n_convs, n_children, n_leaves, saved AS saved_tokens, ends AS ends_sha256
+FROM full_ JOIN sums ON sums.depth = full_.depth AND sums.path = full_.path"""
+
+
 def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_part(5) == 1).alias("held_out"))
     known = hidden_markov.vocabulary(docs.where("not held_out"))
@@ -245,4 +276,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op9_license_scan": OP9_SQL, "op13_collocations": OP13_SQL}
+    return {"op1_mixing": OP1_SQL, "op9_license_scan": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op13_collocations": OP13_SQL}
