@@ -195,7 +195,7 @@ def _encode(batches: Iterator[pa.RecordBatch], shared, keep: int) -> Iterator[pa
             sums = [np.bincount(owner, weights=w, minlength=b - a) for w in (at >= 0, log, within)]
             yield pa.RecordBatch.from_arrays(
                 [c.slice(a, b - a) for c in batch.columns[:keep]]
-                + [coded, pa.array(n + 1, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(of), lists)],
+                + [coded, pa.array(n + 1, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float)), pa.ListArray.from_arrays(pa.array(of), lists)],
                 [*batch.schema.names[:keep], "_codes", "_tokens", "_held", "_log", "_within", "_rare"],
             )
 
