@@ -117,6 +117,9 @@ def _count(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"_lang": lang, "_bucket": at, "_n": counts[at]})
 
+#: Languages that a model tells apart at most.
+MOST_LANGS = 256
+
 
 def fit(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -125,7 +128,9 @@ def fit(
     """Learn from about ``rows_per_lang`` different rows of each language at most.  Rows that repeat key and text are
     drawn once; nothing of the sample's texts goes to the driver, only the counts."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:  # the broadcast table has a column for each
+        raise ValueError(f"more than {MOST_LANGS} values of {lang}: clean the labels first")
     if not sizes:
         return Model([], np.zeros((1 << bits, 1), dtype=np.float32), np.zeros(1))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows_per_lang / n))])

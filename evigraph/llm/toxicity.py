@@ -35,6 +35,8 @@ ORDERS = (3, 4, 5)
 PAD = 16
 #: Bytes of the words' amounts that a worker keeps; beyond it the memo starts anew.
 MEMO_BYTES = 32 << 20
+#: Words whose n-grams are made at a time.
+WORDS_AT_ONCE = 20_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -104,9 +106,11 @@ class Model:
         tokens = list(tokens)
         split = [_WORD.findall(t) for t in tokens]
         words = list({w for ws in split for w in ws})
-        features, starts = subwords(words, len(self.table))
         line = (self.table @ (self.softmax[1] - self.softmax[0])).astype(np.float32)[:, None]
-        amount = dict(zip(words, _sums(line, features, starts)[:, 0].tolist(), strict=True))
+        amount: dict[str, float] = {}
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            part = words[a : a + WORDS_AT_ONCE]
+            amount.update(zip(part, _sums(line, *subwords(part, len(self.table)))[:, 0].tolist(), strict=True))
         for t, ws in zip(tokens, split, strict=True):
             self.known[t] = complex(sum(amount[w] for w in ws), len(ws))
 
@@ -152,7 +156,7 @@ def train(
     back = np.argsort(word, kind="stable")
     word_start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(ids)))])
     names = list(ids)
-    parts = [subwords(names[a : a + 20_000], buckets) for a in range(0, len(names), 20_000)]  # a bounded number of words at a time
+    parts = [subwords(names[a : a + WORDS_AT_ONCE], buckets) for a in range(0, len(names), WORDS_AT_ONCE)]
     features = np.concatenate([x[0] for x in parts]) if parts else np.empty(0, dtype=np.int32)
     sizes = np.concatenate([np.diff(x[1]) for x in parts]) if parts else np.empty(0, dtype=np.int64)
     feature_start = np.concatenate([[0], np.cumsum(sizes)])
@@ -212,14 +216,21 @@ def fit(
 
     The draw reads ``labels`` alone: equal rows count once, and a limit after the hash order bounds the list of keys, which is
     broadcast to the documents.  Of the documents with a drawn key sizes and hashes are looked at first, equal texts of a key
-    once; those first in hash order are taken until ``train_bytes`` of text, and only their texts go to the driver."""
+    once; in hash order each that still fits into ``train_bytes`` of text is taken (one that doesn't is passed over, not the end), and only
+    their texts go to the driver.  A label of which no row fits is an error."""
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null").distinct()
     turn = F.xxhash64(F.lit(11), "_k")
     drawn = [rows.where(F.col("_y") == y).orderBy(turn, "_k").limit(most) for y, most in ((0, train_rows - train_rows // 4), (1, train_rows // 4))]
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "_k")
     shape = [F.coalesce(F.octet_length("_t"), F.lit(0)).alias("_n"), F.xxhash64("_t").alias("_h")]
     found = texts.select("_k", "_y", *shape).distinct().orderBy(turn, "_k", "_y", "_h").limit(2 * train_rows).toPandas()
-    taken = found[found["_n"].cumsum() <= train_bytes]
+    room, fits = train_bytes, []
+    for size in found["_n"]:
+        fits.append(size <= room)
+        room -= size if fits[-1] else 0
+    taken = found[np.array(fits, dtype=bool)]
+    if lost := set(found["_y"]) - set(taken["_y"]):
+        raise ValueError(f"no text of label {min(lost)} fits into train_bytes = {train_bytes}")
     chosen = docs.sparkSession.createDataFrame(taken[["_k", "_y", "_h"]], texts.select("_k", "_y", shape[1]).schema) if len(taken) else None
     if chosen is None:
         return calibrated([], np.array([], dtype=np.int64), **options)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from evigraph.llm import language_id, toxicity, url_filter
 
@@ -145,3 +146,33 @@ def test_trees_match_a_walk_by_hand():
                 at = 2 * at + int(x[i, feature[node]] > border[node])
             total += leaf[at]
         assert np.isclose(1 / (1 + np.exp(-total)), model.score([urls[i]])[0])
+
+
+@pytest.mark.parametrize("place", ["first", "middle", "last"])
+def test_one_oversized_text_does_not_empty_the_sample(spark, place):
+    """A labelled text that does not fit into ``train_bytes`` is passed over, wherever the hash order has it."""
+    order = [r[0] for r in spark.range(40).selectExpr("id", "xxhash64(11, id) AS h").orderBy("h").collect()]
+    big = {"first": order[0], "middle": order[20], "last": order[-1]}[place]
+    rows = [(i, "x" * 40_000 if i == big else ("idiot trash moron" if i % 4 == 0 else "garden river cloud") + f" word{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, train_bytes=30_000, buckets=1 << 10)
+    low, high = model.scores(["garden cloud river", "trash idiot moron"])
+    assert low < 0.5 < high
+    out = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert sum(out.values()) < 20
+
+
+def test_a_label_without_room_is_an_error(spark):
+    docs = spark.createDataFrame([(0, "a" * 500), (1, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="label 1"):
+        toxicity.fit(docs, labels, train_bytes=100)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        language_id.fit(docs)
+    assert language_id.fit(docs.where("doc_id < 3")).langs == ["l0", "l1", "l2"]
