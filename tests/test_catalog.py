@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from evigraph.plans import catalog, catalog_tables, catalog_texts  # noqa: F401
+from evigraph.plans import catalog, catalog_streams, catalog_tables, catalog_texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 #: The pages' own links are all local; ``written_links`` has links that count.  The small table has no near vectors.
