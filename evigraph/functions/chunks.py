@@ -1,18 +1,12 @@
-"""Text segmentation: windows, sections, and the greedy splits whose borders depend on what came before."""
+"""Text segmentation: windows, slices and sections.  Greedy splits are in ``operators/splits.py``."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import char_windows
 
-PIECES = "array<struct<offset:int,text:string>>"
-
 
 def chunk_by_chars(df: DataFrame, key: str, text: str = "text", size: int = 400, overlap: int = 80) -> DataFrame:
     """(key, chunk_no, offset, chunk): sliding windows of characters."""
@@ -20,70 +14,6 @@ def chunk_by_chars(df: DataFrame, key: str, text: str = "text", size: int = 400,
     return spread.select(key, "chunk_no", "offset", F.substring(F.col("_t"), F.col("offset") + 1, F.lit(size)).alias("chunk"))
 
 
-def sentence_pieces(text: str, size: int = 400, overlap: int = 80) -> list[tuple[int, str]]:
-    """Sentences packed up to ``size`` characters; each next piece starts with the last ``overlap`` of the one
-    before (all of it if ``overlap`` is 0)."""
-    out: list[tuple[int, str]] = []
-    held, start, at = "", 0, 0
-    for sentence in (s for s in re.split(r"(?<=[。．.!?！？])\s*", text) if s):
-        if held and len(held) + len(sentence) > size:
-            if held.strip():
-                out.append((start, held.strip()))
-            start, held = at - overlap, held[-overlap:] if overlap else held
-        held, at = held + sentence, at + len(sentence)
-    return [*out, (start, held.strip())] if held.strip() else out
-
-
-def bounded_pieces(text: str, size: int = 4000) -> list[tuple[int, str]]:
-    """Slices up to ``size``, each moved back to the last sentence end, paragraph or line in it."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            for mark in ("。\n", "。", "\n\n", "\n"):
-                found = text.rfind(mark, at, end)
-                if found > at:
-                    end = found + len(mark)
-                    break
-        out.append((at, text[at:end]))
-        at = end
-    return out
-
-
-def turn_pieces(text: str, size: int = 4000) -> list[tuple[int, str]]:
-    """Labelled speaker turns packed up to ``size``; without labels, fixed slices."""
-    starts = [m.start() for m in re.finditer(r"(?m)^\[[^\]]+\]", text)]
-    if not starts:
-        return [(i, text[i : i + size]) for i in range(0, len(text), size)]
-    return _packed([(a, text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=True)], size)
-
-
-def heading_pieces(text: str, size: int = 6000) -> list[tuple[int, str]]:
-    """Fourth-level sections packed up to ``size``; never nothing."""
-    starts = sorted({0, *(m.start() for m in re.finditer(r"(?m)^####", text))})
-    return _packed([(a, text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=True)], size) or [(0, text)]
-
-
-def _packed(parts: list[tuple[int, str]], size: int) -> list[tuple[int, str]]:
-    out: list[tuple[int, str]] = []
-    for at, part in parts:
-        if out and len(out[-1][1]) + len(part) <= size:
-            out[-1] = (out[-1][0], out[-1][1] + part)
-        else:
-            out.append((at, part))
-    return out
-
-
-def split_with(rule: Callable[..., list[tuple[int, str]]], text: Column, **options) -> Column:
-    """A greedy split of a column: array of (offset, text)."""
-
-    @F.pandas_udf(PIECES)
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"offset": o, "text": t} for o, t in rule(x or "", **options)] for x in texts])
-
-    return cut(text)
-
-
 def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, line)."""
     return df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
@@ -116,14 +46,6 @@ def without_sections(df: DataFrame, key: str, names: list[str], text: str = "tex
     return kept.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(text))
 
 
-def chunk_text(df: DataFrame, key: str, strategy: str = "character", text: str = "text", size: int = 400, overlap: int = 80) -> DataFrame:
-    """(key, chunk_no, offset, chunk) by a strategy: ``sentence`` packs sentences, any other cuts windows of characters."""
-    if strategy != "sentence":
-        return chunk_by_chars(df, key, text, size, overlap)
-    made = df.select(key, F.posexplode(split_with(sentence_pieces, F.col(text), size=size, overlap=overlap)).alias("chunk_no", "c"))
-    return made.select(key, "chunk_no", "c.offset", F.col("c.text").alias("chunk"))
-
-
 def slices(df: DataFrame, key: str, text: str = "text", size: int = 6000) -> DataFrame:
     """(key, chunk_no, offset, chunk): slices that do not overlap, for translations (6000) and summaries (5000)."""
     at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))

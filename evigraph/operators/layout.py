@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import strip
+from evigraph.operators import splits
 
 TERMINAL = ".?!:;。．！？”)」】"
 
@@ -98,45 +99,39 @@ def overlaps(a: str, b: str, tolerance: float = 0.0) -> Column:
     )
 
 
-def _paths(batch: pd.DataFrame) -> pd.DataFrame:
-    stack: list[tuple[int, str]] = []
-    out = []
-    for kind, level, text in zip(batch["type"], batch["level"], batch["text"], strict=True):
-        if kind == "heading":
-            depth = 1 if pd.isna(level) else int(level)
-            stack = [x for x in stack if x[0] < depth]
-            out.append([x[1] for x in stack])
-            stack.append((depth, text))
-        else:
-            out.append([x[1] for x in stack])
-    return batch.assign(section_path=out)
+#: Different heading levels of a table at most.
+MOST_LEVELS = 64
 
 
 def section_paths(blocks: DataFrame, doc: str = "doc", order: str = "pos") -> DataFrame:
-    """With ``section_path``: the headings above each block.  The stack is a fold over one document's blocks."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema) + ", section_path array<string>"
-    return blocks.groupBy(doc).applyInPandas(lambda g: _paths(g.sort_values(order)), schema)
+    """With ``section_path``: the headings above each block.
+
+    The stack of headings, without a stack: of each level the last heading before a block is above it unless one of a higher or the same
+    level came after that.  One window holds them all; the levels that occur are few (an error beyond ``MOST_LEVELS``).  A heading without a
+    level counts as level 1; null texts stay in the path."""
+    heading = F.col("type") == "heading"
+    known = blocks.withColumn("_l", F.when(heading, F.coalesce(F.col("level").cast("int"), F.lit(1))))
+    levels = sorted(r[0] for r in known.where("_l IS NOT NULL").select("_l").distinct().limit(MOST_LEVELS + 1).collect())
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels of headings")
+    before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(F.col(order).alias("at"), F.col("text").alias("text"), F.col("_l").alias("level"))
+    for n in levels:
+        known = known.withColumn(f"_h{n}", F.last(F.when(F.col("_l") == n, place), ignorenulls=True).over(before))
+    path, above = [], None
+    for n in levels:
+        last = F.col(f"_h{n}")
+        kept = last.isNotNull() & (F.lit(True) if above is None else (above.isNull() | (last["at"] > above)))
+        path.append(F.when(kept & (~heading | (F.col("_l") > n)), last))
+        above = last["at"] if above is None else F.greatest(above, last["at"])
+    held = F.filter(F.array(*path), lambda h: h.isNotNull()) if path else F.array().cast("array<struct<at:int,text:string,level:int>>")
+    return known.withColumn("section_path", F.transform(held, lambda h: h["text"])).drop("_l", *[f"_h{n}" for n in levels])
 
 
 def batches(blocks: DataFrame, most: int, doc: str = "doc", order: str = "pos", text: str = "text") -> DataFrame:
     """With ``batch``: blocks in order up to ``most`` characters a batch, none ending in a heading if it can be helped."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        number, held, out = 0, 0, []
-        kinds = list(group["type"])
-        for i, size in enumerate(group[text].fillna("").str.len()):
-            if held and held + size > most:
-                number, held = number + 1, 0
-                if i and kinds[i - 1] == "heading" and out[-1] == number - 1 and out.count(number - 1) > 1:
-                    out[-1] = number
-                    held = len(group[text].iloc[i - 1] or "")
-            held += size
-            out.append(number)
-        return group.assign(batch=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema) + ", batch int"
-    return blocks.groupBy(doc).applyInPandas(fold, schema)
+    sized = blocks.withColumn("_n", F.coalesce(F.length(text), F.lit(0))).withColumn("_heading", F.col("type") == "heading")
+    return splits.packed(sized, [doc], most, order, "_n", "_heading").drop("_n", "_heading").withColumnRenamed("piece", "batch")
 
 
 def merged_boxes(boxes: list[tuple], gap: float = 6.0, side_gap: float = 46.0) -> list[tuple]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import chunks, text
-from evigraph.operators import consensus, export, graph, layout, normalize, parse, registry, retrieval, timeline
+from evigraph.operators import consensus, export, graph, layout, normalize, parse, registry, retrieval, splits, timeline
 from evigraph.schemas import VERDICTS
 from evigraph.sources import web
 
@@ -55,16 +55,46 @@ def chunk_chars(spark, sf_dir):
     return chunks.chunk_by_chars(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query()
+def packed_sql(units: str, key: str, most: int) -> str:
+    """CTEs: ``units`` (key, i from 1, n, head) in pieces: ``piece`` (key, i, first) with the first unit of each unit's piece."""
+    return f"""u AS (SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY i) AS e, sum(n) OVER (PARTITION BY {key} ORDER BY i) - n AS b FROM ({units})),
+heads AS (SELECT {key}, i + 1 AS i FROM u WHERE head),
+ways AS (SELECT {key}, i, b, unnest(CASE WHEN head THEN [0, 1] ELSE [0] END) AS m FROM u),
+nx AS (SELECT a.{key}, a.i, a.m, min(z.i) AS j FROM ways a JOIN u z ON z.{key} = a.{key} AND z.i > a.i + a.m AND z.e - a.b > {most} AND z.b > a.b GROUP BY ALL),
+go AS (SELECT nx.{key}, nx.i, nx.m, CASE WHEN heads.i IS NOT NULL AND j - 1 > nx.i THEN j - 1 ELSE j END AS j, (heads.i IS NOT NULL AND j - 1 > nx.i)::INTEGER AS k FROM nx LEFT JOIN heads ON heads.{key} = nx.{key} AND heads.i = j),
+r AS (SELECT {key}, 1::BIGINT AS i, 0 AS m FROM u WHERE u.i = 1 UNION ALL SELECT r.{key}, go.j, go.k FROM r JOIN go ON go.{key} = r.{key} AND go.i = r.i AND go.m = r.m),
+piece AS (SELECT u.{key}, u.i, max(r.i) AS first FROM u JOIN r ON r.{key} = u.{key} AND r.i <= u.i GROUP BY ALL)"""
+
+
+_BLANK = "E' \\t\\n\\r\\x0b\\x0c'"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all(text, '([^。．.!?！？]*[。．.!?！？]|[^。．.!?！？]+$)\\s*', 1) AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM l),
+u AS (SELECT doc_id, i, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) - length(s) AS b FROM s),
+w AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS t, max(e) AS total FROM u GROUP BY doc_id),
+nx AS (SELECT a.doc_id, a.i, min(z.i) AS j FROM u a JOIN u z ON z.doc_id = a.doc_id AND z.i > a.i AND z.e - a.b + least(80, a.b) > 400 GROUP BY ALL),
+r AS (SELECT doc_id, 1::BIGINT AS i FROM w UNION ALL SELECT r.doc_id, nx.j FROM r JOIN nx ON nx.doc_id = r.doc_id AND nx.i = r.i),
+p AS (SELECT r.doc_id, r.i, u.b, coalesce(z.b, total) AS e, trim(substring(t, (u.b - least(80, u.b))::BIGINT + 1, (coalesce(z.b, total) - u.b + least(80, u.b))::BIGINT), {_BLANK}) AS chunk
+  FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i JOIN w ON w.doc_id = r.doc_id LEFT JOIN nx ON nx.doc_id = r.doc_id AND nx.i = r.i LEFT JOIN u z ON z.doc_id = r.doc_id AND z.i = nx.j)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_no, CASE WHEN i = 1 THEN 0 ELSE b - 80 END::INTEGER AS "offset", chunk FROM p WHERE chunk <> ''""")
 def chunk_sentences(spark, sf_dir):
-    made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.split_with(chunks.sentence_pieces, F.col("text"))).alias("chunk_no", "c"))
-    return made.select("doc_id", "chunk_no", "c.offset", F.col("c.text").alias("chunk"))
+    return splits.chunk_text(table(spark, sf_dir, "documents"), "doc_id", "sentence")
 
 
-@query()
+def _back(mark: str) -> str:
+    """Where a slice ends after the last ``mark`` in its window ``w``, or null."""
+    found = f"length(w) - strpos(reverse(w), reverse({mark})) - length({mark}) + 1"
+    return f"CASE WHEN strpos(w, {mark}) > 0 AND {found} > 0 THEN {found} + length({mark}) END"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, 0::BIGINT AS o FROM documents WHERE text <> '' UNION ALL
+  SELECT doc_id, o + coalesce({_back("'。' || chr(10)")}, {_back("'。'")}, {_back("chr(10) || chr(10)")}, {_back("chr(10)")}, 1500) FROM
+  (SELECT r.doc_id, o, substring(text, o + 1, 1500) AS w FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE o + 1500 < length(text)))
+SELECT r.doc_id, (row_number() OVER (PARTITION BY r.doc_id ORDER BY o) - 1)::INTEGER AS chunk_no, o::INTEGER AS "offset", substring(text, o + 1, (coalesce(lead(o) OVER (PARTITION BY r.doc_id ORDER BY o), length(text)) - o)::BIGINT) AS chunk
+FROM r JOIN documents d ON d.doc_id = r.doc_id""")
 def claim_chunks(spark, sf_dir):
-    made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.split_with(chunks.bounded_pieces, F.col("text"))).alias("chunk_no", "c"))
-    return made.select("doc_id", "chunk_no", "c.offset", F.col("c.text").alias("chunk"))
+    return splits.bounded_chunks(table(spark, sf_dir, "documents"), "doc_id", size=1500)
 
 
 @query("""SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) AS title FROM pages""")
@@ -633,14 +663,21 @@ def paragraph_merge(spark, sf_dir):
     return layout.merge_paragraphs(_blocks(spark, sf_dir))
 
 
-@query()
+_BLOCKS = """SELECT doc, pos, CASE WHEN length(line) < 30 THEN 'heading' ELSE 'paragraph' END AS type, length(line) % 3 + 1 AS level, regexp_replace(line, '[.]$', '') AS text
+ FROM (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
+
+@query(f"""WITH b AS ({_BLOCKS}), h AS (SELECT a.doc, a.pos, list(z.text ORDER BY z.pos) AS path FROM b a JOIN b z ON z.doc = a.doc AND z.pos < a.pos AND z.type = 'heading' AND (a.type <> 'heading' OR z.level < a.level)
+  AND NOT EXISTS (SELECT 1 FROM b y WHERE y.doc = z.doc AND y.type = 'heading' AND y.pos > z.pos AND y.pos < a.pos AND y.level <= z.level) GROUP BY a.doc, a.pos)
+SELECT b.doc, b.pos::INTEGER AS pos, type, level::INTEGER AS level, text, coalesce(path, []) AS section_path FROM b LEFT JOIN h ON h.doc = b.doc AND h.pos = b.pos""")
 def section_path(spark, sf_dir):
     return layout.section_paths(_blocks(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE blocks AS ({_BLOCKS}), {packed_sql("SELECT doc, pos + 1 AS i, length(text) AS n, type = 'heading' AS head FROM blocks", "doc", 300)}
+SELECT blocks.doc, pos::INTEGER AS pos, type, text, (dense_rank() OVER (PARTITION BY blocks.doc ORDER BY first) - 1)::INTEGER AS batch FROM blocks JOIN piece ON piece.doc = blocks.doc AND piece.i = pos + 1""")
 def block_batches(spark, sf_dir):
-    return layout.batches(_blocks(spark, sf_dir), 3000)
+    return layout.batches(_blocks(spark, sf_dir), 300).select("doc", "pos", "type", "text", "batch")
 
 
 @query("""WITH c AS (SELECT (p_partkey // 40)::BIGINT AS book, p_size % 4 AS src, (p_partkey % 10 + 1) AS num, p_name || ' ' || p_brand AS title FROM part)

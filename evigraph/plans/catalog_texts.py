@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigraph.functions import chunks, documents, text
-from evigraph.operators import artefacts, correction, export, parse, registry, retrieval, speakers
+from evigraph.operators import artefacts, correction, export, parse, registry, retrieval, speakers, splits
 from evigraph.plans import passes, refine
-from evigraph.plans.catalog import query, table
+from evigraph.plans.catalog import packed_sql, query, table
 from evigraph.plans.providers import EchoProvider, ReplayProvider
 from evigraph.sources import files, web
 
@@ -144,7 +144,7 @@ def text_slices(spark, sf_dir):
 @query("""SELECT doc_id, i::INTEGER AS chunk_no, (i * 1350)::INTEGER AS "offset", substring(text, i * 1350 + 1, 1500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE ceil((length(text) - 1500) / 1350.0)::BIGINT + 1 END)) AS i FROM documents WHERE text <> '')""")
 def chunk_dispatch(spark, sf_dir):
     """An unknown strategy cuts windows of characters."""
-    return chunks.chunk_text(table(spark, sf_dir, "documents"), "doc_id", "paragraph", size=1500, overlap=150)
+    return splits.chunk_text(table(spark, sf_dir, "documents"), "doc_id", "paragraph", size=1500, overlap=150)
 
 
 _MD = "'intro ' || doc_id || E'\\n# One\\nbody one\\n\\n## 編集後記\\nopinion\\n### More\\nkept ' || (doc_id % 7) || E'\\n#### Deep\\nend'"
@@ -186,19 +186,35 @@ def answered_claims(spark, sf_dir):
     return correction.claims_from_answers(answers)
 
 
-@query("""SELECT conv_id, i::BIGINT AS chunk_no, CASE WHEN i = 0 THEN 0 ELSE 3000 END::INTEGER AS "offset", CASE WHEN i = 0 THEN '[A] ' || repeat('x', 2995) || E'\\n' ELSE '[B] ' || repeat('y', 2000) || E'\\n[A] end' END AS chunk
-FROM (SELECT DISTINCT conv_id, unnest([0, 1]) AS i FROM conversations)""")
+def _transcripts(spark, sf_dir):
+    """The turns of each conversation as one text, each under its role in brackets."""
+    line = F.concat(F.lit("["), F.coalesce("role", F.lit("?")), F.lit("] "), F.translate(F.coalesce("text", F.lit("")), "[", "("))
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    return said.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+
+
+_TURNS = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, '[' || coalesce(role, '?') || '] ' || translate(coalesce(text, ''), '[', '(') || CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NULL THEN '' ELSE chr(10) END AS s FROM conversations"
+
+
+def _pieces(units: str, key: str, most: int) -> str:
+    """Rows of packed units (key, i, s)."""
+    return f"""WITH RECURSIVE parts AS ({units}), {packed_sql(f"SELECT {key}, i, length(s) AS n, false AS head FROM parts", key, most)}
+SELECT {key}, (dense_rank() OVER (PARTITION BY {key} ORDER BY first) - 1)::INTEGER AS chunk_no, "offset", chunk FROM
+(SELECT piece.{key}, first, min(b)::INTEGER AS "offset", string_agg(s, '' ORDER BY piece.i) AS chunk FROM piece JOIN parts ON parts.{key} = piece.{key} AND parts.i = piece.i JOIN u ON u.{key} = piece.{key} AND u.i = piece.i GROUP BY ALL)"""
+
+
+@query(_pieces(_TURNS, "conv_id", 1000))
 def turn_chunks(spark, sf_dir):
-    said = F.concat(F.lit("[A] "), F.repeat(F.lit("x"), 2995), F.lit("\n[B] "), F.repeat(F.lit("y"), 2000), F.lit("\n[A] end"))
-    made = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.posexplode(chunks.split_with(chunks.turn_pieces, said)).alias("chunk_no", "c"))
-    return made.select("conv_id", F.col("chunk_no").cast("long").alias("chunk_no"), "c.offset", F.col("c.text").alias("chunk"))
+    return splits.turn_chunks(_transcripts(spark, sf_dir), "conv_id", size=1000)
 
 
-@query("""SELECT doc_id, i::BIGINT AS chunk_no, CASE i WHEN 0 THEN 0 ELSE 4011 END::INTEGER AS "offset", CASE i WHEN 0 THEN E'head\\n#### A\\n' || repeat('a', 3998) || E'\\n' ELSE E'#### B\\n' || repeat('b', 3000) END AS chunk FROM (SELECT doc_id, unnest([0, 1]) AS i FROM documents)""")
+@query(_pieces("""SELECT doc_id, i, CASE WHEN i = 1 THEN '' ELSE '#### ' END || line || CASE WHEN i = n THEN '' ELSE chr(10) END AS s FROM
+(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+WHERE NOT (i = 1 AND n = 1 AND line = '')""", "doc_id", 600) + """ UNION ALL SELECT doc_id, 0, 0, '' FROM documents WHERE coalesce(text, '') = ''""")
 def heading_chunks(spark, sf_dir):
-    summary = F.concat(F.lit("head\n#### A\n"), F.repeat(F.lit("a"), 3998), F.lit("\n#### B\n"), F.repeat(F.lit("b"), 3000))
-    made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.split_with(chunks.heading_pieces, summary)).alias("chunk_no", "c"))
-    return made.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "c.offset", F.col("c.text").alias("chunk"))
+    """Every line of a document after the first is a section."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n#### ").alias("text"))
+    return splits.heading_chunks(docs, "doc_id", size=600)
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'the end of ' || doc_id ELSE substr(t, floor(length(t) * 0.7)::BIGINT + 1, 3000) END AS conclusion FROM (SELECT doc_id, 'Introduction text of some length ' || doc_id AS t FROM documents)""")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.functions.chunks import bounded_pieces, split_with
 from evigraph.functions.documents import for_prompt, numbered_notes
-from evigraph.operators import graph, layout, parse
+from evigraph.operators import graph, layout, parse, splits
 from evigraph.operators.correction import claims_from_answers
 from evigraph.plans.providers import ModelProvider
 
@@ -30,8 +29,8 @@ def question_counts(chunks: Column) -> Column:
 
 def extract_claims(documents: DataFrame, provider: ModelProvider, size: int = 4000, most: int = 30) -> DataFrame:
     """(doc_id, claim_no, claim): a document's pieces are asked for their claims."""
-    pieces = documents.select("doc_id", F.posexplode(split_with(bounded_pieces, F.col("text"), size=size)).alias("chunk_no", "piece"))
-    asked = provider.ask(pieces.select("doc_id", "chunk_no", F.concat(F.lit("List the claims of this text as a JSON array.\n\n"), F.col("piece.text")).alias("prompt")))
+    pieces = splits.bounded_chunks(documents, "doc_id", size=size)
+    asked = provider.ask(pieces.select("doc_id", "chunk_no", F.concat(F.lit("List the claims of this text as a JSON array.\n\n"), F.col("chunk")).alias("prompt")))
     return claims_from_answers(asked, most=most)
 
 

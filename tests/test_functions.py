@@ -48,19 +48,6 @@ def test_title_confidence(spark):
     assert got == [p[2] for p in pairs]
 
 
-def test_greedy_splits():
-    made = chunks.sentence_pieces("短い文。" * 50, 30, 5)
-    assert all(len(t) <= 60 for _, t in made) and made[0][0] == 0
-    assert chunks.sentence_pieces("") == []
-    whole = chunks.sentence_pieces("aaa. bbb. ccc.", 8, 0)
-    assert whole[1][1].startswith("aaa.")  # no overlap carries the whole buffer
-    assert "".join(t for _, t in chunks.bounded_pieces("ab。\ncd。ef" * 10, 7)) == "ab。\ncd。ef" * 10
-    assert chunks.bounded_pieces("") == []
-    assert [t for _, t in chunks.turn_pieces("lost [A] one\n[B] two\n", 9)] == ["lost [A] ", "one\n[B] t", "wo\n"] or chunks.turn_pieces("[A] one\n[B] two\n", 9) == [(0, "[A] one\n"), (8, "[B] two\n")]
-    assert [t for _, t in chunks.heading_pieces("x\n#### a\n#### b", 8)] == ["x\n", "#### a\n", "#### b"]
-    assert chunks.heading_pieces("") == [(0, "")]
-
-
 def test_sections(spark):
     df = spark.createDataFrame([(1, "intro\n# A\nx\n\n## B\n"), (2, "# only\nbody"), (3, "")], "doc_id long, text string")
     got = sorted((r.doc_id, r.section, r.header, r.body) for r in chunks.sections(df, "doc_id").collect())
