@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.operators.similar import similar
+from evigraph.shared import written
+
 
 def numbered_key(num):
     """Digits of a chapter number, joined by points; null if there are none."""
@@ -39,19 +39,32 @@ def confidence(agreed: DataFrame, chapters: DataFrame, book: str = "book") -> Da
 
 
 def unnumbered(chapters: DataFrame, book: str = "book", least: float = 0.75) -> DataFrame:
-    """(book, key, n_sources, title): titles gathered greedily with the first similar one (a fold over a book's titles)."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        made: dict[str, list] = {}
-        for src, title in group.sort_values(["src", "pos"])[["src", "title"]].itertuples(index=False):
-            low = " ".join(str(title).lower().split())
-            key = next((k for k in made if difflib.SequenceMatcher(None, low, k).ratio() >= least), low)
-            made.setdefault(key, []).append((src, title))
-        rows = [(group[book].iloc[0], k, len({s for s, _ in v}), max((t for _, t in v), key=len)) for k, v in made.items()]
-        return pd.DataFrame([r for r in rows if r[2] >= 2], columns=[book, "key", "n_sources", "title"])
-
-    plain = chapters.where(numbered_key(F.col("num")).isNull())
-    return plain.groupBy(book).applyInPandas(fold, f"`{book}` {chapters.schema[book].dataType.simpleString()}, key string, n_sources long, title string")
+    """(book, key, n_sources, title): titles (src, pos, title) gathered each with the first similar one before it that is no
+    follower itself.
+
+    Who is a key: a title without a similar key before it.  That is decided in rounds over all books at once: a title with a similar
+    key follows, one of which all similar titles before it follow is a key; the rest wait for the next round.  Similar
+    titles come from the index of ``similar``; titles are compared in lower case with single blanks."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    plain = chapters.where(numbered_key(F.col("num")).isNull() | F.col("num").isNull()).select(book, "src", "pos", "title", low.alias("low"))
+    firsts = written(plain.groupBy(book, "low").agg(F.min(F.struct("src", "pos", "low")).alias("ord")), "titles")
+    pairs = similar(firsts.select(book, F.col("low").alias("a")), firsts.select(book, F.col("low").alias("b")), least, [book])
+    of = lambda c: firsts.select(book, F.col("low").alias(c), F.col("ord").alias(f"{c}_ord"))
+    before = pairs.join(of("a"), [book, "a"]).join(of("b"), [book, "b"]).where("b_ord < a_ord")
+    before = written(before.select(book, "a", "b", "b_ord"), "similar-titles")
+    state = written(firsts.select(book, "low", F.lit(None).cast("boolean").alias("key")), "keys")
+    while True:
+        seen = before.join(state.withColumnRenamed("low", "b"), [book, "b"]).groupBy(book, F.col("a").alias("low"))
+        seen = seen.agg(F.bool_or(F.coalesce("key", F.lit(False))).alias("has"), F.bool_or(F.col("key").isNull()).alias("waits"))
+        known = state.join(seen, [book, "low"], "left").withColumn("now", F.when(F.col("has"), False).when(~F.coalesce("waits", F.lit(False)), True))
+        state = written(known.select(book, "low", F.coalesce("key", "now").alias("key")), "keys")
+        if state.where("key IS NULL").isEmpty():
+            break
+    keys = state.where("key")
+    to = before.join(keys.select(book, F.col("low").alias("b")), [book, "b"]).groupBy(book, F.col("a").alias("low")).agg(F.min_by("b", "b_ord").alias("to"))
+    placed = plain.join(to, [book, "low"], "left").withColumn("key", F.coalesce("to", "low"))
+    longest = F.min_by("title", F.struct((-F.length("title")).alias("n"), "src", "pos"))
+    return placed.groupBy(book, "key").agg(F.count_distinct("src").alias("n_sources"), longest.alias("title")).where("n_sources >= 2")
 
 
 def best_source(chapters: DataFrame, book: str = "book") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.text import strip
 from evigraph.operators import splits
+from evigraph.shared import written
 
 TERMINAL = ".?!:;。．！？”)」】"
 
@@ -99,6 +100,41 @@ def overlaps(a: str, b: str, tolerance: float = 0.0) -> Column:
     )
 
 
+#: Side of a grid cell in points.
+CELL = 120.0
+
+
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], wide: float = 0.0, high: float = 0.0, cell: float = CELL) -> DataFrame:
+    """All columns of ``left`` and ``right`` (by, x0, y0, x1, y1 each; right's other columns must have other names, its corners come as
+    b_x0 and so on) of the rectangles that meet when the left ones are grown by ``wide`` and ``high``.
+
+    A grid join: both sides are dealt into the cells they cover and meet by cell; a pair counts in the cell of its common part's first
+    corner alone, so that nothing has to be made distinct, and a page of many rectangles isn't squared.  Rectangles without corners meet nothing."""
+    sides = ("x0", "y0", "x1", "y1")
+    other = right.select(*by, *[F.col(c).alias(f"b_{c}") for c in sides], *[c for c in right.columns if c not in (*by, *sides)])
+    grown = {"x0": F.col("x0") - wide, "y0": F.col("y0") - high, "x1": F.col("x1") + wide, "y1": F.col("y1") + high}
+    corners = {c: F.col(f"b_{c}") for c in sides}
+
+    def dealt(df: DataFrame, at: dict) -> DataFrame:
+        cells = [F.sequence(F.floor(at[f"{c}0"] / cell), F.greatest(F.floor(at[f"{c}0"] / cell), F.floor(at[f"{c}1"] / cell))) for c in "xy"]
+        return df.withColumn("_cx", F.explode(cells[0])).withColumn("_cy", F.explode(cells[1]))
+
+    met = dealt(left, grown).join(dealt(other, corners), [*by, "_cx", "_cy"])
+    inside = (grown["x0"] < corners["x1"]) & (corners["x0"] < grown["x1"]) & (grown["y0"] < corners["y1"]) & (corners["y0"] < grown["y1"])
+    first = [F.floor(F.greatest(grown[f"{c}0"], corners[f"{c}0"]) / cell) == F.col(f"_c{c}") for c in "xy"]
+    return met.where(inside & first[0] & first[1]).drop("_cx", "_cy")
+
+
+def with_caption(figures: DataFrame, captions: DataFrame, by: list[str], key: str, has: bool = True) -> DataFrame:
+    """Figures that have a caption near them (``has``), or those that have none: one that begins or ends -6 to 48 points above or below, and shares
+    width with the figure within 10 points.  A semi or anti join; the rectangles meet by grid."""
+    # The reach of a caption.
+    least, most, aside = -6.0, 48.0, 10.0
+    pairs = overlap_join(figures.select(*by, key, "x0", "y0", "x1", "y1"), captions.select(*by, "x0", "y0", "x1", "y1"), by, aside, most + 1)
+    near = (F.col("y0") - F.col("b_y1")).between(least, most) | (F.col("b_y0") - F.col("y1")).between(least, most)
+    return figures.join(pairs.where(near).select(*by, key).distinct(), [*by, key], "left_semi" if has else "left_anti")
+
+
 #: Different heading levels of a table at most.
 MOST_LEVELS = 64
 
@@ -168,21 +204,24 @@ def merge_boxes(rects: DataFrame, by: list[str], gap: float = 6.0, side_gap: flo
 
 def attach_captions(blocks: DataFrame, doc: str = "doc", reach: int = 5) -> DataFrame:
     """(doc, figure, caption): figures in reading order take the nearest free caption of their page and kind, before
-    ahead of after.  A caption is taken once, which is a fold over one document."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos").reset_index(drop=True)
-        used, out = set(), []
-        for i in group.index[group["type"].isin(["figure", "table"])]:
-            for step in (s for k in range(1, reach + 1) for s in (-k, k)):
-                j = i + step
-                if 0 <= j < len(group) and j not in used and group["type"][j] == "caption" and group["page"][j] == group["page"][i] and group["label"][j].lower().startswith(group["type"][i]):
-                    used.add(j)
-                    out.append((group[doc][i], group["pos"][i], group["pos"][j]))
-                    break
-        return pd.DataFrame(out, columns=[doc, "figure", "caption"])
-
-    return blocks.groupBy(doc).applyInPandas(fold, f"`{doc}` {blocks.schema[doc].dataType.simpleString()}, figure int, caption int")
+    ahead of after; a caption is taken once.
+
+    In rounds over all documents: every figure asks its nearest caption that has not refused it, a caption keeps the first figure in
+    reading order and refuses the others.  All captions prefer alike, so that this ends as if the figures chose one after the other."""
+    placed = blocks.select(doc, "page", "type", "label", F.row_number().over(Window.partitionBy(doc).orderBy("pos")).alias("at"), "pos")
+    figures = placed.where(F.col("type").isin("figure", "table")).select(doc, "page", F.col("type").alias("kind"), F.col("at").alias("f_at"), F.col("pos").alias("figure"))
+    captions = placed.where("type = 'caption'").select(doc, "page", "label", "at", F.col("pos").alias("caption"))
+    steps = F.explode(F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k])).alias("step")
+    wishes = figures.select("*", steps).withColumn("at", F.col("f_at") + F.col("step")).join(captions, [doc, "page", "at"])
+    wishes = wishes.where(F.startswith(F.lower("label"), F.col("kind"))).select(doc, "figure", "caption", (2 * F.abs("step") + (F.col("step") > 0).cast("int")).alias("rank"))
+    wishes = written(wishes, "wishes")
+    while True:
+        asked = wishes.groupBy(doc, "figure").agg(F.min_by("caption", "rank").alias("caption"))
+        first = asked.groupBy(doc, "caption").agg(F.min("figure").alias("first"))
+        refused = asked.join(first, [doc, "caption"]).where("figure > first").select(doc, "figure", "caption")
+        if refused.isEmpty():
+            return asked.select(doc, "figure", "caption")
+        wishes = written(wishes.join(refused, [doc, "figure", "caption"], "left_anti"), "wishes")
 
 
 # Words of an affiliation, the form of a section number, of the two headings that count and of a broken word.
