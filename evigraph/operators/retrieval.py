@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigraph.functions.text import tokenize, word_set
+from evigraph.shared import widened, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Claim tokens (over all claims) that are broadcast at most; more are joined by token.
+#: Claim tokens (over all claims) that are broadcast at a time.
 MOST_ASKED = 1_000_000
-#: Claims and rows that are scored at a time.
-CLAIM_BLOCK, ROW_BLOCK = 256, 512
+#: Bytes of the dense weights of a block of claims, rows that are scored at a time, and rows that a task holds before it keeps the best.
+BLOCK_BYTES, ROW_BLOCK, MOST_HELD = 16 << 20, 512, 200_000
 #: Marks in the table of counts: the number of chunks, and their tokens in all.
 _ALL, _SIZE = "", " "
 
@@ -41,102 +45,139 @@ def term_weights(chunks: DataFrame, k: str = "tokens") -> DataFrame:
     return _weights(_counts(chunks, k))
 
 
-def _blocks(asked: pd.DataFrame) -> list[tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """Claims in blocks: their numbers, the column of each token, and the weights (tokens x claims)."""
-    out = []
-    claims = np.unique(asked["c"])
-    for a in range(0, len(claims), CLAIM_BLOCK):
-        part = asked[asked["c"].isin(claims[a : a + CLAIM_BLOCK])]
-        tokens = {t: i for i, t in enumerate(sorted(set(part["token"])))}
-        weight = np.zeros((len(tokens), len(claims[a : a + CLAIM_BLOCK])))
-        weight[part["token"].map(tokens), np.searchsorted(claims[a : a + CLAIM_BLOCK], part["c"])] = part["weight"]
-        out.append((claims[a : a + CLAIM_BLOCK], tokens, weight))
+class _Asked:
+    """Weighted tokens of claims, sparse: what is broadcast is as many numbers as there are asked tokens.  Workers make the dense weights
+    of a block of claims at a time, of ``BLOCK_BYTES`` at most (a claim of very many tokens alone may have more)."""
+
+    def __init__(self, rows: pa.Table, claim: str, average: float = 1.0):
+        rows = rows.sort_by([(claim, "ascending"), ("token", "ascending")])
+        names, tokens = rows[claim].combine_chunks().dictionary_encode(), rows["token"].combine_chunks().dictionary_encode()
+        self.names, self.vocabulary, self.average = names.dictionary, tokens.dictionary, average
+        self.claim, self.token = names.indices.to_numpy().astype(np.int32), tokens.indices.to_numpy().astype(np.int32)
+        self.weight = rows["weight"].combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(claims, place of each token of the vocabulary among the block's or -1, dense weights: tokens x claims)."""
+        ends = np.concatenate([[0], np.cumsum(np.bincount(self.claim, minlength=len(self.names)))])
+        a = 0
+        while a < len(self.names):
+            size = (ends[a + 1 :] - ends[a]) * np.arange(1, len(self.names) - a + 1) * 8  # at most so many bytes with each further claim
+            b = a + max(1, int(np.searchsorted(size, BLOCK_BYTES, side="right")))
+            mine = slice(ends[a], ends[b])
+            used = np.unique(self.token[mine])
+            place = np.full(len(self.vocabulary), -1, dtype=np.int32)
+            place[used] = np.arange(len(used))
+            dense = np.zeros((len(used), b - a))
+            dense[place[self.token[mine]], self.claim[mine] - a] = self.weight[mine]
+            yield np.arange(a, b), place, dense
+            a = b
+
+    def scores(self, lists: pa.ListArray, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, claims, scores) of token lists, some rows and a block of claims at a time; ``value`` turns counts and list sizes into
+        amounts.  Tokens are looked up by Arrow, not one by one."""
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        code = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
+        pair, times = np.unique(row * len(self.vocabulary) + code[code >= 0], return_counts=True)
+        row, code = np.divmod(pair, max(1, len(self.vocabulary)))
+        amounts = value(times, sizes[row])
+        for claims, place, dense in self.blocks():
+            for a in range(0, len(sizes), ROW_BLOCK):
+                low, high = np.searchsorted(row, [a, a + ROW_BLOCK])
+                column = place[code[low:high]]
+                some = np.zeros((min(ROW_BLOCK, len(sizes) - a), len(dense)))
+                some[row[low:high][column >= 0] - a, column[column >= 0]] = amounts[low:high][column >= 0]
+                yield a, claims, some @ dense
+
+
+def _portions(asked: DataFrame, claim: str) -> Iterator[DataFrame]:
+    """Rows (claim, token, weight) in portions of about ``MOST_ASKED``; a claim is in one."""
+    n = max(1, -(-asked.count() // MOST_ASKED))
+    for i in range(n):
+        yield asked if n == 1 else asked.where(F.pmod(F.xxhash64(claim), F.lit(n)) == i)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def _scored(lists: list, blocks: list, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, claims, scores) of token lists by blocks; ``value`` turns counts and list sizes into amounts."""
-    for a in range(0, len(lists), ROW_BLOCK):
-        part = lists[a : a + ROW_BLOCK]
-        sizes = np.array([len(x) for x in part])
-        row = np.repeat(np.arange(len(part)), sizes)
-        words = [t for x in part for t in x]
-        for claims, tokens, weight in blocks:
-            column = np.fromiter((tokens.get(t, -1) for t in words), dtype=np.int64, count=len(words))
-            at, times = np.unique(row[column >= 0] * len(tokens) + column[column >= 0], return_counts=True)
-            amount = np.zeros((len(part), len(tokens)))
-            amount.ravel()[at] = value(times, sizes[at // max(1, len(tokens))])
-            yield a, claims, amount @ weight
+@dataclass
+class Index:
+    """Tokens of chunks (*order, tokens) and in how many chunks each token is, both written once."""
 
+    tokens: DataFrame
+    counts: DataFrame
+    order: tuple[str, ...]
 
-def top_k(claims: DataFrame, chunks: DataFrame, k: int = 5, claim: str = "claim_id", claim_text: str = "claim", order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    @classmethod
+    def of(cls, chunks: DataFrame, order: tuple[str, ...] = ("chunk_id",)) -> Index:
+        """The index of ``chunks`` (*order, chunk): each chunk is tokenised here, and never again."""
+        spread = widened(chunks.select(*order, "chunk"))
+        tokens = written(spread.select(*order, tokenize(F.col("chunk")).alias("tokens")), "tokens")
+        return cls(tokens, written(_counts(tokens, "tokens"), "token-counts"), order)
+
+    def extended(self, chunks: DataFrame) -> Index:
+        """With more chunks: only they are read, and their counts are added."""
+        more = Index.of(chunks, self.order)
+        counts = self.counts.unionByName(more.counts).groupBy("token").agg(F.sum("n").alias("n"))
+        return Index(self.tokens.unionByName(more.tokens), written(counts, "token-counts"), self.order)
+
+
+def top_k(claims: DataFrame, chunks: DataFrame | Index, k: int = 5, claim: str = "claim_id", claim_text: str = "claim", order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """(claim, rank, *order, score): the ``k`` best chunks of each claim, then those of positive score.
 
-    ``chunks`` has the ``order`` columns and ``chunk``; ties go to the earlier chunk.  The weights of the claims' tokens are
-    broadcast if they are few (``MOST_ASKED``): each task scores its chunks by a matrix product and keeps ``k`` for each claim, so
-    that nothing is exchanged by token.  More claims than that are joined to postings by token.  Scores are rounded so that
-    the order of summation decides no tie."""
-    tokens = chunks.select(*order, tokenize(F.col("chunk")).alias("tokens")).withColumn("size", F.size("tokens"))
+    ``chunks`` has the ``order`` columns and ``chunk``, or is an index of such; ties go to the earlier chunk.  The sparse
+    weights of the claims' tokens are broadcast, at most about ``MOST_ASKED`` of them at a time (more claims take more
+    passes over the tokens); each task scores its chunks by matrix products and keeps ``k`` for each claim, so that what is
+    exchanged is tasks x claims x k rows and nothing by token.  Scores are rounded so that the order of summation decides no tie."""
+    index = chunks if isinstance(chunks, Index) else Index.of(chunks, order)
+    order, tokens, counts = index.order, index.tokens, index.counts
     asked = claims.select(claim, F.explode(tokenize(F.col(claim_text))).alias("token")).groupBy(claim, "token").agg(F.count("*").alias("qf"))
-    counts = _counts(tokens, "tokens")
-    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
-    if few:
-        scored = _top_by_block(tokens, asked, counts, k, claim, order)
-    else:
-        scored = _scored_by_token(tokens, asked, counts, claim, order)
+    total = {r["token"]: r["n"] for r in counts.where(F.col("token").isin(_ALL, _SIZE)).collect()}
+    weights = written(_weights(counts).join(asked, "token").select(claim, "token", (F.col("qf") * F.col("idf")).alias("weight")), "asked")
+    average = total.get(_SIZE, 0) / max(1, total.get(_ALL, 0))
+    scored = _union([_best_chunks(tokens, part, average, k, claim, order) for part in _portions(weights, claim)])
     best = Window.partitionBy(claim).orderBy(F.desc("score"), *order)
     return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0)).select(claim, "rank", *order, "score")
 
 
-def _top_by_block(tokens: DataFrame, asked: DataFrame, counts: DataFrame, k: int, claim: str, order: tuple[str, ...]) -> DataFrame:
-    """(claim, *order, score): the best of each batch."""
-    marked = F.col("token").isin(_ALL, _SIZE)
-    weights = _weights(counts).join(asked, "token").select(claim, "token", (F.col("qf") * F.col("idf")).alias("weight"))
-    totals = counts.where(marked).select(F.lit(None).cast(asked.schema[claim].dataType).alias(claim), "token", F.col("n").cast("double").alias("weight"))
-    rows = weights.unionByName(totals).toArrow().to_pydict()  # not through pandas, which makes whole numbers with nulls inexact
-    total = {t: w for t, w in zip(rows["token"], rows["weight"], strict=True) if t in (_ALL, _SIZE)}
-    average = total.get(_SIZE, 0.0) / max(1.0, total.get(_ALL, 0.0))
-    place: dict = {}
-    known = [(place.setdefault(c, len(place)), t, w) for c, t, w in zip(rows[claim], rows["token"], rows["weight"], strict=True) if t not in (_ALL, _SIZE)]
-    names, known = list(place), pd.DataFrame(known, columns=["c", "token", "weight"])
-    shared = tokens.sparkSession.sparkContext.broadcast((names, _blocks(known)))
-    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in [(claim, asked.schema[claim].dataType), *((c, tokens.schema[c].dataType) for c in order)]) + ", score double"
+def _best_chunks(tokens: DataFrame, weights: DataFrame, average: float, k: int, claim: str, order: tuple[str, ...]) -> DataFrame:
+    """(claim, *order, score): the best of each task."""
+    shared = tokens.sparkSession.sparkContext.broadcast(_Asked(weights.toArrow(), claim, average))
+    fields = [weights.schema[claim], *(tokens.schema[c] for c in order)]
 
     def amount(times: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return times * (K1 + 1) / (times + K1 * (1 - B + B * size / average))
+        return times * (K1 + 1) / (times + K1 * (1 - B + B * size / shared.value.average))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, blocks = shared.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, held = shared.value, []
         for batch in batches:
-            found = []
-            for a, claims, scores in _scored(list(batch["tokens"]), blocks, amount):
+            lists = batch.column("tokens")
+            for a, claims, scores in asked.scores(lists, amount):
                 scores = np.round(scores, 6)
                 least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else 0.0  # those equal to the k-th stay in
                 row, column = np.nonzero((scores > 0) & (scores >= least))
-                found.append(batch.iloc[a + row][list(order)].assign(c=claims[column], score=scores[row, column]))
-                if len(found) > 64:
-                    found = [_best(found, k, order)]
-            if found:
-                best = _best(found, k, order)
-                yield best.assign(**{claim: [names[i] for i in best["c"]]})[[claim, *order, "score"]]
-
-    return tokens.select(*order, "tokens").mapInPandas(score, schema)
+                at = pa.table([pa.array(claims[column]), pa.array(scores[row, column]), *(batch.column(c).take(pa.array(a + row)) for c in order)], names=["c", "score", *order])
+                held.append(at)
+                if sum(map(len, held)) > MOST_HELD:
+                    held = [_best(held, k, order)]
+        if held:
+            best = _best(held, k, order)
+            yield from pa.table([asked.names.take(best["c"].combine_chunks()), *(best[c] for c in (*order, "score"))], names=[claim, *order, "score"]).to_batches()
 
+    return tokens.select(*order, "tokens").mapInArrow(score, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
-def _best(found: list[pd.DataFrame], k: int, order: tuple[str, ...]) -> pd.DataFrame:
-    rows = pd.concat(found, ignore_index=True).sort_values(["c", "score", *order], ascending=[True, False, *[True] * len(order)])
-    return rows.groupby("c").head(k)
 
-
-def _scored_by_token(tokens: DataFrame, asked: DataFrame, counts: DataFrame, claim: str, order: tuple[str, ...]) -> DataFrame:
-    weights = _weights(counts).join(asked.select("token").distinct(), "token", "left_semi").select("token", "idf")
-    average = tokens.agg(F.avg("size")).scalar()
-    postings = tokens.select(*order, "size", F.explode("tokens").alias("token")).join(weights.select("token"), "token", "left_semi")
-    postings = postings.groupBy(*order, "size", "token").agg(F.count("*").alias("tf"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / average)
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = postings.join(weights, "token").join(asked, "token").withColumn("part", part)
-    return scored.groupBy(claim, *order).agg(F.round(F.sum("part"), 6).alias("score"))
+def _best(held: list[pa.Table], k: int, order: tuple[str, ...]) -> pa.Table:
+    """The first ``k`` rows of each claim."""
+    rows = pa.concat_tables(held).sort_by([("c", "ascending"), ("score", "descending"), *((c, "ascending") for c in order)])
+    claim = rows["c"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], claim[1:] != claim[:-1]])) if len(claim) else np.empty(0, dtype=int)
+    rank = np.arange(len(claim)) - np.repeat(first, np.diff(np.concatenate([first, [len(claim)]])))
+    return rows.filter(pa.array(rank < k))
 
 
 def confidence(verdicts: DataFrame, by: list[str], verdict: str = "verdict") -> DataFrame:
@@ -173,36 +214,31 @@ def best_sections(claims: DataFrame, sections: DataFrame, claim: str = "claim_id
         usable = usable.where(~F.col("header").contains(word))
     held = usable.select("doc_id", "section", word_set(F.concat_ws(" ", "header", "body")).alias("tokens"))
     asked = claims.select(claim, word_set(F.col(claim_text)).alias("tokens")).where(F.size("tokens") > 0)
-    few = asked.select(F.explode("tokens")).limit(MOST_ASKED + 1).count() <= MOST_ASKED
-    scored = _shares_by_block(held, asked, claim, least) if few else _shares_by_token(held, asked, claim)
+    rows = written(asked.select(claim, F.explode("tokens").alias("token"), (1 / F.size("tokens")).alias("weight")), "asked")
+    scored = _union([_shares(widened(held), part, claim, least) for part in _portions(rows, claim)])
     first = Window.partitionBy(claim, "doc_id").orderBy(F.desc("score"), "section")
     return scored.where(F.col("score") >= least).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
-def _shares_by_block(held: DataFrame, asked: DataFrame, claim: str, least: float) -> DataFrame:
-    """(claim, doc_id, section, score) of at least ``least``; the claims' tokens are broadcast, sections stay where they are."""
-    known = asked.toArrow().to_pydict()
-    rows = [(i, t, 1.0) for i, tokens in enumerate(known["tokens"]) for t in tokens]
-    size = np.array([len(x) for x in known["tokens"]], dtype=float)
-    shared = held.sparkSession.sparkContext.broadcast((known[claim], size, _blocks(pd.DataFrame(rows, columns=["c", "token", "weight"]))))
+def _shares(held: DataFrame, weights: DataFrame, claim: str, least: float) -> DataFrame:
+    """(claim, doc_id, section, score) of at least ``least``: sections stay where they are."""
+    table = weights.toArrow()
+    asked = _Asked(table, claim)
+    asked.size = np.rint(1 / asked.weight[np.unique(asked.claim, return_index=True)[1]]) if len(asked.claim) else np.empty(0)
+    asked.weight[:] = 1.0
+    shared = held.sparkSession.sparkContext.broadcast(asked)
+    fields = [weights.schema[claim], held.schema["doc_id"], held.schema["section"]]
 
-    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, size, blocks = shared.value
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
         for batch in batches:
-            doc, section = batch["doc_id"].to_numpy(), batch["section"].to_numpy()
-            for a, claims, common in _scored(list(batch["tokens"]), blocks, lambda times, _: times):
-                score = np.rint(common) / size[claims]
+            for a, claims, common in asked.scores(batch.column("tokens"), lambda times, _: times):
+                score = np.rint(common) / asked.size[claims]
                 row, column = np.nonzero((score >= least) & (common > 0))
-                yield pd.DataFrame({claim: [names[i] for i in claims[column]], "doc_id": doc[a + row], "section": section[a + row], "score": score[row, column]})
-
-    kinds = [(claim, asked.schema[claim].dataType), ("doc_id", held.schema["doc_id"].dataType), ("section", held.schema["section"].dataType)]
-    return held.mapInPandas(share, ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", score double")
-
+                at = pa.array(a + row)
+                yield pa.RecordBatch.from_arrays([asked.names.take(pa.array(claims[column])), batch.column("doc_id").take(at), batch.column("section").take(at), pa.array(score[row, column])], [claim, "doc_id", "section", "score"])
 
-def _shares_by_token(held: DataFrame, asked: DataFrame, claim: str) -> DataFrame:
-    asked = asked.select(claim, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    scored = held.select("doc_id", "section", F.explode("tokens").alias("token")).join(asked, "token").groupBy(claim, "doc_id", "section")
-    return scored.agg((F.count("*") / F.first("size")).alias("score"))
+    return held.mapInArrow(share, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def keep_rewrite(old: Column, new: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import chunks, text
 from evigraph.operators import consensus, export, graph, layout, normalize, parse, registry, retrieval, splits, timeline
 from evigraph.schemas import VERDICTS
+from evigraph.shared import widened
 from evigraph.sources import web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; texts in one row group are dealt out to all cores."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widened(found) if name in ("documents", "pages") else found
 
 
 # --- Text ------------------------------------------------------------------------------------------------

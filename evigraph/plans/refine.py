@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import retrieval
 from evigraph.plans.providers import ModelProvider
+from evigraph.shared import written
 
 
 @dataclass(frozen=True)
@@ -27,10 +28,11 @@ def claims_of(documents: DataFrame, config: RefineConfig = RefineConfig()) -> Da
     return documents.select("doc_id", F.posexplode(kept).alias("claim_no", "claim"))
 
 
-def verified(claims: DataFrame, chunks: DataFrame, provider: ModelProvider, config: RefineConfig = RefineConfig()) -> DataFrame:
-    """(doc_id, claim_no, claim, verdict, reason, evidence).  A claim without evidence is unverifiable unasked."""
+def verified(claims: DataFrame, chunks: DataFrame, provider: ModelProvider, config: RefineConfig = RefineConfig(), index: retrieval.Index | None = None) -> DataFrame:
+    """(doc_id, claim_no, claim, verdict, reason, evidence).  A claim without evidence is unverifiable unasked.  ``index``: that of
+    the chunks, if there is one."""
     keyed = claims.withColumn("claim_id", F.xxhash64("doc_id", "claim_no"))
-    found = retrieval.top_k(keyed, chunks, config.top_k)
+    found = retrieval.top_k(keyed, index or chunks, config.top_k)
     texts = found.join(chunks.select("chunk_id", "chunk"), "chunk_id")
     evidence = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"])
     known = keyed.join(texts.groupBy("claim_id").agg(evidence.alias("evidence")), "claim_id", "left")
@@ -45,18 +47,19 @@ def verified(claims: DataFrame, chunks: DataFrame, provider: ModelProvider, conf
 
 def refine(
     documents: DataFrame, chunks: DataFrame, provider: ModelProvider, rewrite: Callable[[DataFrame, DataFrame], DataFrame],
-    config: RefineConfig = RefineConfig(), store: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(),
+    config: RefineConfig = RefineConfig(), store: Callable[[DataFrame], DataFrame] = lambda df: written(df, "refine"),
 ) -> DataFrame:
     """(doc_id, text, score, iterations) of documents (doc_id, text).
 
     Each round scores what is still open, keeps a document's best version so far, and lets ``rewrite(open
     documents, verdicts)`` give (doc_id, text, n_fixed).  A document ends at the threshold, with its best version
     after the last round, or as it stands when nothing was fixed.  The rounds are the driver's; their
-    tables are written, so that a round's plan does not hold all before it."""
+    tables are written, so that a round's plan does not hold all before it.  The chunks are indexed once for all rounds."""
+    index = retrieval.Index.of(chunks)
     state = documents.select("doc_id", "text", F.lit(-1.0).alias("best_score"), F.col("text").alias("best_text"), F.lit(0).alias("iterations"))
     done: DataFrame | None = None
     for turn in range(1, config.max_iter + 1):
-        verdicts = store(verified(claims_of(state, config), chunks, provider, config))
+        verdicts = store(verified(claims_of(state, config), chunks, provider, config, index))
         scored = state.join(retrieval.confidence(verdicts, ["doc_id"]), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         better = F.col("score") > F.col("best_score")
         scored = scored.withColumn("best_text", F.when(better, F.col("text")).otherwise(F.col("best_text"))).withColumn("best_score", F.greatest("score", "best_score"))

@@ -52,3 +52,11 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it has fewer partitions than there are (a small table in one row group): for work that costs
+    much more than the exchange of its rows.  Tables of more partitions stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

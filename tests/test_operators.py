@@ -167,7 +167,7 @@ def test_ids_of_claims_stay_exact_and_ties_go_to_the_earlier_chunk(spark):
     chunks = spark.createDataFrame([(i, f"alpha beta gamma {'x' * (i % 2)}") for i in range(9)] + [(9, ""), (10, None)] + [(20 + i, f"other words {i}") for i in range(30)], "chunk_id long, chunk string")
     got = retrieval.top_k(claims, chunks, 3).orderBy("rank").collect()
     assert {r.claim_id for r in got} == {-8871059966584415231} and len(got) == 3
-    before, retrieval.MOST_ASKED = retrieval.MOST_ASKED, 1  # beyond the bound of the broadcast the same rows come from a join
+    before, retrieval.MOST_ASKED = retrieval.MOST_ASKED, 1  # beyond the bound of the broadcast the same rows come in several passes
     try:
         assert retrieval.top_k(claims, chunks, 3).orderBy("rank").collect() == got
     finally:
@@ -206,3 +206,15 @@ def test_upper_median_and_relevance_bounds(spark):
     entities = spark.createDataFrame([("Graph", "of words"), ("x", None)], "name string, description string")
     words = spark.createDataFrame([("graph",), ("word",), ("none",)], "term string")
     assert [tuple(r) for r in graph.relevance(entities, words).collect()] == [("Graph", 2)]
+
+
+def test_index_is_extended_without_reading_the_old_chunks(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"alpha w{i % 7} beta{i % 3} " * (i % 5)) for i in range(60)], "chunk_id int, chunk string")
+    claims = spark.createDataFrame([(i, f"alpha w{i} beta1") for i in range(9)], "claim_id int, claim string")
+    want = sorted(map(tuple, retrieval.top_k(claims, chunks, 4).collect()))
+    index = retrieval.Index.of(chunks.where("chunk_id < 25")).extended(chunks.where("chunk_id >= 25"))
+    assert sorted(map(tuple, retrieval.top_k(claims, index, 4).collect())) == want and len(want) == 36
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 1)  # one claim at a time
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 8)  # and some passes
+    monkeypatch.setattr(retrieval, "MOST_HELD", 3)
+    assert sorted(map(tuple, retrieval.top_k(claims, index, 4).collect())) == want
