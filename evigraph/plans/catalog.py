@@ -125,14 +125,16 @@ def page_texts_unescaped(spark, sf_dir):
 _NOISE = " AND ".join(f"NOT regexp_matches(href, '(?i){p}')" for p in web.NOISE_LINKS)
 
 
-@query(f"""WITH f AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1) AS h FROM pages)),
+@query(f"""WITH f AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(replace(html, 'href="/', 'href="https://site' || page_id % 9 || '.net/'), '(?i)href=["'']([^"'']+)["'']', 1) AS h FROM pages)),
 g AS (SELECT page_id, pos, trim(href) AS href FROM f),
 k AS (SELECT *, regexp_replace(lower(regexp_extract(href, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS domain FROM g WHERE {_NOISE}),
 n AS (SELECT unnest({web.NOISE_DOMAINS!r}) AS d)
 SELECT page_id, regexp_extract(href, '^([^?#]*)', 1) AS url, domain, min(pos)::INTEGER AS pos FROM k
 WHERE domain <> '' AND NOT EXISTS (SELECT 1 FROM n WHERE domain = d OR ends_with(domain, '.' || d)) GROUP BY ALL""")
 def outbound_links(spark, sf_dir):
-    return web.links(table(spark, sf_dir, "pages"))
+    """The pages' local links, each under one of nine hosts."""
+    host = F.concat(F.lit('href="https://site'), (F.col("page_id") % 9).cast("string"), F.lit(".net/"))
+    return web.links(table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit('href="/'), host)))
 
 
 @query("""SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[:60] AS slug,
@@ -448,10 +450,14 @@ def acronym_duplicates(spark, sf_dir):
 g AS (SELECT key, {_PICK} AS canonical, count(*) AS n FROM k WHERE key <> '' GROUP BY key)
 SELECT canonical AS name, count(*) AS n_names, min(length(name))::INTEGER AS shortest FROM (SELECT name, CASE WHEN n > 1 THEN canonical ELSE name END AS canonical FROM k LEFT JOIN g USING (key)) GROUP BY canonical""")
 def rename_merge(spark, sf_dir):
+    """Names that are string duplicates become one entity."""
     names = _names(spark, sf_dir).select("name").distinct()
     mapping = normalize.merge_mapping(normalize.string_duplicates(names))
-    moved = names.join(mapping, names["name"] == mapping["old"], "left").select(F.coalesce("new", "name").alias("to"), "name")
-    return moved.groupBy(F.col("to").alias("name")).agg(F.count("*").alias("n_names"), F.min(F.length("name")).alias("shortest"))
+    rows = names.select("name", F.lit("t").alias("type"), F.col("name").alias("description"), F.length("name").alias("confidence"))
+    kept = normalize.rename_entities(rows, mapping).select("name")
+    moved = names.join(mapping, names["name"] == mapping["old"], "left").select(F.coalesce("new", "name").alias("to"), F.length("name").alias("n"))
+    counts = moved.groupBy(F.col("to").alias("name")).agg(F.count("*").alias("n_names"), F.min("n").alias("shortest"))
+    return kept.join(counts, "name")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 500)
@@ -461,6 +467,19 @@ def cosine_pairs(spark, sf_dir):
     return near.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+#: Vectors by group of customers: the last decimals of an account differ, so that many are near each other.
+_SUMS = "(SELECT c_custkey, [sin(c_nationkey), cos(c_nationkey), sin(2 * c_nationkey), cos(2 * c_nationkey), c_acctbal / 40000.0::DOUBLE]::DOUBLE[] AS e FROM customer)"
+
+
+@query(f"""SELECT a.c_custkey AS a, b.c_custkey AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM {_SUMS} a JOIN {_SUMS} b ON a.c_custkey < b.c_custkey WHERE list_cosine_similarity(a.e, b.e) >= 0.93""")
+def near_vectors(spark, sf_dir):
+    """All pairs of all customers, drawn as vectors of nation and balance, at the default threshold."""
+    n = F.col("c_nationkey")
+    vector = F.array(F.sin(n), F.cos(n), F.sin(2 * n), F.cos(2 * n), F.col("c_acctbal") / 40000)
+    near = normalize.all_near_pairs(table(spark, sf_dir, "customer").select("c_custkey", vector.alias("e")), "c_custkey", "e")
+    return near.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""WITH t AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[\\s\\-_/]+'), lambda x: length(x) > 2)) AS x,
   list_distinct(list_filter(regexp_split_to_array(lower(p_type || '-' || p_name || '/of ' || p_brand), '[\\s\\-_/]+'), lambda x: length(x) > 2)) AS y FROM part)
 SELECT p_partkey, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS jaccard FROM t""")
@@ -477,7 +496,7 @@ def title_confidence(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.title_confidence(name, title).alias("confidence"))
 
 
-@query()
+@query("""SELECT CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE substr(c_mktsegment, 1, length(c_mktsegment) - 1) END AS name, c_mktsegment AS canonical FROM customer""")
 def closest_names(spark, sf_dir):
     """Market segments with their last letter lost find the segment again."""
     customer = table(spark, sf_dir, "customer")

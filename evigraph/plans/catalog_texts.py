@@ -71,11 +71,10 @@ def queue_lines(spark, sf_dir):
     return files.queue_items(lines, ["view", "click"])
 
 
-@query("""WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) AS t FROM pages)
-SELECT page_id, 'web' AS source_type, url AS source_id, CASE WHEN page_id % 5 = 0 THEN 'given' WHEN t <> '' THEN t ELSE url END AS title FROM t WHERE NOT contains(t, '&')""")
+@query("""WITH t AS (SELECT page_id, url, trim(replace(replace(replace(replace(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS t FROM pages)
+SELECT page_id, 'web' AS source_type, url AS source_id, CASE WHEN page_id % 5 = 0 THEN 'given' WHEN t <> '' THEN t ELSE url END AS title FROM t""")
 def web_documents(spark, sf_dir):
-    """Pages whose titles hold no character references, which the SQL can't read."""
-    pages = table(spark, sf_dir, "pages").where(~F.contains(web.raw_title(F.col("html")), F.lit("&"))).withColumn("own", F.when(F.col("page_id") % 5 == 0, "given"))
+    pages = table(spark, sf_dir, "pages").withColumn("own", F.when(F.col("page_id") % 5 == 0, "given"))
     return web.ingest(pages, given_title="own").select("page_id", "source_type", "source_id", "title")
 
 
@@ -100,39 +99,6 @@ def written_links(spark, sf_dir):
     return web.links(table(spark, sf_dir, "pages").select("page_id", html.alias("html")))
 
 
-@query("""SELECT doc_id, 3 AS line_no, 'v' || lpad(doc_id::VARCHAR, 10, '0') AS video_id, 'Talk ' || doc_id AS title, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS date, 'Lex show' AS channel FROM documents""")
-def episode_table(spark, sf_dir):
-    row = F.format_string("intro\n## Lex show\n|-|-|\n| 2024-01-%02d | [Talk %d](https://www.youtube.com/watch?v=v%010d) |\nno row\n## Other\n| 2024-02-01 | [B](https://www.youtube.com/watch?v=w%010d) |", F.col("doc_id") % 28 + 1, F.col("doc_id"), F.col("doc_id"), F.col("doc_id"))
-    lines = chunks.lines_of(table(spark, sf_dir, "documents").select("doc_id", row.alias("text")), "doc_id")
-    return files.episode_rows(lines, "doc_id", channel="lex")
-
-
-@query("""SELECT doc_id, 'b' || (doc_id % 50) AS book_id, CASE WHEN doc_id % 3 = 0 THEN 'web_researcher' WHEN doc_id % 3 = 1 THEN 'gutenberg' ELSE 'library' END AS source_mode, 'S' || doc_id AS subject FROM documents""")
-def run_data(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    node = F.when(k == 0, "x → node: web_research").when(k == 1, "y → node: ingest").otherwise("idle")
-    log = F.concat(F.lit("run started book=old\n"), node, F.lit("\nrun started at 5 book=b"), (F.col("doc_id") % 50).cast("string"), F.lit(" mode=1\nend"))
-    graph = F.format_string('{"subject": "S%d", "source_mode": "library", "other": 1}', F.col("doc_id"))
-    return artefacts.run_data(table(spark, sf_dir, "documents").select("doc_id", log.alias("log"), graph.alias("concepts")), "doc_id")
-
-
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'chunks' WHEN 1 THEN 'web' WHEN 2 THEN 'concepts' ELSE 'ready' END AS route,
-CASE doc_id % 4 WHEN 0 THEN '## H' || doc_id || E'\\n\\nfirst\\n\\n---\\n\\nsecond'
- WHEN 1 THEN '# Subject' || E'\\n\\nS' || doc_id || E'\\n\\n---\\n\\n## T\\n\\nsum\\n\\nSources: u1, u2\\n\\n---\\n\\n[r] (u3)\\nbody'
- WHEN 2 THEN '# Overview' || E'\\n\\nS' || doc_id || E'\\n\\n---\\n\\n## Concept: C\\n\\nd\\n\\nSignificance: s\\n\\n---\\n\\n## Relation: a → b (uses)\\n\\nr\\n\\n---\\n\\n## Logic Flow\\n\\n- one\\n- two'
- ELSE 'ready ' || doc_id END AS text FROM documents""")
-def truth_texts(spark, sf_dir):
-    n, k = F.col("doc_id"), F.col("doc_id") % 4
-    held = table(spark, sf_dir, "documents").select(
-        "doc_id", F.when(k == 3, F.format_string("ready %d", n)).alias("ready"),
-        F.when(k == 0, F.format_string('{"chunks": [{"heading": "H%d", "text": "first"}, {"text": "second", "x": 1}]}', n)).alias("chunks"),
-        F.when(k == 1, F.format_string('{"subject": "S%d", "chunks": [{"heading_title": "T", "summary_text": " sum ", "sources": ["u1", "u2"]}, {"summary_text": ""}], "raw_results": {"h": [{"title": "r", "url": "u3", "body": "body"}, {"body": " "}]}}', n)).alias("web"),
-        F.when(k == 2, F.format_string('{"subject": "S%d", "concepts": [{"name": "C", "description": "d", "significance": "s"}, {"name": ""}], "relations": [{"source": "a", "target": "b", "relation_type": "uses", "description": "r"}, {"source": "a"}], "logic_flow": ["one", "two"], "core_frustration": ""}', n)).alias("concepts"),
-    )
-    found = artefacts.truth_text(*map(F.col, ("ready", "chunks", "web", "concepts"))).alias("t")
-    return held.select("doc_id", found).select("doc_id", "t.route", "t.text")
-
-
 # --- Segmentation ----------------------------------------------------------------------------------------
 
 
@@ -155,27 +121,6 @@ def _markdown(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
 
 
-@query(f"""SELECT doc_id, unnest([0, 1, 2, 3, 4])::BIGINT AS section, unnest([NULL, '# One', '## 編集後記', '### More', '#### Deep']) AS header, unnest(['intro ' || doc_id, 'body one', 'opinion', 'kept ' || (doc_id % 7), 'end']) AS body FROM (SELECT doc_id, {_MD} AS text FROM documents)""")
-def markdown_sections(spark, sf_dir):
-    return chunks.sections(_markdown(spark, sf_dir), "doc_id")
-
-
-@query("""SELECT doc_id, 'intro ' || doc_id || E'\\n# One\\nbody one\\n\\n### More\\nkept ' || (doc_id % 7) || E'\\n#### Deep\\nend' AS text FROM documents""")
-def factual_sections(spark, sf_dir):
-    return chunks.without_sections(_markdown(spark, sf_dir), "doc_id", ["編集後記", "考察"])
-
-
-@query("""SELECT doc_id, 'intro ' || doc_id || E'\\n\\n# One\\n' || CASE WHEN doc_id % 2 = 0 THEN 'body one, corrected' ELSE 'body one' END || E'\\n\\n## 編集後記\\nopinion\\n\\n### More\\nkept ' || (doc_id % 7) || E'\\n\\n#### Deep\\nend' AS text,
- CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n_fixed FROM documents""")
-def reassembled(spark, sf_dir):
-    """A rewrite of even documents holds, that of the others is too short; every third has an empty one besides."""
-    made = chunks.sections(_markdown(spark, sf_dir), "doc_id")
-    docs = table(spark, sf_dir, "documents")
-    first = docs.select("doc_id", F.lit(1).cast("long").alias("section"), F.when(F.col("doc_id") % 2 == 0, "body one, corrected").otherwise("b").alias("new"))
-    more = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(3).cast("long").alias("section"), F.lit("").alias("new"))
-    return correction.reassemble(made, first.unionByName(more))
-
-
 @query("""SELECT user_id AS doc_id, (row_number() OVER (PARTITION BY user_id ORDER BY e, p) - 1)::INTEGER AS claim_no, claim FROM (SELECT user_id, claim, min(event_id) AS e, arg_min(p, event_id) AS p FROM (SELECT user_id, event_id, unnest(c) AS claim, unnest(range(len(c))) AS p FROM
  (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN ['claim of kind ' || (event_id % 6), 'second claim ' || event_id] ELSE ['a line that claims ' || (event_id % 4)] END AS c FROM events)) GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY e, p) <= 30""")
@@ -217,13 +162,6 @@ def heading_chunks(spark, sf_dir):
     return splits.heading_chunks(docs, "doc_id", size=600)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'the end of ' || doc_id ELSE substr(t, floor(length(t) * 0.7)::BIGINT + 1, 3000) END AS conclusion FROM (SELECT doc_id, 'Introduction text of some length ' || doc_id AS t FROM documents)""")
-def conclusions(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    whole = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("1. Introduction\nx\n5 Conclusion\nthe end of "), n, F.lit("\n6. References\ny"))).otherwise(F.concat(F.lit("Introduction text of some length "), n))
-    return documents.conclusions(table(spark, sf_dir, "documents").select("doc_id", whole.alias("text")), "doc_id")
-
-
 @query("""SELECT doc_id, [coalesce(substring(t, 1, 40), ''), coalesce(substring(t, greatest(0, length(t) // 2 - 20) + 1, 40), ''), coalesce(substring(t, greatest(0, length(t) - 40) + 1, 40), '')] AS points,
  CASE WHEN length(t) > 100 THEN substring(t, 1, 100) || '[…]' ELSE t END AS prompt FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def text_samples(spark, sf_dir):
@@ -237,59 +175,6 @@ def list_halves(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", documents.halves(items).alias("h")).select("doc_id", "h.first", "h.second")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN E'a\\n## Notes\\nb' ELSE 'a' || E'\\n\\n## Notes\\n\\nn' || doc_id || E'\\n' END AS added, CASE WHEN doc_id % 3 = 0 THEN 'a' || E'\\n' || E'new\\n\\n## Notes\\nb' ELSE 'a  ' END AS inserted FROM documents""")
-def section_edits(spark, sf_dir):
-    doc = F.when(F.col("doc_id") % 3 == 0, "a\n## Notes\nb").otherwise("a  ")
-    added = documents.add_section(doc, "## Notes", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
-    return table(spark, sf_dir, "documents").select("doc_id", added.alias("added"), documents.insert_before(doc, "## Notes", F.lit("new")).alias("inserted"))
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN [] ELSE ['graph', 'k' || doc_id, 'spark'] END AS tags FROM documents""")
-def summary_keywords(spark, sf_dir):
-    summary = F.when(F.col("doc_id") % 4 == 0, "no section").otherwise(F.concat(F.lit("x\n## キーワード\n\n`graph` / k"), F.col("doc_id").cast("string"), F.lit(" / / spark\n\n## end / no")))
-    return table(spark, sf_dir, "documents").select("doc_id", documents.keywords(summary).alias("tags"))
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'short ' || doc_id ELSE 'First line' END AS tldr, CASE WHEN doc_id % 2 = 0 THEN ['one', 'two'] ELSE [] END AS points FROM documents""")
-def summary_fields(spark, sf_dir):
-    """Model answers cleaned: thoughts out, a TLDR line or the first line, points without marks, each once."""
-    n = F.col("doc_id").cast("string")
-    answer = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>hm\nTLDR: no</think>TL;DR： short "), n, F.lit("\nPOINTS\n- 要点1: one\n・two\n* one"))).otherwise("\nPOINTS:\nFirst line\nother")
-    return table(spark, sf_dir, "documents").select("doc_id", documents.parse_summary(answer).alias("s")).select("doc_id", "s.tldr", "s.points")
-
-
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1200 WHEN 1 THEN 3000000 WHEN 2 THEN 1234 WHEN 3 THEN 0 ELSE doc_id END::BIGINT AS n FROM documents""")
-def people_counts(spark, sf_dir):
-    k = F.col("doc_id") % 5
-    written = F.when(k == 0, "1.2K").when(k == 1, " 3m ").when(k == 2, "1,234").when(k == 3, "many").otherwise(F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.count_of(written).alias("n"))
-
-
-@query("""SELECT doc_id, ['a.b', 'C ' || doc_id] AS sources FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, [] FROM documents WHERE doc_id % 2 = 1""")
-def front_matter_lists(spark, sf_dir):
-    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\ntitle: x\nkg_sources:\n  - a.b\n  - \"C "), F.col("doc_id").cast("string"), F.lit("\"\nother: 1\n---\n"))).otherwise("---\ntitle: x\n---\n")
-    return table(spark, sf_dir, "documents").select("doc_id", documents.list_field(head, "kg_sources").alias("sources"))
-
-
-@query("""SELECT doc_id, unnest(['a', 'a', 'b']) AS first, unnest(['b', 'c' || doc_id, 'c' || doc_id]) AS second FROM documents WHERE doc_id % 2 = 0""")
-def source_pairs(spark, sf_dir):
-    named = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.lit("a"))).otherwise(F.array(F.lit("a")))
-    return export.source_pairs(table(spark, sf_dir, "documents").select("doc_id", named.alias("sources")), "doc_id")
-
-
-@query("""WITH f AS (SELECT doc_id, unnest(['ABC', 'D1', 'ABC']) AS acronym, unnest([1, 2, 0]) AS o FROM documents) SELECT doc_id, acronym, min(o)::INTEGER AS first FROM f GROUP BY ALL""")
-def glossary(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(F.lit("x (ABC) (toolong12)"), F.lit("(ABC) and (lower)"), F.lit("(D1) (X)"))).alias("n", "text"))
-    return documents.glossary(rows, "doc_id", "n")
-
-
-@query("""SELECT doc_id, unnest([1, 2])::INTEGER AS num, unnest(['Start ' || doc_id, 'Middle']) AS title, unnest([1, 3])::INTEGER AS level FROM documents""")
-def contents(spark, sf_dir):
-    items = F.array(*[F.struct(F.lit(lv).alias("level"), x.alias("line")) for lv, x in ((1, F.concat(F.lit("<b>Start "), F.col("doc_id").cast("string"), F.lit("</b>"))), (2, F.lit("References")), (3, F.lit(" Middle ")), (4, F.lit("Deep")), (1, F.lit("<i></i>")))])
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(items).alias("pos", "x")).select("doc_id", "pos", "x.level", "x.line")
-    return documents.contents(rows, ["doc_id"], ["references", "index"])
-
-
 @query("""SELECT s AS source, string_agg('## ' || k || '. T' || doc_id || E'\\n\\n' || CASE WHEN doc_id % 2 = 0 THEN 'A, B, C et al.' ELSE 'A' END || ' · cs · 2024年1月' || (doc_id % 9 + 1) || '日' || E'\\n\\nS\\n\\n<u>', E'\\n\\n' ORDER BY k) AS digest
 FROM (SELECT doc_id, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS k FROM documents) GROUP BY s""")
 def paper_digest(spark, sf_dir):
@@ -303,28 +188,6 @@ def short_posts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", export.short_post(F.lit("Head "), F.coalesce("text", F.lit("")), F.lit(" #end"), 269).alias("post"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN E'intro\\n## Chapters\\n\\n| new |\\n\\n## Next\\nx' WHEN 1 THEN E'intro\\n## Chapters\\n\\n| new |\\n\\n## Next\\nx' ELSE E'plain\\n\\n## Chapters\\n\\n| new |\\n' END AS guide FROM documents""")
-def chapter_tables(spark, sf_dir):
-    """A table is replaced, goes before the first section, or to the end."""
-    k = F.col("doc_id") % 3
-    guide = F.when(k == 0, "intro\n## Chapters (old)\n\n| a |\n| b |\n\n## Next\nx").when(k == 1, "intro\n## Next\nx").otherwise("plain")
-    return table(spark, sf_dir, "documents").select("doc_id", export.replace_table(guide, F.lit("| new |"), "Chapters").alias("guide"))
-
-
-@query("""SELECT 's' || doc_id AS slug, '---' || E'\\ntitle: "A \\\\"b\\\\" ' || doc_id || E'"\\ndate: 2024-01-01\\ncategory: ' || CASE WHEN doc_id % 2 = 0 THEN 'science' ELSE 'podcast' END || E'\\ntags: ["x", "y"]\\nsummary: "s"\\n---\\n\\nbody' || CASE WHEN doc_id % 3 = 0 THEN E'\\n\\n## Graph\\n\\ng' ELSE '' END || E'\\n' AS post FROM documents WHERE doc_id % 5 <> 0""")
-def blog_posts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    slug = F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slug")
-    posts = docs.select(slug, F.concat(F.lit('A "b" '), F.col("doc_id").cast("string")).alias("title"), F.lit("2024-01-01").alias("date"), F.when(F.col("doc_id") % 2 == 0, "science").otherwise("unheard of").alias("category"), F.array(F.lit("x"), F.lit("y")).alias("tags"), F.lit("s").alias("summary"), F.lit("body").alias("body"), F.when(F.col("doc_id") % 3 == 0, "g").alias("graph"))
-    return export.blog_posts(posts, docs.where("doc_id % 5 = 0").select(slug), ["podcast", "science"])
-
-
-@query("""SELECT doc_id, '{"type": "doc", "content": [{"type": "heading", "attrs": {"level": 2}, "content": [{"type": "text", "text": "T' || doc_id || '"}]}, {"type": "paragraph", "content": [{"type": "text", "text": "a "}, {"type": "text", "text": "b", "marks": [{"type": "bold"}]}, {"type": "hard_break"}, {"type": "text", "text": "c"}]}, {"type": "horizontal_rule"}, {"type": "bullet_list", "content": [{"type": "list_item", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "l", "marks": [{"type": "link", "attrs": {"href": "u", "target": "_blank"}}]}]}]}]}]}' AS draft FROM documents""")
-def rich_drafts(spark, sf_dir):
-    draft = F.concat(F.lit("## T"), F.col("doc_id").cast("string"), F.lit("\n\na **b**\nc\n\n---\n\n- [l](u)"))
-    return table(spark, sf_dir, "documents").select("doc_id", export.rich_text(draft).alias("draft"))
-
-
 # --- Speakers ---------------------------------------------------------------------------------------------
 
 
@@ -335,22 +198,6 @@ def speaker_labels(spark, sf_dir):
     return said.select("conv_id", speakers.labels(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("labels"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN NULL WHEN 2 THEN 'Bo' ELSE NULL END AS of_video, CASE p_partkey % 4 WHEN 0 THEN 'Ann Lee' WHEN 3 THEN 'Cy Dee' ELSE '' END AS of_episode FROM part""")
-def guest_names(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    title = F.when(k == 0, "Ann Lee: On things").when(k == 1, "no name here: x").when(k == 2, "Bo — Talk").otherwise("#12 – Cy Dee – Talk")
-    return table(spark, sf_dir, "part").select("p_partkey", speakers.guest_of_video(title).alias("of_video"), speakers.guest_of_episode(title).alias("of_episode"))
-
-
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['Ann Lee'] WHEN 1 THEN ['Bo Ray'] WHEN 2 THEN ['cy dee'] ELSE [] END AS speakers FROM part""")
-def summary_speakers(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    summary = F.when(k == 0, "x\n―― **Ann Lee**\n―― **The Host**\n―― **Ann Lee**").otherwise("none")
-    title = F.when(k == 1, "Bo Ray: a talk").otherwise("A talk")
-    heard = F.when(k == 2, "this is an Interview with cy dee, who").otherwise("nothing")
-    return table(spark, sf_dir, "part").select("p_partkey", speakers.speakers(summary, title, heard).alias("speakers"))
-
-
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Known' ELSE p_name END AS canonical, CASE WHEN p_partkey % 3 = 0 THEN '[Known] said' ELSE '[' || p_name || '] said' END AS description FROM part""")
 def generic_speakers(spark, sf_dir):
     heard = F.when(F.col("p_partkey") % 3 == 0, " The Guest").otherwise(F.col("p_name"))
@@ -385,27 +232,6 @@ def with_speakers(spark, sf_dir):
 # --- Model output -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a' || event_id, 'b'] ELSE [] END AS listed, CASE event_id % 3 WHEN 1 THEN ['first claim of ' || event_id, 'second claim'] WHEN 2 THEN [] ELSE ['x ["a' || event_id || '", "b", "0"] y'] END AS lines FROM events""")
-def claim_arrays(spark, sf_dir):
-    n, k = F.col("event_id").cast("string"), F.col("event_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit('x ["a'), n, F.lit('", "b", "0"] y'))).when(k == 1, F.concat(F.lit("1. first claim of "), n, F.lit("\nshort\n- second claim\n以下は抽出したクレームです"))).otherwise("[not json")
-    return table(spark, sf_dir, "events").select("event_id", parse.string_array(raw).alias("listed"), parse.claim_lines(raw).alias("lines"))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['j0', 'j' || event_id] END AS ja FROM events""")
-def numbered_batches(spark, sf_dir):
-    n, k = F.col("event_id").cast("string"), F.col("event_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit('ok [{"i": 1, "ja": "j'), n, F.lit('"}, {"i": 0, "ja": "j0"}]'))).when(k == 1, '[{"i": 0, "ja": "a"}]').otherwise('[{"i": 0, "ja": "a"}, {"i": 2, "ja": "b"}]')
-    return table(spark, sf_dir, "events").select("event_id", parse.indexed_batch(raw, F.lit(2)).alias("ja"))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'T' || event_id END AS title, CASE WHEN event_id % 2 = 0 THEN ['a', 'b', 'chan'] ELSE ['chan'] END AS tags FROM events""")
-def loose_objects(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 2 == 0, F.format_string('Sure! {"title": "T%d", "tags": ["#a", " b ", "#"], "more": {"x": 1}} bye', F.col("event_id"))).otherwise("nothing {broken")
-    found = artefacts.loose_object(raw, "title string, tags array<string>")
-    return table(spark, sf_dir, "events").select("event_id", found["title"].alias("title"), artefacts.post_tags(found["tags"], F.lit(None).cast("array<string>"), F.lit("chan")).alias("tags"))
-
-
 @query("""SELECT p_name AS name, p_type AS type, p_brand AS description, p_retailprice::DOUBLE AS confidence, NULL::VARCHAR AS source_id FROM part""")
 def record_round_trip(spark, sf_dir):
     """Written as JSON with a key more, read by the schema, whose missing key is null."""
@@ -433,13 +259,6 @@ def publish_decisions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", registry.decision((n * 7 % 40 + 60).cast("double"), answer)["action"].alias("action"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'a new body that is long enough' ELSE 'the old body of the section' END AS body FROM documents""")
-def rewrite_guard(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    new = F.when(k == 1, "a new body that is long enough").when(k == 2, "too short")
-    return table(spark, sf_dir, "documents").select("doc_id", retrieval.keep_rewrite(F.lit("the old body of the section"), new).alias("body"))
-
-
 def _answered(spark, sf_dir):
     """Short documents of two claims each, evidence for the first, recorded verdicts."""
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("Number "), F.col("item_id").cast("string"), F.lit(" alpha holds here. Zzz nothing is known.")).alias("text"))
@@ -447,18 +266,6 @@ def _answered(spark, sf_dir):
     return docs, chunks_
 
 
-@query("""SELECT item_id AS doc_id, unnest([0, 1])::INTEGER AS claim_no, unnest(['Number ' || item_id || ' alpha holds here.', 'Zzz nothing is known.']) AS claim, unnest(['supported', 'unverifiable']) AS verdict FROM benchmark""")
-def claim_verification(spark, sf_dir):
-    """Every prompt is answered alike; a claim without evidence is not asked."""
-
-    class Same:
-        def ask(self, prompts):
-            return prompts.withColumn("answer", F.lit('{"verdict": "supported", "reason": "seen"}'))
-
-    docs, found = _answered(spark, sf_dir)
-    return refine.verified(refine.claims_of(docs), found, Same()).select("doc_id", "claim_no", "claim", "verdict")
-
-
 class _Judge:
     """Recorded in rule: a claim's verdict goes by its length."""
 
@@ -488,39 +295,3 @@ def refine_loop(spark, sf_dir):
     made = chunks.chunk_by_chars(table(spark, sf_dir, "documents"), "doc_id").select(F.concat_ws(":", "doc_id", "offset").alias("chunk_id"), "chunk")
     return refine.refine(items, made, _Judge(), _without_first_contradicted).select("doc_id", "score", "iterations")
 
-
-@query("""SELECT item_id AS doc_id, unnest(range(0, 3))::INTEGER AS loop, unnest(['t' || item_id, 'r1 t' || item_id, 'r1 t' || item_id]) AS thesis FROM benchmark""")
-def dialectic_loops(spark, sf_dir):
-    """The first loop is answered from a recording, the second has no answer and keeps the thesis."""
-    thesis = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("thesis"))
-    recorded = thesis.select(F.sha2("thesis", 256).alias("prompt_hash"), F.concat(F.lit("r1 "), F.col("thesis")).alias("answer"))
-    made = passes.dialectic(thesis, lambda held: held.select("topic", F.col("thesis").alias("prompt")), ReplayProvider(recorded))
-    return made.withColumnRenamed("topic", "doc_id")
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 's' WHEN doc_id % 3 = 1 THEN 'd' ELSE 't' END AS text, CASE WHEN doc_id % 3 = 0 THEN 'summary' WHEN doc_id % 3 = 1 THEN 'diarised' ELSE 'chunked' END AS mode FROM documents""")
-def extraction_modes(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.when(k == 0, "s").otherwise(" ").alias("summary"), F.when(k <= 1, "d").alias("diarised"), F.lit("t").alias("text"))
-    return passes.extraction_texts(docs).withColumnRenamed("source_id", "doc_id")
-
-
-@query("""SELECT conv_id, 2 AS n, 'チャンク' AS label, '2-3' AS q FROM (SELECT DISTINCT conv_id FROM conversations)""")
-def article_passes(spark, sf_dir):
-    notes = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.array(F.lit(0))).alias("chunk_no"), F.lit("n").alias("note"))
-    made = passes.article_prompts(notes, "conv_id")
-    return made.select("conv_id", F.lit(2).alias("n"), F.regexp_extract("first", r"\[(\S+) 1\] n", 1).alias("label"), F.col("questions").alias("q"))
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '## Speakers: use exactly these names' || E'\\nKnown speakers: "Ann", "Bo"\\nIf it is not clear who speaks: "Ann"\\n\\n' END AS block FROM documents""")
-def speaker_prompts(spark, sf_dir):
-    names = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("Ann"), F.lit("Bo")))
-    return table(spark, sf_dir, "documents").select("doc_id", passes.speakers_block(names).alias("block"))
-
-
-@query("""SELECT doc_id AS doc, unnest([0, 1, 2])::INTEGER AS pos, unnest(['One ' || doc_id, NULL, 'Two']) AS ja FROM documents""")
-def translated_blocks(spark, sf_dir):
-    """The echo's answer to a batch has no translations in it, so that each block is asked alone."""
-    items = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("type"), t.alias("text")) for i, (k, t) in enumerate((("heading", F.concat(F.lit("One "), F.col("doc_id").cast("string"))), ("figure", F.lit("x")), ("paragraph", F.lit("Two"))))])
-    blocks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(items).alias("b")).select("doc", "b.*", F.lit(False).alias("skip_translate"))
-    return passes.translate(blocks, EchoProvider()).select("doc", "pos", "ja")

@@ -6,7 +6,10 @@ import difflib
 import math
 import random
 
-from evigraph.operators import consensus, layout, normalize, similar
+from pyspark.sql import functions as F
+
+from evigraph.functions.text import title_confidence
+from evigraph.operators import consensus, layout, linking, normalize, similar
 
 
 def names_like(rng, n):
@@ -118,3 +121,19 @@ def test_all_near_pairs(spark, monkeypatch):
     want = {(i, j) for i, v in fine for j, w in fine if i < j and len(v) == len(w) and cos(v, w) >= 0.93}
     got = normalize.all_near_pairs(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").collect()
     assert len(got) == len(want) > 50 and {(r.a, r.b) for r in got} == want
+
+
+def test_links_equal_all_pairs(spark):
+    rng = random.Random(10)
+    words = ["the", "the", "dune", "star", "war", "2", "life", "of", "pi-day", "É"]
+    make = lambda n: sorted({" ".join(rng.choices(words, k=rng.randint(1, 5))) + rng.choice(["", "", " ", "!"]) for _ in range(n)})
+    titles, asked = make(60), [*make(60), "", "  "]
+    index = spark.createDataFrame([(t, f"Q{i}") for i, t in enumerate(titles)], "title string, qid string")
+    queries = spark.createDataFrame([(q, rng.choice(["concept", "theory", "person", "place"])) for q in asked], "query string, type string")
+    cache = spark.createDataFrame([(asked[0], "known", "C", 0.9, "local")], "query string, canonical_name string, qid string, confidence double, method string")
+    got = {r.query: (r.canonical_name, r.confidence, r.method) for r in linking.resolve(queries, index, cache, index).collect()}
+    pairs = queries.crossJoin(index).select("query", "type", "title", title_confidence(F.col("query"), F.col("title")).alias("c")).collect()
+    for q, kind in queries.collect():
+        fits = sorted((-p.c, p.title) for p in pairs if p.query == q and p.c >= 0.6)
+        want = ("known", 0.9, "local") if q == asked[0] else (fits[0][1], -fits[0][0], "remote" if kind == "person" else "local") if fits and kind != "place" else (None, None, "not_found")
+        assert got[q] == want, q
