@@ -126,3 +126,16 @@ def write_records(df: DataFrame, name: str = "record") -> DataFrame:
 def read_records(df: DataFrame, schema: str, name: str = "record") -> DataFrame:
     """JSON texts as rows of a schema (``evigraph.schemas``): unknown keys are left out, missing ones null."""
     return df.select(F.from_json(name, schema).alias("x")).select("x.*")
+
+
+def variant_object(text: Column) -> Column:
+    """The JSON object in a text (from the first brace to the last) as a variant, whatever its keys; null if there is no valid one."""
+    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(body != "", F.try_parse_json(body))
+
+
+def variant_fields(df: DataFrame, name: str, fields: dict[str, str], rest: str = "rest") -> DataFrame:
+    """``df`` with a column for each of ``fields`` (column: "path type") of the variant ``name``, and the whole of it as JSON under
+    ``rest``, so that keys nobody asked for are kept.  What is missing, or of a type that can't be cast, is null."""
+    made = {c: F.try_variant_get(F.col(name), *spec.split(" ", 1)) for c, spec in fields.items()}
+    return df.withColumns(made | {rest: F.to_json(name)}).drop(name)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.shared import written
+
 
 #: Words of a relevance query.
 MOST_TERMS = 1_000
@@ -104,6 +106,25 @@ def topic_pairs(claims: DataFrame, relations: DataFrame, rels: list[str], topics
     return left.join(right, "topic").where("speaker1 < speaker2 and claim1 <> claim2")
 
 
+def first_topic_pairs(claims: DataFrame, relations: DataFrame, rels: list[str], topics: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows of ``topic_pairs`` by confidence (highest first), topic, speakers and claims, chosen before pairing.
+
+    How many pairs a claim begins is counted, not built: claims of later speakers, less those of the same concept.  Topics
+    that have pairs are cut to the first ``most``, and each one's beginnings too; so a topic that very many speakers share
+    costs ``most`` times its size at worst, not its square."""
+    edges = both_ways(relations, rels).select(F.col("a").alias("topic"), F.col("b").alias("concept")).distinct().join(topics, "topic")
+    hung = written(edges.join(claims, "concept").select("topic", "confidence", "speaker", "concept"), "hung")
+    later = lambda *by: F.count("*").over(Window.partitionBy(*by)) - F.count("*").over(Window.partitionBy(*by).orderBy("speaker"))
+    begins = hung.withColumn("_n", later("topic") - later("topic", "concept")).where("_n > 0").drop("_n")
+    some = begins.groupBy("topic").agg(F.max("confidence").alias("c")).orderBy(F.desc("c"), "topic").limit(most).select("topic")
+    place = F.row_number().over(Window.partitionBy("topic").orderBy("speaker", "concept"))
+    left = begins.join(F.broadcast(some), "topic", "left_semi").withColumn("_k", place).where(F.col("_k") <= most).drop("_k")
+    left = left.select("topic", "confidence", F.col("speaker").alias("speaker1"), F.col("concept").alias("claim1"))
+    right = hung.select("topic", F.col("speaker").alias("speaker2"), F.col("concept").alias("claim2"))
+    pairs = left.join(right, "topic").where("speaker1 < speaker2 and claim1 <> claim2")
+    return pairs.orderBy(F.desc("confidence"), "topic", "speaker1", "claim1", "speaker2", "claim2").limit(most)
+
+
 def degrees(relations: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """(name, degree): edges at each entity, mentions among them if given."""
     ends = both_ways(relations).select(F.col("a").alias("name"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from evigraph.functions import chunks, documents, text
@@ -10,6 +12,7 @@ from evigraph.plans import passes, refine
 from evigraph.plans.catalog import query, table
 from evigraph.plans.catalog_texts import _Judge
 from evigraph.plans.providers import ReplayProvider
+from evigraph.shared import new_dir
 from evigraph.sources import files
 
 NONE = "CAST(array() AS array<string>)"
@@ -447,3 +450,57 @@ def submitted_chapters(spark, sf_dir):
     given = _docs(spark, sf_dir).select("doc_id", chapter.alias("chapters"), urls.alias("sources"), (F.size("w") / 100).alias("confidence"))
     made = consensus.submitted(given, "doc_id")
     return made.select("doc_id", "confidence", "sources_agreed", F.transform("chapters", lambda c: c["num"]).alias("nums"))
+
+
+# --- Files, feeds, variants ------------------------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(source, 'none') AS folder, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text, (row_number() OVER (ORDER BY CASE WHEN coalesce(source, 'none') = (SELECT max(coalesce(source, 'none')) FROM documents) THEN 0 ELSE 1 END, coalesce(source, 'none')) - 1)::INTEGER AS source_no
+FROM documents GROUP BY 1""")
+def folder_sources(spark, sf_dir):
+    """The documents written as a file a source, read back: the last source's folder first, one that is not there, then a tree of the others."""
+    folder = new_dir(spark, "sources")
+    docs = _docs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("folder")), "doc_id")
+    last = docs.agg(F.max("folder")).first()[0]
+    for name, part in ((f"{folder}/last", docs.where(F.col("folder") == last)), (f"{folder}/tree", docs.where(F.col("folder") != last))):
+        part.repartition(1, "folder").sortWithinPartitions("folder", "doc_id").select("text", "folder").write.partitionBy("folder").text(name)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = files.read_sources(spark, [f"{folder}/last", f"{folder}/nowhere", f"{folder}/tree"])
+    return found.select(F.regexp_extract("source", "folder=([^/]*)/", 1).alias("folder"), "text", "source_no")
+
+
+@query(f"""WITH {_D}, b AS (SELECT doc_id, doc_id % 3 AS k, CASE WHEN doc_id % 5 = 0 THEN {_W[0]} ELSE '' END AS given, text, {_W[1]} AS a FROM d), t AS (SELECT *, trim(text, {_BLANK}) AS body FROM b)
+SELECT 'https://x.org/b/' || doc_id || CASE k WHEN 2 THEN '.v1.txt' ELSE '.htm' END AS source_id, CASE WHEN given <> '' THEN given WHEN k = 2 THEN doc_id || '.v1' ELSE doc_id || '.htm' END AS title, a AS author, CASE k WHEN 0 THEN 'gutenberg' WHEN 1 THEN 'url' ELSE 'local_file' END AS kind,
+ CASE WHEN k = 0 THEN body ELSE text END AS text, CASE WHEN k <> 2 THEN 'https://x.org/b/' || doc_id || '.htm' END AS source_url, length(CASE WHEN k = 0 THEN body ELSE text END)::INTEGER AS char_count FROM t""")
+def book_sources(spark, sf_dir):
+    """Documents as books of the three kinds, some with a title."""
+    k = F.col("doc_id") % 3
+    kind = F.when(k == 0, "gutenberg").when(k == 1, "url").otherwise("local_file")
+    source = F.concat(F.lit("https://x.org/b/"), F.col("doc_id").cast("string"), F.when(k == 2, ".v1.txt").otherwise(".htm"))
+    whole = F.when(k == 0, F.concat(F.lit("head\n*** START OF THE BOOK ***\n"), F.col("text"), F.lit("\n*** END OF THE BOOK *** tail"))).otherwise(F.col("text"))
+    rows = _docs(spark, sf_dir).select(source.alias("source"), F.when(F.col("doc_id") % 5 == 0, _w(0)).alias("title"), _w(1).alias("author"), kind.alias("kind"), whole.alias("text"))
+    return files.books(rows)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, strftime(ts, '%Y-%m-%d') AS day, event_type || ': part ' || props AS title, event_id % 4 AS k FROM events)
+SELECT user_id, n::INTEGER AS ep_num, day AS pub_date, title, 'http://h/' || event_id || CASE k WHEN 0 THEN '.M4A?x=1' WHEN 1 THEN '.ogg' ELSE '' END AS audio_url, 'd' || k AS duration, substr(repeat(title, 40), 1, 500) AS description,
+ day || '_ep' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') || '_' || substr(regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9_\\s-]', '', 'g')), '[\\s_-]+', '_', 'g'), 1, 60) || CASE k WHEN 0 THEN '.m4a' WHEN 1 THEN '.ogg' ELSE '.mp3' END AS file_name FROM e""")
+def feed_episodes(spark, sf_dir):
+    """The events of a user as the items of a feed, newest last in number."""
+    k, title = F.col("event_id") % 4, F.concat(F.col("event_type"), F.lit(": part "), F.col("props"))
+    mail = F.concat(F.date_format("ts", "E, d MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    audio = F.concat(F.lit("http://h/"), F.col("event_id").cast("string"), F.when(k == 0, ".M4A?x=1").when(k == 1, ".ogg").otherwise(""))
+    items = table(spark, sf_dir, "events").select("user_id", "event_id", mail.alias("pub_date"), F.concat(F.lit(" "), title, F.lit("\n")).alias("title"), audio.alias("audio_url"), F.concat(F.lit("d"), k.cast("string")).alias("duration"), F.repeat(title, F.lit(40)).alias("description"))
+    return files.episodes(items, "user_id", "event_id")
+
+
+@query(f"""WITH {_D} SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN {_W[0]} END AS name, CASE doc_id % 3 WHEN 0 THEN len(w) END::BIGINT AS size, CASE WHEN doc_id % 3 < 2 THEN {_W[1]} END AS first_tag, CASE WHEN doc_id % 3 < 2 THEN {_W[2]} END AS unnamed FROM d""")
+def variant_artefacts(spark, sf_dir):
+    """Objects with keys that no schema names, one with a number that is none, one broken; the unnamed key is read from what was kept."""
+    k = F.col("doc_id") % 3
+    odd = F.struct(_w(0).alias("name"), F.when(k == 0, F.size("w").cast("string")).otherwise("many").alias("size"), F.array(_w(1), F.lit("t")).alias("tags"), F.struct(_w(2).alias("deep")).alias("more"))
+    raw = F.when(k < 2, F.concat(F.lit("so: "), F.to_json(odd), F.lit(" end"))).otherwise(F.concat(F.lit("{"), F.col("text")))
+    docs = _docs(spark, sf_dir).select("doc_id", artefacts.variant_object(raw).alias("v"))
+    found = artefacts.variant_fields(docs, "v", {"name": "$.name string", "size": "$.size bigint", "first_tag": "$.tags[0] string"})
+    return found.select("doc_id", "name", "size", "first_tag", F.get_json_object("rest", "$.more.deep").alias("unnamed"))
