@@ -31,6 +31,27 @@ class Memo(dict):
         self.used = 0
 
 
+class Generations(dict):
+    """Answers by key in two generations of half of ``most`` bytes each: a full one becomes the old one, in place of the one before, and what is
+    asked for again moves over.  What is used stays, what isn't falls out; ``make`` answers what neither holds."""
+
+    def __init__(self, make: Callable[[Any], Any], cost: Callable[[Any, Any], int], most: int):
+        super().__init__()
+        self.make, self.cost, self.most, self.used, self.old = make, cost, most, 0, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        size = self.cost(key, value)
+        if self.used + size > self.most // 2:
+            self.old, self.used = dict(self), 0
+            super().clear()
+        self.used += size
+        self[key] = value
+        return value
+
+
 def held(name: str, make: Callable[[], Any]) -> Any:
     """The object ``name`` of this worker, made at first use.  A worker holds that of one operator at a time: the
     next operator's takes its place, so that the stages of a pipeline do not add up."""

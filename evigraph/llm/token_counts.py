@@ -23,7 +23,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import ahocorasick
 import numpy as np
@@ -36,11 +36,11 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from evigraph.llm._store import spare
-from evigraph.llm._worker import ENTRY, Memo, held
+from evigraph.llm._worker import ENTRY, Generations, Memo, held
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of the tables of words, of pieces and of pairs that a worker keeps, each; beyond it a memo starts anew.
-MEMO_BYTES = 24 << 20
+#: Bytes of what a worker keeps: tables of words, of pieces of mixed words, and whether tokens follow each other.
+WORD_BYTES, PIECE_BYTES, PAIR_BYTES = 64 << 20, 16 << 20, 16 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -81,9 +81,19 @@ class PrefixCounter:
             self.made_of.setdefault(pair[0] + pair[1], pair)
         self._edges: tuple[dict, dict] = ({}, {})
         self._wholes: dict[str, bool] = {}
-        self._follows: dict[tuple[str, str], bool] = Memo(MEMO_BYTES)
-        self._pieces: dict[str, bytes] = Memo(MEMO_BYTES)
-        self.words: dict[str, bytes] = Memo(MEMO_BYTES)
+        self._follows: dict[tuple[str, str], bool] = Memo(PAIR_BYTES)
+        size = lambda text, out: len(text) + len(out) + ENTRY
+        self.pieces: dict[str, bytes] = Generations(self.piece, size, PIECE_BYTES)
+        self.words: dict[str, bytes] = Generations(self.word, size, WORD_BYTES)
+        self._later = self._later_letters()
+
+    def _later_letters(self) -> dict[int, str]:
+        """Letters that the library's lower-casing knows and Python's (of an older Unicode) does not."""
+        normalizer = Tokenizer.from_file(self.path).normalizer
+        signs = [c for c in map(chr, chain(range(0x250, 0xD800), range(0xE000, 0x20000))) if c.lower() == c and not c.isspace()]
+        alone = [c for c in signs if normalizer and unicodedata.category(c) == "Cn"]
+        made = normalizer.normalize_str(" ".join(alone)).split(" ") if alone else []
+        return {ord(c): x for c, x in zip(alone, made, strict=True) if x != c} if len(made) == len(alone) else {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Byte-pair merging of a short symbol list."""
@@ -143,9 +153,6 @@ class PrefixCounter:
 
     def piece(self, text: str) -> bytes:
         """The deltas of one piece (a word, a digit, a run of signs)."""
-        got = self._pieces.get(text)
-        if got is not None:
-            return got
         mapped = text if text.isascii() and text.isprintable() else "".join(self.byte[b] for b in text.encode())
         # Last token and count of each prefix of the word, open (more follows) and closed (it ends here).
         n, known, follows = len(mapped), self._follows, self.follows
@@ -174,39 +181,31 @@ class PrefixCounter:
         steps = [ends[0], *map(int.__sub__, ends[1:], ends)]
         if max(steps) > 127 or min(steps) < -128:
             raise OverflowError("a prefix count changes by more than a signed byte holds")
-        out = bytes([x & 255 for x in steps])
-        self._pieces.room(2 * len(text) + ENTRY)
-        self._pieces[text] = out
-        return out
+        return bytes([x & 255 for x in steps])
 
     def word(self, text: str) -> bytes:
         """The deltas of a text between blanks: its pieces' one after another, 0 for what they leave out."""
         if text.isalpha():
-            out = self.piece(text)
-        elif text[:-1].isalpha() and text[-1] in ".,":
-            out = self.piece(text[:-1]) + self.piece(text[-1])
-        else:
-            at, parts = 0, []
-            for m in self._piece.finditer(text):
-                parts.append(b"\0" * (m.start() - at) + self.piece(m.group()))
-                at = m.end()
-            parts.append(b"\0" * (len(text) - at))
-            out = b"".join(parts)
-        self.words.room(2 * len(text) + ENTRY)
-        self.words[text] = out
-        return out
+            return self.piece(text)
+        if text[:-1].isalpha() and text[-1] in ".,":
+            return self.words[text[:-1]] + self.pieces[text[-1]]
+        at, parts = 0, []
+        for m in self._piece.finditer(text):
+            parts.append(b"\0" * (m.start() - at) + self.pieces[m.group()])
+            at = m.end()
+        parts.append(b"\0" * (len(text) - at))
+        return b"".join(parts)
 
     def _plain(self, text: str) -> bytes:
-        known, word = self.words, self.word
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"\0".join([known[w] for w in words])
-        except KeyError:
-            return b"\0".join([known[w] if w in known else word(w) for w in words])
+        known = self.words
+        return b"\0".join([known[w] for w in text.replace("\n", " ").split(" ")])
 
     def normal(self, text: str) -> str:
         """The text that prefixes are counted on: NFC, lower case (special strings excepted)."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        if text.isascii():
+            return text.lower()
+        low = unicodedata.normalize("NFC", text).lower()
+        return low.translate(self._later) if self._later else low
 
     def deltas(self, text: str | None) -> bytes:
         """One signed byte per character of the normalised text."""

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from evigraph.llm._worker import Generations
 from evigraph.llm import packing, token_counts
 
 TEXTS = [
@@ -143,3 +144,19 @@ def test_pack_places_pieces_without_gaps(spark, byte_bpe):
             assert [r.piece for r in got] == list(range(len(got))) and all(r.length == 512 for r in got[1:])
             assert [r.start for r in got] == [sum(x.length for x in got[:k]) for k in range(len(got))]
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_generations_keep_what_is_used():
+    made = []
+    memo = Generations(lambda k: made.append(k) or k * 2, lambda k, v: 10, 100)  # five entries a generation
+    for i in range(40):
+        assert memo["a"] == "aa" and memo[f"x{i}"] == f"x{i}" * 2
+        assert len(memo) + len(memo.old) <= 10
+    assert made.count("a") == 1 and len(made) == 41
+
+
+def test_letters_newer_than_python(spark):
+    counter = token_counts.PrefixCounter(public_tokenizers.path(token_counts.VOCABULARY))
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    for text in ("a\ua7cbb \ua7dc x", "\U00010d50 A", "\u0130 \u00df"):
+        assert token_counts.count_at(counter.deltas(text)) == len(library.encode(text, add_special_tokens=False).ids)
