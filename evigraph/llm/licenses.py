@@ -7,7 +7,7 @@ texts where they are short; further full texts can be given (``full_texts``).  D
 documents, for the templates' words and for those of the units compared.  Texts, and then units, whose words cannot reach the
 threshold with any template are passed over before they are cut into counted words; this loses nothing.
 
-A file's own license is that of its best unit.  A file without one inherits from the nearest directory at or above its
+A file's own license is that of its best unit; "All rights reserved." alone is one only where no unit says more.  A file without one inherits from the nearest directory at or above its
 own that holds a licence file with a license: directories (far fewer than files) are joined to their
 ancestors, then files to directories.
 
@@ -35,6 +35,8 @@ TEMPLATES = (
     ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("bsd-2-clause", "BSD 2-Clause License"),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("bsd-3-clause", "BSD 3-Clause License"),
     ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
@@ -49,6 +51,7 @@ TEMPLATES = (
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("isc", "ISC License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("lgpl-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("lgpl-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -64,6 +67,10 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
+#: Notices that many licences carry besides their own terms: they count only where nothing else is found.
+WEAK = ("proprietary",)
+#: Full texts that a folder may give.
+MOST_TEXTS = 1000
 LICENSE_FILE = r"(?i)^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)(\.(txt|md|rst))?$"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Between two blocks: a line end and lines without letter or digit.
@@ -75,9 +82,12 @@ def terms(text: Column) -> Column:
 
 
 def full_texts(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """Templates from a folder of licence texts (a few hundred files at most), named by their file names."""
+    """Templates from a folder of licence texts, named by their file names; more than ``MOST_TEXTS`` are an error."""
     read = spark.read.text(folder, wholetext=True).select(F.lower(F.regexp_extract(F.input_file_name(), "([^/]+?)(?:[.](?:txt|md))?$", 1)), "value")
-    return sorted((name, text) for name, text in read.limit(1000).collect())
+    rows = read.limit(MOST_TEXTS + 1).collect()
+    if len(rows) > MOST_TEXTS:
+        raise ValueError(f"more than {MOST_TEXTS} licence texts in {folder}")
+    return sorted((name, text) for name, text in rows)
 
 
 def _idf(n: int, df: Column) -> Column:
@@ -182,7 +192,8 @@ def scan(
 ) -> DataFrame:
     """key, path, own_license, own_score, license, inherited_from (directory, null if own or none)."""
     units = license_units(df, key, text, path, templates, threshold)
-    own = units.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("best"))
+    weak = F.col("license").isin(*WEAK).alias("weak")
+    own = units.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(weak, (-F.col("score")).alias("less"), "license")).alias("best"))
     files = df.select(F.col(key), F.col(path).alias("path"))
     known = files.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(
         key, "path", F.col("best.license").alias("own_license"), (-F.col("best.less")).alias("own_score"),

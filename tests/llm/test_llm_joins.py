@@ -399,3 +399,21 @@ def test_pipeline_against_its_stages(spark):
     assert sum(len(r.text.split()) for r in found[4].collect()) == pytest.approx(0.9 * words, abs=80)
     assert set(ids[5]) == set(ids[4])
     assert cp.run(spark, sf).count() == len(ids[5])
+
+
+def test_standard_bsd_files_are_not_proprietary(spark):
+    full = {k: max((t for n, t in licenses.TEMPLATES if n == k), key=len) for k in ("bsd-2-clause", "bsd-3-clause", "isc")}
+    rows = [(i, "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + t.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS", 1), f"{k}/LICENSE") for i, (k, t) in enumerate(full.items())]
+    rows += [(10, "x", "bsd-3-clause/src/a.py"), (11, "some words\nAll rights reserved.\nmore", "z/LICENSE"), (12, "code", "z/a.py")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert [got[i].own_license for i in range(3)] == list(full) and got[10].license == "bsd-3-clause"
+    assert got[11].own_license == "proprietary" and got[12].license == "proprietary"
+
+
+def test_full_texts_refuse_more_than_they_hold(spark, tmp_path, monkeypatch):
+    for i in range(4):
+        (tmp_path / f"Own-{i}.txt").write_text(f"terms number {i}")
+    assert [k for k, _ in licenses.full_texts(spark, str(tmp_path))] == [f"own-{i}" for i in range(4)]
+    monkeypatch.setattr(licenses, "MOST_TEXTS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        licenses.full_texts(spark, str(tmp_path))
