@@ -1,13 +1,14 @@
 """Phrase collocations by language (operator 13).
 
 Texts in lower case (A-Z) are cut into pieces at punctuation and line breaks, and those into words.  Phrases of two to four words that occur
-``least`` times or more are scored by their weakest cut.  Two passes over the texts:
+``least`` times or more are scored by their weakest cut.  Three passes over the texts:
 
-1. A sketch: every task counts its phrases of one to four words by hash, in one array of 2^``bits`` counters of one byte that stay at 255;
-   the arrays are summed by block and broadcast (32 MB, whatever the corpus).  A counter is an upper bound of each of its phrases.
+1. Sketches: every task counts its phrases by hash in arrays of counters of one byte that stay at 255; the arrays are summed by
+   chunk and broadcast (68 MB in all, whatever the corpus).  A counter is an upper bound of each of its phrases.  The first pass
+   counts words and pairs, the second those longer phrases of which all pairs may be frequent.
 2. A scan: in each block of text the phrases that, with all their parts, may reach ``least`` are compiled into an automaton
    (pyahocorasick), each guarded by the blanks round it, and the block is scanned, overlapping matches included.  Spark sums the
-   blocks' counts, and only then the threshold is applied: what the sketch let through too much falls out here.
+   blocks' counts, and only then the threshold is applied: what the sketches let through too much falls out here.
 
 An automaton holds only phrases of its own block, so that none grows with the corpus; a fuller sketch of a larger corpus prunes less, which
 costs time and never a result.  What follows are joins of the phrases that are left.
@@ -35,13 +36,20 @@ from evigraph.llm._store import spread, stage
 WORDS = 4
 UNKNOWN = "und"
 BITS = 25
-_CHUNK_BITS = 17
+_CHUNK = 1 << 17
 #: Bytes of text that are tokenised at a time, and phrases that a task holds before it hands them on.
-_TEXT_BYTES, _FLUSH = 4 << 20, 250_000
+_TEXT_BYTES, _FLUSH = 4 << 20, 800_000
 _UPPER, _CUT = bytes(range(65, 91)), b".,;:!?\n\x0b\x0c\r"
 #: The end of a piece: a byte that UTF-8 never has.
 _END = b"\xff"
 _TABLE = bytes.maketrans(_UPPER + _CUT, _UPPER.lower() + _END * len(_CUT))
+#: Counters by the number of words.
+Bounds = dict[int, np.ndarray]
+
+
+def _shift(counters: np.ndarray) -> np.uint64:
+    """Of a 64-bit hash, so that it names a counter."""
+    return np.uint64(65 - len(counters).bit_length())
 
 
 def tokens_of(texts: list[bytes]) -> list[bytes]:
@@ -53,8 +61,8 @@ def tokens_of(texts: list[bytes]) -> list[bytes]:
 class Block:
     """Texts of one language: their words by local number (0: end of a piece), and hashes of the phrases at each place."""
 
-    def __init__(self, lang: str, texts: list[bytes], bits: int):
-        self.tokens, self.bits = tokens_of(texts), np.uint64(64 - bits)
+    def __init__(self, lang: str, texts: list[bytes]):
+        self.tokens = tokens_of(texts)
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__
         ids[_END]
@@ -63,40 +71,49 @@ class Block:
         seed = zlib.crc32(lang.encode())
         self._hash = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))[self.at]
 
-    def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(words, places at which a phrase of so many begins as booleans, counter of each place)."""
-        inside, hashed = self.at > 0, self._hash
-        for n in range(1, WORDS + 1):
+    def phrases(self, bounds: Bounds, least: int, most: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, places, hash at each): where phrases of so many words begin that, with all their parts, may reach ``least`` as far
+        as ``bounds`` know."""
+        inside, hashed, last = self.at > 0, self._hash, None
+        for n in range(1, most + 1):
             if n > 1:
                 inside = inside[:-1] & (self.at[n - 1 :] > 0)
                 hashed = hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + self._hash[n - 1 :]
             if not len(inside):
                 return
-            mixed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
-            yield n, inside, ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)) >> self.bits
-
-    def sketch_into(self, counters: np.ndarray) -> None:
-        for _, inside, counter in self.phrases():
-            at, n = np.unique(counter[inside], return_counts=True)
-            counters[at] = np.minimum(counters[at] + n, 255)
-
-    def count(self, counters: np.ndarray, least: int) -> Iterator[tuple[bytes, int]]:
+            may = inside if last is None else inside & last[:-1] & last[1:]
+            place = np.flatnonzero(may)
+            mixed = hashed[place]
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+            if n in bounds:
+                enough = bounds[n][mixed >> _shift(bounds[n])] >= min(least, 255)
+                place, mixed = place[enough], mixed[enough]
+                may = np.zeros(len(inside), dtype=bool)
+                may[place] = True
+            last = may
+            yield n, place, mixed
+
+    def count_into(self, tables: Bounds, bounds: Bounds, least: int) -> None:
+        for n, _, hashed in self.phrases(bounds, least, max(tables)):
+            if n in tables:
+                at, times = np.unique(hashed >> _shift(tables[n]), return_counts=True)
+                tables[n][at] = np.minimum(tables[n][at] + times, 255)
+
+    def count(self, bounds: Bounds, least: int) -> Iterator[tuple[bytes, int]]:
         """(phrase, occurrences) of all phrases of the block that may reach ``least`` in the corpus; of the empty phrase, all words."""
         yield b"", int((self.at > 0).sum())
         width = max(1, len(self.words)).bit_length()
         found: list[bytes] = []
-        may, rank = np.empty(0, dtype=bool), self.at
-        for n, inside, counter in self.phrases():
-            last, may = may, inside & (counters[counter] >= min(least, 255))
+        rank = self.at
+        for n, place, _ in self.phrases(bounds, least):
             if n == 1:
-                words = np.bincount(self.at[may], minlength=len(self.words))
+                words = np.bincount(self.at[place], minlength=len(self.words))
                 yield from ((self.words[i], int(words[i])) for i in np.flatnonzero(words))
                 continue
-            may &= last[:-1] & last[1:]
-            place = np.flatnonzero(may)
             # A phrase by the number of its first words' phrase and its last word: exact, whatever the hashes do.
             _, first, back = np.unique(rank[place] << width | self.at[place + n - 1], return_index=True, return_inverse=True)
-            rank = np.full(len(may), -1, dtype=np.int64)
+            rank = np.full(len(self.at), -1, dtype=np.int64)
             rank[place] = back
             found += [b" ".join(self.tokens[i : i + n]) for i in place[first].tolist()]
         if found:
@@ -109,7 +126,7 @@ class Block:
             yield from zip(found, times.tolist(), strict=True)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[str, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
     """The task's texts by language, some megabytes at a time."""
     held: defaultdict[str, list[bytes]] = defaultdict(list)
     size = 0
@@ -121,72 +138,76 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[str,
             if size > _TEXT_BYTES:
                 while held:
                     lang, texts = held.popitem()
-                    yield lang, Block(lang, texts, bits)
+                    yield lang, Block(lang, texts)
                 size = 0
     while held:
         lang, texts = held.popitem()
-        yield lang, Block(lang, texts, bits)
+        yield lang, Block(lang, texts)
 
 
-def _packed(chunks: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for i, counters in chunks:
+def _packed(chunks: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for n, i, counters in chunks:
         if counters.any():
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(counters.tobytes(), 1)], pa.binary())], ["chunk", "counters"])
+            yield pa.record_batch([pa.array([n], pa.int32()), pa.array([i], pa.int32()), pa.array([zlib.compress(counters.tobytes(), 1)], pa.binary())], ["words", "chunk", "counters"])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    counters = np.zeros(1 << bits, dtype=np.uint8)
-    for _, block in _blocks(batches, bits):
-        block.sketch_into(counters)
-    step = 1 << min(bits, _CHUNK_BITS)
-    yield from _packed((i, counters[i * step : (i + 1) * step]) for i in range(len(counters) // step))
+def _sketch(batches: Iterator[pa.RecordBatch], sizes: dict[int, int], shared, least: int) -> Iterator[pa.RecordBatch]:
+    tables = {n: np.zeros(1 << bits, dtype=np.uint8) for n, bits in sizes.items()}
+    for _, block in _blocks(batches):
+        block.count_into(tables, shared.value, least)
+    yield from _packed((n, i, table[i * _CHUNK : (i + 1) * _CHUNK]) for n, table in tables.items() for i in range(-(-len(table) // _CHUNK)))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the chunks that a task gets, one part at a time."""
-    total: dict[int, np.ndarray] = {}
+    total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            mine = np.frombuffer(zlib.decompress(part), dtype=np.uint8)
-            total[i] = np.minimum(total[i].astype(np.uint16) + mine, 255).astype(np.uint8) if i in total else mine
-    yield from _packed(iter(total.items()))
-
-
-def sketch(texts: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Upper bounds (at most 255) of the occurrences of all phrases of (lang, text) rows, by hash."""
-    parts = texts.mapInArrow(lambda it: _sketch(it, bits), "chunk int, counters binary")
-    step, out = 1 << min(bits, _CHUNK_BITS), np.zeros(1 << bits, dtype=np.uint8)
-    # Chunks of a fixed number and size: 2^bits bytes at most come to the driver.
-    for row in parts.repartition("chunk").mapInArrow(_summed, "chunk int, counters binary").toLocalIterator():
-        out[row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(zlib.decompress(row["counters"]), dtype=np.uint8)
+        for *at, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            mine, at = np.frombuffer(zlib.decompress(part), dtype=np.uint8), tuple(at)
+            total[at] = np.minimum(total[at].astype(np.uint16) + mine, 255).astype(np.uint8) if at in total else mine
+    yield from _packed((*at, counters) for at, counters in total.items())
+
+
+def sketch(texts: DataFrame, sizes: dict[int, int], bounds: Bounds, least: int) -> Bounds:
+    """Upper bounds (at most 255) of the occurrences of phrases of (lang, text) rows by hash, in 2^sizes[n] counters for n words;
+    phrases that ``bounds`` rule out are not counted."""
+    shared = texts.sparkSession.sparkContext.broadcast(bounds)
+    parts = texts.mapInArrow(lambda it: _sketch(it, sizes, shared, least), "words int, chunk int, counters binary")
+    out = {n: np.zeros(1 << bits, dtype=np.uint8) for n, bits in sizes.items()}
+    # Chunks of a fixed number and size come to the driver.
+    for row in parts.repartition("words", "chunk").mapInArrow(_summed, "words int, chunk int, counters binary").toLocalIterator():
+        at = row["chunk"] * _CHUNK
+        out[row["words"]][at : at + _CHUNK] = np.frombuffer(zlib.decompress(row["counters"]), dtype=np.uint8)
+    shared.unpersist()
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shared, least: int, bits: int) -> Iterator[pa.RecordBatch]:
-    found: Counter[tuple[str, bytes]] = Counter()
+def _scan(batches: Iterator[pa.RecordBatch], shared, least: int) -> Iterator[pa.RecordBatch]:
+    found: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
 
-    def out() -> pa.RecordBatch:
-        keys = list(found)
-        phrases = pa.array([k[1] for k in keys], pa.binary()).cast(pa.string())
-        made = pa.record_batch([pa.array([k[0] for k in keys], pa.string()), phrases, pa.array(found.values(), pa.int64())], ["lang", "phrase", "f"])
-        found.clear()
-        return made
+    def out() -> Iterator[pa.RecordBatch]:
+        while found:
+            lang, counts = found.popitem()
+            phrases = pa.array(counts.keys(), pa.binary()).cast(pa.string())
+            yield pa.record_batch([pa.array([lang] * len(counts), pa.string()), phrases, pa.array(counts.values(), pa.int64())], ["lang", "phrase", "f"])
 
-    for lang, block in _blocks(batches, bits):
+    for lang, block in _blocks(batches):
+        mine = found[lang]
         for phrase, n in block.count(shared.value, least):
-            found[lang, phrase] += n
-        if len(found) > _FLUSH:
-            yield out()
-    if found:
-        yield out()
+            mine[phrase] += n
+        if sum(map(len, found.values())) > _FLUSH:
+            yield from out()
+    yield from out()
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang", bits: int = BITS) -> DataFrame:
     """(lang, phrase, f): exact counts of all phrases of one to four words that occur ``least`` times or more in a
     language, and under the empty phrase the number of its words.  A staged table."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(texts, bits))
-    parts = texts.mapInArrow(lambda it: _scan(it, shared, least, bits), "lang string, phrase string, f long")
+    short = sketch(texts, {1: max(1, bits - 3), 2: bits}, {}, least)
+    bounds = short | sketch(texts, {3: max(1, bits - 1), 4: max(1, bits - 1)}, short, least)
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+    parts = texts.mapInArrow(lambda it: _scan(it, shared, least), "lang string, phrase string, f long")
     counts = parts.repartition(spread(texts), "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     made = stage(counts.where(F.col("f") >= F.when(F.col("phrase") == "", 1).otherwise(least)), "phrases")
     shared.unpersist()
@@ -216,7 +237,10 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, contained: i
     over = inner.groupBy("lang", part(F.col("start"), F.col("size")).alias("phrase")).agg(F.max("a").alias("over"))
     kept = weakest.join(over, ["lang", "phrase"], "left").where(F.col("over").isNull() | (100 * exact("over") < contained * exact("a")))
 
-    order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    by = F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase")
+    # A language of very many phrases: the first of each part, then those of all parts.
+    part_ = Window.partitionBy("lang", "part").orderBy(*by)
+    first = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.row_number().over(part_)).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top)
     sizes = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")

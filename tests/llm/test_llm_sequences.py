@@ -257,13 +257,18 @@ def test_collocations_of_nothing(spark):
 
 
 def test_sketch_bounds_from_above(spark):
-    texts = [("en", "a b a b c"), ("en", "a b"), ("de", "a b")]
-    counters = collocations.sketch(spark.createDataFrame(texts, "lang string, text string").repartition(3), bits=12)
-    block = collocations.Block("en", [b"a b a b c", b"a b"], 12)
-    for n, inside, counter in block.phrases():
-        for i in np.flatnonzero(inside):
-            phrase = b" ".join(block.tokens[i : i + n])
-            assert counters[counter[i]] >= sum(b" ".join(w[j : j + n]) == phrase for w in ([b"a", b"b", b"a", b"b", b"c"], [b"a", b"b"]) for j in range(len(w) - n + 1))
-    full = [pa.record_batch([pa.array([0], pa.int32()), pa.array([zlib.compress(bytes([200] * 8))], pa.binary())], ["chunk", "counters"])] * 3
+    texts = spark.createDataFrame([("en", "a b a b c"), ("en", "a b a"), ("de", "a b")], "lang string, text string").repartition(3)
+    short = collocations.sketch(texts, {1: 10, 2: 12}, {}, 2)
+    bounds = short | collocations.sketch(texts, {3: 11, 4: 11}, short, 2)
+    block = collocations.Block("en", [b"a b a b c", b"a b a"])
+    lists = [[b"a", b"b", b"a", b"b", b"c"], [b"a", b"b", b"a"]]
+    times = lambda phrase, n: sum(w[j : j + n] == phrase for w in lists for j in range(len(w) - n + 1))
+    for n, place, hashed in block.phrases({}, 2):
+        for i, h in zip(place.tolist(), hashed, strict=True):
+            phrase = block.tokens[i : i + n]
+            assert n > 2 or bounds[n][h >> collocations._shift(bounds[n])] >= times(phrase, n)
+    assert {(b" ".join(block.tokens[i : i + 3])) for n, place, _ in block.phrases(bounds, 2) if n == 3 for i in place} >= {b"a b a"}
+    assert dict(block.count(bounds, 2)).items() >= {b"a b": 3, b"b a": 2, b"a b a": 2, b"a": 4, b"": 8}.items()
+    full = [pa.record_batch([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(bytes([200] * 8))], pa.binary())], ["words", "chunk", "counters"])] * 3
     (out,) = collocations._summed(iter(full))
-    assert zlib.decompress(out.column(1)[0].as_py()) == bytes([255] * 8)
+    assert zlib.decompress(out.column(2)[0].as_py()) == bytes([255] * 8)
