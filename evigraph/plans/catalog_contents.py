@@ -504,3 +504,55 @@ def variant_artefacts(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", artefacts.variant_object(raw).alias("v"))
     found = artefacts.variant_fields(docs, "v", {"name": "$.name string", "size": "$.size bigint", "first_tag": "$.tags[0] string"})
     return found.select("doc_id", "name", "size", "first_tag", F.get_json_object("rest", "$.more.deep").alias("unnamed"))
+
+
+# --- Articles and syntheses ------------------------------------------------------------------------------------
+
+
+class _Writer:
+    """Sections are headed by how long their prompts are and by the last note's end; other prompts are answered by their first 60 signs after the task."""
+
+    def ask(self, prompts):
+        sections = F.startswith("prompt", F.lit("Write ")) & F.contains("prompt", F.lit("as #### sections"))
+        size, tail = F.length("prompt").cast("string"), F.substring("prompt", -12, 12)
+        told = F.concat(F.lit("#### Point of "), size, F.lit("\n"), F.translate(tail, "#\n", "  "), F.lit("\n#### More\nx"))
+        other = F.substring(F.expr("substring(prompt, instr(prompt, '\\n\\n') + 2)"), 1, 60)
+        return prompts.withColumn("answer", F.when(sections, told).otherwise(other))
+
+
+_PARTS = "string_agg('[Part ' || i || ']' || chr(10) || t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)"
+_TAIL = "translate(right(p, 12), '#' || chr(10), '  ')"
+
+
+@query(f"""WITH n AS (SELECT conv_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+h AS (SELECT conv_id, i > greatest(1, n // 2) AS late, {_PARTS} AS notes, count(*) AS m FROM n GROUP BY ALL), k AS (SELECT *, 'Write ' || greatest(2, least(2 * m, 5)) || ' to ' || greatest(3, least(3 * m, 7)) || ' points as #### sections.' AS task FROM h),
+a AS (SELECT conv_id, task || {_NN} || notes AS p FROM k WHERE NOT late), f AS (SELECT conv_id, '#### Point of ' || length(p) || chr(10) || {_TAIL} || chr(10) || '#### More' || chr(10) || 'x' AS first, length(p) AS n FROM a),
+b AS (SELECT k.conv_id, task || {_NN} || 'Already there, not to be repeated:' || chr(10) || '- Point of ' || f.n || chr(10) || '- More' || {_NN} || notes AS p FROM k JOIN f ON f.conv_id = k.conv_id WHERE late),
+s AS (SELECT conv_id, '#### Point of ' || length(p) || chr(10) || {_TAIL} || chr(10) || '#### More' || chr(10) || 'x' AS second FROM b)
+SELECT f.conv_id, first, coalesce(second, '') AS second, substring(first || coalesce({_NN} || second, ''), 1, 60) AS frame, substring(first || coalesce({_NN} || second, ''), 1, 60) AS questions FROM f LEFT JOIN s ON s.conv_id = f.conv_id""")
+def articles(spark, sf_dir):
+    """Conversations as articles in four passes, written by rule."""
+    notes = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "text").alias("chunk_no"), F.col("text").alias("note"))
+    return passes.article(notes, _Writer(), "conv_id")
+
+
+@query("""WITH o AS (SELECT DISTINCT c_nationkey AS topic, o_orderkey AS source_id, o_orderstatus || ' ' || o_orderpriority AS title FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 40 = 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY source_id) AS no FROM o),
+li AS (SELECT o.topic, l_orderkey, l_linenumber, l_partkey, l_suppkey % 5 AS sp, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem JOIN o ON o.source_id = l_orderkey),
+c AS (SELECT li.*, 'S' || sp AS speaker, p_name, p_type, row_number() OVER (PARTITION BY topic, sp ORDER BY ord) AS k, min(ord) OVER (PARTITION BY topic, sp) AS first FROM li JOIN part ON p_partkey = l_partkey),
+cl AS (SELECT c.topic, speaker, first, string_agg('- ' || p_name || ' [' || no || ']' || CASE WHEN l_partkey % 3 = 0 THEN '' ELSE chr(10) || '  (' || p_type || ')' END, chr(10) ORDER BY k) AS t FROM c JOIN s ON s.topic = c.topic AND s.source_id = l_orderkey WHERE k <= 8 GROUP BY ALL),
+cn AS (SELECT topic, speaker, first, string_agg('- [' || p_type || '] ' || p_name || CASE WHEN l_partkey % 3 = 0 THEN '' ELSE ': ' || p_type END, chr(10) ORDER BY k) AS t FROM c WHERE k <= 5 GROUP BY ALL),
+sh AS (SELECT topic, p_name AS name, any_value(p_type) AS type, count(DISTINCT l_orderkey) AS n FROM c WHERE l_partkey % 50 = 0 GROUP BY topic, p_name, l_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, name, type) AS k FROM sh),
+a1 AS (SELECT topic, string_agg('[' || no || '] ' || title, chr(10) ORDER BY no) AS t FROM s GROUP BY topic), a2 AS (SELECT topic, string_agg('**' || speaker || '**' || chr(10) || t, chr(10) || chr(10) ORDER BY first) AS t FROM cl GROUP BY topic),
+a3 AS (SELECT topic, string_agg('**' || speaker || '**' || chr(10) || t, chr(10) || chr(10) ORDER BY first) AS t FROM cn GROUP BY topic), a4 AS (SELECT topic, string_agg('- **' || name || '** [' || type || ']: in ' || n || ' sources', chr(10) ORDER BY k) AS t FROM r WHERE k <= 15 GROUP BY topic)
+SELECT a1.topic, '## Sources' || chr(10) || a1.t || chr(10) || chr(10) || '## Claims by speaker' || chr(10) || coalesce(a2.t, '(none)') || chr(10) || chr(10) || '## Concepts by speaker' || chr(10) || coalesce(a3.t, '(none)') || chr(10) || chr(10) || '## In several sources' || chr(10) || coalesce(a4.t, '(none)') AS prompt
+FROM a1 LEFT JOIN a2 ON a2.topic = a1.topic LEFT JOIN a3 ON a3.topic = a1.topic LEFT JOIN a4 ON a4.topic = a1.topic""")
+def synthesis_bundles(spark, sf_dir):
+    """Nations as topics, orders as their sources, line items as what suppliers say in them."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("topic")), "o_custkey")
+    sources = orders.select("topic", F.col("o_orderkey").alias("source_id"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("title"), F.col("o_orderkey").alias("ord"))
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "source_id").join(sources.select("topic", "source_id"), "source_id").join(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    said = lines.select("topic", F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")).alias("speaker"), "p_name", "p_type", "l_partkey", "source_id", F.when(F.col("l_partkey") % 3 != 0, F.col("p_type")).alias("description"), F.struct("source_id", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"))
+    shared = said.where("l_partkey % 50 = 0").groupBy("topic", F.col("p_name").alias("name"), "l_partkey").agg(F.min("p_type").alias("type"), F.count_distinct("source_id").alias("n_sources"))
+    shared = shared.withColumn("ord", F.struct((-F.col("n_sources")).alias("n"), "name", "type"))
+    return passes.speaker_bundle(sources, said.withColumnRenamed("p_name", "claim"), said.withColumnRenamed("p_name", "concept").withColumnRenamed("p_type", "type"), shared)

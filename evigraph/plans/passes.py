@@ -9,6 +9,7 @@ from evigraph.functions.documents import for_prompt, numbered_notes
 from evigraph.operators import graph, layout, parse, splits
 from evigraph.operators.correction import claims_from_answers
 from evigraph.plans.providers import ModelProvider
+from evigraph.shared import written
 
 # Blocks that are translated, and the material of a synthesis.
 TRANSLATABLE = ["title", "heading", "abstract", "paragraph", "caption"]
@@ -65,6 +66,73 @@ def article_prompts(notes: DataFrame, key: str = "doc_id", order: str = "chunk_n
     )
 
 
+def article(notes: DataFrame, provider: ModelProvider, key: str = "doc_id", order: str = "chunk_no", note: str = "note", most: int = 16000, asked: int = 2) -> DataFrame:
+    """(key, first, second, frame, questions): an article of its notes in four passes.
+
+    The first half of the notes gives the first points; the second half the others, told which headings the first has, so that they
+    are avoided; both together, cut at ``most`` characters, give the frame (summary, quotes, keywords) and ``asked`` questions that
+    the points leave open.  Notes keep their numbers over both halves.  An answer that is missing is empty; without notes in the
+    second half it is not asked for."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    sized = notes.withColumns({"_i": number, "_n": F.count("*").over(Window.partitionBy(key))})
+    sized = sized.withColumn("_late", F.col("_i") > F.greatest(F.lit(1), F.floor(F.col("_n") / 2)))
+    line = F.concat(F.lit("[Part "), F.col("_i").cast("string"), F.lit("]\n"), F.coalesce(F.col(note), F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("_i", line.alias("t"))))
+    counts = question_counts(F.count("*").cast("int"))
+    halves = sized.groupBy(key, "_late").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n---\n\n").alias("notes"), F.format_string("%d to %d points", counts["least"], counts["most"]).alias("many"))
+
+    def answered(prompts: DataFrame, name: str) -> DataFrame:
+        return provider.ask(prompts).select(key, F.coalesce("answer", F.lit("")).alias(name))
+
+    task = F.concat(F.lit("Write "), F.col("many"), F.lit(" as #### sections."))
+    a = halves.where(~F.col("_late")).select(key, F.concat_ws("\n\n", task, F.col("notes")).alias("prompt"))
+    first = written(answered(a, "first"), "article-first")
+    heads = F.array_join(F.transform(F.regexp_extract_all("first", F.lit(r"(?m)^####\s+(.+)$"), F.lit(1)), lambda h: F.concat(F.lit("- "), h)), "\n")
+    avoid = F.concat(F.lit("Already there, not to be repeated:\n"), F.when(heads != "", heads).otherwise("(none)"))
+    b = halves.where("_late").join(first, key).select(key, F.concat_ws("\n\n", task, avoid, F.col("notes")).alias("prompt"))
+    both = first.join(answered(b, "second"), key, "left").withColumn("second", F.coalesce("second", F.lit("")))
+    both = written(both, "article-points")
+    points = F.substring(F.concat_ws("\n\n", F.col("first"), F.when(F.col("second") != "", F.col("second"))), 1, most)
+    frame = answered(both.select(key, F.concat_ws("\n\n", F.lit("Write the summary, the quotes and the keywords of this article."), points).alias("prompt")), "frame")
+    open_ = answered(both.select(key, F.concat_ws("\n\n", F.lit(f"Ask {asked} questions that these points leave open."), points).alias("prompt")), "questions")
+    return both.join(frame, key).join(open_, key)
+
+
+def speaker_bundle(sources: DataFrame, claims: DataFrame, concepts: DataFrame, shared: DataFrame, by: str = "topic", most_claims: int = 8, most_concepts: int = 5, most_shared: int = 15) -> DataFrame:
+    """(by, prompt): the material of a synthesis by speaker.
+
+    sources (by, source_id, title, ord) are numbered in order; claims (by, speaker, claim, description, source_id, ord) and concepts (by, speaker, concept, type,
+    description, ord) stand under their speakers, the first of each, speakers in the order in which they come; shared (by, name, type, n_sources, ord) are named last."""
+    numbered = sources.withColumn("_no", F.row_number().over(Window.partitionBy(by).orderBy("ord")))
+
+    def listed(rows: DataFrame, line: Column, name: str, joint: str = "\n") -> DataFrame:
+        return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", line.alias("t")))), lambda x: x["t"]), joint).alias(name))
+
+    def spoken(rows: DataFrame, line: Column, most: int, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(by, "speaker").orderBy("ord"))
+        kept = rows.withColumn("_k", place).where(F.col("_k") <= most)
+        lines = F.array_sort(F.collect_list(F.struct("_k", line.alias("t"))))
+        said = kept.groupBy(by, "speaker").agg(F.min("ord").alias("_at"), F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("lines"))
+        return listed(said, F.concat(F.lit("**"), F.col("speaker"), F.lit("**\n"), F.col("lines")), name, "\n\n")
+
+    short = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    at = claims.join(numbered.select(by, "source_id", "_no"), [by, "source_id"], "left").withColumn("_ref", F.coalesce(F.col("_no").cast("string"), F.lit("?")))
+    told = short("description", 120)
+    claim = F.concat(F.lit("- "), F.col("claim"), F.lit(" ["), F.col("_ref"), F.lit("]"), F.when(told != "", F.concat(F.lit("\n  ("), told, F.lit(")"))).otherwise(""))
+    meant = short("description", 80)
+    concept = F.concat(F.lit("- ["), F.col("type"), F.lit("] "), F.col("concept"), F.when(meant != "", F.concat(F.lit(": "), meant)).otherwise(""))
+    common = shared.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy("ord"))).where(F.col("_at") <= most_shared)
+    parts = [
+        listed(numbered.withColumn("_at", F.col("_no")), F.concat(F.lit("["), F.col("_no").cast("string"), F.lit("] "), F.col("title")), "s"), spoken(at, claim, most_claims, "c"), spoken(concepts, concept, most_concepts, "n"),
+        listed(common, F.concat(F.lit("- **"), F.col("name"), F.lit("** ["), F.col("type"), F.lit("]: in "), F.col("n_sources").cast("string"), F.lit(" sources")), "e"),
+    ]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.join(part, by, "left")
+    said = lambda head, c: F.concat(F.lit(f"## {head}\n"), F.coalesce(c, F.lit("(none)")))
+    return made.select(by, F.concat_ws("\n\n", said("Sources", "s"), said("Claims by speaker", "c"), said("Concepts by speaker", "n"), said("In several sources", "e")).alias("prompt"))
+
+
 def extraction_texts(documents: DataFrame, most_chunks: int = 10) -> DataFrame:
     """(source_id, mode, text) to extract from: a source's summary, else its transcript with speakers, else the first chunks of
     its plain text; sources without any are left out."""
