@@ -117,7 +117,16 @@ def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.tidy(web.without_markup(F.col("html"))).alias("text"))
 
 
-@query()
+_CHARACTERS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def _unescaped(text: str) -> str:
+    for name, sign in _CHARACTERS:
+        text = f"replace({text}, '{name}', '{sign}')"
+    return text
+
+
+@query(f"""SELECT page_id, trim({_unescaped("regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)")}, E' \\t\\n\\r') AS title, regexp_replace({_unescaped(_markup_sql())}, '^\\s+|\\s+$', '', 'g') AS text FROM pages""")
 def page_texts_unescaped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.title(F.col("html")).alias("title"), web.text(F.col("html")).alias("text"))
 
@@ -717,7 +726,13 @@ def consensus_unnumbered(spark, sf_dir):
     return consensus.unnumbered(_chapters(spark, sf_dir).withColumn("num", F.lit("")))
 
 
-@query()
+_TALLY = " || chr(10) || ".join(f"'| {v} | ' || count(*) FILTER (WHERE verdict = '{v}') || ' |'" for v in ("supported", "partial", "contradicted", "unverifiable"))
+
+
+@query(f"""WITH j AS (SELECT v.doc_id, verdict, source, string_split(text, chr(10)) AS l FROM {_VERDICTS} v JOIN documents d ON d.doc_id = v.doc_id),
+x AS (SELECT *, CASE verdict WHEN 'contradicted' THEN 0 WHEN 'partial' THEN 1 WHEN 'supported' THEN 2 ELSE 3 END AS p,
+  '- [' || verdict || '] ' || l[1] || CASE WHEN len(l) > 1 THEN chr(10) || array_to_string(list_transform(l[2:3], lambda e: '> ' || substring(e, 1, 200) || '...'), chr(10)) ELSE '' END AS line FROM j)
+SELECT source, '| verdict | claims |' || chr(10) || '|-|-|' || chr(10) || {_TALLY} || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY p, doc_id) AS report FROM x GROUP BY source""")
 def report_markdown(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("claim"), F.filter(F.split("text", "\n"), lambda x, i: i > 0).alias("evidence"))
     judged = _verdicts(spark, sf_dir).select("doc_id", "verdict").join(docs, "doc_id").withColumn("claim_no", F.col("doc_id"))

@@ -11,7 +11,7 @@ from evigraph.operators import artefacts, consensus, correction, export, layout,
 from evigraph.plans import passes, refine
 from evigraph.plans.catalog import query, table
 from evigraph.plans.catalog_texts import _Judge
-from evigraph.plans.providers import ReplayProvider
+from evigraph.plans.providers import CallProvider, ReplayProvider
 from evigraph.shared import new_dir
 from evigraph.sources import files
 
@@ -556,3 +556,17 @@ def synthesis_bundles(spark, sf_dir):
     shared = said.where("l_partkey % 50 = 0").groupBy("topic", F.col("p_name").alias("name"), "l_partkey").agg(F.min("p_type").alias("type"), F.count_distinct("source_id").alias("n_sources"))
     shared = shared.withColumn("ord", F.struct((-F.col("n_sources")).alias("n"), "name", "type"))
     return passes.speaker_bundle(sources, said.withColumnRenamed("p_name", "claim"), said.withColumnRenamed("p_name", "concept").withColumnRenamed("p_type", "type"), shared)
+
+
+def _capitals(prompt: str) -> str:
+    """A model that answers in capitals, and that can't be reached for prompts of one kind."""
+    if prompt.startswith("x"):
+        raise TimeoutError
+    return prompt.upper()
+
+
+@query(f"""WITH {_D} SELECT doc_id, CASE WHEN NOT starts_with({_W[0]}, 'x') THEN upper({_W[0]} || ' ' || {_W[1]}) END AS answer FROM d""")
+def called_answers(spark, sf_dir):
+    """Every document's first words as a prompt, asked inside tasks; what can't be answered after some tries is null."""
+    prompts = _docs(spark, sf_dir).select("doc_id", F.concat(_w(0), F.lit(" "), _w(1)).alias("prompt"))
+    return CallProvider(_capitals, tries=2).ask(prompts).select("doc_id", "answer")
