@@ -570,3 +570,29 @@ def called_answers(spark, sf_dir):
     """Every document's first words as a prompt, asked inside tasks; what can't be answered after some tries is null."""
     prompts = _docs(spark, sf_dir).select("doc_id", F.concat(_w(0), F.lit(" "), _w(1)).alias("prompt"))
     return CallProvider(_capitals, tries=2).ask(prompts).select("doc_id", "answer")
+
+
+class _Extractor:
+    """Of a text the first word is a claim of "guest", the second a thing that the first uses; somebody unknown is related too."""
+
+    def ask(self, prompts):
+        said = F.regexp_extract_all(F.substring_index("prompt", "JSON.", -1), F.lit("([A-Za-z0-9]+)"), F.lit(1))
+        whole = F.regexp_extract_all(F.element_at(F.split("prompt", "\n\n"), -1), F.lit("([A-Za-z0-9]+)"), F.lit(1))
+        of = lambda words, i: F.coalesce(F.get(words, F.lit(i)), F.lit("x"))
+        row = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+        entities = F.to_json(row(entities=F.array(row(name=of(said, 0), type=F.lit("claim"), description=F.lit("[Guest] says so"), confidence=F.lit(0.9)), row(name=of(said, 1), type=F.lit("thing"), description=F.lit("d"), confidence=F.lit(0.5)))))
+        triples = F.to_json(row(triples=F.array(row(subject=of(whole, 0), predicate=F.lit("uses"), object=of(whole, 1), confidence=F.lit(0.7)), row(subject=F.lit("nobody at all"), predicate=F.lit("uses"), object=of(whole, 1), confidence=F.lit(0.7)))))
+        return prompts.withColumn("answer", F.when(F.contains("prompt", F.lit("List the entities")), entities).otherwise(triples))
+
+
+@query(f"""WITH {_D}, e AS (SELECT doc_id, {_W[0]} AS a, {_W[1]} AS b FROM d)
+SELECT doc_id, 'entity' AS kind, a AS x, 'claim' AS y, '[Ann Lee ' || doc_id || '] says so' AS z, 0.9::DOUBLE AS confidence FROM e UNION ALL SELECT doc_id, 'entity', b, 'concept', 'd', 0.5 FROM e WHERE lower(a) <> lower(b)
+UNION ALL SELECT doc_id, 'entity', 'Ann Lee ' || doc_id, 'person', 'Podcast speaker: Ann Lee ' || doc_id, 1.0 FROM e
+UNION ALL SELECT doc_id, 'triple', a, 'uses', b, 0.7 FROM e WHERE lower(a) <> lower(b) UNION ALL SELECT doc_id, 'triple', 'Ann Lee ' || doc_id, 'argues_that', a, 0.85 FROM e""")
+def summary_extraction(spark, sf_dir):
+    """Words of documents as a model's entities and relations; the guest is the one speaker."""
+    plain = F.array_join(F.transform("w", lambda x: x), " ")
+    summaries = _docs(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.when(F.size("w") > 0, plain).otherwise("x x").alias("text"), F.array(F.concat(F.lit("Ann Lee "), F.col("doc_id").cast("string"))).alias("speakers"))
+    entities, triples = passes.extract_summaries(summaries, _Extractor())
+    rows = entities.select(F.col("source_id").alias("doc_id"), F.lit("entity").alias("kind"), F.col("name").alias("x"), F.col("type").alias("y"), F.col("description").alias("z"), "confidence")
+    return rows.unionByName(triples.select(F.col("source_id").alias("doc_id"), F.lit("triple").alias("kind"), F.col("subject").alias("x"), F.col("predicate").alias("y"), F.col("object").alias("z"), "confidence"))
