@@ -10,6 +10,7 @@ from evigraph.functions.text import strip
 from evigraph.operators import splits
 from evigraph.shared import written
 
+# Signs that close a paragraph.
 TERMINAL = ".?!:;。．！？”)」】"
 
 
@@ -84,6 +85,7 @@ def merge_paragraphs(blocks: DataFrame, doc: str = "doc", order: str = "pos") ->
 
 def caption_label(text: Column) -> Column:
     """``Figure 1``, ``Table 2`` or ``Algorithm 3`` of a caption, else empty: a sign must follow the number, or the line be short."""
+    # Fixed value: how a caption begins.
     pattern = r"(?i)^\s*(fig(?:ure)?\.?|table|algorithm|alg\.?)\s*([0-9]+)"
     kind, number = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     signed = text.rlike(pattern + r"\s*[:.—\-]")

@@ -23,10 +23,12 @@ NOISE_LINKS = [
     r"^/", r"^mailto:", r"^#", r"\.(jpg|jpeg|png|gif|pdf|mp3|mp4|zip|css|js|woff|woff2|svg|ico)$", r"/wp-content/", r"/wp-includes/",
 ]
 DROPPED_BLOCKS = ["script", "style", "head", "nav", "footer", "header"]
+# How a title, a tag and a link are told.
+TITLE, TAG, HREF = r"(?i)<title[^>]*>([^<]+)</title>", "<[^>]+>", r"""(?i)href=["']([^"']+)["']"""
 
 
 def raw_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)
+    return F.regexp_extract(html, TITLE, 1)
 
 
 def title(html: Column) -> Column:
@@ -38,7 +40,7 @@ def without_markup(html: Column) -> Column:
     """Blocks that hold no text out, tags to blanks."""
     for block in DROPPED_BLOCKS:
         html = F.regexp_replace(html, rf"(?is)<{block}[^>]*>.*?</{block}>", " ")
-    return F.regexp_replace(html, "<[^>]+>", " ")
+    return F.regexp_replace(html, TAG, " ")
 
 
 def tidy(text: Column) -> Column:
@@ -53,7 +55,7 @@ def text(html: Column) -> Column:
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, pos, url, domain): absolute outbound links, noise out, query and fragment cut, each once a page."""
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1))).alias("pos", "href"))
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))).alias("pos", "href"))
     found = found.withColumn("href", strip(F.col("href")))
     for pattern in NOISE_LINKS:
         found = found.where(~F.col("href").rlike("(?i)" + pattern))
