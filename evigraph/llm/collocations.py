@@ -22,11 +22,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +40,8 @@ WORDS = 4
 UNKNOWN = "und"
 BITS = 25
 _CHUNK = 1 << 17
-#: Bytes of text that are tokenised at a time, and phrases that a task holds before it hands them on.
-_TEXT_BYTES, _FLUSH = 4 << 20, 800_000
+#: Bytes of text that are tokenised at a time, phrases that a task holds before it hands them on, and counts that it holds before it sums them.
+_TEXT_BYTES, _FLUSH, _HELD = 4 << 20, 800_000, 1_000_000
 _UPPER, _CUT = bytes(range(65, 91)), b".,;:!?\n\x0b\x0c\r"
 #: The end of a piece: a byte that UTF-8 never has.
 _END = b"\xff"
@@ -47,6 +50,28 @@ _TABLE = bytes.maketrans(_UPPER + _CUT, _UPPER.lower() + _END * len(_CUT))
 Bounds = dict[int, np.ndarray]
 
 
+@dataclass
+class Packed:
+    """Counters as they travel: packed chunks by words and place, unpacked by each worker once."""
+
+    sizes: dict[int, int]
+    chunks: dict[tuple[int, int], bytes]
+
+    @cached_property
+    def counters(self) -> Bounds:
+        out = {n: np.zeros(1 << bits, dtype=np.uint8) for n, bits in self.sizes.items()}
+        for (n, i), part in self.chunks.items():
+            out[n][i * _CHUNK : (i + 1) * _CHUNK] = np.frombuffer(zlib.decompress(part), dtype=np.uint8)
+        self.chunks = {}  # a worker's own copy: only the counters are needed from here on
+        return out
+
+    def __or__(self, other: Packed) -> Packed:
+        return Packed(self.sizes | other.sizes, self.chunks | other.chunks)
+
+    def __getstate__(self):
+        return {"sizes": self.sizes, "chunks": self.chunks}
+
+
 def _shift(counters: np.ndarray) -> np.uint64:
     """Of a 64-bit hash, so that it names a counter."""
     return np.uint64(65 - len(counters).bit_length())
@@ -154,7 +179,7 @@ def _packed(chunks: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.Record
 def _sketch(batches: Iterator[pa.RecordBatch], sizes: dict[int, int], shared, least: int) -> Iterator[pa.RecordBatch]:
     tables = {n: np.zeros(1 << bits, dtype=np.uint8) for n, bits in sizes.items()}
     for _, block in _blocks(batches):
-        block.count_into(tables, shared.value, least)
+        block.count_into(tables, shared.value.counters, least)
     yield from _packed((n, i, table[i * _CHUNK : (i + 1) * _CHUNK]) for n, table in tables.items() for i in range(-(-len(table) // _CHUNK)))
 
 
@@ -168,48 +193,78 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _packed((*at, counters) for at, counters in total.items())
 
 
-def sketch(texts: DataFrame, sizes: dict[int, int], bounds: Bounds, least: int) -> Bounds:
+def sketch(texts: DataFrame, sizes: dict[int, int], bounds: Packed, least: int) -> Packed:
     """Upper bounds (at most 255) of the occurrences of phrases of (lang, text) rows by hash, in 2^sizes[n] counters for n words;
     phrases that ``bounds`` rule out are not counted."""
     shared = texts.sparkSession.sparkContext.broadcast(bounds)
     parts = texts.mapInArrow(lambda it: _sketch(it, sizes, shared, least), "words int, chunk int, counters binary")
-    out = {n: np.zeros(1 << bits, dtype=np.uint8) for n, bits in sizes.items()}
+    summed = parts.repartition("words", "chunk").mapInArrow(_summed, "words int, chunk int, counters binary")
     # Chunks of a fixed number and size come to the driver.
-    for row in parts.repartition("words", "chunk").mapInArrow(_summed, "words int, chunk int, counters binary").toLocalIterator():
-        at = row["chunk"] * _CHUNK
-        out[row["words"]][at : at + _CHUNK] = np.frombuffer(zlib.decompress(row["counters"]), dtype=np.uint8)
+    out = Packed(sizes, {(row["words"], row["chunk"]): bytes(row["counters"]) for row in summed.toLocalIterator()})
     shared.unpersist()
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shared, least: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shared, least: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's phrases, a row for each language and part (by hash of the phrase): lists of phrases and of their counts."""
     found: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
 
     def out() -> Iterator[pa.RecordBatch]:
         while found:
             lang, counts = found.popitem()
-            phrases = pa.array(counts.keys(), pa.binary()).cast(pa.string())
-            yield pa.record_batch([pa.array([lang] * len(counts), pa.string()), phrases, pa.array(counts.values(), pa.int64())], ["lang", "phrase", "f"])
+            phrases, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            part = np.fromiter((zlib.crc32(p) for p in phrases), np.int64, len(phrases)) % parts
+            order = np.argsort(part, kind="stable")
+            sizes = np.bincount(part, minlength=parts)
+            some = np.flatnonzero(sizes)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32))
+            texts = pa.array(phrases, pa.binary()).cast(pa.string()).take(pa.array(order))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.ListArray.from_arrays(ends, texts), pa.ListArray.from_arrays(ends, pa.array(times[order]))],
+                ["lang", "part", "phrases", "counts"],
+            )
 
     for lang, block in _blocks(batches):
         mine = found[lang]
-        for phrase, n in block.count(shared.value, least):
+        for phrase, n in block.count(shared.value.counters, least):
             mine[phrase] += n
         if sum(map(len, found.values())) > _FLUSH:
             yield from out()
     yield from out()
 
 
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sums of a part's counts: the phrases that reach ``least``, and the languages' words."""
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        rows = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        return rows.rename_columns({"f_sum": "f"}).select(["lang", "phrase", "f"])
+
+    for batch in batches:
+        phrases = batch.column("phrases")
+        langs = batch.column("lang").take(pc.list_parent_indices(phrases))
+        held.append(pa.table([langs, phrases.flatten(), batch.column("counts").flatten()], names=["lang", "phrase", "f"]))
+        if sum(map(len, held)) > _HELD and len(held) > 1:
+            held = [summed()]
+    if held:
+        rows = summed()
+        yield from rows.filter(pc.or_(pc.equal(rows["phrase"], ""), pc.greater_equal(rows["f"], least))).to_batches()
+
+
 def phrase_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang", bits: int = BITS) -> DataFrame:
     """(lang, phrase, f): exact counts of all phrases of one to four words that occur ``least`` times or more in a
-    language, and under the empty phrase the number of its words.  A staged table."""
+    language, and under the empty phrase the number of its words.  A staged table.
+
+    Blocks' counts travel as lists by part; there are as many parts as the texts' bytes ask for, so that a part stays as small as the input grows."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
-    short = sketch(texts, {1: max(1, bits - 3), 2: bits}, {}, least)
+    short = sketch(texts, {1: max(1, bits - 3), 2: bits}, Packed({}, {}), least)
     bounds = short | sketch(texts, {3: max(1, bits - 1), 4: max(1, bits - 1)}, short, least)
     shared = docs.sparkSession.sparkContext.broadcast(bounds)
-    parts = texts.mapInArrow(lambda it: _scan(it, shared, least), "lang string, phrase string, f long")
-    counts = parts.repartition(spread(texts), "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    made = stage(counts.where(F.col("f") >= F.when(F.col("phrase") == "", 1).otherwise(least)), "phrases")
+    tasks = spread(texts)
+    counted = texts.mapInArrow(lambda it: _scan(it, shared, least, 4 * tasks), "lang string, part int, phrases array<string>, counts array<long>")
+    merged = counted.repartition(tasks, "part").mapInArrow(lambda it: _merged(it, least), "lang string, phrase string, f long")
+    made = stage(merged, "phrases")
     shared.unpersist()
     return made
 

@@ -238,6 +238,7 @@ def phrase_rows():
 def test_collocations_equal_brute_force(spark, tmp_path, monkeypatch, bits, flush):
     """A sketch too small to prune anything, and tiny hand-overs, change no result."""
     monkeypatch.setattr(collocations, "_FLUSH", flush)
+    monkeypatch.setattr(collocations, "_HELD", flush)
     rows = phrase_rows()
     docs = spark.createDataFrame(rows, "text string, lang string, f int, phrase string").repartition(3)
     made = collocations.collocations(docs, least=5, top=60, bits=bits)
@@ -258,8 +259,8 @@ def test_collocations_of_nothing(spark):
 
 def test_sketch_bounds_from_above(spark):
     texts = spark.createDataFrame([("en", "a b a b c"), ("en", "a b a"), ("de", "a b")], "lang string, text string").repartition(3)
-    short = collocations.sketch(texts, {1: 10, 2: 12}, {}, 2)
-    bounds = short | collocations.sketch(texts, {3: 11, 4: 11}, short, 2)
+    short = collocations.sketch(texts, {1: 10, 2: 12}, collocations.Packed({}, {}), 2)
+    bounds = (short | collocations.sketch(texts, {3: 11, 4: 11}, short, 2)).counters
     block = collocations.Block("en", [b"a b a b c", b"a b a"])
     lists = [[b"a", b"b", b"a", b"b", b"c"], [b"a", b"b", b"a"]]
     times = lambda phrase, n: sum(w[j : j + n] == phrase for w in lists for j in range(len(w) - n + 1))
