@@ -40,7 +40,7 @@ from evigraph.llm._worker import ENTRY, Generations, Memo, held
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of what a worker keeps: tables of words, of pieces of mixed words, and whether tokens follow each other.
-WORD_BYTES, PIECE_BYTES, PAIR_BYTES = 64 << 20, 16 << 20, 16 << 20
+WORD_BYTES, PIECE_BYTES, PAIR_BYTES = 256 << 20, 16 << 20, 96 << 20
 
 
 def byte_symbols() -> list[str]:
