@@ -34,10 +34,12 @@ def test_small_text_functions(spark):
     assert one(spark, "  Some Title: 2nd! ", text.slug) == "some-title-2nd"
     assert [one(spark, s, text.clock, "double") for s in (59.9, 3600.0, 3725.5)] == ["00:59", "1:00:00", "1:02:05"]
     assert [one(spark, s, text.count_of) for s in ("1.2K", "3M", "1,234", "x", "")] == [1200, 3_000_000, 1234, 0, 0]
+    assert [one(spark, s, text.count_of) for s in ("32.3K", "64.1k", "-1.5K", "1e3", "9" * 25 + "M", "nan")] == [32_300, 64_100, -1500, 1000, 0, 0]
     assert one(spark, "Deep Learning (DL)", text.bare_name) == "deep learning"
     assert one(spark, "https://arxiv.org/abs/2401.12345v2", text.arxiv_id) == "2401.12345"
     assert one(spark, "<think>a\nb</think> c ", text.drop_thoughts) == "c"
     assert one(spark, "a &lt;b&gt; &amp;", text.unescape) == "a <b> &"
+    assert one(spark, "&lt;b&gt; &#39;&#x41; &amp;lt; &ampx; &amp", text.unescape_closed) == "<b> 'A &lt; &ampx; &amp"
     assert sorted(one(spark, "AI と機械学習 x", text.word_set)) == sorted(["ai", "x", "と機", "機械", "械学", "学習"])
 
 
@@ -60,6 +62,9 @@ def test_web(spark):
     html = "<head><title> A &amp; B </title></head><style>x</style><p>one &lt;b&gt;</p>\n\n\n<p>two</p><script>no</script>"
     assert one(spark, html, web.title) == "A & B"
     assert one(spark, html, web.text) == "one <b>\n\ntwo"
+    cut = "<title>a &amp;&amp</title><p>b &lt</p>"
+    assert (one(spark, cut, web.title), one(spark, cut, lambda c: web.title(c, closed=True))) == ("a &&", "a &&amp")
+    assert one(spark, cut, lambda c: web.text(c, closed=True)) == "a &&amp  b &lt"
     page = '<a href="/in">x</a><a href="https://www.News.org/a?q#f">y</a><a href="https://news.org/a">z</a><a href="https://m.twitter.com/u">t</a><a href="mailto:x">m</a><a href="https://x.org/a.pdf">p</a>'
     got = [(r.url, r.domain) for r in web.links(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("pos").collect()]
     assert got == [("https://www.News.org/a", "news.org"), ("https://news.org/a", "news.org")]
