@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.text import char_windows, strip, unescape
+from evigraph.functions.text import char_windows, strip, unescape, unescape_closed
 
 # Domains and link patterns that are never followed.
 NOISE_DOMAINS = [
@@ -31,9 +31,9 @@ def raw_title(html: Column) -> Column:
     return F.regexp_extract(html, TITLE, 1)
 
 
-def title(html: Column) -> Column:
-    """The page title, unescaped; empty if there is none."""
-    return unescape(strip(raw_title(html)))
+def title(html: Column, closed: bool = False) -> Column:
+    """The page title, unescaped (``closed``: only references with a semicolon); empty if there is none."""
+    return (unescape_closed if closed else unescape)(strip(raw_title(html)))
 
 
 def without_markup(html: Column) -> Column:
@@ -48,9 +48,10 @@ def tidy(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s{3,}", "\n\n"))
 
 
-def text(html: Column) -> Column:
-    """The visible text.  Character references are read after the tags are gone, so that an escaped tag stays text."""
-    return tidy(unescape(without_markup(html)))
+def text(html: Column, closed: bool = False) -> Column:
+    """The visible text.  Character references (``closed``: only those with a semicolon) are read after the tags are gone, so that an
+    escaped tag stays text."""
+    return tidy((unescape_closed if closed else unescape)(without_markup(html)))
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -68,12 +69,12 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return found.groupBy(key, "url", "domain").agg(F.min("pos").alias("pos"))
 
 
-def ingest(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", given_title: str | None = None, size: int = 1500, overlap: int = 150) -> DataFrame:
+def ingest(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", given_title: str | None = None, size: int = 1500, overlap: int = 150, closed: bool = False) -> DataFrame:
     """Source documents (key, source_type, source_id, title, text, chunks) of pages: the title given, else the page's own, else
     the URL; the text in windows of characters."""
-    own = title(F.col(html))
+    own = title(F.col(html), closed)
     named = F.coalesce(*([F.when(F.trim(given_title) != "", F.col(given_title))] if given_title else []), F.when(own != "", own), F.col(url))
-    made = pages.select(key, F.lit("web").alias("source_type"), F.col(url).alias("source_id"), named.alias("title"), text(F.col(html)).alias("text"))
+    made = pages.select(key, F.lit("web").alias("source_type"), F.col(url).alias("source_id"), named.alias("title"), text(F.col(html), closed).alias("text"))
     at = char_windows(F.col("text"), size, overlap)
     return made.withColumn("chunks", F.transform(at, lambda i: F.substring(F.col("text"), i + 1, F.lit(size))))
 
