@@ -17,16 +17,17 @@ def resolve(queries: DataFrame, index: DataFrame, cache: DataFrame, remote: Data
     A cached query (whatever its type) is not asked again.  Concepts meet the titles of ``index`` (title, qid), people and
     organisations those of ``remote``; other types never resolve.  Queries and titles meet by their rarest words, so that a word that all
     of them share brings no pair together.  The best title at or over
-    ``least`` holds, else ``not_found`` (which is cached too)."""
-    known = queries.join(cache.select("query", "canonical_name", "qid", "confidence", "method"), "query")
-    asked = queries.join(cache.select("query"), "query", "left_anti").distinct()
+    ``least`` holds, else ``not_found`` (which is cached too).  All tables grow with the names: each join is by exchange, since names
+compress so well in files that Spark would take millions of them for a table small enough to send through the driver."""
+    known = queries.join(cache.select("query", "canonical_name", "qid", "confidence", "method").hint("merge"), "query")
+    asked = queries.join(cache.select("query").hint("merge"), "query", "left_anti").distinct()
 
     def words(column: str):
         return F.array_distinct(F.filter(F.split(F.lower(strip(F.col(column))), r"(?U)\W+"), lambda w: w != ""))
 
     def indexed(rows: DataFrame, by: list[str], counts: DataFrame, floor: float) -> DataFrame:
         """Rows under their rarest words: as many as two texts can't both miss that share ``floor`` (rounded) of the longer one's words."""
-        spread = rows.withColumn("_w", words(by[0])).select(*by, F.size("_w").alias("_n"), F.explode("_w").alias("w")).join(counts, "w")
+        spread = rows.withColumn("_w", words(by[0])).select(*by, F.size("_w").alias("_n"), F.explode("_w").alias("w")).join(counts.hint("merge"), "w")
         place = F.row_number().over(Window.partitionBy(*by).orderBy("_r", "w"))
         return spread.withColumn("_k", place).where(F.col("_k") <= F.col("_n") - F.ceil((floor - 0.0005) * F.col("_n") - 1e-9) + 1).select(*by, "w")
 
@@ -35,12 +36,12 @@ def resolve(queries: DataFrame, index: DataFrame, cache: DataFrame, remote: Data
         (a, *_), (b, *_) = short.columns, long.columns
         said = F.split(F.lower(strip(F.col(b))), " ")
         heads = long.select("*", F.explode(F.transform(said, lambda _, i: F.array_join(F.slice(said, F.lit(1), i + 1), " "))).alias("_head"))
-        return short.withColumn("_head", F.lower(strip(F.col(a)))).join(heads, "_head").drop("_head")
+        return short.withColumn("_head", F.lower(strip(F.col(a)))).join(heads.hint("merge"), "_head").drop("_head")
 
     def best(rows: DataFrame, titles: DataFrame, floor: float, method: str) -> DataFrame:
         rows, titles = rows.select("query", "type"), titles.select("title", "qid")
         counts = titles.select(F.explode(words("title")).alias("w")).unionByName(rows.select(F.explode(words("query")).alias("w"))).groupBy("w").agg(F.count("*").alias("_r"))
-        pairs = indexed(rows, ["query", "type"], counts, floor).join(indexed(titles, ["title", "qid"], counts, floor), "w").drop("w")
+        pairs = indexed(rows, ["query", "type"], counts, floor).join(indexed(titles, ["title", "qid"], counts, floor).hint("merge"), "w").drop("w")
         pairs = pairs.unionByName(begun(rows, titles)).unionByName(begun(titles, rows)).distinct()
         scored = pairs.withColumn("confidence", title_confidence(F.col("query"), F.col("title"))).where(F.col("confidence") >= floor)
         first = Window.partitionBy("query", "type").orderBy(F.desc("confidence"), "title")
@@ -50,7 +51,7 @@ def resolve(queries: DataFrame, index: DataFrame, cache: DataFrame, remote: Data
     found = best(asked.where(F.col("type").isin(LOCAL_TYPES)), index, max(local_least, least), "local")
     if remote is not None:
         found = found.unionByName(best(asked.where(F.col("type").isin(REMOTE_TYPES)), remote, least, "remote"))
-    out = asked.join(found, ["query", "type"], "left").withColumn("method", F.coalesce("method", F.lit("not_found")))
+    out = asked.join(found.hint("merge"), ["query", "type"], "left").withColumn("method", F.coalesce("method", F.lit("not_found")))
     return out.unionByName(known.select(*out.columns))
 
 

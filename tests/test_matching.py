@@ -137,3 +137,15 @@ def test_links_equal_all_pairs(spark):
         fits = sorted((-p.c, p.title) for p in pairs if p.query == q and p.c >= 0.6)
         want = ("known", 0.9, "local") if q == asked[0] else (fits[0][1], -fits[0][0], "remote" if kind == "person" else "local") if fits and kind != "place" else (None, None, "not_found")
         assert got[q] == want, q
+
+
+def test_links_send_no_names_through_the_driver(spark):
+    rows = [(f"query {i}", "concept" if i % 2 else "person") for i in range(40)]
+    queries = spark.createDataFrame(rows, "query string, type string")
+    index = spark.createDataFrame([(q, "Q") for q, _ in rows], "title string, qid string")
+    remote = spark.createDataFrame([(f"{q} life", "R") for q, _ in rows], "title string, qid string")
+    cache = spark.createDataFrame([("query 3", "cached", "C", 0.9, "local")], "query string, canonical_name string, qid string, confidence double, method string")
+    found = linking.resolve(queries, index, cache, remote)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.query: (r.canonical_name, r.confidence) for r in found.collect()}
+    assert len(got) == 40 and got["query 3"] == ("cached", 0.9) and got["query 5"] == ("query 5", 1.0) and got["query 4"] == ("query 4 life", 0.85)
