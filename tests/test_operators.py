@@ -249,3 +249,14 @@ def test_first_pairs_of_groups_are_chosen_before_pairing(spark):
     for most in (1, 7, 50, 10_000):
         assert list(map(tuple, graph.first_group_claim_pairs(claims, members, ["g"], most).collect())) == whole[:most]
         assert [(r.topic, r.confidence, r.speaker1, r.claim1, r.speaker2, r.claim2) for r in graph.first_group_topic_pairs(claims, members, ["g"], topics, most).collect()] == hung[:most]
+
+
+def test_summaries_send_no_tables_through_the_driver(spark):
+    from evigraph.plans import passes
+    from evigraph.plans.catalog_contents import _Extractor
+
+    summaries = spark.createDataFrame([(i, f"word{i} thing{i} more", [f"Ann Lee {i}"]) for i in range(9)], "source_id int, text string, speakers array<string>")
+    entities, triples = passes.extract_summaries(summaries, _Extractor())
+    for found in (entities, triples):
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert (entities.count(), triples.count()) == (27, 18)
