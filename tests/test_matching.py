@@ -149,3 +149,12 @@ def test_links_send_no_names_through_the_driver(spark):
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     got = {r.query: (r.canonical_name, r.confidence) for r in found.collect()}
     assert len(got) == 40 and got["query 3"] == ("cached", 0.9) and got["query 5"] == ("query 5", 1.0) and got["query 4"] == ("query 4 life", 0.85)
+
+
+def test_boxes_of_pages_go_to_python_by_the_batch(spark):
+    rng = random.Random(5)
+    rows = [(p, *(lambda x, y: (x, y, x + rng.random() * 30, y + rng.random() * 30))(rng.random() * 200, rng.random() * 200)) for p in range(30) for _ in range(p)]
+    merged = layout.merge_boxes(spark.createDataFrame(rows, "page int, x0 double, y0 double, x1 double, y1 double"), ["page"])
+    assert "FlatMapGroupsIn" not in merged._jdf.queryExecution().executedPlan().toString()
+    want = sorted((p, *b) for p in range(30) for b in layout.merged_boxes([r[1:] for r in rows if r[0] == p]))
+    assert sorted(map(tuple, merged.collect())) == want
