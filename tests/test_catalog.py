@@ -45,3 +45,11 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_folders_are_written_by_several_tasks(spark):
+    from evigraph.shared import settings
+
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        files = catalog.QUERIES["folder_sources"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert len({f.rsplit("/part-", 1)[1][:5] for f in files}) > 1
