@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.operators.similar import similar
+from evigraph.operators.similar import earlier
 from evigraph.shared import written
 
 
@@ -44,14 +44,11 @@ def unnumbered(chapters: DataFrame, book: str = "book", least: float = 0.75) ->
 
     Who is a key: a title without a similar key before it.  That is decided in rounds over all books at once: a title with a similar
     key follows, one of which all similar titles before it follow is a key; the rest wait for the next round.  Similar
-    titles come from the index of ``similar``; titles are compared in lower case with single blanks."""
+    titles come from ``earlier``; titles are compared in lower case with single blanks."""
     low = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
     plain = chapters.where(numbered_key(F.col("num")).isNull() | F.col("num").isNull()).select(book, "src", "pos", "title", low.alias("low"))
     firsts = written(plain.groupBy(book, "low").agg(F.min(F.struct("src", "pos", "low")).alias("ord")), "titles")
-    pairs = similar(firsts.select(book, F.col("low").alias("a")), firsts.select(book, F.col("low").alias("b")), least, [book])
-    of = lambda c: firsts.select(book, F.col("low").alias(c), F.col("ord").alias(f"{c}_ord"))
-    before = pairs.join(of("a"), [book, "a"]).join(of("b"), [book, "b"]).where("b_ord < a_ord")
-    before = written(before.select(book, "a", "b", "b_ord"), "similar-titles")
+    before = written(earlier(firsts, least, book, "low", "ord"), "similar-titles")
     state = written(firsts.select(book, "low", F.lit(None).cast("boolean").alias("key")), "keys")
     while True:
         seen = before.join(state.withColumnRenamed("low", "b"), [book, "b"]).groupBy(book, F.col("a").alias("low"))
