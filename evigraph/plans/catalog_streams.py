@@ -11,16 +11,17 @@ from evigraph.streaming import registry_state
 
 
 def replayed(spark: SparkSession, batches: list[DataFrame], transform, last: DataFrame) -> DataFrame:
-    """What a stream makes of ``batches``, each a batch of files, and of ``last`` after a restart from its checkpoint."""
+    """What a stream makes of ``batches``, each a batch of as many files as there are cores, and of ``last`` after a restart from its checkpoint."""
     folder, out, checkpoint = (new_dir(spark, f"replay-{n}") for n in ("in", "out", "checkpoint"))
+    cores = spark.sparkContext.defaultParallelism
 
     def run() -> None:
-        stream = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        stream = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", cores).parquet(folder)
         transform(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=registry_state.STORE, spark__sql__shuffle__partitions="4"):
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=registry_state.STORE, spark__sql__shuffle__partitions=str(cores)):
         for batch in batches:
-            batch.coalesce(1).write.mode("append").parquet(folder)
+            batch.repartition(cores).write.mode("append").parquet(folder)
         run()
         last.coalesce(1).write.mode("append").parquet(folder)
         run()

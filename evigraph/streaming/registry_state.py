@@ -2,7 +2,8 @@
 
 An item's actions may come late, twice and out of order.  They wait in the item's state until the watermark has passed them, and are then
 applied in order of their times, so that the log does not depend on how the stream was cut into batches.  An action older than the watermark is
-late and dropped by Spark.  A timer at the first waiting time wakes the item; nothing else reads its state.  The registry is never read
+late and dropped by Spark.  A timeout at the first waiting time wakes the item; nothing else reads its state.  States travel with the rows in Arrow
+batches of many items (no call to the store for each), so that a batch costs what its rows and items cost.  The registry is never read
 again as a whole: a batch touches the items it names.
 
 Actions (``seq`` names one; the same seq twice is one action):
@@ -19,18 +20,20 @@ An action without a time counts at ``seen`` (when its feed was read); without ei
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any, NamedTuple
+from functools import partial
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: One action and one state, as they are kept.
-WAITING = "at long, seq long, action string, title string, error string"
-STATE = "status string, title string, error string, added_at long, processed_at long"
-LOG = "seq long, action string, status string, title string, error string, added_at timestamp, processed_at timestamp"
+#: Characters of an error that are kept.
+MOST_ERROR = 500
+#: The state of an item and the columns of the actions that wait, and the log.
+STATE = "status string, title string, error string, added_at long, processed_at long, at array<long>, seq array<long>, action array<string>, titles array<string>, errors array<string>"
+LOG = "seq long, action string, status string, title string, error string, added_us long, processed_us long"
 
 
 class Item(NamedTuple):
@@ -60,76 +63,52 @@ def applied(item: Item | None, action: Action) -> Item | None:
     if action.action == "done":
         return item._replace(status="done", title=action.title or item.title, error="", processed_at=action.at)
     if action.action == "failed":
-        return item._replace(status="failed", error=action.error[:500], processed_at=action.at)
+        return item._replace(status="failed", error=action.error[:MOST_ERROR], processed_at=action.at)
     if action.action == "retry":
         return item._replace(status="pending", error="", processed_at=None)
     return item
 
 
-class RegistryMachine(StatefulProcessor):
-    """State of one item: what it is now, and the actions that wait for the watermark."""
-
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.now = handle.getValueState("now", STATE)
-        self.waiting = handle.getListState("waiting", WAITING)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = {a.seq: a for a in self._held()}
-        known = min((a.at for a in held.values()), default=None)
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                new = Action(int(r.at_us), int(r.seq), r.action, r.title or "", r.error or "")
-                held[new.seq] = min(held.get(new.seq, new), new)
-        self._wait(key, list(held.values()), known)
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000  # actions are kept in microseconds
-        held = sorted(self._held())
-        due = [a for a in held if a.at <= until]
-        item = Item(*self.now.get()) if self.now.exists() else None
-        out = []
-        for action in due:
-            after = applied(item, action)
-            if after is not item:
-                item = after
-                times = (pd.Timestamp(t, unit="us") if t is not None else pd.NaT for t in (item.added_at, item.processed_at))
-                out.append((*key, action.seq, action.action, item.status, item.title, item.error, *times))
-        if out:
-            self.now.update(tuple(item))
-        self._wait(key, held[len(due) :], None)
-        if out:
-            yield pd.DataFrame(out, columns=[*self.keys, "seq", "action", "status", "title", "error", "added_at", "processed_at"])
-
-    def _held(self) -> list[Action]:
-        return [Action(*a) for a in self.waiting.get()] if self.waiting.exists() else []
-
-    def _wait(self, key: Any, actions: list[Action], known: int | None) -> None:
-        """Keep the actions, and a timer at the first of them (``known``: the time of the one there is)."""
-        if not actions:
-            self.waiting.clear()
-            return
-        self.waiting.put([tuple(a) for a in actions])
-        first = min(a.at for a in actions)
-        if known is None or first < known:
-            if known is not None:
-                self.handle.deleteTimer(-(-known // 1000))
-            self.handle.registerTimer(-(-first // 1000))
-
-    def close(self) -> None:
-        pass
+def registry_step(names: list[str], key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One item: its new actions wait with those that are held; those that the watermark has passed are applied and logged.  Called for
+    an item with new actions, and for one whose first waiting action the watermark has passed.  ``names`` are those of the log."""
+    status, title, error, added, processed, *waiting = state.get if state.exists else (None, None, None, None, None, [], [], [], [], [])
+    item = None if status is None else Item(status, title, error, added, processed)
+    held = {a.seq: a for a in map(Action, *waiting)}
+    for batch in rows:
+        columns = (batch[c].tolist() for c in ("at_us", "seq", "action", "title", "error"))
+        for at, seq, action, title, error in zip(*columns, strict=True):
+            new = Action(at, seq, action, title or "", error or "")
+            held[seq] = min(held.get(seq, new), new)
+    passed = state.getCurrentWatermarkMs()
+    out, later = [], []
+    for action in sorted(held.values()):
+        if action.at > passed * 1000:  # actions are kept in microseconds
+            later.append(action)
+            continue
+        after = applied(item, action)
+        if after is not item:
+            item = after
+            out.append((*key, action.seq, action.action, *item))
+    if item is None and not later:
+        state.remove()
+    else:
+        state.update((*(item or (None,) * 5), *([list(x) for x in zip(*later, strict=True)] or [[]] * 5)))
+        if later:
+            state.setTimeoutTimestamp(max(-(-later[0].at // 1000) - 1, passed, 1))  # it fires beyond, not at, this moment
+    if out:
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
 
 def registry_log(actions: DataFrame, keys: list[str], delay: str = "30 days") -> DataFrame:
     """(keys, seq, action, status, title, error, added_at, processed_at): a row for each action that had an effect, of a stream of actions
-    (keys, seq, action, title, error, at, seen).  ``delay`` is how late an action may come."""
+    (keys, seq, action, title, error, at, seen).  ``delay`` is how late an action may come.  Texts that no action uses are not kept."""
     at = F.coalesce(F.col("at"), F.col("seen"))
     dated = actions.withColumn("event_time", at).where(F.col("event_time").isNotNull()).withColumn("at_us", F.unix_micros("event_time"))
-    slim = dated.withWatermark("event_time", delay).select(*keys, "seq", "action", "title", "error", "at_us", "event_time")
+    title, error = F.when(F.col("action").isin("add", "reset", "done"), F.col("title")), F.when(F.col("action") == "failed", F.substring("error", 1, MOST_ERROR))
+    slim = dated.withWatermark("event_time", delay).select(*keys, "seq", "action", title.alias("title"), error.alias("error"), "at_us", "event_time")
     kinds = ", ".join(f"`{k}` {actions.schema[k].dataType.simpleString()}" for k in keys)
-    return slim.groupBy(*keys).transformWithStateInPandas(RegistryMachine(keys), f"{kinds}, {LOG}", "Append", "EventTime")
-
+    step = partial(registry_step, [*keys, *(field.split()[0] for field in LOG.split(", "))])
+    log = slim.groupBy(*keys).applyInPandasWithState(lambda key, rows, state: step(key, rows, state), f"{kinds}, {LOG}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    times = [F.timestamp_micros(f"{c}_us").alias(f"{c}_at") for c in ("added", "processed")]
+    return log.select(*keys, "seq", "action", "status", "title", "error", *times)
