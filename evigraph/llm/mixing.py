@@ -112,10 +112,12 @@ def mix(
     ordered = docs.join(hot, named).unionByName(others).drop("_mix_rows").withColumn(
         "_mix_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_mix_whole").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     ).withColumn("_mix_range", F.substring(F.col("_mix_hash"), F.lit(1), F.col("_mix_digits")))
+    ordered = stage(ordered, "ordered")  # four branches read it: as one plan they are too large for a small driver
     ranges = ordered.where("_mix_rest > 0").groupBy(*named, "_mix_range", "_mix_rest").agg(F.sum("_mix_tokens").alias("_mix_sum"))
     ahead = Window.partitionBy(*named).orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_mix_before", F.coalesce(F.sum("_mix_sum").over(ahead), F.lit(0))).where("_mix_before < _mix_rest")
     ranges = ranges.withColumn("_mix_inside", F.col("_mix_before") + F.col("_mix_sum") <= F.col("_mix_rest"))
+    ranges = stage(ranges.drop("_mix_sum", "_mix_rest"), "ranges")
     begun = ordered.join(ranges.select(*named, "_mix_range", "_mix_before", "_mix_inside"), [*named, "_mix_range"])
 
     inside = begun.where("_mix_inside").withColumn("_mix_taken", F.col("_mix_tokens"))
@@ -158,7 +160,7 @@ def with_text(mixed: DataFrame, df: DataFrame, keep: list[str], text: str = "tex
     with a count, and the other columns are those of one of them."""
     names = {c: f"_mix_{i}" for i, c in enumerate([*keep, "text_hash"])}
     taken = mixed.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("n_tokens").alias("_mix_all"), F.col("taken_tokens").alias("_mix_taken"))
-    taken = taken.groupBy(*taken.columns).agg(F.count("*").alias("_mix_times"))
+    taken = stage(taken.groupBy(*taken.columns).agg(F.count("*").alias("_mix_times")), "taken")
     rows = df.withColumn("_mix_same", F.xxhash64(F.col(text)))
     same = [F.col(c).eqNullSafe(F.col(names[c])) for c in keep] + [F.col("_mix_same") == F.col(names["text_hash"])]
     rows = rows.dropDuplicates([*keep, "_mix_same"]).join(taken, same).withColumn("_mix_no", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))

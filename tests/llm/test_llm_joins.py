@@ -247,6 +247,16 @@ def brute_shares(budget, nodes):
     return given
 
 
+def test_mixing_is_planned_in_small_steps(spark):
+    """The pipeline's stage once was one plan of 23 exchanges, too large for the memory of a small driver."""
+    docs = spark.createDataFrame([(i, f"{'w ' * (i % 7)}x{i}", "ab"[i % 2], f"s{i % 3}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(mixing.counted(docs, ["doc_id", "lang", "source"]), ["lang", "source"], {}, share=0.5, max_epochs=2)
+    texts = mixing.with_text(mixed, docs, ["doc_id", "lang", "source"])
+    for df, most in ((mixed, 6), (texts, 3)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= most
+    assert texts.count() == mixed.count() > 0
+
+
 def test_mixing(spark, monkeypatch):
     rng = random.Random(6)
     monkeypatch.setattr(mixing, "RANGE_ROWS", 8)
