@@ -154,16 +154,25 @@ def _best_chunks(tokens: DataFrame, weights: DataFrame, average: float, k: int,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, held = shared.value, []
+        floor = np.zeros(len(asked.names))  # so many a claim's best k of this task have at least: nothing below is kept
         for batch in batches:
             lists = batch.column("tokens")
             for a, claims, scores in asked.scores(lists, amount):
                 scores = np.round(scores, 6)
-                least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else 0.0  # those equal to the k-th stay in
-                row, column = np.nonzero((scores > 0) & (scores >= least))
+                kept = (scores > 0) & (scores >= floor[claims])
+                many = np.flatnonzero(kept.sum(axis=0) > k)
+                if len(many):  # those equal to the k-th stay in
+                    least = np.partition(scores[:, many], -k, axis=0)[-k]
+                    floor[claims[many]] = np.maximum(floor[claims[many]], least)
+                    kept[:, many] &= scores[:, many] >= least
+                row, column = np.nonzero(kept)
                 at = pa.table([pa.array(claims[column]), pa.array(scores[row, column]), *(batch.column(c).take(pa.array(a + row)) for c in order)], names=["c", "score", *order])
                 held.append(at)
                 if sum(map(len, held)) > MOST_HELD:
                     held = [_best(held, k, order)]
+                    which, first, times = np.unique(held[0]["c"].to_numpy(), return_index=True, return_counts=True)
+                    full = times == k
+                    floor[which[full]] = np.maximum(floor[which[full]], held[0]["score"].to_numpy()[first[full] + k - 1])
         if held:
             best = _best(held, k, order)
             yield from pa.table([asked.names.take(best["c"].combine_chunks()), *(best[c] for c in (*order, "score"))], names=[claim, *order, "score"]).to_batches()
